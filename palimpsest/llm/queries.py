@@ -17,13 +17,31 @@ def op1_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_sign_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embed_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op3_t_occurrence_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import similar_texts
+
+    return similar_texts(table(spark, sf_dir, "documents"))
+
+
 def op4_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard
 
     return shard(table(spark, sf_dir, "documents"), [1.0] * 24)
 
 
+def op7_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score_toxicity
+
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sum_of_squares_packing, op4_rendezvous_sharding)
+    f.__name__: f for f in (op1_sum_of_squares_packing, op2_sign_hash_dedup, op3_t_occurrence_join, op4_rendezvous_sharding, op7_noisy_channel_toxicity)
 }
 ORACLE_SQL: dict[str, str] = {}
