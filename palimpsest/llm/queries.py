@@ -41,7 +41,13 @@ def op7_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import repeat_digests
+
+    return repeat_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sum_of_squares_packing, op2_sign_hash_dedup, op3_t_occurrence_join, op4_rendezvous_sharding, op7_noisy_channel_toxicity)
+    f.__name__: f for f in (op1_sum_of_squares_packing, op2_sign_hash_dedup, op3_t_occurrence_join, op4_rendezvous_sharding, op7_noisy_channel_toxicity, op8_suffix_repeats)
 }
 ORACLE_SQL: dict[str, str] = {}
