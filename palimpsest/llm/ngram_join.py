@@ -273,9 +273,9 @@ def _links(rows: list[tuple[int, int]]) -> pa.Table:
 
 
 def coarse_links(sets: DataFrame, percent: int) -> DataFrame:
-    """Links found among sets that share a min-hash key; a large group's chunks share its smallest member."""
+    """Links found among sets that share a min-hash key; a large group's chunks share the member with the fewest shingles of its own."""
     keyed = sets.select("sig", "n", "ids", F.explode("keys").alias("key"))
-    sizes = cut(sets.select("sig", F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("sig").alias("lead")).where("rows > 1"))
+    sizes = cut(sets.select("sig", F.col("n") - F.length("ids") / 8, F.explode("keys").alias("key")).toDF("sig", "own", "key").groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min_by("sig", F.struct("own", "sig")).alias("lead")).where("rows > 1"))
     most = max(CHUNK, -(-(sizes.agg(F.sum("rows")).first()[0] or 0) // MOST_LARGE))
     large = sizes.where(F.col("rows") > most).withColumn("chunks", F.ceil(F.col("rows") / most).cast("int")).drop("rows")
     keyed = keyed.join(sizes.select("key"), "key", "left_semi").join(F.broadcast(large), "key", "left")
@@ -289,32 +289,35 @@ def coarse_links(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def candidate_pairs(sets: DataFrame, component: DataFrame, percent: int) -> DataFrame:
-    """Pairs of sets in different components that share a shingle of their prefixes.
+    """Pairs of sets in different components that share a shingle early enough in the order of frequency.
 
-    Two similar sets share one of the rarest n - ceil(n * percent / 100) + 1 shingles of either, and
-    the shingles that no other set has come first among these.
+    In that order, where the shingles that no other set has come first, the first common shingle of
+    two similar sets has all their needed overlap at or after it in both. For the smaller set that
+    overlap is at least the one it needs with a set of its own size.
     """
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            token, sig, size = [], [], []
+            token, sig, size, left = [], [], [], []
             for s, n, ids in zip(b.column("sig").to_pylist(), b.column("n").to_pylist(), b.column("ids").to_pylist(), strict=True):
                 ids = np.frombuffer(ids, "<i8")
-                ids = ids[: len(ids) + 1 + percent * -n // 100]
-                token.append(ids)
-                sig.append(np.full(len(ids), s))
-                size.append(np.full(len(ids), n))
+                rest = np.arange(len(ids), -(-percent * n // 100) - 1, -1)
+                token.append(ids[: len(rest)])
+                sig.append(np.full(len(rest), s))
+                size.append(np.full(len(rest), n))
+                left.append(rest)
             if token:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (token, sig, size)], names=["token", "sig", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (token, sig, size, left)], names=["token", "sig", "n", "left"])
 
-    part = sets.select("sig", "n", "ids").mapInArrow(prefixes, "token long, sig long, n long")
-    part = part.join(component, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
-    part = cut(part)
+    part = sets.select("sig", "n", "ids").mapInArrow(prefixes, "token long, sig long, n long, left long")
+    part = cut(part.join(component, "sig", "left").withColumn("component", F.coalesce("component", "sig")))
     split = cut(part.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token"))
     part = part.join(split, "token", "left_semi")
-    a, b = (part.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("sig", "n", "component"))) for x in "ab")
-    near = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
-    pairs = a.join(b, "token").where("sig_a < sig_b and component_a <> component_b").where(near)
+    a, b = (part.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("sig", "n", "left", "component"))) for x in "ab")
+    least = lambda total: F.expr(f"({percent} * ({total}) + {99 + percent}) div {100 + percent}")
+    b = b.where(F.col("left_b") >= least("2 * n_b"))
+    larger = "(n_a > n_b or (n_a = n_b and sig_a < sig_b)) and component_a <> component_b"
+    pairs = a.join(b, "token").where(larger).where(F.least("left_a", "left_b") >= least("n_a + n_b"))
     return pairs.select("sig_a", "sig_b").distinct()
 
 
