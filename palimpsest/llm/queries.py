@@ -35,6 +35,18 @@ def op4_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"), [1.0] * 24)
 
 
+def op5_support_vector_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import score_quality
+
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_multi_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op7_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import score_toxicity
 
@@ -47,7 +59,24 @@ def op8_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_digests(table(spark, sf_dir, "documents"))
 
 
+def op10_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sum_of_squares_packing, op2_sign_hash_dedup, op3_t_occurrence_join, op4_rendezvous_sharding, op7_noisy_channel_toxicity, op8_suffix_repeats)
+    f.__name__: f
+    for f in (
+        op1_sum_of_squares_packing,
+        op2_sign_hash_dedup,
+        op3_t_occurrence_join,
+        op4_rendezvous_sharding,
+        op5_support_vector_quality,
+        op6_multi_index_search,
+        op7_noisy_channel_toxicity,
+        op8_suffix_repeats,
+        op10_pfair_mixing,
+    )
 }
 ORACLE_SQL: dict[str, str] = {}
