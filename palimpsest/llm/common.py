@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,6 +84,17 @@ def _lengths(column: pa.Array) -> np.ndarray:
     return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+def with_column(docs: DataFrame, text: str, name: str, kind: str, of: Callable[[pa.Array], np.ndarray], most: int) -> DataFrame:
+    """The table with one more column, which `of` makes from the texts, a slice of about `most` bytes at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, text, most):
+            column = part.column(text).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(of(column))], names=[*part.schema.names, name])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, _parse_datatype_string(kind))]))
+
+
 #: splitmix64's fixed values.
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 

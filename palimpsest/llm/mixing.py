@@ -98,3 +98,9 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, key:
     starts = filled.withColumn("_inner", inner).join(begin, "_frame").select(F.col("slot").alias("_s"), (F.col("_begin") + F.col("_inner")).alias("_start"))
     out = rows.join(starts, F.col("slot") == F.col("_s")).withColumn("position", F.col("_start") + F.col("_at"))
     return out.select(*docs.columns, *added)
+
+
+def mixed_order(docs: DataFrame, weights: Mapping[str | None, float] | None = None, key: str = "doc_id", source: str = "source", block: int = BLOCK) -> DataFrame:
+    """The table's rows in the order of `mix`: partitions follow one another and are sorted."""
+    out = mix(docs, weights, key, source, block)
+    return out.repartitionByRange(pieces(docs, 16 << 20), "position").sortWithinPartitions("position").select(*docs.columns)

@@ -361,3 +361,15 @@ def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", n: i
     by_sig = cut(least.select("sig", "component")).join(tops, "component").select("sig", "_top")
     out = members.join(cut(by_sig), "sig", "left")
     return out.select(F.col("_key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("_key").isNotNull(), F.coalesce("_top", "_key")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 75) -> DataFrame:
+    """The row with the smallest key of each component of similar texts, with all its columns.
+
+    Rows with a null key stay as they are; of rows that repeat a kept key and its text, one stays.
+    """
+    found = similar_texts(docs, key, text, n, percent)
+    kept = found.where(F.col(key) == F.col("component_id")).select(F.col(key).alias("_kept")).distinct()
+    rows = docs.join(kept, F.col(key) == F.col("_kept"), "left_semi")
+    once = rows.withColumn("_same", F.xxhash64(text)).dropDuplicates([key, "_same"]).drop("_same")
+    return once.unionByName(docs.where(F.col(key).isNull()))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, slices, text_bytes
+from .common import mixed, text_bytes, with_column
 from .ngram_join import words
 from .toxicity import held_out, labelled_sample
 
@@ -165,12 +165,5 @@ def score_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     columns are left out.
     """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, key, text, label, most_labelled))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "_bytes", SLICE):
-            score = pa.array(shared.value(indicators(*text_bytes(part.column("_bytes")))))
-            yield pa.RecordBatch.from_arrays([part.column(key), score], names=[key, "score"])
-
-    kind = docs.schema[key].dataType.simpleString()
-    scored = docs.select(key, F.col(text).cast("binary").alias("_bytes")).mapInArrow(run, f"{key} {kind}, score double")
+    scored = with_column(docs.select(key, text), text, "score", "double", lambda x: shared.value(indicators(*text_bytes(x))), SLICE)
     return scored.select(key, F.coalesce(held_out(F.col(key)), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -59,6 +59,12 @@ def op8_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_digests(table(spark, sf_dir, "documents"))
 
 
+def op9_minimum_cut_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import extract_main_text
+
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op10_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -76,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_multi_index_search,
         op7_noisy_channel_toxicity,
         op8_suffix_repeats,
+        op9_minimum_cut_text,
         op10_pfair_mixing,
     )
 }

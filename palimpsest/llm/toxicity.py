@@ -9,10 +9,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, cut, slices, text_bytes
+from .common import Rolling, cut, slices, text_bytes, with_column
 
 SLICE = 2 << 20
 #: Labelled rows to learn from, at most; the rows with the smallest key hashes are taken.
@@ -265,23 +266,26 @@ def learn(sample: DataFrame, model: list[list[float]], least: int = 3) -> Scorer
     return scorer
 
 
+def scorer_of(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, most_labelled: int) -> Broadcast:
+    model = letter_model(letter_counts(docs, text))
+    return docs.sparkSession.sparkContext.broadcast(learn(labelled_sample(docs, labels, label, key, text, most_labelled), model))
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", most_labelled: int = MOST_LABELLED, threshold: float = 0.3) -> DataFrame:
-    """Adds to key and text of each row held_out, score (0 to 1) and predicted (1 if score >= threshold).
+    """Returns key, held_out, score (0 to 1) and predicted (1 if score >= threshold) of each row.
 
     The letter model counts all texts of `docs`; word weights come from at most `most_labelled`
     labelled rows whose crc32(key) mod 4 is not 2. Null and empty texts get a score of a tenth of
     the toxic share; without labels, all scores are low. Repeated rows are scored alike; a null key
     is not held out. An empty table gives no rows; other columns are left out.
     """
-    model = letter_model(letter_counts(docs, text))
-    scorer = learn(labelled_sample(docs, labels, label, key, text, most_labelled), model)
-    shared = docs.sparkSession.sparkContext.broadcast(scorer)
+    scorer = scorer_of(docs, labels, key, text, label, most_labelled)
+    scored = with_column(docs.select(key, text), text, "score", "double", lambda x: scorer.value(x), SLICE)
+    return scored.select(key, F.coalesce(held_out(F.col(key)), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "_bytes", SLICE):
-            score = pa.array(shared.value(part.column("_bytes")))
-            yield pa.RecordBatch.from_arrays([part.column(key), score], names=[key, "score"])
 
-    kind = docs.schema[key].dataType.simpleString()
-    scored = docs.select(key, F.col(text).cast("binary").alias("_bytes")).mapInArrow(run, f"{key} {kind}, score double")
-    return scored.select(key, F.coalesce(held_out(F.col(key)), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+def reject_toxic(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", most_labelled: int = MOST_LABELLED, threshold: float = 0.3) -> DataFrame:
+    """The rows that `score_toxicity` does not predict to be toxic, with all their columns."""
+    scorer = scorer_of(docs, labels, key, text, label, most_labelled)
+    scored = with_column(docs, text, "_toxicity", "double", lambda x: scorer.value(x), SLICE)
+    return scored.where(F.col("_toxicity") < threshold).drop("_toxicity")
