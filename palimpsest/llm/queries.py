@@ -86,4 +86,40 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_pfair_mixing,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+_REACH = """reach AS (
+  SELECT id AS a, id AS b FROM ids
+  UNION
+  SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b
+)"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_sign_hash_dedup": f"""
+WITH RECURSIVE ids AS (SELECT vec_id AS id FROM embeddings),
+v AS (
+  SELECT vec_id, label, len(embedding) AS d, CAST(embedding AS DOUBLE[]) AS e, sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS norm
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.d = b.d AND a.vec_id <> b.vec_id
+  WHERE a.norm > 0 AND b.norm > 0 AND list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.98
+),
+{_REACH},
+n AS (SELECT a, count(*) AS n FROM links GROUP BY 1)
+SELECT id AS vec_id, coalesce(n.n, 0) AS n_links, component_id, id = component_id AS kept
+FROM (SELECT a AS id, min(b) AS component_id FROM reach GROUP BY 1) LEFT JOIN n ON n.a = id""",
+    "op3_t_occurrence_join": f"""
+WITH RECURSIVE ids AS (SELECT doc_id AS id FROM documents),
+w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents WHERE text IS NOT NULL
+),
+s AS (
+  SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')) END)) AS s
+  FROM w WHERE len(w) > 0
+),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT p.a, p.b FROM pairs p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * p.i >= 75 * (x.n + y.n - p.i)),
+{_REACH}
+SELECT id AS doc_id, coalesce(n.n, 0) AS n_shingles, component_id
+FROM (SELECT a AS id, min(b) AS component_id FROM reach GROUP BY 1) LEFT JOIN n ON n.doc_id = id""",
+}
