@@ -46,7 +46,7 @@ def apply_one(text: str | None, kind: str, old: str | None, new: str | None) ->
     return "FAILED", text
 
 
-def apply_changes(states: DataFrame, changes: DataFrame, key: list[str] | None = None, text: str = "text_content", order: str = "change_id") -> DataFrame:
+def apply_changes(states: DataFrame, changes: DataFrame, key: list[str] | None = None, text: str = "text_content", order: list[str] | None = None) -> DataFrame:
     """Folds each section's changes in order over its text; a repeal ends the fold.
 
     Only sections with changes are grouped, one section's changes at a time, so that a group is
@@ -59,7 +59,7 @@ def apply_changes(states: DataFrame, changes: DataFrame, key: list[str] | None =
     out = ", ".join(f"{k} {changes.schema[k].dataType.simpleString()}" for k in key)
 
     def fold(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(order)
+        p = p.sort_values(order or ["change_id"])
         now = p["_before"].iat[0] if pd.notna(p["_before"].iat[0]) else None
         count = {"APPLIED": 0, "SKIPPED": 0, "FAILED": 0}
         gone = False
@@ -80,10 +80,8 @@ def play_forward(states: DataFrame, changes: DataFrame, laws: DataFrame, key: li
 
     Since a section's text depends on its own changes alone, laws needn't be played one by one.
     """
-    w = Window.orderBy(F.coalesce("enacted_date", F.lit("0001-01-01").cast("date")), "congress", F.coalesce(F.col("law_number").try_cast("int"), F.lit(0)), "law_id")
-    placed = laws.select("law_id", F.row_number().over(w).alias("_law"))
-    ordered = changes.join(F.broadcast(placed), "law_id").withColumn("_order", F.col("_law") * F.lit(1 << 32) + F.col("change_id"))
-    return apply_changes(states, ordered, key, order="_order")
+    placed = laws.select("law_id", F.coalesce("enacted_date", F.lit("0001-01-01").cast("date")).cast("string").alias("_date"), F.col("congress").alias("_congress"), F.coalesce(F.col("law_number").try_cast("int"), F.lit(0)).alias("_number"))
+    return apply_changes(states, changes.join(placed, "law_id"), key, order=["_date", "_congress", "_number", "law_id", "change_id"])
 
 
 HUNKS = "hunk int, old_start int, old_lines int, new_start int, new_lines int, kind string, line string"

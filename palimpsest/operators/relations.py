@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 
 def as_of(rows: DataFrame, key: list[str], date: str, on: Column, tie: str) -> DataFrame:
     """The newest row of each key on or before a date, by a hash aggregate (ties: the larger `tie`)."""
@@ -48,7 +50,7 @@ def closure(nodes: DataFrame, node: str = "id", parent: str = "parent_id") -> Da
     while True:
         depth += 1
         level = level.join(step.select(F.col("descendant").alias("ancestor"), "_up"), "ancestor").where("_up is not null")
-        level = level.select(F.col("_up").alias("ancestor"), "descendant", F.lit(depth).alias("depth")).checkpoint()
+        level = cut(level.select(F.col("_up").alias("ancestor"), "descendant", F.lit(depth).alias("depth")))
         if not level.head(1):
             return out
         out = out.unionByName(level)
@@ -68,13 +70,16 @@ TIMELINE_ORDER = ["sort_date", "type_order", "congress", "number", "identifier"]
 
 
 def timeline_slice(events: DataFrame, start: str, end: str) -> DataFrame:
-    """The events from one release point to another, both included; an error if either is missing."""
-    w = Window.orderBy(*TIMELINE_ORDER)
-    placed = events.withColumn("position", F.row_number().over(w))
-    ends = {r["identifier"]: r["position"] for r in placed.where(F.col("identifier").isin(start, end) & (F.col("event_type") == "release_point")).select("identifier", "position").collect()}
-    if missing := {start, end} - set(ends):
+    """The events from one release point to another, both included; an error if either is missing.
+
+    Events are compared with the two ends by their place in the order, without numbering them.
+    """
+    place = F.struct(*TIMELINE_ORDER)
+    ends = events.where(F.col("identifier").isin(start, end) & (F.col("event_type") == "release_point")).select("identifier", place.alias("_end"))
+    if missing := {start, end} - {r["identifier"] for r in ends.select("identifier").collect()}:
         raise KeyError(f"no such release point: {', '.join(sorted(missing))}")
-    return placed.where(F.col("position").between(ends[start], ends[end]))
+    one = ends.agg(F.min(F.when(F.col("identifier") == start, F.col("_end"))).alias("_from"), F.max(F.when(F.col("identifier") == end, F.col("_end"))).alias("_to"))
+    return events.join(F.broadcast(one), (place >= F.col("_from")) & (place <= F.col("_to"))).drop("_from", "_to")
 
 
 def not_deferred(laws: DataFrame, deferred: DataFrame) -> DataFrame:

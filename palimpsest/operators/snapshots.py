@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 KEY = ["title_number", "section_number"]
 #: Links that the driver takes at most to walk a chain.
 MOST_WALKED = 100_000
@@ -34,9 +36,9 @@ def revision_chain(revisions: DataFrame, head: int, id_col: str = "revision_id",
         reached = reached.join(links.select("id"), "id", "left_semi").join(chain.select("id"), "id", "left_anti")
         if not reached.head(1):
             return chain.select(F.col("id").alias(id_col), "chain_pos")
-        chain = chain.unionByName(reached).checkpoint()
+        chain = cut(chain.unionByName(reached))
         far = jump.select(F.col("id").alias("up"), F.col("up").alias("far"))
-        jump = jump.join(far, "up").select("id", F.col("far").alias("up")).checkpoint()
+        jump = cut(jump.join(far, "up").select("id", F.col("far").alias("up")))
         step *= 2
 
 

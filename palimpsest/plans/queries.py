@@ -238,9 +238,9 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
 _PLACED = f"WITH {_EVENTS}, p AS (SELECT *, row_number() OVER (ORDER BY coalesce(event_date, DATE '0001-01-01'), CASE WHEN event_type = 'public_law' THEN 0 ELSE 1 END, congress, coalesce(law_number, 0), identifier) AS position FROM e)"
 
 
-@query(f"{_PLACED} SELECT identifier, event_type, congress, event_date, position FROM p WHERE position BETWEEN (SELECT position FROM p WHERE identifier = 'R10') AND (SELECT position FROM p WHERE identifier = 'R60')")
+@query(f"{_PLACED} SELECT identifier, event_type, congress, event_date FROM p WHERE position BETWEEN (SELECT position FROM p WHERE identifier = 'R10') AND (SELECT position FROM p WHERE identifier = 'R60')")
 def timeline_slice(spark: SparkSession, d: str) -> DataFrame:
-    return relations.timeline_slice(_events(spark, d), "R10", "R60").select("identifier", "event_type", "congress", "event_date", F.col("position").cast("long").alias("position"))
+    return relations.timeline_slice(_events(spark, d), "R10", "R60").select("identifier", "event_type", "congress", "event_date")
 
 
 @query(f"WITH {_EVENTS} SELECT congress, count(*) FILTER (event_type = 'release_point') AS release_points, count(*) FILTER (event_type = 'public_law') AS laws, min(event_date) AS first_date, max(event_date) AS last_date FROM e GROUP BY 1")
@@ -462,3 +462,172 @@ def title_blame_summary(spark: SparkSession, d: str) -> DataFrame:
     chain = snapshots.revision_chain(standins.revisions(spark, d), HEAD)
     rows = standins.snapshots(spark, d).join(F.broadcast(chain), "revision_id")
     return rows.groupBy("title_number").agg(F.count_distinct("section_number").alias("sections"), F.min("revision_id").alias("first_revision"), F.max("revision_id").alias("last_revision"), F.count_if("is_deleted").alias("tombstones"))
+
+
+@query("SELECT o_orderkey, o_orderpriority, o_orderdate FROM orders WHERE o_custkey % 7 = 3 ORDER BY o_orderdate DESC, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) DESC, o_orderkey LIMIT 20 OFFSET 40")
+def laws_page(spark: SparkSession, d: str) -> DataFrame:
+    """The third page of laws, newest first, then by the number in their text."""
+    number = F.substring("o_orderpriority", 1, 1).try_cast("int")
+    rows, _ = relations.page(table(spark, d, "orders").where("o_custkey % 7 = 3"), [F.desc("o_orderdate"), number.desc(), "o_orderkey"], 20, 40)
+    return rows.select("o_orderkey", "o_orderpriority", "o_orderdate")
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE (lower(p_name) LIKE '%red%' OR lower(p_type) LIKE '%econ%') AND p_size = 11")
+def search_laws(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "part").where("p_size = 11")
+    return rows.where(relations.contains(F.col("p_name"), "red") | relations.contains(F.col("p_type"), "econ")).select("p_partkey", "p_name")
+
+
+@query("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1")
+def head_revision(spark: SparkSession, d: str) -> DataFrame:
+    status = F.when(F.col("o_orderstatus") == "F", "Ingested").otherwise("Pending")
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("revision_id"), F.col("o_orderdate").alias("sequence_number"), status.alias("status"))
+    return snapshots.head_revision(rows).select(F.col("revision_id").alias("o_orderkey"), F.col("sequence_number").alias("o_orderdate"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey < 5000 AND o_orderstatus <> 'F' ORDER BY o_orderkey DESC LIMIT 1")
+def last_derived_revision(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("revision_id"), F.col("o_orderkey").alias("sequence_number"), (F.col("o_orderstatus") == "F").alias("is_ground_truth"))
+    return snapshots.last_derived_before(rows, 5000).select(F.col("revision_id").alias("o_orderkey"))
+
+
+@query("SELECT user_id, event_id, next_id FROM (SELECT user_id, event_id, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_id FROM events) WHERE next_id IS NOT NULL")
+def consecutive_pairs(spark: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return table(spark, d, "events").select("user_id", "event_id", F.lead("event_id").over(w).alias("next_id")).where("next_id is not null")
+
+
+@query("SELECT o_custkey, o_orderstatus, o_orderpriority FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) WHERE rn = 1")
+def current_term(spark: SparkSession, d: str) -> DataFrame:
+    newest = F.max_by(F.struct("o_orderstatus", "o_orderpriority"), F.struct("o_orderdate", "o_orderkey"))
+    return table(spark, d, "orders").groupBy("o_custkey").agg(newest.alias("s")).select("o_custkey", "s.*")
+
+
+@query("SELECT user_id, min(event_id) FILTER (event_type = 'click') AS first_click, min(event_id) FILTER (event_type = 'purchase') AS first_purchase, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY 1")
+def milestones(spark: SparkSession, d: str) -> DataFrame:
+    first = lambda k: F.min(F.when(F.col("event_type") == k, F.col("event_id")))
+    return table(spark, d, "events").groupBy("user_id").agg(first("click").alias("first_click"), first("purchase").alias("first_purchase"), F.count_if(F.col("event_type") == "error").alias("errors"))
+
+
+@query("SELECT user_id, count(DISTINCT event_type) AS kinds, max(ts) AS latest, count(*) AS n FROM events GROUP BY 1 HAVING count(*) >= 20 AND count(*) FILTER (event_type = 'purchase') >= 1")
+def verification_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions with enough verifications, one of the required kind at least."""
+    out = table(spark, d, "events").groupBy("user_id").agg(F.count_distinct("event_type").alias("kinds"), F.max("ts").alias("latest"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "purchase").alias("p"))
+    return out.where("n >= 20 and p >= 1").drop("p")
+
+
+@query("SELECT event_type, count(*) AS total, count(*) FILTER (value < 5) AS needs_review, count(*) FILTER (value >= 90) AS sure, round(avg(value), 3) AS average FROM events GROUP BY 1")
+def amendment_stats(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("value") < 5).alias("needs_review"), F.count_if(F.col("value") >= 90).alias("sure"), F.round(F.avg("value"), 3).alias("average"))
+
+
+@query("SELECT user_id, sum(n)::BIGINT AS edits, string_agg(event_type || '=' || n, ';' ORDER BY event_type) AS by_type FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY 1")
+def ingestion_report(spark: SparkSession, d: str) -> DataFrame:
+    counts = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    pairs = F.transform(F.array_sort(F.collect_list(F.struct("event_type", "n"))), lambda x: F.concat(x["event_type"], F.lit("="), x["n"].cast("string")))
+    return counts.groupBy("user_id").agg(F.sum("n").alias("edits"), F.array_join(pairs, ";").alias("by_type"))
+
+
+@query("SELECT l_orderkey AS law_id, count(*) FILTER (l_returnflag = 'A') AS added, count(*) FILTER (l_returnflag = 'N') AS modified, count(*) FILTER (l_returnflag = 'R') AS repealed FROM lineitem GROUP BY 1")
+def law_counters(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.when(F.col("l_returnflag") == "A", "Add").when(F.col("l_returnflag") == "N", F.when(F.col("l_linestatus") == "F", "Modify").otherwise("Delete")).otherwise("Repeal")
+    return metrics.counters(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("law_id"), kind.alias("change_type")))
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3) UNION ALL SELECT o_orderkey + 1000000, o_custkey FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_nationkey = 3")
+def replaced_children(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    parents = table(spark, d, "customer").where("c_nationkey = 3").select(F.col("c_custkey").alias("o_custkey"))
+    new = rows.join(parents, "o_custkey", "left_semi").select((F.col("o_orderkey") + 1000000).alias("o_orderkey"), "o_custkey")
+    return relations.replace_children(rows, new, ["o_custkey"])
+
+
+@query("SELECT CASE WHEN c_custkey IS NULL THEN 'rejected' ELSE 'inserted' END AS outcome, count(*) AS votes FROM orders LEFT JOIN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) ON c_custkey = o_custkey GROUP BY 1")
+def votes_with_rejects(spark: SparkSession, d: str) -> DataFrame:
+    members = table(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"))
+    known, unknown = relations.split_known(table(spark, d, "orders"), members, ["o_custkey"])
+    return known.select(F.lit("inserted").alias("outcome")).unionByName(unknown.select(F.lit("rejected").alias("outcome"))).groupBy("outcome").agg(F.count(F.lit(1)).alias("votes"))
+
+
+@query("SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F'")
+def keys_in_both(spark: SparkSession, d: str) -> DataFrame:
+    a = table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select("c_custkey")
+    return a.intersect(table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey")))
+
+
+@query("SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F'")
+def keys_in_first(spark: SparkSession, d: str) -> DataFrame:
+    a = table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select("c_custkey")
+    return a.subtract(table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey")))
+
+
+_COVER = f"WITH {_SPANS}, {_UNION}"
+
+
+@query(f"{_COVER} SELECT user_id, CAST(sum(end_pos - start_pos) AS BIGINT) AS covered, 2592000 AS total, round(sum(end_pos - start_pos) * 100.0 / 2592000, 1) AS coverage FROM merged GROUP BY 1")
+def span_coverage(spark: SparkSession, d: str) -> DataFrame:
+    merged = intervals.union(_spans(spark, d), ["user_id"]).withColumn("total", F.lit(2592000))
+    out = intervals.covered(merged, ["user_id"], "total")
+    return out.withColumn("coverage", F.round(F.col("covered") * 100.0 / F.col("total"), 1))
+
+
+@query("SELECT a.event_id AS a, b.event_id AS b FROM (SELECT event_id, user_id, CAST(floor(epoch(ts)) AS BIGINT) AS s, CAST(floor(epoch(ts)) AS BIGINT) + CAST(floor(value * 60) AS BIGINT) + 1 AS e FROM events WHERE event_type = 'click') a JOIN (SELECT event_id, user_id, CAST(floor(epoch(ts)) AS BIGINT) AS s, CAST(floor(epoch(ts)) AS BIGINT) + CAST(floor(value * 60) AS BIGINT) + 1 AS e FROM events WHERE event_type = 'error') b ON a.user_id = b.user_id AND a.s < b.e AND b.s < a.e")
+def overlapping_spans(spark: SparkSession, d: str) -> DataFrame:
+    start = F.floor(F.col("ts").cast("timestamp").cast("double")).cast("long")
+    rows = table(spark, d, "events").select("event_id", "event_type", "user_id", start.alias("start_pos"), (start + F.floor(F.col("value") * 60) + 1).alias("end_pos"))
+    pick = lambda k: rows.where(F.col("event_type") == k).select("user_id", "event_id", "start_pos", "end_pos")
+    return intervals.overlapping(pick("click"), pick("error"), ["user_id"], width=3600).select(F.col("event_id").alias("a"), F.col("event_id_b").alias("b"))
+
+
+@query("SELECT a.l_suppkey AS a, b.l_suppkey AS b, count(*) AS shared FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) a JOIN (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey < b.l_suppkey GROUP BY 1, 2")
+def collaboration_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers of one order as co-sponsors of one law; an order has few lines, which bounds its pairs."""
+    one = table(spark, d, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("a")).distinct()
+    return one.join(one.withColumnRenamed("a", "b"), "l_orderkey").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+
+
+@query("SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, count(DISTINCT o_orderkey) AS laws, round(avg(date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE))), 4) AS days FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
+def days_to_passage(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    return rows.groupBy(F.trunc("o_orderdate", "month").alias("month")).agg(F.count_distinct("o_orderkey").alias("laws"), F.round(F.avg(F.datediff("l_shipdate", "o_orderdate")), 4).alias("days"))
+
+
+@query("SELECT user_id, event_type, count(*) AS changes, date_diff('day', CAST(max(ts) AS DATE), DATE '2024-02-01') AS stable_days FROM events GROUP BY 1, 2")
+def section_stability(spark: SparkSession, d: str) -> DataFrame:
+    days = F.datediff(F.lit("2024-02-01").cast("date"), F.max("ts")).cast("long")
+    return table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("changes"), days.alias("stable_days"))
+
+
+@query("SELECT conv_id, count(*) AS turns, max(length(text)) AS longest, count(DISTINCT role) AS roles, min(turn) AS first_turn, max(turn) AS last_turn FROM conversations GROUP BY 1")
+def line_stats(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.max(F.length("text")).cast("long").alias("longest"), F.count_distinct("role").alias("roles"), F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"))
+
+
+@query("SELECT n_name, c_custkey, c_acctbal FROM (SELECT n_name, c_custkey, c_acctbal, row_number() OVER (PARTITION BY n_name ORDER BY c_acctbal DESC, c_custkey) AS rn FROM customer JOIN nation ON n_nationkey = c_nationkey) WHERE rn <= 3")
+def top_contributors(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    w = Window.partitionBy("n_name").orderBy(F.desc("c_acctbal"), "c_custkey")
+    return rows.withColumn("rn", F.row_number().over(w)).where("rn <= 3").select("n_name", "c_custkey", "c_acctbal")
+
+
+@query("SELECT o_orderkey, CASE lower(o_orderstatus) WHEN 'p' THEN 'Yea' WHEN 'f' THEN 'Nay' ELSE 'Not_Voting' END AS position FROM orders")
+def vote_positions(spark: SparkSession, d: str) -> DataFrame:
+    said = F.when(F.col("o_orderstatus") == "P", " Aye ").when(F.col("o_orderstatus") == "F", "NO").otherwise("absent")
+    return table(spark, d, "orders").select("o_orderkey", text.vote_position(said).alias("position"))
+
+
+@query(f"WITH {_EVENTS} SELECT identifier, CASE WHEN event_date IS NULL THEN false ELSE year(event_date) BETWEEN 1789 + (congress - 1) * 2 - 1 AND 1789 + (congress - 1) * 2 + 2 END AS plausible FROM e")
+def plausible_dates(spark: SparkSession, d: str) -> DataFrame:
+    return _events(spark, d).select("identifier", F.coalesce(dates.plausible_year(F.year("event_date"), F.col("congress")), F.lit(False)).alias("plausible"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 50 THEN substr(text, 1, 47) || '...' ELSE text END AS short, translate(source, 'src', 'SRC') AS source FROM documents")
+def short_titles(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", text.shortened(F.col("text")).alias("short"), F.translate("source", "src", "SRC").alias("source"))
+
+
+@query("SELECT user_id, event_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events WHERE event_type IN ('error', 'view')) WHERE rn = 1")
+def latest_votes_per_chamber(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "events").where(F.col("event_type").isin("error", "view"))
+    newest = F.max_by(F.struct("event_id", "ts"), F.struct("ts", "event_id"))
+    return rows.groupBy("user_id", "event_type").agg(newest.alias("s")).select("user_id", "s.*")
