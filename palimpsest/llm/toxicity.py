@@ -32,11 +32,13 @@ PREFIXES = (4, 5, 6, None)
 SUSPECT = re.compile(
     r"(?<![^\W\d_])(?:"
     r"(?:[^\W\d_][ .\-_*]){3,}[^\W\d_](?![^\W\d_])"
-    r"|(?=[\w@$!|+(*]*[^\W\d_][0-9@$!|+(*]+[^\W\d_]|[0-9@$|]+[^\W\d_]{2})(?=[^\s]{0,24}(?:\s|$))[\w@$!|+(*]+"
+    r"|(?=[\w@$!|+(*]{0,20}[^\W\d_][0-9@$!|+(*]{1,6}[^\W\d_]|[0-9@$|]{1,6}[^\W\d_]{2})(?=[^\s]{0,24}(?:\s|$))[\w@$!|+(*]{1,24}"
     r"|(?=[^\W\d_]*([^\W\d_])\1\1)[^\W\d_]+"
     r")"
 )
 LETTERS = 28
+#: Characters of a suspect span that are restored together.
+WINDOW = 48
 
 
 def letter_classes() -> np.ndarray:
@@ -118,11 +120,15 @@ def restore(span: str, model: list[list[float]]) -> str:
 
 
 def restored(text: str, model: list[list[float]], seen: dict[str, str]) -> str:
-    """The words that the text's suspect spans may hide, apart from the text itself."""
+    """The words that the text's suspect spans may hide, apart from the text itself.
+
+    A span longer than WINDOW is read in windows that overlap by half.
+    """
     out = []
     for m in SUSPECT.finditer(text):
-        span = m.group()
-        if len(span) <= 48:
+        whole = m.group()
+        for i in range(0, max(1, len(whole) - WINDOW // 2), WINDOW // 2):
+            span = whole[i : i + WINDOW]
             if span not in seen:
                 if len(seen) > 100_000:
                     seen.clear()
