@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, text
-from ..operators import apply, compare, extract, intervals, metrics, relations, snapshots
+from ..operators import apply, compare, extract, intervals, metrics, provisions, relations, snapshots, xml_edits
 from ..sources.tables import table
 from . import standins
 
@@ -631,3 +631,39 @@ def latest_votes_per_chamber(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "events").where(F.col("event_type").isin("error", "view"))
     newest = F.max_by(F.struct("event_id", "ts"), F.struct("ts", "event_id"))
     return rows.groupBy("user_id", "event_type").agg(newest.alias("s")).select("user_id", "s.*")
+
+
+@query("""SELECT p_partkey AS law_id, 'Modify' AS change_type, 26 AS title_number, CAST(p_size AS VARCHAR) AS section_number, '(c)' AS subsection_path, p_type AS old_text, p_name AS new_text, round(0.98, 6) AS confidence FROM part""")
+def xml_instructions(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as amending instructions in XML: strike the type, insert the name."""
+    xml = F.format_string(
+        '<law xmlns="http://schemas.gpo.gov/xml/uslm"><section role="instruction"><chapeau>Section <ref href="/us/usc/t26/s%s/c"/> is <amendingAction type="amend">amended</amendingAction></chapeau>'
+        '<paragraph>by <amendingAction type="delete">striking</amendingAction> <quotedText>%s</quotedText> and <amendingAction type="insert">inserting</amendingAction> <quotedText>%s</quotedText>.</paragraph></section></law>',
+        F.col("p_size").cast("string"), F.col("p_type"), F.col("p_name"),
+    )
+    out = xml_edits.extract_xml_edits(table(spark, d, "part").select(F.col("p_partkey").alias("law_id"), xml.alias("xml")))
+    return out.select("law_id", "change_type", "title_number", "section_number", "subsection_path", "old_text", "new_text", F.round("confidence", 6).alias("confidence"))
+
+
+@query("SELECT p_partkey, '(a) ' || p_name || chr(10) || '(b) changed' || chr(10) || '(c) ' || p_brand AS text_content, 3 AS lines FROM part")
+def patched_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as sections of two lines: the type is replaced, and a line (c) goes in after (b)."""
+    part = table(spark, d, "part")
+    sections = part.select("p_partkey", F.concat(F.lit("(a) "), "p_name", F.lit("\n(b) "), "p_type").alias("text_content"))
+    nothing = F.lit(None).cast("string")
+    change = lambda i, kind, old, new: part.select("p_partkey", F.lit(i).alias("change_id"), F.lit(kind).alias("change_type"), old.alias("old_text"), new.alias("new_text"))
+    changes = change(1, "Modify", F.concat(F.lit("(b) "), "p_type"), F.lit("(b) changed")).unionByName(change(2, "Add", nothing, F.concat(F.lit("(c) "), "p_brand")))
+    return provisions.patch_sections(sections, changes, ["p_partkey"])
+
+
+@query("""SELECT o_custkey, string_agg(role || o_orderkey, ',' ORDER BY framework DESC, o_orderdate, o_orderkey) AS citations, max(CASE WHEN role <> 'F' THEN year(o_orderdate) END) AS last_modified FROM (
+  SELECT *, CASE WHEN framework THEN 'F' WHEN row_number() OVER (PARTITION BY o_custkey, framework ORDER BY o_orderdate, o_orderkey) = 1 THEN 'E' ELSE 'A' END AS role
+  FROM (SELECT *, o_orderstatus = 'P' AS framework FROM orders)) GROUP BY 1""")
+def citation_roles(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as citations of customers: those of status P are acts, the others laws."""
+    one = F.struct("o_orderdate", "o_orderkey", (F.col("o_orderstatus") == "P").alias("is_act"))
+    rows = table(spark, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(one)).alias("c"))
+    plain = F.transform("c", lambda c: F.struct(c["o_orderkey"].cast("string").alias("law"), c["is_act"].alias("is_act"), F.year(c["o_orderdate"]).alias("year")))
+    rows = rows.withColumn("c", provisions.ordered_citations(plain))
+    said = F.array_join(F.transform("c", lambda c: F.concat(F.substring(c["role"], 1, 1), c["law"])), ",")
+    return rows.select("o_custkey", said.alias("citations"), provisions.last_modified(F.col("c")).cast("long").alias("last_modified"))

@@ -173,3 +173,40 @@ def test_text_functions(spark):
     assert one(text.slug(F.lit("A — Title: 1!"))) == "a-title-1" and one(text.spaced_title(F.lit("effectiveDate"))) == "Effective Date"
     assert [one(dates.prose_date(F.lit(x))) for x in ("Oct. 19, 1976", "1976-10-19", "Sept. 3, 2001", "Feb. 30, 2001", "no")] == [date(1976, 10, 19), date(1976, 10, 19), date(2001, 9, 3), None, None]
     assert one(dates.congress_of(F.lit("2021-01-02").cast("date"))) == 116 and one(dates.display_date(F.lit("1935-08-14").cast("date"))) == "Aug. 14, 1935"
+
+
+LAW = """<law xmlns="http://schemas.gpo.gov/xml/uslm"><section role="instruction"><chapeau>Section <ref href="/us/usc/t26/s219/c"/> is <amendingAction type="amend">amended</amendingAction>—</chapeau>
+<paragraph>by <amendingAction type="delete">striking</amendingAction> <quotedText>5 percent</quotedText> each place it appears and <amendingAction type="insert">inserting</amendingAction> <quotedText>10 percent</quotedText>;</paragraph>
+<paragraph>by <amendingAction type="add">adding</amendingAction> at the end <quotedContent>(3) New.</quotedContent></paragraph></section>
+<section role="instruction">Section <ref href="/us/usc/t17/s5"/> is <amendingAction type="repeal">repealed</amendingAction>.</section>
+<section><sidenote>16 USC 797 note.</sidenote><num>4</num><content>Short title.</content></section></law>"""
+
+
+def test_xml_instructions_become_edits(spark):
+    from palimpsest.operators import xml_edits
+
+    got = [r[:9] for r in xml_edits.edits_of(LAW)]
+    assert got == [
+        ("Modify", 26, "219", "(c)", "5 percent", "10 percent", "each_place", 0.98, False), ("Add", 26, "219", "(c)", None, "(3) New.", "at_end", 0.95, False),
+        ("Repeal", 17, "5", None, None, None, None, 0.9, False), ("Add_Note", 16, "797", None, None, "Short title.", None, 1.0, True),
+    ]
+    d = spark.createDataFrame([(1, LAW), (2, "<a>"), (3, None)], "law_id long, xml string")
+    assert xml_edits.extract_xml_edits(d).count() == 4
+
+
+def test_lines_are_patched_in_place():
+    from palimpsest.operators.provisions import before_in_sequence, patch
+
+    lines = ["(a) one", "\t(1) deep", "(b) two", "(d) four"]
+    assert patch(lines, [("Add", None, "(c) three"), ("Redesignate", "(d)", "(e)"), ("Modify", "two", "2"), ("Delete", "(a)", None)]) == ["(b) 2", "(c) three", "(e) four"]
+    assert patch(lines, [("Add", None, "(z) last")])[-1] == "(z) last"
+    assert [before_in_sequence(m) for m in ("b", "a", "3", "1", "iv")] == ["a", None, "2", None, None]
+
+
+def test_notes_are_added_once(spark):
+    from palimpsest.operators.provisions import with_note
+
+    kind = "array<struct<law:string,year:int,lines:array<string>>>"
+    d = spark.createDataFrame([(None,), ([("1-1", 1990, ["x"])],), ([("2-2", 2000, ["y"])],)], f"notes {kind}")
+    got = [r[0] for r in d.select(with_note(F.col("notes"), F.lit("2-2"), F.lit(2000), F.lit("a\n\nb"))).collect()]
+    assert [[n["law"] for n in x] for x in got] == [["2-2"], ["1-1", "2-2"], ["2-2"]] and got[0][0]["lines"] == ["a", "b"]
