@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .lineage import cut
 
+#: Ranges that are broadcast at most.
+MOST_RANGES = 1000
+
 
 def as_of(rows: DataFrame, key: list[str], date: str, on: Column, tie: str) -> DataFrame:
     """The newest row of each key on or before a date, by a hash aggregate (ties: the larger `tie`)."""
@@ -29,9 +32,19 @@ def valid_at(start: str, end: str, at: Column) -> Column:
     return (F.col(start) <= at) & (F.col(end).isNull() | (F.col(end) >= at))
 
 
-def range_label(rows: DataFrame, value: str, ranges: DataFrame, low: str, high: str, label: str, other: str) -> DataFrame:
-    """The label of the range that holds each value (both ends count), else `other`; ranges are a small fixed table."""
-    joined = rows.join(F.broadcast(ranges), (F.col(value) >= F.col(low)) & (F.col(value) <= F.col(high)), "left")
+def range_label(rows: DataFrame, value: str, ranges: DataFrame, low: str, high: str, label: str, other: str, width: int = 366) -> DataFrame:
+    """The label of the dates' range that holds each value (both ends count), else `other`; ranges don't overlap.
+
+    Up to MOST_RANGES ranges are broadcast. More are dealt, with the values, to cells of `width` days
+    and joined there.
+    """
+    inside = (F.col(value) >= F.col(low)) & (F.col(value) <= F.col(high))
+    if ranges.limit(MOST_RANGES + 1).count() <= MOST_RANGES:
+        joined = rows.join(F.broadcast(ranges), inside, "left")
+    else:
+        cell = lambda c: F.floor(F.unix_date(F.col(c)) / width)
+        dealt = ranges.withColumn("_cell", F.explode(F.sequence(cell(low), cell(high))))
+        joined = rows.withColumn("_cell", cell(value)).join(dealt.withColumnRenamed("_cell", "_other"), (F.col("_cell") == F.col("_other")) & inside, "left").drop("_cell", "_other")
     return joined.withColumn(label, F.coalesce(label, F.lit(other))).drop(low, high)
 
 

@@ -49,7 +49,7 @@ def states_at(snapshots: DataFrame, chain: DataFrame, key: list[str] | None = No
     tombstones go after the newest is known, so that they hide what is older.
     """
     key = key or KEY
-    rows = snapshots.join(F.broadcast(chain), "revision_id")
+    rows = snapshots.join(chain, "revision_id")
     rest = [c for c in rows.columns if c not in key]
     newest = rows.groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct("chain_pos", tie)).alias("_s"))
     return newest.select(*key, *(F.col(f"_s.{c}").alias(c) for c in rest)).where(~F.coalesce("is_deleted", F.lit(False)))
@@ -58,7 +58,7 @@ def states_at(snapshots: DataFrame, chain: DataFrame, key: list[str] | None = No
 def history(snapshots: DataFrame, revisions: DataFrame, title: int, section: str) -> DataFrame:
     """All snapshots of one section with their revisions, in sequence."""
     own = snapshots.where((F.col("title_number") == title) & (F.col("section_number") == section))
-    return own.join(F.broadcast(revisions), "revision_id").orderBy("sequence_number", "snapshot_id")
+    return own.join(revisions, "revision_id").orderBy("sequence_number", "snapshot_id")
 
 
 def changed_at(snapshots: DataFrame, revision: int) -> DataFrame:
@@ -72,7 +72,7 @@ def real_changes(snapshots: DataFrame, chain: DataFrame, key: list[str] | None =
     A missing older hash, or a missing one of its own, counts as a change.
     """
     older = F.lead(hash_col).over(Window.partitionBy(*(key or KEY)).orderBy("chain_pos", tie))
-    rows = snapshots.join(F.broadcast(chain), "revision_id").withColumn("older_hash", older)
+    rows = snapshots.join(chain, "revision_id").withColumn("older_hash", older)
     return rows.where(F.col("older_hash").isNull() | F.col(hash_col).isNull() | (F.col("older_hash") != F.col(hash_col)))
 
 
@@ -120,7 +120,7 @@ def blame(snapshots: DataFrame, chain: DataFrame, key: list[str] | None = None)
     back belongs to the revision in which it came back.
     """
     key = key or KEY
-    rows = snapshots.join(F.broadcast(chain), "revision_id")
+    rows = snapshots.join(chain, "revision_id")
     w = Window.partitionBy(*key).orderBy(F.desc("chain_pos"), F.desc("snapshot_id"))
     ranked = rows.withColumn("n", F.row_number().over(w)).withColumn("newest", F.max("n").over(Window.partitionBy(*key)))
     lines = ranked.select(*key, "revision_id", "n", "newest", F.posexplode(F.split("text_content", "\n")).alias("pos", "line")).where(F.trim("line") != "")

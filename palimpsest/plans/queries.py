@@ -460,7 +460,7 @@ def applied_changes(spark: SparkSession, d: str) -> DataFrame:
 @query(f"{_cte()}, l AS (SELECT s.*, c.chain_pos FROM snapshots s JOIN chain c USING (revision_id)) SELECT title_number, count(DISTINCT section_number) AS sections, min(revision_id) AS first_revision, max(revision_id) AS last_revision, count(*) FILTER (is_deleted) AS tombstones FROM l GROUP BY 1")
 def title_blame_summary(spark: SparkSession, d: str) -> DataFrame:
     chain = snapshots.revision_chain(standins.revisions(spark, d), HEAD)
-    rows = standins.snapshots(spark, d).join(F.broadcast(chain), "revision_id")
+    rows = standins.snapshots(spark, d).join(chain, "revision_id")
     return rows.groupBy("title_number").agg(F.count_distinct("section_number").alias("sections"), F.min("revision_id").alias("first_revision"), F.max("revision_id").alias("last_revision"), F.count_if("is_deleted").alias("tombstones"))
 
 

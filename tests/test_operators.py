@@ -210,3 +210,12 @@ def test_notes_are_added_once(spark):
     d = spark.createDataFrame([(None,), ([("1-1", 1990, ["x"])],), ([("2-2", 2000, ["y"])],)], f"notes {kind}")
     got = [r[0] for r in d.select(with_note(F.col("notes"), F.lit("2-2"), F.lit(2000), F.lit("a\n\nb"))).collect()]
     assert [[n["law"] for n in x] for x in got] == [["2-2"], ["1-1", "2-2"], ["2-2"]] and got[0][0]["lines"] == ["a", "b"]
+
+
+def test_ranges_by_broadcast_and_by_cells(spark, monkeypatch):
+    days = spark.range(0, 3000, 7).select(F.date_add(F.lit("1995-01-01").cast("date"), F.col("id").cast("int")).alias("d"))
+    ranges = spark.createDataFrame([("A", date(1995, 2, 1), date(1998, 1, 1)), ("B", date(1998, 1, 2), date(1998, 1, 30)), ("C", date(2001, 1, 1), date(2020, 1, 1))], "l string, a date, b date")
+    few = rows(relations.range_label(days, "d", ranges, "a", "b", "l", "none"))
+    monkeypatch.setattr(relations, "MOST_RANGES", 2)
+    assert rows(relations.range_label(days, "d", ranges, "a", "b", "l", "none")) == few
+    assert {x for _, x in few} == {"A", "B", "C", "none"}
