@@ -17,8 +17,8 @@ from .common import slices
 #: Windows held open by a task; beyond that, the open ones are filled up from one another.
 MOST_OPEN = 2048
 #: Pre-tokens whose ids a worker remembers.
-MOST_KNOWN = 800_000
-SLICE = 4 << 20
+MOST_KNOWN = 400_000
+SLICE = 2 << 20
 #: Texts of these characters alone split into pre-tokens in the same way here as in the tokenizer.
 PLAIN = re.compile(r"[a-zß-öø-ÿ0-9!-/:-@\[-`{-~ \t-\r]*")
 PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+")

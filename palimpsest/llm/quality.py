@@ -13,7 +13,7 @@ from .common import mixed, text_bytes, with_column
 from .ngram_join import words
 from .toxicity import held_out, labelled_sample
 
-SLICE = 2 << 20
+SLICE = 1 << 20
 #: Labelled rows to learn from, at most; the rows with the smallest key hashes are taken.
 MOST_LABELLED = 6_000
 #: Lengths of the n-grams of character shapes; each has 2**15 indicators.

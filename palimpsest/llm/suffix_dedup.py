@@ -13,7 +13,7 @@ from .anchors import window_anchors
 from .common import Rolling, cut, pieces, slices, text_bytes
 from .suffix import common_prefixes, suffix_order
 
-SLICE = 2 << 20
+SLICE = 1 << 20
 #: Bytes of a gram: its smallest hash in a window is the window's anchor.
 GRAM = 100
 #: Bytes of a block, the suffix order's symbol.

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .common import Rolling, cut, slices, text_bytes, with_column
 
-SLICE = 2 << 20
+SLICE = 1 << 20
 #: Labelled rows to learn from, at most; the rows with the smallest key hashes are taken.
 MOST_LABELLED = 8_000
 #: What a written character may stand for besides itself.
