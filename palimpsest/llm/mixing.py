@@ -83,7 +83,7 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, key:
     # Rows are numbered by key and hash alone; the table joins on afterwards only if it repeats keys.
     rest = [c for c in docs.columns if c != key]
     rows = docs.withColumn("_tie", F.xxhash64(*rest) if rest else F.lit(0))
-    rows = numbered(rows, [source], [key, "_tie"], "_n", pieces(docs, 4 << 20))
+    rows = numbered(rows, [source], [key, "_tie"], "_n", pieces(docs, 16 << 20, 64))
     rows = rows.withColumn("block", F.floor(F.col("_n") / block).cast("long"))
     rows = rows.join(F.broadcast(each), F.col(source).eqNullSafe(F.col("_source")), "left").drop("_source")
     rows = rows.withColumns({"_frame": F.floor(F.col("block") / F.col("_c")).cast("long"), "_i": F.col("block") % F.col("_c")})
