@@ -1,7 +1,7 @@
 """The pipeline's stages on the small tables, each against a plain version of what it keeps."""
 
 import pytest
-from test_operators import DATA, brute_components, brute_removed, brute_sets, whole_ids
+from test_training_data import DATA, brute_components, brute_removed, brute_sets, whole_ids
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
