@@ -49,29 +49,34 @@ def apply_one(text: str | None, kind: str, old: str | None, new: str | None) ->
 def apply_changes(states: DataFrame, changes: DataFrame, key: list[str] | None = None, text: str = "text_content", order: list[str] | None = None) -> DataFrame:
     """Folds each section's changes in order over its text; a repeal ends the fold.
 
-    Only sections with changes are grouped, one section's changes at a time, so that a group is
-    bounded by what is enacted for one section. Sections unknown in `states` start without text.
+    Only sections with changes are grouped, and a group holds what is enacted for one section. Sections unknown in `states` start without text.
     Returns key, text_content, text_hash, is_deleted, applied, skipped and failed.
     """
     key = key or KEY
-    before = changes.select(*key).distinct().join(states.select(*key, F.col(text).alias("_before")), key, "left")
-    rows = changes.join(before, key)
+    steps = F.sort_array(F.collect_list(F.struct(*(order or ["change_id"]), "change_type", "old_text", "new_text")))
+    rows = changes.groupBy(*key).agg(steps.alias("_steps"))
+    parts = [F.col(f"_steps.{c}").alias(f"_{c}") for c in ("change_type", "old_text", "new_text")]
+    rows = rows.join(states.select(*key, F.col(text).alias("_before")), key, "left").select(*key, "_before", *parts)
     out = ", ".join(f"{k} {changes.schema[k].dataType.simpleString()}" for k in key)
+    names = [*key, "text_content", "is_deleted", "applied", "skipped", "failed"]
 
-    def fold(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(order or ["change_id"])
-        now = p["_before"].iat[0] if pd.notna(p["_before"].iat[0]) else None
-        count = {"APPLIED": 0, "SKIPPED": 0, "FAILED": 0}
-        gone = False
-        for kind, old, new in zip(p["change_type"], p["old_text"], p["new_text"], strict=True):
-            status, now = apply_one(now, kind, old if isinstance(old, str) else None, new if isinstance(new, str) else None)
-            count[status] += 1
-            if kind == "Repeal":
-                gone = True
-                break
-        return pd.DataFrame([{**{k: p[k].iat[0] for k in key}, "text_content": now, "is_deleted": gone, "applied": count["APPLIED"], "skipped": count["SKIPPED"], "failed": count["FAILED"]}])
-
-    done = rows.groupBy(*key).applyInPandas(fold, f"{out}, text_content string, is_deleted boolean, applied long, skipped long, failed long")
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            done = []
+            for own, now, kinds, olds, news in zip(p[key].itertuples(index=False), p["_before"], p["_change_type"], p["_old_text"], p["_new_text"], strict=True):
+                now = now if isinstance(now, str) else None
+                count = {"APPLIED": 0, "SKIPPED": 0, "FAILED": 0}
+                gone = False
+                for kind, old, new in zip(kinds, olds, news, strict=True):
+                    status, now = apply_one(now, kind, old, new)
+                    count[status] += 1
+                    if kind == "Repeal":
+                        gone = True
+                        break
+                done.append((*own, now, gone, *count.values()))
+            yield pd.DataFrame(done, columns=names)
+
+    done = rows.mapInPandas(fold, f"{out}, text_content string, is_deleted boolean, applied long, skipped long, failed long")
     return done.withColumn("text_hash", F.sha2("text_content", 256))
 
 
