@@ -11,53 +11,144 @@ from pyspark.sql import functions as F
 
 from .intervals import covered, gaps, union
 
-_Q = r"[\"“]([^\"”]{1,2000})[\"”]"
-_REF = r"(?:[Ss]ection\s+(?P<section>[0-9]+[0-9A-Za-z\-–]*)(?P<path>(?:\([0-9A-Za-z]+\))*))"
-_OF = r"(?:\s+of\s+(?:[Tt]itle\s+(?P<title>[0-9]{1,2}))?[^.;\"“]{0,120}?)?"
+
+def _quote(name: str) -> str:
+    """Quoted text up to the next closing quote: "...", “...”, ``...'' as in GovInfo's laws, or '...'."""
+    return rf"(?:[\"“](?P<{name}_a>[^\"”]+)[\"”]|``(?P<{name}_b>(?:(?!''(?!')).)+)''(?!')|'(?P<{name}_c>[^\"'`]+)')"
+
+
+_REF = r"(?:section\s+(?P<section>[0-9]+[0-9A-Za-z\-–]*)(?P<path>(?:\s*\([0-9A-Za-z]+\))*)(?:\s*\([^)]+\))*)"
+_OF = r"(?:\s+of\s+(?:title\s+(?P<title>[0-9]{1,2}))?(?:(?!\bsection\b)[^.;\"“]){0,120}?)?"
+_OLD, _NEW = _quote("old"), _quote("new")
+_UNIT = r"(?P<unit>paragraph|subparagraph|clause|subsection|subdivision)\s+\((?P<mark>[a-zA-Z0-9]+)\)"
+_UNITS = r"(?:paragraphs?|subparagraphs?|clauses?|subsections?)"
+_MARKS = r"\([a-zA-Z0-9]+\)(?:\s*(?:,\s*and|and|through|,)\s*\([a-zA-Z0-9]+\))*"
+_TITLE = r"title\s+(?P<title>[0-9]{1,2})(?:,?\s+United\s+States\s+Code)?,?"
+_IS = r"(?:is|are)\s+(?:hereby\s+)?"
+_INSERTING = rf"\s*,?\s*and\s+inserting\s+(?:in\s+lieu\s+thereof\s+)?{_NEW}"
+_EACH = r"\s+each\s+place\s+(?:such\s+term\s+|it\s+)?appears?"
+_FOLLOWS = r"\s+and\s+(?:all|everything)\s+that\s+follows"
+#: The text that "the following" speaks of, where it stands in quotes.
+_TEXT = rf"(?:(?:\s+new\s+\w+(?:\s+[0-9]\w*)?)?\s*[:—–-]*\s*{_NEW})?"
+_AMENDED_AS = r"(?:amended\s+)?(?:to\s+read|and\s+reenacted\s+to\s+read)\s+as\s+follows"
 #: Pattern name, kind of change, confidence and form. Earlier patterns win where spans meet at equal confidence.
+#: `strike_insert`, `strike`, `repeal` and `transfer` are the reference's `strike_insert_quoted`, `strike_quoted`,
+#: `section_repealed` and `transfer_section`; `insert_after`, `insert`, `add_end`, `read_as_follows` and `redesignate` go beyond its 29.
 PATTERNS = (
-    ("strike_insert", "Modify", 0.95, rf"by\s+striking\s+(?:out\s+)?{_Q}(?:\s+(?:each\s+place\s+(?:it|such\s+term)\s+appears))?\s*,?\s*and\s+inserting\s+(?:in\s+lieu\s+thereof\s+)?{_Q}"),
-    ("strike", "Delete", 0.90, rf"by\s+striking\s+(?:out\s+)?{_Q}(?!\s*,?\s*and\s+inserting)"),
-    ("insert_after", "Add", 0.90, rf"by\s+inserting\s+(?:after|before)\s+{_Q}\s+(?:the\s+following\s*:?\s*)?{_Q}"),
-    ("insert", "Add", 0.85, rf"by\s+inserting\s+{_Q}"),
-    ("add_end", "Add", 0.92, rf"by\s+adding\s+at\s+the\s+end\s+(?:thereof\s+)?(?:the\s+following(?:\s+new\s+\w+)?\s*:?\s*)?{_Q}"),
-    ("read_as_follows", "Modify", 0.92, rf"is\s+amended\s+to\s+read\s+as\s+follows\s*:?\s*{_Q}"),
-    ("repeal", "Repeal", 0.95, rf"{_REF}{_OF}\s+(?:is|are)\s+(?:hereby\s+)?repealed"),
-    ("redesignate", "Redesignate", 0.93, r"by\s+redesignating\s+\w+\s+(\([0-9A-Za-z]+\))\s+as\s+\w+\s+(\([0-9A-Za-z]+\))"),
-    ("transfer", "Transfer", 0.90, rf"{_REF}{_OF}\s+is\s+transferred"),
-)
-_COMPILED = tuple((n, c, p, re.compile(x, re.S)) for n, c, p, x in PATTERNS)
-_REFERENCE = re.compile(_REF + _OF)
+    ("strike_insert_each_place", "Modify", 0.95, rf"striking\s+(?:out\s+)?{_OLD}{_EACH}(?:{_INSERTING})?"),
+    ("strike_insert", "Modify", 0.95, rf"striking\s+(?:out\s+)?{_OLD}{_INSERTING}"),
+    ("strike_insert_phrase", "Modify", 0.95, rf"striking\s+(?:out\s+)?(?:the\s+)?(?:phrase|words?|term)\s+{_OLD}{_INSERTING}"),
+    ("strike_insert_everything_before", "Modify", 0.90, rf"striking\s+(?:everything\s+(?:before|preceding|through)|all\s+that\s+(?:follows?\s+(?:before|preceding|through)|precedes?))\s+{_OLD}(?:\s*,?\s*and\s+inserting(?:\s+{_NEW})?)?"),
+    ("strike_insert_everything_after", "Modify", 0.90, rf"striking\s+(?:everything\s+(?:after|following)|all\s+that\s+follows?(?:\s+(?:after|following))?)\s+{_OLD}(?:\s*,?\s*and\s+inserting(?:\s+{_NEW})?)?"),
+    # The reference lets `strike` hide `strike_and_following`, so that only the first quoted words would go.
+    ("strike", "Delete", 0.90, rf"striking\s+(?:out\s+)?{_OLD}(?!\s*,?\s*and\s+inserting|{_EACH}|{_FOLLOWS})"),
+    ("strike_through_period", "Delete", 0.93, rf"striking\s+{_OLD}{_FOLLOWS}\s+through\s+(?:the\s+period|the\s+semicolon|{_quote('through')})"),
+    ("strike_paragraph", "Delete", 0.90, rf"striking\s+{_UNIT}"),
+    ("strike_and_following", "Delete", 0.85, rf"striking\s+{_OLD}{_FOLLOWS}"),
+    ("add_at_end", "Add", 0.95, rf"(?:adding|inserting)\s+at\s+the\s+end(?:\s+(?:of\s+)?(?:thereof|the\s+(?:section|subsection|paragraph)))?\s+the\s+following{_TEXT}"),
+    ("add_after_paragraph", "Add", 0.95, rf"(?:adding|inserting)\s+after\s+{_UNIT}\s+the\s+following{_TEXT}"),
+    ("insert_after_section", "Add", 0.95, rf"inserting\s+after\s+{_REF}\s+the\s+following{_TEXT}"),
+    ("insert_before", "Add", 0.90, rf"inserting\s+before\s+{_quote('place')}\s+the\s+following{_TEXT}"),
+    ("insert_before_paragraph", "Add", 0.95, rf"inserting\s+before\s+{_UNIT}\s+the\s+following{_TEXT}"),
+    ("add_new_subsection", "Add", 0.90, rf"(?:adding|inserting)\s+(?:a\s+)?new\s+(?:{_UNIT}|(?:subsection|paragraph|subparagraph|clause))\s+(?:to\s+read\s+)?as\s+follows{_TEXT}"),
+    ("insert_after", "Add", 0.90, rf"inserting\s+(?:after|before)\s+{_quote('place')}\s+(?:the\s+following\s*:?\s*)?{_NEW}"),
+    ("insert", "Add", 0.85, rf"inserting\s+{_NEW}"),
+    ("add_end", "Add", 0.92, rf"adding\s+at\s+the\s+end\s+(?:thereof\s+)?(?:the\s+following(?:\s+new\s+\w+)?\s*:?\s*)?{_NEW}"),
+    ("repeal", "Repeal", 0.98, rf"(?<!\)\sof\s){_REF}{_OF}\s+{_IS}repealed"),
+    ("paragraph_repealed", "Repeal", 0.95, rf"{_UNIT}(?:\s+of\s+(?:such\s+section|{_REF}{_OF}))?\s+{_IS}(?:repealed|stricken)"),
+    ("striking_section", "Repeal", 0.90, rf"striking\s+{_REF}"),
+    ("redesignate_section", "Redesignate", 0.98, r"redesignating\s+section\s+(?P<section>(?P<old_s>[0-9]+[A-Za-z]?))\s+as\s+section\s+(?P<new_s>[0-9]+[A-Za-z]?)"),
+    ("redesignate_paragraph", "Redesignate", 0.95, rf"redesignating\s+{_UNITS}\s+(?P<old_s>{_MARKS})\s+as\s+{_UNITS}\s+(?P<new_s>{_MARKS})"),
+    ("redesignate", "Redesignate", 0.93, r"redesignating\s+\w+\s+(?P<old_s>\([0-9A-Za-z]+\))\s+as\s+\w+\s+(?P<new_s>\([0-9A-Za-z]+\))"),
+    ("substitute_section", "Modify", 0.95, rf"{_REF}{_OF},?\s+{_IS}{_AMENDED_AS}{_TEXT}"),
+    ("substitute_subsection", "Modify", 0.95, rf"{_UNIT}\s+{_IS}(?:amended\s+)?to\s+read\s+as\s+follows{_TEXT}"),
+    ("read_as_follows", "Modify", 0.92, rf"amended\s+to\s+read\s+as\s+follows\s*:?\s*{_NEW}"),
+    ("transfer", "Transfer", 0.90, rf"{_REF}{_OF}\s+{_IS}transferred(?:\s+to\s+section\s+[0-9]+[0-9A-Za-z\-–]*(?:\s*\([^)]+\))*)?"),
+    ("section_amended_general", "Modify", 0.85, rf"{_REF}{_OF},?\s+{_IS}amended"),
+    ("section_amended_by", "Modify", 0.90, rf"{_REF}{_OF},?\s+{_IS}amended\s+by"),
+    ("subsection_amended", "Modify", 0.85, rf"{_UNIT}(?P<deeper>(?:\s*\([a-zA-Z0-9]+\))*)(?:\s+of\s+(?:{_REF}|(?:such\s+)?section))?\s+{_IS}amended"),
+    ("title_amended", "Modify", 0.80, rf"{_TITLE}\s+{_IS}amended"),
+    ("add_new_section", "Add", 0.90, rf"{_TITLE}\s+{_IS}amended\s+by\s+(?:adding|inserting)\s+(?:at\s+the\s+end\s+)?(?:a\s+)?(?:new\s+)?section\s+(?P<section>[0-9]+[A-Za-z]?)"),
+    ("chapter_amended_add_section", "Add", 0.90, rf"chapter\s+[0-9]+\s+of\s+{_TITLE}\s+{_IS}amended\s+by\s+(?:adding|inserting)\s+(?:at\s+the\s+end\s+)?the\s+following{_TEXT}"),
+)
+#: Frames of edits, which give way to any edit that they meet; edits that name their title themselves, which win over the edits within them,
+#: whose place would be an earlier sentence's; patterns whose old text only says where the stricken text begins or ends.
+_FRAMES = frozenset(("section_amended_general", "section_amended_by", "subsection_amended", "title_amended"))
+_WHOLE = frozenset(("add_new_section", "chapter_amended_add_section"))
+_ANCHORED = frozenset(("strike_insert_everything_before", "strike_insert_everything_after", "strike_through_period", "strike_and_following"))
+#: Words that patterns begin with; only where they stand is a pattern tried.
+_VERBS = ("striking", "adding", "inserting", "redesignating", "amended")
+_NOUNS = ("section", "paragraph", "subparagraph", "clause", "subsection", "subdivision", "title", "chapter")
+
+
+def _starts(form: str) -> tuple[str, ...]:
+    head = form.removeprefix(r"(?<!\)\sof\s)")
+    if head.startswith(_UNIT):
+        return ("paragraph", "subparagraph", "clause", "subsection", "subdivision")
+    return ("adding", "inserting") if head.startswith("(?:adding|inserting)") else (re.search("[a-z]+", head.removeprefix("(?:"))[0],)
+
+
+_COMPILED = tuple((n, c, p, _starts(x), re.compile(x, re.S | re.I)) for n, c, p, x in PATTERNS)
+assert all(k in _VERBS + _NOUNS for x in _COMPILED for k in x[3])
+_REFERENCE = re.compile(_REF + _OF, re.I)
+_LEAD = re.compile(r"\b(?:by|(?:is|are)(?:\s+hereby)?)\s+\Z", re.I)
 SCHEMA = (
     "pattern_name string, change_type string, title_number int, section_number string, subsection_path string, old_text string, new_text string, "
     "confidence double, start_pos int, end_pos int, needs_review boolean, context string"
 )
 
 
+def _places(text: str) -> dict[str, list[int]]:
+    """Where each word that a pattern begins with stands."""
+    low = text.lower()
+    if len(low) != len(text):
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    out: dict[str, list[int]] = {}
+    for word in _VERBS + _NOUNS:
+        at = low.find(word)
+        while at >= 0:
+            out.setdefault(word, []).append(at)
+            at = low.find(word, at + 1)
+    return out
+
+
 def _matches(text: str) -> list[tuple]:
     rows = []
-    for name, change, confidence, pattern in _COMPILED:
-        for m in pattern.finditer(text):
+    places = _places(text)
+    for order, (name, change, confidence, words, pattern) in enumerate(_COMPILED):
+        after = 0
+        for at in sorted(x for w in words for x in places.get(w, ())):
+            m = pattern.match(text, at) if at >= after else None
+            if m is None:
+                continue
+            start, after = at, m.end()
+            if words[0] in _VERBS and (lead := _LEAD.search(text, max(0, at - 40), at)):
+                start = lead.start()
             own = m.groupdict()
-            quoted = [g for g in m.groups() if g and g not in own.values()]
-            old = quoted[0] if change in ("Modify", "Delete", "Redesignate") and name != "read_as_follows" and quoted else None
-            new = quoted[-1] if change in ("Add", "Modify", "Redesignate") and quoted and (name in ("read_as_follows",) or change == "Add" or len(quoted) > 1) else None
-            ref = m if own.get("section") else None
+            said = lambda k: next((own[g] for g in (f"{k}_a", f"{k}_b", f"{k}_c", f"{k}_s") if own.get(g)), None)  # noqa: B023, E731
+            old, new = said("old"), said("new")
+            ref = own if own.get("section") or own.get("title") else None
             if ref is None:
-                for ref in _REFERENCE.finditer(text, max(0, m.start() - 200), m.start()):
-                    pass
-            section = ref["section"] if ref else None
-            title = int(ref["title"]) if ref and ref["title"] else None
-            # Without a section half the trust is gone, without a title a tenth; two texts add a little.
-            c = confidence * (1.0 if section else 0.5) * (1.0 if title else 0.9)
-            c = min(1.0, c * 1.05) if old and new else c * (0.7 if change == "Modify" and not (old or new) else 1.0)
-            context = text[max(0, m.start() - 100) : m.end() + 100]
-            rows.append((name, change, title, section, (ref["path"] or None) if ref else None, old, new, round(c, 6), m.start(), m.end(), section is None or c < 0.8, context))
-    rows.sort(key=lambda r: (r[8], -r[7], r[0]))
+                for found in _REFERENCE.finditer(text, max(0, start - 200), start):
+                    ref = found.groupdict()
+            section, title = (ref["section"] if "section" in ref else None, ref.get("title")) if ref else (None, None)
+            title = int(title) if title else None
+            path = "".join(((ref or {}).get("path") or "").split())
+            if own.get("mark"):
+                path = ("" if own["unit"].lower() == "subsection" else path) + f"({own['mark']})" + "".join((own.get("deeper") or "").split())
+            # Without a place half the trust is gone, without a title a tenth; both texts of a replacement add a little.
+            c = confidence * (1.0 if section or title else 0.5) * (1.0 if title else 0.9)
+            if name.startswith("strike_insert"):
+                c = min(1.0, c * 1.05) if old and new else c * (1.0 if old or new else 0.7)
+            lacking = (change in ("Add", "Modify") and new is None) or (change == "Delete" and old is None) or name in _ANCHORED
+            context = text[max(0, start - 100) : m.end() + 100]
+            rows.append(((name, change, title, section, path or None, old, new, round(c, 6), start, m.end(), section is None or c < 0.8 or lacking, context), order))
+    rank = lambda r: ((r[0] not in _FRAMES) + (r[0] in _WHOLE), r[7])
+    rows.sort(key=lambda x: (x[0][8], tuple(-y for y in rank(x[0])), x[1]))
     kept: list[tuple] = []
-    for r in rows:
+    for r, _ in rows:
         if kept and r[8] < kept[-1][9]:
-            if r[7] > kept[-1][7]:
+            if rank(r) > rank(kept[-1]):
                 kept[-1] = r
         else:
             kept.append(r)

@@ -219,3 +219,60 @@ def test_ranges_by_broadcast_and_by_cells(spark, monkeypatch):
     monkeypatch.setattr(relations, "MOST_RANGES", 2)
     assert rows(relations.range_label(days, "d", ranges, "a", "b", "l", "none")) == few
     assert {x for _, x in few} == {"A", "B", "C", "none"}
+
+
+EDITS = [
+    ('by striking "AFDC" each place such term appears and inserting "TANF"', "strike_insert_each_place", "Modify", "AFDC", "TANF"),
+    ('by striking "AFDC" each place it appears', "strike_insert_each_place", "Modify", "AFDC", None),
+    ("by striking out ``ten days'' and inserting in lieu thereof ``the lender's days''", "strike_insert", "Modify", "ten days", "the lender's days"),
+    ('by striking the words "tax year" and inserting "plan year"', "strike_insert_phrase", "Modify", "tax year", "plan year"),
+    ('by striking everything before "the term" and inserting "In this part,"', "strike_insert_everything_before", "Modify", "the term", "In this part,"),
+    ('by striking everything after "Secretary" and inserting a period', "strike_insert_everything_after", "Modify", "Secretary", None),
+    ('by striking "or (5)"', "strike", "Delete", "or (5)", None),
+    ('by striking "unless" and all that follows through the semicolon', "strike_through_period", "Delete", "unless", None),
+    ("by striking paragraph (4)", "strike_paragraph", "Delete", None, None),
+    ('by striking "but only" and everything that follows', "strike_and_following", "Delete", "but only", None),
+    ("by adding at the end thereof the following new subsection: ``(h) New.''", "add_at_end", "Add", None, "(h) New."),
+    ("by inserting after paragraph (8) the following", "add_after_paragraph", "Add", None, None),
+    ("by inserting after section 411 the following new section", "insert_after_section", "Add", None, None),
+    ('by inserting before "the date" the following: "the earlier of"', "insert_before", "Add", None, "the earlier of"),
+    ("by inserting before clause (ii) the following new clause", "insert_before_paragraph", "Add", None, None),
+    ("by adding new paragraph (9) as follows", "add_new_subsection", "Add", None, None),
+    (". Section 963 (old) is hereby repealed", "repeal", "Repeal", None, None),
+    (". Subparagraph (B) is hereby stricken", "paragraph_repealed", "Repeal", None, None),
+    (". Paragraph (3) of section 77 is repealed", "paragraph_repealed", "Repeal", None, None),
+    ("by striking section 1256(e)(3)(C)", "striking_section", "Repeal", None, None),
+    ("by redesignating section 45R as section 45S", "redesignate_section", "Redesignate", "45R", "45S"),
+    ("by redesignating clauses (i), (ii), and (iii) as clauses (ii), (iii), and (iv)", "redesignate_paragraph", "Redesignate", "(i), (ii), and (iii)", "(ii), (iii), and (iv)"),
+    ('. Section 505(b)(5) is hereby amended and reenacted to read as follows: "' + "long " * 900 + '"', "substitute_section", "Modify", None, "long " * 900),
+    (". Clause (ii) is hereby amended to read as follows", "substitute_subsection", "Modify", None, None),
+    (". Section 1148 is hereby transferred to section 234 of title 42", "transfer", "Transfer", None, None),
+    (". Section 512 of title 17, United States Code, is amended in the heading", "section_amended_general", "Modify", None, None),
+    (". Section 512 of title 17, United States Code, is amended by the Act", "section_amended_by", "Modify", None, None),
+    (". Subsection (d) of such section is amended", "subsection_amended", "Modify", None, None),
+    (". Title 42, United States Code, is hereby amended", "title_amended", "Modify", None, None),
+    (". Title 18, United States Code, is amended by adding a new section 2323", "add_new_section", "Add", None, None),
+    (". Chapter 12 of title 17, United States Code, is amended by adding at the end the following new section", "chapter_amended_add_section", "Add", None, None),
+]
+
+
+@pytest.mark.parametrize(("said", "name", "change", "old", "new"), EDITS, ids=[f"{x[1]}-{k}" for k, x in enumerate(EDITS)])
+def test_each_pattern_finds_its_edit(said, name, change, old, new):
+    got = [r for r in extract._matches(f"Section 9 of title 26 is amended {said}. The rest stands.") if r[8] > 0]
+    assert [(r[0], r[1], r[5], r[6]) for r in got] == [(name, change, old, new)]
+
+
+def test_all_patterns_of_the_reference_are_there():
+    names = """strike_insert strike_insert_each_place strike_insert_phrase strike_insert_everything_before strike_insert_everything_after strike strike_through_period strike_paragraph
+    strike_and_following add_at_end add_after_paragraph insert_after_section insert_before insert_before_paragraph add_new_subsection repeal paragraph_repealed striking_section redesignate_section
+    redesignate_paragraph substitute_section substitute_subsection transfer section_amended_general section_amended_by subsection_amended title_amended add_new_section chapter_amended_add_section""".split()
+    assert len(names) == 29 and set(names) <= {p[0] for p in extract.PATTERNS} and {n for n in names} - {x[1] for x in EDITS} == set()
+
+
+def test_marks_and_reviews_of_edits():
+    one = lambda t: [r for r in extract._matches(t) if r[0] not in extract._FRAMES][0]
+    r = one("Section 219(c) of title 26 is amended by striking paragraph (4).")
+    assert (r[2], r[3], r[4], r[10]) == (26, "219", "(c)(4)", True)
+    assert one('Section 219 of title 26 is amended by striking "219" and inserting "220".')[5:7] == ("219", "220")
+    assert one('Section 5 of title 26 is amended by striking all that follows "A" and inserting "B".')[10]
+    assert [r[3] for r in extract._matches("Section 5 of the Act stays and section 6 is repealed.")] == ["6"]
