@@ -23,18 +23,20 @@ STANDS_FOR = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "*": "", ".": "", "-": "", "_": "", " ": "",
 }
-#: Costs in nats: a stand-in, a dropped separator, a dropped repetition, a stand-in without a letter.
-COST_STAND_IN, COST_SEPARATOR, COST_REPEAT, COST_KEPT = 1.0, 0.3, 0.7, 9.0
+#: Costs in nats: a stand-in, a dropped separator, a separator that ends a word, a dropped repetition, a stand-in without a letter.
+COST_STAND_IN, COST_SEPARATOR, COST_BOUNDARY, COST_REPEAT, COST_KEPT = 1.0, 0.3, 1.0, 0.7, 9.0
+#: Stand-ins that are also punctuation and may end a word, or stand before it, at a cost.
+PUNCTUATION, COST_PUNCTUATION = frozenset("!|+("), 2.0
 #: Letters of a word that make its features: its first 4, 5 and 6, and all.
 PREFIXES = (4, 5, 6, None)
 
-#: Spans that may be disguised: stand-ins within or before letters, letters one by one, letters three times and more.
+_LETTER, _UNIT, _MIXED = r"[^\W\d_]", r"[^\W_*.\-]|[@$!|+(€£]", r"[\w@$!|+(€£*.\-]"
+#: Spans that may be disguised: single letters or stand-ins, three or more, with any separators between; runs without a space
+#: that hold a stand-in, or a separator between others, but not numbers alone; words with a letter three times and more.
 SUSPECT = re.compile(
-    r"(?<![^\W\d_])(?:"
-    r"(?:[^\W\d_][ .\-_*]){3,}[^\W\d_](?![^\W\d_])"
-    r"|(?=[\w@$!|+(*]{0,20}[^\W\d_][0-9@$!|+(*]{1,6}[^\W\d_]|[0-9@$|]{1,6}[^\W\d_]{2})(?=[^\s]{0,24}(?:\s|$))[\w@$!|+(*]{1,24}"
-    r"|(?=[^\W\d_]*([^\W\d_])\1\1)[^\W\d_]+"
-    r")"
+    rf"(?<![\w@$!|+(€£])(?:{_UNIT})(?:[ .\-_*]++(?:{_UNIT})){{2,}}(?![\w@$!|+(€£])"
+    rf"|(?<!{_MIXED})(?=[._*\-]*+{_LETTER}*+(?:[\d@$!|+(€£]|(?<={_LETTER})[._*\-]++[\w@$!|+(€£]))(?![\d._*\-]++(?!{_MIXED})){_MIXED}++"
+    rf"|(?<!{_LETTER})(?={_LETTER}*?({_LETTER})(?i:\1\1)){_LETTER}+"
 )
 LETTERS = 28
 #: Characters of a suspect span that are restored together.
@@ -114,9 +116,15 @@ def restore(span: str, model: list[list[float]]) -> str:
                     if x == last:
                         offer((p, q, last), cost + COST_REPEAT + COST_STAND_IN, said)
                 offer((p, q, last), cost + (COST_SEPARATOR if not stands else COST_KEPT), said)
+                if ch in PUNCTUATION or not stands:
+                    ended = cost + (COST_PUNCTUATION if stands else COST_BOUNDARY)
+                    if q:
+                        offer((q, 0, ""), ended + model[p * LETTERS + q][0], said + " ")
+                    else:
+                        offer((p, q, ""), ended, said)
         best = after
-    ended = ((cost + model[p * LETTERS + q][0], said) for (p, q, _), (cost, said) in best.items())
-    return min(ended)[1]
+    whole = ((cost + model[p * LETTERS + q][0], said) for (p, q, _), (cost, said) in best.items())
+    return min(whole)[1]
 
 
 def restored(text: str, model: list[list[float]], seen: dict[str, str]) -> str:

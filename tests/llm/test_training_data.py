@@ -312,6 +312,24 @@ def test_toxicity_restores_disguised_words(spark):
     assert toxicity.reject_toxic(d, y).count() == 302
 
 
+def test_every_mix_of_disguises_is_restored():
+    words = ["river", "stone", "window", "garden", "what", "a", "the", "is", "he", "kill", "killer", "idiot", "stupid", "die", "moron", "ass", "steal", "letter", "worthless"]
+    rng = random.Random(2)
+    c = toxicity._CLASS[np.frombuffer(" ".join(rng.choice(words) for _ in range(20_000)).encode(), np.uint8)]
+    model = toxicity.letter_model(np.bincount(c[:-2] * 784 + c[1:-1] * 28 + c[2:], minlength=28**3).astype(float))
+    hidden = {
+        "k 1 l l": "kill", "1 d 1 o t": "idiot", "i.d.1.o.t": "idiot", "d i e": "die", "k - i - l - l": "kill", "k  i  l  l": "kill", "id.iot": "idiot", "stu-pid": "stupid", "a$$": "ass", "$teal": "steal",
+        "st€al": "steal", "£etter": "letter", "mOoOron": "moron", "1diot!": "idiot", "(id.iot": "idiot", "what a k i l l": "what a kill", "the.1diot": "the idiot", "w0rthle$$": "worthless",
+    }
+    for raw, word in hidden.items():
+        for text in (f"river {raw} stone", raw, f"river, {raw}."):
+            assert word.split()[-1] in toxicity.restored(text, model, {}).lower().split(), text
+    far = toxicity.restored("1diot" + "." * 3 + "x" * 60, model, {}).lower().split()
+    assert any(w.startswith("idiot") for w in far)
+    for plain in ("river stone", "1995-02-03", "the river. Stone", "letter - 12.5"):
+        assert toxicity.restored(plain, model, {}) == ""
+
+
 # 6. Nearest neighbours
 
 
