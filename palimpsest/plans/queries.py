@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, text
@@ -229,12 +229,25 @@ _EVENTS = """e AS (
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
-    o, c = table(spark, d, "orders"), table(spark, d, "customer").where("c_custkey < 1000")
+    return _timeline(spark, d, table(spark, d, "customer").where("c_custkey < 1000"), F.col("c_custkey"))
+
+
+def _timeline(spark: SparkSession, d: str, c: DataFrame, days: Column) -> DataFrame:
+    o = table(spark, d, "orders")
     laws = o.select(F.lit("public_law").alias("event_type"), F.concat(F.lit("L"), "o_orderkey").alias("identifier"), (F.col("o_custkey") % 5 + 100).cast("int").alias("congress"), (F.col("o_orderkey") % 1000).cast("int").alias("law_number"), F.when(F.col("o_orderkey") % 50 > 0, F.to_date("o_orderdate")).alias("event_date"))
-    points = c.select(F.lit("release_point").alias("event_type"), F.concat(F.lit("R"), "c_custkey").alias("identifier"), (F.col("c_custkey") % 5 + 100).cast("int").alias("congress"), F.lit(None).cast("int").alias("law_number"), F.date_add(F.lit("1995-01-01").cast("date"), F.col("c_custkey").cast("int")).alias("event_date"))
+    points = c.select(F.lit("release_point").alias("event_type"), F.concat(F.lit("R"), "c_custkey").alias("identifier"), (F.col("c_custkey") % 5 + 100).cast("int").alias("congress"), F.lit(None).cast("int").alias("law_number"), F.date_add(F.lit("1995-01-01").cast("date"), days.cast("int")).alias("event_date"))
     return relations.timeline(laws, points)
 
 
+#: All customers as release points; days are folded into a fixed span, so that large keys have dates too.
+_SPAN = 10_000
+_ALL_EVENTS = _EVENTS.replace("CAST(c_custkey AS INTEGER) FROM customer WHERE c_custkey < 1000", f"CAST(c_custkey % {_SPAN} AS INTEGER) FROM customer")
+
+
+def _all_events(spark: SparkSession, d: str) -> DataFrame:
+    return _timeline(spark, d, table(spark, d, "customer"), F.col("c_custkey") % _SPAN)
+
+
 _PLACED = f"WITH {_EVENTS}, p AS (SELECT *, row_number() OVER (ORDER BY coalesce(event_date, DATE '0001-01-01'), CASE WHEN event_type = 'public_law' THEN 0 ELSE 1 END, congress, coalesce(law_number, 0), identifier) AS position FROM e)"
 
 
@@ -245,8 +258,18 @@ def timeline_slice(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_EVENTS} SELECT congress, count(*) FILTER (event_type = 'release_point') AS release_points, count(*) FILTER (event_type = 'public_law') AS laws, min(event_date) AS first_date, max(event_date) AS last_date FROM e GROUP BY 1")
 def timeline_summary(spark: SparkSession, d: str) -> DataFrame:
+    return _summary(_events(spark, d))
+
+
+def _summary(events: DataFrame) -> DataFrame:
     kind = lambda k: F.count_if(F.col("event_type") == k)
-    return _events(spark, d).groupBy("congress").agg(kind("release_point").alias("release_points"), kind("public_law").alias("laws"), F.min("event_date").alias("first_date"), F.max("event_date").alias("last_date"))
+    return events.groupBy("congress").agg(kind("release_point").alias("release_points"), kind("public_law").alias("laws"), F.min("event_date").alias("first_date"), F.max("event_date").alias("last_date"))
+
+
+@query(f"WITH {_ALL_EVENTS} SELECT congress, count(*) FILTER (event_type = 'release_point') AS release_points, count(*) FILTER (event_type = 'public_law') AS laws, min(event_date) AS first_date, max(event_date) AS last_date FROM e GROUP BY 1")
+def timeline_summary_all(spark: SparkSession, d: str) -> DataFrame:
+    """The summary over all customers as release points."""
+    return _summary(_all_events(spark, d))
 
 
 @query(f"WITH {_EVENTS} SELECT identifier FROM e WHERE event_type = 'public_law' AND (congress, law_number) NOT IN (SELECT 100 + CAST(c_custkey % 5 AS INTEGER), CAST(c_custkey % 1000 AS INTEGER) FROM customer WHERE c_acctbal < 0)")
@@ -621,6 +644,12 @@ def plausible_dates(spark: SparkSession, d: str) -> DataFrame:
     return _events(spark, d).select("identifier", F.coalesce(dates.plausible_year(F.year("event_date"), F.col("congress")), F.lit(False)).alias("plausible"))
 
 
+@query(f"WITH {_ALL_EVENTS} SELECT identifier, CASE WHEN event_date IS NULL THEN false ELSE year(event_date) BETWEEN 1789 + (congress - 1) * 2 - 1 AND 1789 + (congress - 1) * 2 + 2 END AS plausible FROM e")
+def plausible_dates_all(spark: SparkSession, d: str) -> DataFrame:
+    """The report over all customers as release points."""
+    return _all_events(spark, d).select("identifier", F.coalesce(dates.plausible_year(F.year("event_date"), F.col("congress")), F.lit(False)).alias("plausible"))
+
+
 @query("SELECT doc_id, CASE WHEN length(text) > 50 THEN substr(text, 1, 47) || '...' ELSE text END AS short, translate(source, 'src', 'SRC') AS source FROM documents")
 def short_titles(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", text.shortened(F.col("text")).alias("short"), F.translate("source", "src", "SRC").alias("source"))

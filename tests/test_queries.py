@@ -36,3 +36,10 @@ def test_same_rows_as_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, name):
     assert QUERIES[name](spark, DATA).count() > 0
+
+
+def test_every_customer_is_a_release_point(spark, tmp_path):
+    spark.range(900, 30_000, 100).selectExpr("id AS c_custkey").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.sql("SELECT 7L AS o_orderkey, 3L AS o_custkey, DATE '1995-05-05' AS o_orderdate").write.parquet(str(tmp_path / "orders.parquet"))
+    assert QUERIES["timeline_summary_all"](spark, str(tmp_path)).groupBy().sum("release_points").first()[0] == 291
+    assert QUERIES["plausible_dates_all"](spark, str(tmp_path)).count() == 292
