@@ -216,6 +216,14 @@ def search_snippet(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", relations.snippet(F.col("text"), "license").alias("snippet"))
 
 
+@query("""SELECT doc_id, CASE WHEN p > 0 THEN CASE WHEN p > 81 THEN '...' ELSE '' END || substr(text, greatest(p - 81, 0) + 1, least(p + 126, length(text)) - greatest(p - 81, 0)) || CASE WHEN p + 126 < length(text) THEN '...' ELSE '' END
+ELSE substr(text, 1, 200) || CASE WHEN length(text) > 200 THEN '...' ELSE '' END END AS snippet FROM (SELECT doc_id, text, strpos(lower(text), 'license') AS p FROM documents)""")
+def search_snippet_all(spark: SparkSession, d: str) -> DataFrame:
+    """Snippets of documents in all languages and without one."""
+    docs = table(spark, d, "documents")
+    return docs.select("doc_id", relations.snippet(F.col("text"), "license").alias("snippet"))
+
+
 @query("SELECT d.doc_id, coalesce(CASE WHEN l.quality = 1 THEN 'good' WHEN l.quality = 0 THEN 'bad' END, CASE WHEN source IN ('src0', 'src1') THEN 'default' END, 'unknown') AS label FROM documents d LEFT JOIN labels l USING (doc_id)")
 def title_enrich_coalesce(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
@@ -495,6 +503,14 @@ def laws_page(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("o_orderkey", "o_orderpriority", "o_orderdate")
 
 
+@query("SELECT o_orderkey, o_orderpriority, o_orderdate FROM orders ORDER BY o_orderdate DESC, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) DESC, o_orderkey LIMIT 20 OFFSET 40")
+def laws_page_all(spark: SparkSession, d: str) -> DataFrame:
+    """The third page of all laws."""
+    number = F.substring("o_orderpriority", 1, 1).try_cast("int")
+    rows, _ = relations.page(table(spark, d, "orders"), [F.desc("o_orderdate"), number.desc(), "o_orderkey"], 20, 40)
+    return rows.select("o_orderkey", "o_orderpriority", "o_orderdate")
+
+
 @query("SELECT p_partkey, p_name FROM part WHERE (lower(p_name) LIKE '%red%' OR lower(p_type) LIKE '%econ%') AND p_size = 11")
 def search_laws(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "part").where("p_size = 11")
@@ -514,6 +530,14 @@ def last_derived_revision(spark: SparkSession, d: str) -> DataFrame:
     return snapshots.last_derived_before(rows, 5000).select(F.col("revision_id").alias("o_orderkey"))
 
 
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey < (SELECT max(o_orderkey) FROM orders WHERE o_orderstatus = 'F') AND o_orderstatus <> 'F' ORDER BY o_orderkey DESC LIMIT 1")
+def last_derived_revision_all(spark: SparkSession, d: str) -> DataFrame:
+    """The last derived revision before the newest ground truth."""
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("revision_id"), F.col("o_orderkey").alias("sequence_number"), (F.col("o_orderstatus") == "F").alias("is_ground_truth"))
+    bound = rows.where("is_ground_truth").agg(F.max("sequence_number")).first()[0]
+    return snapshots.last_derived_before(rows, F.lit(bound).cast("long")).select(F.col("revision_id").alias("o_orderkey"))
+
+
 @query("SELECT user_id, event_id, next_id FROM (SELECT user_id, event_id, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_id FROM events) WHERE next_id IS NOT NULL")
 def consecutive_pairs(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
