@@ -21,6 +21,9 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that end an open one of the same kind.
 SELF_CLOSING = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: What may stand in a head; any other element, or text, ends one whose end tag is left out. Blocks end a control without an end tag.
+IN_HEAD = frozenset("head base basefont bgsound link meta noframes noscript script style template title object".split())
+CONTROLS = {tag: re.compile(rf"<(/?){tag}\b", re.I) for tag in ("button", "option", "select")}
 #: Words of class, id and role, and elements, that speak for content or against it, with their weights in nats.
 FOR_TAGS = {"article": 4.0, "main": 3.0, "p": 1.0, "h1": 1.0, "h2": 0.5, "h3": 0.5, "blockquote": 0.8, "pre": 0.8, "figcaption": 0.3, "td": 0.2}
 AGAINST_TAGS = {"nav": 9.0, "footer": 9.0, "header": 5.0, "aside": 8.0, "form": 9.0, "menu": 7.0, "dialog": 7.0, "fieldset": 6.0, "address": 2.0, "li": 0.3}
@@ -57,6 +60,8 @@ def blocks(page: str) -> list[Block]:
 
     def said(raw: str) -> None:
         nonlocal now
+        if silent and stack[-1][0] == "head" and raw and not raw.isspace():
+            leave(len(stack) - 1)
         if silent or not raw:
             return
         if now is None:
@@ -96,6 +101,15 @@ def blocks(page: str) -> list[Block]:
             if tag in BLOCKS:
                 now = None
             continue
+        if silent:
+            around = [x[0] for x in stack]
+            if tag not in IN_HEAD and "head" in around and not IN_HEAD.intersection(around[around.index("head") + 1 :]):
+                leave(around.index("head"))
+            k = next((k for k, x in enumerate(around) if x in CONTROLS), None)
+            if k is not None and tag in BLOCKS and tag != "hr":
+                end = CONTROLS[around[k]].search(page, at)
+                if end is None or not end[1]:
+                    leave(k)
         if tag in BLOCKS:
             now = None
         if tag == "br" and now is not None and not silent:

@@ -433,6 +433,20 @@ def test_pages(spark):
     assert html_extract.extract_main_text(d.where("false")).count() == 0
 
 
+def test_open_heads_and_controls_end_with_the_first_block():
+    said = "The article has sentences. They are long enough to be kept, and they end with stops."
+    for page in (
+        f"<html><head><title>T</title><meta charset=utf-8><body><article><p>{said}</p></article></body></html>",
+        f"<head><title>T</title><noscript><style>x</style></noscript><p>{said}</p>",
+        f"<html><head><link href=x><article>{said}</article>",
+        f"<html><head></head><body><select><option>one<option>two<article><p>{said}</p></article></body></html>",
+        f"<html><body><button>Press<article><p>{said}</p></article></body></html>",
+        f"<html><head><title>T</title>{said}",
+    ):
+        assert html_extract.main_text(page) == said, page
+    assert "hidden" not in html_extract.main_text(f"<head><noscript><p>hidden</p></noscript></head><body><select><option>hidden<hr><option>hidden</select><button><div>hidden</div></button><p>{said}</p>")
+
+
 def test_minimum_cut_is_the_best_labelling():
     rng = random.Random(6)
     for _ in range(200):
