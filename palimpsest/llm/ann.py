@@ -110,11 +110,12 @@ def nearest(table: DataFrame, is_query: Column, key: str = "vec_id", vector: str
     spark = table.sparkSession
     rows = table.select(F.col(key).cast("long").alias("id"), F.transform(F.col(vector), lambda x: x.cast("double")).alias("v"), F.coalesce(is_query, F.lit(False)).alias("query"))
     rows = rows.where(F.col("id").isNotNull() & usable(F.col("v")))
-    # Only the first k + 1 of equal vectors matter as candidates.
+    # Only the first k + 1 keys of equal vectors matter as candidates, one row of each.
     plain = F.transform("v", lambda x: x + F.lit(0.0))
     rows = rows.withColumn("same", F.xxhash64(plain))
-    first = F.row_number().over(Window.partitionBy("same").orderBy("id"))
-    candidates = cut(rows.withColumn("n", first).where(f"n <= {k + 1}").select("id", "v"))
+    equal = Window.partitionBy("same").orderBy("id")
+    keys = rows.withColumns({"n": F.dense_rank().over(equal), "before": F.lag("id").over(equal)})
+    candidates = cut(keys.where(f"n <= {k + 1} and (before is null or before <> id)").select("id", "v"))
     sample = candidates.orderBy(F.xxhash64("id"), "id").limit(most_learned).toPandas()
     schema = "query_id long, vec_id long, score double"
     if not len(sample):

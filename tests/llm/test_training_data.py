@@ -354,6 +354,14 @@ def test_search_recall_ranks_and_odd_vectors(spark):
     assert ann.nearest(vectors(spark, rows[:1]).where("false"), F.col("vec_id") == 0).count() == 0
 
 
+def test_equal_vectors_of_repeated_rows_count_by_key(spark):
+    rng = np.random.default_rng(8)
+    vectors = [(i, [float(v) for v in rng.standard_normal(8)]) for i in range(50)] + [(i, [1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0, 8.0]) for i in range(50, 57)]
+    d = spark.createDataFrame(vectors + vectors, "vec_id long, embedding array<double>")
+    got = [(r["rank"], r["vec_id"]) for r in ann.nearest(d, F.col("vec_id") == 50).orderBy("rank").collect()]
+    assert got == [(1, 51), (2, 52), (3, 53), (4, 54), (5, 55)]
+
+
 def test_probing_finds_every_code_within_the_radius():
     code = np.random.default_rng(1).integers(0, 256, (500, 8)).astype(np.uint8)
     index = ann.Index(code)
