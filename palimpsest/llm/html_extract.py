@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_left
 from collections import deque
 from collections.abc import Iterator
 
@@ -32,17 +33,22 @@ AGAINST_NAMES = re.compile(
     r"\bads?\b|\bads?[-_]|[-_]ads?\b|advert|banner|sponsor|promo|\bnav|menu|breadcrumb|side-?bar|footer|header|masthead|comment|disqus|respons|repl(?:y|ies)|reader|"
     r"cookie|consent|notice|gdpr|newsletter|subscri|signup|sign-up|login|share|social|related|recommend|widget|popup|modal|pagination|pager|toolbar|search|meta|tags|legal|copyright|skip"
 )
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
+PLAIN = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
+MARKS = re.compile(r"[>\"']")
 NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+RAW = {tag: re.compile(rf"</{tag}\b[^>]*>?", re.I) for tag in ("script", "style", "textarea", "title")}
 #: Costs of separating neighbours: in the page, and by how near they stand in the tree.
 NEXT, NEAR = 0.6, 1.2
 
 
 class Block:
-    __slots__ = ("linked", "names", "parts", "path", "tags")
+    """A run of text: what the elements around it say, how many block elements are around it, the last two, and how many of them it shares with the block before."""
 
-    def __init__(self, path: tuple[int, ...], tags: tuple[str, ...], names: tuple[str, ...]):
-        self.path, self.tags, self.names = path, tags, names
+    __slots__ = ("around", "depth", "linked", "own", "parent", "parts", "shared")
+
+    def __init__(self, around: float, depth: int, own: int, parent: int, shared: int):
+        self.around, self.depth, self.own, self.parent, self.shared = around, depth, own, parent, shared
         self.parts: list[str] = []
         self.linked = 0
 
@@ -50,128 +56,278 @@ class Block:
         return " ".join("".join(self.parts).split())
 
 
+class Around:
+    """The open elements: where each kind stands, and what their tags and names say, kept up to date as they come and go."""
+
+    def __init__(self):
+        self.tags: list[str] = []
+        self.names: list[str] = []
+        self.at: dict[str, list[int]] = {}
+        self.blocks: list[tuple[int, int]] = []
+        self.said: dict[str, int] = {}
+        self.score = 0.0
+        self.silent = 0
+
+    def top(self, tag: str) -> int:
+        """Where the innermost element of this kind stands, -1 without one."""
+        return self.at[tag][-1] if self.at.get(tag) else -1
+
+    def innermost_block(self) -> int:
+        return self.blocks[-1][0] if self.blocks else -1
+
+    def push(self, tag: str, number: int, names: str) -> None:
+        own = self.at.setdefault(tag, [])
+        if not own and tag != "header":
+            self.score += FOR_TAGS.get(tag, 0.0) - AGAINST_TAGS.get(tag, 0.0)
+        own.append(len(self.tags))
+        if names:
+            self.said[names] = self.said.get(names, 0) + 1
+            if self.said[names] == 1:
+                self.score += named(names)
+        if tag in BLOCKS:
+            self.blocks.append((len(self.tags), number))
+        self.silent += tag in SILENT
+        self.tags.append(tag)
+        self.names.append(names)
+
+    def pop(self) -> str:
+        tag, names = self.tags.pop(), self.names.pop()
+        self.at[tag].pop()
+        if not self.at[tag] and tag != "header":
+            self.score -= FOR_TAGS.get(tag, 0.0) - AGAINST_TAGS.get(tag, 0.0)
+        if names:
+            self.said[names] -= 1
+            if not self.said[names]:
+                del self.said[names]
+                self.score -= named(names)
+        if tag in BLOCKS:
+            self.blocks.pop()
+        self.silent -= tag in SILENT
+        return tag
+
+    def leaning(self) -> float:
+        """What the elements around say; each tag and each list of names counts once, a header less inside an article."""
+        header = AGAINST_TAGS["header"] * (0.2 if self.at.get("article") or self.at.get("main") else 1.0) if self.at.get("header") else 0.0
+        return self.score - header
+
+
+def named(names: str) -> float:
+    return -7.0 if AGAINST_NAMES.search(names) else 2.0 if FOR_NAMES.search(names) else 0.0
+
+
+class TagEnds:
+    """Where tags end: at the first > outside of quotes. Each quote is looked at once as the first of a pair, however many tags it leaves open."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.marks: list[int] | None = None
+        self.open: set[int] = set()
+
+    def __call__(self, at: int) -> int:
+        """The position of the > that ends a tag whose name ends at `at`; -1 without one."""
+        if self.marks is None:
+            m = PLAIN.match(self.page, at)
+            if m:
+                return m.end() - 1
+            self.marks = [m.start() for m in MARKS.finditer(self.page)]
+        i, passed = bisect_left(self.marks, at), []
+        while i < len(self.marks) and (p := self.marks[i]) not in self.open:
+            if self.page[p] == ">":
+                return p
+            passed.append(p)
+            q = self.page.find(self.page[p], p + 1)
+            i = bisect_left(self.marks, q + 1) if q >= 0 else len(self.marks)
+        self.open.update(passed)
+        return -1
+
+
+def tokens(page: str) -> Iterator[tuple[int, int, str, str]]:
+    """(begin, end, name, attributes) of all tags, comments and the like, these without a name; an end tag's name begins with a slash.
+
+    A tag that never ends is text. The caller may send a position from which to go on.
+    """
+    at, ends = 0, TagEnds(page)
+    while True:
+        at = page.find("<", at)
+        if at < 0:
+            return
+        m = NAME.match(page, at + 1)
+        if m is None:
+            for begin, close in (("<!--", "-->"), ("<![CDATA[", "]]>"), ("<!", ">"), ("<?", ">")):
+                if page.startswith(begin, at):
+                    end = page.find(close, at + len(begin))
+                    end = len(page) if end < 0 else end + len(close)
+                    yield at, end, "", ""
+                    at = end
+                    break
+            else:
+                at += 1
+            continue
+        end = ends(m.end())
+        if end < 0:
+            at += 1
+            continue
+        to = yield at, end + 1, m.group().lower(), page[m.end() : end]
+        at = max(end + 1, to or 0)
+
+
 def blocks(page: str) -> list[Block]:
-    """The page's runs of text between block elements, with the path of elements around each."""
+    """The page's runs of text between block elements, with what is around each; in time linear in the page's length."""
     out: list[Block] = []
-    stack: list[tuple[str, int, str]] = []
-    count, silent, links = 0, 0, 0
+    around = Around()
+    number = links = 0
     now: Block | None = None
-    at = 0
+    at = shared = 0
+    ends: dict[str, int] = {}
+
+    def leave(k: int) -> None:
+        nonlocal links, now, shared
+        while len(around.tags) > k:
+            tag = around.pop()
+            links -= tag == "a"
+            if tag in BLOCKS:
+                now = None
+        shared = min(shared, len(around.blocks))
 
     def said(raw: str) -> None:
-        nonlocal now
-        if silent and stack[-1][0] == "head" and raw and not raw.isspace():
-            leave(len(stack) - 1)
-        if silent or not raw:
+        nonlocal now, shared
+        if around.silent and around.tags[-1] == "head" and raw and not raw.isspace():
+            leave(len(around.tags) - 1)
+        if around.silent or not raw:
             return
         if now is None:
             if raw.isspace():
                 return
-            now = Block(tuple(s[1] for s in stack if s[0] in BLOCKS), tuple(s[0] for s in stack), tuple(s[2] for s in stack if s[2]))
+            own, depth = around.blocks, len(around.blocks)
+            now = Block(around.leaning(), depth, own[-1][1] if own else 0, own[-2][1] if depth > 1 else 0, shared)
+            shared = depth
             out.append(now)
         text = html.unescape(raw)
         now.parts.append(text)
         if links:
             now.linked += len(text.strip())
 
-    def leave(k: int) -> None:
-        nonlocal silent, links, now
-        for tag, _, _ in stack[k:]:
-            silent -= tag in SILENT
-            links -= tag == "a"
+    def held(control: str) -> bool:
+        """Whether the open control has an end tag before the next one like it begins."""
+        if ends.get(control, -1) < at:
+            m = CONTROLS[control].search(page, at)
+            ends[control] = m.start() if m and m[1] else -1
+        return ends[control] >= at
+
+    found = tokens(page)
+    token = next(found, None)
+    while token is not None:
+        begin, end, tag, attributes = token
+        said(page[at:begin])
+        at = end
+        skip = None
+        if tag.startswith("/"):
+            tag = tag[1:]
+            k = around.top(tag)
+            if k >= 0 and (tag in BLOCKS or k > around.innermost_block()):
+                leave(k)
             if tag in BLOCKS:
                 now = None
-        del stack[k:]
-
-    for m in TOKEN.finditer(page):
-        if m.start() < at:
-            continue
-        said(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
-            continue
-        tag = m[2].lower()
-        if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    leave(k)
-                    break
-                if tag not in BLOCKS and stack[k][0] in BLOCKS:
-                    break
+        elif tag:
+            if around.silent:
+                head = around.at["head"][0] if around.at.get("head") else -1
+                if tag not in IN_HEAD and head >= 0 and max(around.top(t) for t in IN_HEAD) == head:
+                    leave(head)
+                control = min((around.at[c][0] for c in CONTROLS if around.at.get(c)), default=None)
+                if control is not None and tag in BLOCKS and tag != "hr" and not held(around.tags[control]):
+                    leave(control)
             if tag in BLOCKS:
                 now = None
-            continue
-        if silent:
-            around = [x[0] for x in stack]
-            if tag not in IN_HEAD and "head" in around and not IN_HEAD.intersection(around[around.index("head") + 1 :]):
-                leave(around.index("head"))
-            k = next((k for k, x in enumerate(around) if x in CONTROLS), None)
-            if k is not None and tag in BLOCKS and tag != "hr":
-                end = CONTROLS[around[k]].search(page, at)
-                if end is None or not end[1]:
+            if tag == "br" and now is not None and not around.silent:
+                now.parts.append(" ")
+            if tag not in VOID:
+                closes = SELF_CLOSING.get(tag, ())
+                k = around.innermost_block()
+                if (j := around.top("option")) > k and "option" in closes:
+                    leave(j)
+                elif k >= 0 and (around.tags[k] in closes or (around.tags[k] == "p" and tag in BLOCKS)):
                     leave(k)
-        if tag in BLOCKS:
-            now = None
-        if tag == "br" and now is not None and not silent:
-            now.parts.append(" ")
-        if tag in VOID:
-            continue
-        closes = SELF_CLOSING.get(tag, ())
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in closes or (stack[k][0] == "p" and tag in BLOCKS):
-                leave(k)
-                break
-            if stack[k][0] in BLOCKS:
-                break
-        if tag in ("script", "style", "textarea", "title") and not m[3].endswith("/"):
-            end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
-            at = end.end() if end else len(page)
-            continue
-        if m[3].endswith("/") and tag not in BLOCKS:
-            continue
-        count += 1
-        names = " ".join(next(g for g in x if g) for x in NAMES.findall(m[3]) if any(x)).lower() if "=" in m[3] else ""
-        stack.append((tag, count, names))
-        silent += tag in SILENT
-        links += tag == "a"
+                if tag in RAW and not attributes.endswith("/"):
+                    m = RAW[tag].search(page, at)
+                    at = skip = m.end() if m else len(page)
+                elif not attributes.endswith("/") or tag in BLOCKS:
+                    number += 1
+                    names = " ".join(next(g for g in x if g) for x in NAMES.findall(attributes) if any(x)).lower() if "=" in attributes else ""
+                    around.push(tag, number, names)
+                    links += tag == "a"
+        try:
+            token = found.send(skip)
+        except StopIteration:
+            token = None
     said(page[at:])
-    return [b for b in out if b.text()]
+    kept: list[Block] = []
+    low = 0
+    for b in out:
+        low = min(low, b.shared)
+        if b.text():
+            b.shared, low = low, len(page)
+            kept.append(b)
+    return kept
 
 
-def leaning(b: Block, chars: int, linked: float) -> float:
+def leaning(b: Block, text: str) -> float:
     """The classifier's log-odds for content, from the elements and names around a block, its length, links and sentences."""
+    chars = len(text)
     score = 0.4 * min(4.0, math.log1p(chars / 20)) - 0.8
-    score -= 4.0 * linked
-    text = "".join(b.parts)
+    score -= 4.0 * min(1.0, b.linked / max(1, chars))
     score += 0.5 * min(3, sum(text.count(c) for c in ".!?;")) - (0.7 if chars < 20 else 0.0)
-    tags = set(b.tags)
-    inside = "article" in tags or "main" in tags
-    for t in tags:
-        score += FOR_TAGS.get(t, 0.0)
-        score -= AGAINST_TAGS.get(t, 0.0) * (0.2 if t == "header" and inside else 1.0)
-    for n in set(b.names):
-        if AGAINST_NAMES.search(n):
-            score -= 7.0
-        elif FOR_NAMES.search(n):
-            score += 2.0
-    return score
-
-
-def nearness(a: Block, b: Block) -> float:
-    """The share of the elements around two blocks that they have in common."""
-    same = 0
-    for x, y in zip(a.path, b.path, strict=False):
-        if x != y:
-            break
-        same += 1
-    return (same + 1) / (max(len(a.path), len(b.path)) + 1)
+    return score + b.around
+
+
+def decided(gain: list[float], edges: list[tuple[int, int, float]]) -> list[bool | None]:
+    """The labels that every cheapest cut has: of nodes whose gain outweighs all their edges, given those decided before; None for the rest."""
+    near: list[list[tuple[int, float]]] = [[] for _ in gain]
+    for u, v, c in edges:
+        near[u].append((v, c))
+        near[v].append((u, c))
+    lean, free = list(gain), [sum(c for _, c in x) for x in near]
+    side: list[bool | None] = [None] * len(gain)
+    todo = list(range(len(gain)))
+    while todo:
+        i = todo.pop()
+        if side[i] is None and abs(lean[i]) > free[i] + 1e-9:
+            side[i] = lean[i] > 0
+            for j, c in near[i]:
+                if side[j] is None:
+                    lean[j] += c if side[i] else -c
+                    free[j] -= c
+                    todo.append(j)
+    return side
 
 
 def source_side(gain: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
     """The labelling with the least cost: -gain of each node marked (gain > 0 lost where not), and each edge cut.
 
-    Maximum flow from a source, which feeds nodes of positive gain, to a sink, which drains the
-    others, along shortest augmenting paths in level graphs; what the source still reaches is marked.
+    Nodes that no edges can turn are labelled first, and push their neighbours; the maximum flow of
+    the others decides the rest.
+    """
+    side = decided(gain, edges)
+    left = [i for i, x in enumerate(side) if x is None]
+    if left:
+        place = {i: k for k, i in enumerate(left)}
+        lean = [gain[i] for i in left]
+        inner = []
+        for u, v, c in edges:
+            if u in place and v in place:
+                inner.append((place[u], place[v], c))
+            elif u in place or v in place:
+                i, j = (u, v) if u in place else (v, u)
+                lean[place[i]] += c if side[j] else -c
+        for i, x in zip(left, maximum_flow(lean, inner), strict=True):
+            side[i] = x
+    return [bool(x) for x in side]
+
+
+def maximum_flow(gain: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
+    """Whether the source still reaches each node after the maximum flow.
+
+    The flow runs from a source, which feeds nodes of positive gain, to a sink, which drains the
+    others, along shortest augmenting paths in level graphs.
     """
     n = len(gain)
     s, t = n, n + 1
@@ -243,19 +399,19 @@ def main_text(page: str | None) -> str:
     if not found:
         return ""
     texts = [b.text() for b in found]
-    gain = [leaning(b, len(t), min(1.0, b.linked / max(1, len(t)))) for b, t in zip(found, texts, strict=True)]
+    gain = [leaning(b, t) for b, t in zip(found, texts, strict=True)]
     edges = []
     last_of: dict[int, int] = {}
     for i, b in enumerate(found):
         if i:
-            near = nearness(found[i - 1], b)
+            near = (b.shared + 1) / (max(found[i - 1].depth, b.depth) + 1)
             edges.append((i - 1, i, NEXT * near + NEAR * (near >= 0.999)))
         # The block before under the same parent, where others stand between them.
-        parent = b.path[-2] if len(b.path) > 1 else 0
-        j = last_of.get(parent)
+        j = last_of.get(b.parent)
         if j is not None and j < i - 1:
-            edges.append((j, i, NEAR * nearness(found[j], b)))
-        last_of[parent] = i
+            same = min(found[j].depth, b.depth) - (found[j].own != b.own and b.depth > 0 and found[j].depth > 0)
+            edges.append((j, i, NEAR * (same + 1) / (max(found[j].depth, b.depth) + 1)))
+        last_of[b.parent] = i
     side = source_side(gain, edges)
     return "\n".join(t for t, keep in zip(texts, side, strict=True) if keep)
 

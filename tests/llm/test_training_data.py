@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -455,6 +456,22 @@ def test_open_heads_and_controls_end_with_the_first_block():
     assert "hidden" not in html_extract.main_text(f"<head><noscript><p>hidden</p></noscript></head><body><select><option>hidden<hr><option>hidden</select><button><div>hidden</div></button><p>{said}</p>")
 
 
+@pytest.mark.parametrize(
+    ("part", "times", "end"),
+    [("<div>x", 160_000, ""), ('<a "', 250_000, ""), ("<b>", 150_000, "<p>x" * 100_000), ("<button><div>x", 70_000, "</button>"), ("<ul><li>one. two", 60_000, ""), ("<p>Some words. Here.</p>", 40_000, ""), ("<a x", 250_000, ">"), ("<!-- ", 200_000, "")],
+)
+def test_long_broken_pages_take_linear_time(part, times, end):
+    began = time.process_time()
+    html_extract.main_text(part * times + end)
+    assert time.process_time() - began < 15
+
+
+def test_unclosed_quotes_leave_the_text():
+    said = "The article has sentences. They are long enough to be kept, and they end with stops."
+    assert html_extract.main_text(f'<article><p>{said} <a "b</p><p>{said}</p>') == f'{said} <a "b\n{said}'
+    assert html_extract.main_text(f"<article><p title='a > b'>{said}</p>") == said
+
+
 def test_minimum_cut_is_the_best_labelling():
     rng = random.Random(6)
     for _ in range(200):
