@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
+import inspect
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,15 +18,70 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _checkpoints(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; without one, with a local master, a folder beside the warehouse."""
+    folder = spark.conf.get("spark.checkpoint.dir", "")
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-checkpoints"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """The rows, written to the shared folder of spark.checkpoint.dir; a folder of our own only where that is unset."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    """The rows, written to the shared folder."""
+    sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="spark-"))
+        sc.setCheckpointDir(_checkpoints(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder of this name beside the checkpoints."""
+    return f"{_checkpoints(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def tidy() -> None:
+    """Gives memory that is free again back to the system; Python workers live on between tasks and would keep it."""
+    pa.default_memory_pool().release_unused()
+    Rolling.forget()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
+def tidied(of: Callable) -> Callable:
+    """A function of an iterator of batches, or of one group's table, with `tidy` at the end of the task or of a large group."""
+
+    def batches(x: Iterator) -> Iterator:
+        try:
+            yield from of(x)
+        finally:
+            tidy()
+
+    def group(x: pa.Table) -> pa.Table:
+        out = of(x)
+        if x.nbytes > 1 << 20:
+            tidy()
+        return out
+
+    return batches if inspect.isgeneratorfunction(of) else group
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it until no column has it."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return name
+
+
+def dealt(place: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each place that occurs, with the positions where it does."""
+    by = np.argsort(place, kind="stable")
+    edge = np.flatnonzero(np.diff(place[by], prepend=-1, append=-1)) if len(by) else by
+    for i, j in zip(edge[:-1], edge[1:], strict=True):
+        yield int(place[by[i]]), by[i:j]
+
+
 def input_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of a table's size; rows times 4 KB where it has none."""
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
@@ -53,6 +110,22 @@ def numbered(df: DataFrame, group: list[str], order: list, name: str, parts: int
     return joined.withColumn(name, F.col("_begin") + F.col("_row") - 1).drop(*[f"_{c}" for c in key], "_part", "_begin", "_row")
 
 
+#: Rows of a window of running sums.
+STEP = 256
+
+
+def running(sizes: DataFrame, at: str, n: str, name: str) -> DataFrame:
+    """(at, name): the sum of n over all smaller numbers at, each of which stands once; windows hold STEP numbers at most, level by level."""
+    before = lambda w: F.sum(n).over(w) - F.col(n)
+    if (sizes.agg(F.max(at)).first()[0] or 0) < STEP:
+        return sizes.select(at, before(Window.orderBy(at)).alias(name))
+    chunk = F.floor(F.col(at) / STEP).cast("long")
+    sizes = sizes.select(at, n, chunk.alias("_chunk"))
+    outer = running(cut(sizes.groupBy("_chunk").agg(F.sum(n).alias(n))), "_chunk", n, "_outer")
+    inner = sizes.select("_chunk", at, before(Window.partitionBy("_chunk").orderBy(at)).alias("_inner"))
+    return inner.join(outer, "_chunk").select(at, (F.col("_inner") + F.col("_outer")).alias(name))
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a binary column in one array, and the n + 1 offsets of its values; null: empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -92,7 +165,7 @@ def with_column(docs: DataFrame, text: str, name: str, kind: str, of: Callable[[
             column = part.column(text).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(of(column))], names=[*part.schema.names, name])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, _parse_datatype_string(kind))]))
+    return docs.mapInArrow(tidied(run), StructType([*docs.schema.fields, StructField(name, _parse_datatype_string(kind))]))
 
 
 #: splitmix64's fixed values.
@@ -117,11 +190,15 @@ class Rolling:
     def powers(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
         if cls._powers is None or len(cls._powers[0]) < n:
             cls._powers = tuple(
-                np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(n, 1 << 20), p, np.uint64)]))
+                np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(((n >> 18) + 1) << 18, p, np.uint64)]))
                 for p in (np.uint64(cls.BASE), np.uint64(pow(cls.BASE, -1, 1 << 64)))
             )
         return cls._powers
 
+    @classmethod
+    def forget(cls) -> None:
+        cls._powers = None
+
     def __init__(self, data: np.ndarray):
         up, self.down = self.powers(len(data) + 1)
         self.sums = np.zeros(len(data) + 1, np.uint64)

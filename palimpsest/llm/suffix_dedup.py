@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import window_anchors
-from .common import Rolling, cut, pieces, slices, text_bytes
+from .common import Rolling, cut, dealt, input_bytes, slices, text_bytes, tidied
 from .suffix import common_prefixes, suffix_order
 
 SLICE = 1 << 20
@@ -59,13 +60,10 @@ def repeated_anchors(texts: DataFrame, length: int, buckets: int) -> DataFrame:
             data, bounds = text_bytes(part.column("text"))
             text, pos, h, first, last, done = window_anchors(data, bounds, length, gram)
             place = (h % np.uint64(buckets)).astype(np.int64)
-            by = np.argsort(place, kind="stable")
-            cuts = np.searchsorted(place[by], np.arange(buckets + 1))
             rows = []
-            for b in np.flatnonzero(np.diff(cuts)):
-                k = by[cuts[b] : cuts[b + 1]]
+            for b, k in dealt(place):
                 base = bounds[text[k]]
-                rows.append((int(b), _ints(sig[text[k]], "<i8"), _ints(h[k], "<u8"), _ints(pos[k] - base), _ints(first[k] - base), _ints(last[k] - base)))
+                rows.append((b, _ints(sig[text[k]], "<i8"), _ints(h[k], "<u8"), _ints(pos[k] - base), _ints(first[k] - base), _ints(last[k] - base)))
             if len(done):
                 own = np.searchsorted(bounds, done, side="right") - 1
                 for d in np.unique(own):
@@ -91,8 +89,8 @@ def repeated_anchors(texts: DataFrame, length: int, buckets: int) -> DataFrame:
         many = np.concatenate([same, [False]]) | np.concatenate([[False], same])
         return pa.table([pa.array(x[many]) for x in (sig, h.astype(np.int64), pos, first, last)], schema=b)
 
-    rows = texts.mapInArrow(scattered, "bucket int, sigs binary, hashes binary, pos binary, first binary, last binary")
-    return rows.groupBy("bucket").applyInArrow(common, "sig long, hash long, pos int, first int, last int")
+    rows = texts.mapInArrow(tidied(scattered), "bucket int, sigs binary, hashes binary, pos binary, first binary, last binary")
+    return rows.groupBy("bucket").applyInArrow(tidied(common), "sig long, hash long, pos int, first int, last int")
 
 
 FOUND = pa.schema([("sig", pa.int64()), ("lo", pa.binary()), ("hi", pa.binary())])
@@ -157,22 +155,27 @@ def ordered_windows(group: pa.Table, length: int) -> pa.Table:
     return _found(group.column("sig").to_numpy()[own], group.column("first").to_numpy()[own] + start - base[own])
 
 
-def repeats(docs: DataFrame, key: str, text: str, length: int) -> tuple[DataFrame, DataFrame]:
-    """(rows, found): rows has key, sig, text (binary, null: empty) and found, by sig, spans and kept.
+def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """_key, sig, more and text (binary, null: empty) of each row; sig and more are two hashes of the text."""
+    body = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
+    return docs.select(F.col(key).alias("_key"), body.alias("text")).withColumns({"sig": F.xxhash64("text"), "more": F.xxhash64(F.lit(1), "text")})
+
+
+def repeated_starts(rows: DataFrame, length: int, size: int) -> DataFrame:
+    """(sig, more, text, copies, arrays, plain) of each different text in rows (_key, sig, more, text) that repeats anything.
 
-    sig stands for equal texts. spans are the maximal runs of bytes covered by a string of `length`
-    bytes that starts anywhere else too, kept the bytes outside of them. Texts without such runs
-    aren't in found.
+    arrays and plain hold the runs of starts of strings of `length` bytes that start anywhere else
+    too; copies, the rows that have this text: above one, all of it repeats. The number of groups
+    follows from `size`, the bytes of the texts.
     """
-    body = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
-    rows = docs.select(F.col(key).alias("_key"), body.alias("text")).withColumn("sig", F.xxhash64("text"))
     long = rows.where(F.length("text") >= length)
-    copies = cut(long.groupBy("sig").agg(F.count(F.lit(1)).alias("copies"), F.min("_key").alias("_key")))
-    anchors = cut(repeated_anchors(long.select("sig", "text"), length, pieces(docs, BUCKET)))
+    copies = cut(long.groupBy("sig", "more").agg(F.count(F.lit(1)).alias("copies"), F.min("_key").alias("_own")))
+    anchors = cut(repeated_anchors(long.select("sig", "text"), length, max(8, -(-size // BUCKET))))
     # One row of each text with repeated anchors, or of which there are copies.
     marks = anchors.groupBy("sig").agg(F.collect_list(F.struct("hash", "pos", "first", "last")).alias("anchors"))
     wanted = copies.join(marks, "sig", "left").where("copies > 1 or anchors is not null")
-    held = cut(long.join(wanted.withColumnRenamed("_key", "_own").withColumnRenamed("sig", "_sig"), (F.col("sig") == F.col("_sig")) & F.col("_key").eqNullSafe(F.col("_own"))).select("sig", "text", "copies", "anchors"))
+    own = long.join(wanted, ["sig", "more"]).where(F.col("_key").eqNullSafe(F.col("_own")))
+    held = cut(own.select("sig", "more", "text", "copies", "anchors").dropDuplicates(["sig", "more"]))
 
     # Anchors' contexts, the equal ones together.
     c = pa.schema([("sig", pa.int64()), ("hash", pa.int64()), ("off", pa.int32()), ("first", pa.int32()), ("last", pa.int32()), ("content", pa.int64())])
@@ -190,7 +193,7 @@ def repeats(docs: DataFrame, key: str, text: str, length: int) -> tuple[DataFram
                 content = r.of(span[:, 0], span[:, 1]).astype(np.int64).tolist()
                 yield _batch([(*x[:5], y) for x, y in zip(rows, content, strict=True)], c)
 
-    occurs = cut(held.where("anchors is not null").select("sig", "text", "anchors").mapInArrow(digests, "sig long, hash long, off int, first int, last int, content long"))
+    occurs = cut(held.where("anchors is not null").select("sig", "text", "anchors").mapInArrow(tidied(digests), "sig long, hash long, off int, first int, last int, content long"))
     same = ["hash", "off", "content"]
     classes = cut(occurs.withColumn("size", F.col("last") - F.col("first")).groupBy(*same, "size").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("sig", "first")).alias("lead")))
     whole = occurs.withColumn("size", F.col("last") - F.col("first")).join(classes.where("n > 1").select(*same, "size"), [*same, "size"], "left_semi")
@@ -198,7 +201,7 @@ def repeats(docs: DataFrame, key: str, text: str, length: int) -> tuple[DataFram
     leads = classes.select("hash", "off", "size", "lead.sig", "lead.first").join(by_anchor, "hash")
     pick = cut(leads.groupBy("sig").agg(F.collect_list(F.struct("hash", "off", "first", "size", (F.col("contexts") > MOST_CONTEXTS).alias("large"))).alias("picked")))
     picked = held.select("sig", "text").join(pick, "sig")
-    groups = pieces(docs, CONTEXTS)
+    groups = max(8, -(-size // CONTEXTS))
     d = pa.schema([("bucket", pa.int32()), ("sig", pa.int64()), ("first", pa.int32()), ("off", pa.int32()), ("context", pa.binary())])
     e = pa.schema([("bucket", pa.int32()), ("sigs", pa.binary()), ("starts", pa.binary()), ("hashes", pa.binary())])
 
@@ -230,9 +233,7 @@ def repeats(docs: DataFrame, key: str, text: str, length: int) -> tuple[DataFram
             sig, start, at = (np.concatenate(x) for x in (sig, start, at))
             h = r.of(at, at + length)
             place = (h % np.uint64(groups)).astype(np.int64)
-            by = np.argsort(place, kind="stable")
-            cuts = np.searchsorted(place[by], np.arange(groups + 1))
-            yield _batch([(int(b), _ints(sig[k], "<i8"), _ints(start[k]), _ints(h[k], "<u8")) for b in np.flatnonzero(np.diff(cuts)) for k in [by[cuts[b] : cuts[b + 1]]]], e)
+            yield _batch([(b, _ints(sig[k], "<i8"), _ints(start[k]), _ints(h[k], "<u8")) for b, k in dealt(place)], e)
 
     def counted(group: pa.Table) -> pa.Table:
         sig, start, h = (np.concatenate([np.frombuffer(x.as_py(), kind) for x in group.column(n)]) for n, kind in (("sigs", "<i8"), ("starts", "<i4"), ("hashes", "<u8")))
@@ -240,76 +241,141 @@ def repeats(docs: DataFrame, key: str, text: str, length: int) -> tuple[DataFram
         twice = count[back.ravel()] > 1
         return _found(sig[twice], start[twice].astype(np.int64))
 
-    small = picked.where(F.exists("picked", lambda x: ~x["large"])).mapInArrow(contexts, "bucket int, sig long, first int, off int, context binary")
-    large = picked.where(F.exists("picked", lambda x: x["large"])).mapInArrow(hashed, "bucket int, sigs binary, starts binary, hashes binary")
-    found = small.groupBy("bucket").applyInArrow(lambda g: ordered_windows(g, length), FOUND_SQL)
-    found = found.union(large.groupBy("bucket").applyInArrow(counted, FOUND_SQL))
+    small = picked.where(F.exists("picked", lambda x: ~x["large"])).mapInArrow(tidied(contexts), "bucket int, sig long, first int, off int, context binary")
+    large = picked.where(F.exists("picked", lambda x: x["large"])).mapInArrow(tidied(hashed), "bucket int, sigs binary, starts binary, hashes binary")
+    found = small.groupBy("bucket").applyInArrow(tidied(lambda g: ordered_windows(g, length)), FOUND_SQL)
+    found = found.union(large.groupBy("bucket").applyInArrow(tidied(counted), FOUND_SQL))
     runs = found.groupBy("sig").agg(F.collect_list(F.struct("lo", "hi")).alias("arrays"))
     plain = whole.select("sig", "first", "last").union(anchors.where("hash is null").select("sig", "first", "last"))
     plain = plain.groupBy("sig").agg(F.collect_list(F.struct("first", "last")).alias("plain"))
 
-    g = pa.schema([("sig", pa.int64()), ("spans", pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary()), ("kept_text", pa.string())])
+    marked = held.select("sig", "more", "text", "copies").join(runs, "sig", "left").join(plain, "sig", "left")
+    return marked.where("copies > 1 or arrays is not null or plain is not null")
+
+
+SPANS = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
+SPANS_SQL = "array<struct<begin: long, end: long>>"
+
+
+def _spans(text: bytes, copies: int, arrays: list | None, plain: list | None, length: int) -> list[tuple[int, int]]:
+    """The maximal runs of bytes covered by repeated strings."""
+    if copies > 1:
+        return [(0, len(text))]
+    pairs = [(x["first"], x["last"]) for x in plain or []]
+    for x in arrays or []:
+        pairs += zip(np.frombuffer(x["lo"], "<i4").tolist(), np.frombuffer(x["hi"], "<i4").tolist(), strict=True)
+    spans: list[tuple[int, int]] = []
+    for lo, hi in sorted(pairs):
+        if spans and lo <= spans[-1][1]:
+            spans[-1] = (spans[-1][0], max(spans[-1][1], hi + length))
+        else:
+            spans.append((lo, hi + length))
+    return spans
+
+
+KINDS = {"sig": pa.int64(), "more": pa.int64(), "text": pa.binary(), "copies": pa.int64(), "spans": SPANS, "kept_text": pa.string()}
+SQL_KINDS = {"sig": "long", "more": "long", "text": "binary", "copies": "long", "spans": SPANS_SQL, "kept_text": "string"}
+
+
+def _schema(names: list[str]) -> tuple[pa.Schema, str]:
+    return pa.schema([(c, KINDS[c]) for c in names]), ", ".join(f"{c} {SQL_KINDS[c]}" for c in names)
 
-    def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def with_spans(marked: DataFrame, length: int, keep: list[str], words: int = 0) -> DataFrame:
+    """The columns `keep` of `repeated_starts` and spans, the runs of repeated bytes with `words` words at least; texts without one go.
+
+    Among `keep`, kept_text is the text outside of the spans, without what is left of a character cut in two.
+    """
+    schema, sql = _schema([*keep, "spans"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", SLICE):
-            rows = []
-            for sig, t, n, arrays, plain in zip(*(part.column(x).to_pylist() for x in ("sig", "text", "copies", "arrays", "plain")), strict=True):
-                if n > 1:
-                    rows.append((sig, [{"begin": 0, "end": len(t)}], b"", ""))
-                    continue
-                pairs = [(x["first"], x["last"]) for x in plain or []]
-                for x in arrays or []:
-                    pairs += zip(np.frombuffer(x["lo"], "<i4").tolist(), np.frombuffer(x["hi"], "<i4").tolist(), strict=True)
-                spans: list[list[int]] = []
-                for lo, hi in sorted(pairs):
-                    if spans and lo <= spans[-1][1]:
-                        spans[-1][1] = max(spans[-1][1], hi + length)
-                    else:
-                        spans.append([lo, hi + length])
-                if spans:
-                    cuts = [0, *(x for s in spans for x in s), len(t)]
-                    kept = b"".join(t[i:j] for i, j in zip(cuts[::2], cuts[1::2], strict=True))
-                    rows.append((sig, [{"begin": b, "end": e} for b, e in spans], kept, kept.decode(errors="ignore")))
-            if rows:
-                yield _batch(rows, g)
+            spans, texts, stay = [], [], []
+            for k, x in enumerate(zip(*(part.column(c).to_pylist() for c in ("text", "copies", "arrays", "plain")), strict=True)):
+                own = [(b, e) for b, e in _spans(*x, length) if not words or len(x[0][b:e].split()) >= words]
+                if own:
+                    spans.append([{"begin": b, "end": e} for b, e in own])
+                    stay.append(k)
+                    if "kept_text" in keep:
+                        texts.append(_outside(x[0], own).decode(errors="ignore"))
+            if stay:
+                own = part.take(pa.array(stay))
+                columns = [pa.array(texts, pa.string()) if c == "kept_text" else own.column(c).cast(KINDS[c]) for c in keep]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, SPANS)], schema=schema)
 
-    all_of = held.select("sig", "text", "copies").join(runs, "sig", "left").join(plain, "sig", "left").where("copies > 1 or arrays is not null or plain is not null")
-    out = all_of.mapInArrow(removed, "sig long, spans array<struct<begin: long, end: long>>, kept binary, kept_text string")
-    return rows, cut(out)
+    return marked.mapInArrow(tidied(run), sql)
 
 
-def repeat_digests(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 400) -> DataFrame:
+def _outside(text: bytes, spans: list[tuple[int, int]]) -> bytes:
+    cuts = [0, *(x for s in spans for x in s), len(text)]
+    return b"".join(text[i:j] for i, j in zip(cuts[::2], cuts[1::2], strict=True))
+
+
+DIGESTS = pa.schema([("_sig", pa.int64()), ("_more", pa.int64()), ("_removed", pa.int64()), ("_spans", pa.int64()), ("_sha", pa.string()), ("_passage", pa.int64())])
+
+
+def repeat_digests(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 400, passage: int = 220, words: int = 50) -> DataFrame:
     """What remains of each text without repeated strings, as numbers and a digest.
 
     Returns key, n_bytes, n_removed, n_spans and kept_sha256 for each row; see `remove_repeats`.
+    n_passage counts the bytes of shorter repeated passages too: runs of `words` words and more that
+    are covered by strings of `passage` bytes which also start elsewhere. A string of `length`
+    bytes can repeat only inside such runs of bytes, so that the second search reads these alone.
     """
-    rows, found = repeats(docs, key, text, length)
-    digest = cut(found.select("sig", F.length("kept").alias("_left"), F.size("spans").alias("_spans"), F.sha2("kept", 256).alias("_sha")))
-    rows = rows.select("_key", "sig", F.length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("_whole"))
-    # Short texts have hashes of their own, but are never in found.
-    out = rows.join(digest, (rows["sig"] == digest["sig"]) & (F.col("n_bytes") >= length), "left")
+    rows = _texts(docs, key, text)
+    short = min(passage, length)
+    runs = cut(with_spans(repeated_starts(rows, short, input_bytes(docs)), short, ["sig", "more", "text", "copies"]))
+    long = runs.select("sig", "more", "text", F.explode("spans").alias("_run")).where(F.col("_run.end") - F.col("_run.begin") >= length)
+    piece = F.expr("substring(text, cast(_run.begin + 1 as int), cast(_run.end - _run.begin as int))")
+    parts = cut(long.select(F.struct("sig", "more", F.col("_run.begin").alias("begin")).alias("_key"), piece.alias("text")).withColumns({"sig": F.xxhash64("text"), "more": F.xxhash64(F.lit(1), "text")}))
+    size = parts.agg(F.sum(F.length("text"))).first()[0] or 0
+    found = with_spans(repeated_starts(parts, length, size), length, ["sig", "more"])
+    moved = F.transform("spans", lambda x: F.struct((x["begin"] + F.col("_key.begin")).alias("begin"), (x["end"] + F.col("_key.begin")).alias("end")))
+    found = parts.select("_key", "sig", "more").join(found, ["sig", "more"]).select(F.col("_key.sig").alias("sig"), F.col("_key.more").alias("more"), moved.alias("own"))
+    found = found.groupBy("sig", "more").agg(F.array_sort(F.flatten(F.collect_list("own"))).alias("own"))
+
+    def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text", SLICE):
+            out = []
+            for sig, more, t, copies, runs, own in zip(*(part.column(c).to_pylist() for c in ("sig", "more", "text", "copies", "spans", "own")), strict=True):
+                own = [(x["begin"], x["end"]) for x in own or []]
+                if copies > 1 and len(t) >= length:
+                    own = [(0, len(t))]
+                left = _outside(t, own)
+                said = sum(x["end"] - x["begin"] for x in runs if len(t[x["begin"] : x["end"]].split()) >= words)
+                out.append((sig, more, len(t) - len(left), len(own), hashlib.sha256(left).hexdigest(), said))
+            yield _batch(out, DIGESTS)
+
+    digest = cut(runs.join(found, ["sig", "more"], "left").mapInArrow(tidied(digested), "_sig long, _more long, _removed long, _spans long, _sha string, _passage long"))
+    rows = rows.select("_key", "sig", "more", F.length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("_whole"))
+    # Short texts have hashes of their own, but are never in digest.
+    out = rows.join(digest, (rows["sig"] == digest["_sig"]) & (rows["more"] == digest["_more"]) & (F.col("n_bytes") >= short), "left")
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     return out.select(
-        F.col("_key").alias(key), "n_bytes", F.coalesce(F.col("n_bytes") - F.col("_left"), F.lit(0)).cast("long").alias("n_removed"),
-        F.coalesce("_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("_sha", "_whole").alias("kept_sha256"),
+        F.col("_key").alias(key), "n_bytes", count("_removed").alias("n_removed"), count("_spans").alias("n_spans"),
+        F.coalesce("_sha", "_whole").alias("kept_sha256"), count("_passage").alias("n_passage"),
     )
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 400) -> DataFrame:
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 400, words: int = 0) -> DataFrame:
     """Removes each byte covered by a string of `length` bytes that also starts anywhere else in the corpus.
 
-    Texts are taken as UTF-8; strings don't cross texts and are judged on the input. Returns the
-    table with the remaining text (what is left of a character cut in two goes too) and a column `spans` of
-    what was removed (array of begin and end, null if nothing).
+    Texts are taken as UTF-8; strings don't cross texts and are judged on the input. With `words`,
+    runs of such bytes with fewer words stay. Returns the table with the remaining text (what is
+    left of a character cut in two goes too) and a column `spans` of what was removed (array of
+    begin and end, null if nothing).
 
     Null texts stay null and match nothing, as empty and short ones do. Of texts that occur twice,
     repeated rows included, nothing remains. An empty table gives no rows. Other columns stay,
     but for one named spans, which is replaced.
     """
-    _, found = repeats(docs, key, text, length)
-    found = found.select(F.col("sig").alias("_sig"), F.col("spans").alias("_spans"), "kept_text")
+    marked = repeated_starts(_texts(docs, key, text), length, input_bytes(docs))
+    found = cut(with_spans(marked, length, ["sig", "more", "kept_text"], words))
+    found = found.select(F.col("sig").alias("_sig"), F.col("more").alias("_also"), F.col("spans").alias("_spans"), "kept_text")
     body = F.col(text).cast("binary")
-    rows = docs.drop("spans").select(F.struct("*").alias("_row"), F.when(F.length(body) >= length, F.xxhash64(body)).alias("_own"), F.col(text).alias("_text"))
-    out = rows.join(found, F.col("_own") == F.col("_sig"), "left")
+    own = lambda *x: F.when(F.length(body) >= length, F.xxhash64(*x, body))
+    rows = docs.drop("spans").select(F.struct("*").alias("_row"), own().alias("_own"), own(F.lit(1)).alias("_more"), F.col(text).alias("_text"))
+    out = rows.join(found, (F.col("_own") == F.col("_sig")) & (F.col("_more") == F.col("_also")), "left")
     left = F.when(F.col("_sig").isNull(), F.col("_text")).otherwise(F.col("kept_text"))
     others = [F.col(f"_row.`{c}`").alias(c) if c != text else left.alias(c) for c in docs.columns if c != "spans"]
     return out.select(*others, F.col("_spans").alias("spans"))

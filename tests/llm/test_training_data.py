@@ -229,6 +229,21 @@ def test_similar_texts_against_all_pairs(spark):
     assert [(got[i][0]["n_shingles"], got[i][0]["component_id"]) for i in range(len(texts))] == list(zip(map(len, sets), want, strict=True))
 
 
+def test_hot_tokens_go_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "TOKEN_BLOCK", 3)
+    monkeypatch.setattr(ngram_join, "KEYS", 0)
+    rng = random.Random(12)
+    base, texts = [f"b{k}" for k in range(40)], []
+    for _ in range(40):
+        w = list(base)
+        for _ in range(rng.randrange(3)):
+            w[rng.randrange(40)] = f"e{rng.randrange(30)}"
+        texts.append(" ".join(w))
+    want = brute_components(range(len(texts)), brute_sets(texts))
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.similar_texts(documents(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_divide_skip_finds_all_members_with_enough_occurrences():
     rng = random.Random(2)
     for _ in range(300):
@@ -243,6 +258,8 @@ def test_similar_texts_on_odd_rows(spark, odd):
     assert len(got[3]) == 2 and got[4][0]["component_id"] == 3
     assert got[0][0]["n_shingles"] == 0 and got[None][0]["component_id"] is None
     assert ngram_join.similar_texts(odd.where("false")).count() == 0
+    clash = ngram_join.one_of_each(odd.withColumns({"_same": F.lit("a"), "_kept": F.lit("b"), "_key": F.lit("c")}))
+    assert {(r["_same"], r["_kept"], r["_key"]) for r in clash.collect()} == {("a", "b", "c")}
     kept = by_id(ngram_join.one_of_each(odd))
     assert 4 not in kept and len(kept[3]) == 1 and len(kept[None]) == 1 and {0, 1, 2, 6} <= set(kept)
 
@@ -294,6 +311,60 @@ def test_scores_of_odd_rows_and_without_labels(spark, odd, score):
     assert score(odd.where("false"), none).count() == 0
 
 
+def test_toxicity_on_held_out_rows(spark):
+    d, y = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    labelled = d.join(y.select("doc_id"), "doc_id")
+    got = toxicity.score_toxicity(labelled, y).join(y, "doc_id").where("held_out").collect()
+    both = sum(r["predicted"] and r["toxic"] for r in got)
+    assert both / sum(r["predicted"] for r in got) > 0.9 and both / sum(r["toxic"] for r in got) > 0.9
+
+
+def every_reading(span):
+    """All readings of a span's lattice: (letters and word ends, cost of the channel)."""
+    t, out = toxicity, []
+
+    def go(i, said, last, cost):
+        if i == len(span):
+            out.append(("".join(said), cost))
+            return
+        ch = span[i]
+        stands = t.STANDS_FOR.get(ch)
+        if ch.isalpha():
+            go(i + 1, [*said, ch], ch, cost)
+            if ch == last:
+                go(i + 1, said, last, cost + t.COST_REPEAT)
+        elif stands is None:
+            go(i + 1, [*said, ch], "", cost + t.COST_KEPT)
+        else:
+            for x in stands:
+                go(i + 1, [*said, x], x, cost + t.COST_STAND_IN)
+                if x == last:
+                    go(i + 1, said, last, cost + t.COST_REPEAT + t.COST_STAND_IN)
+            go(i + 1, said, last, cost + (t.COST_KEPT if stands else t.COST_SEPARATOR))
+            if ch in t.PUNCTUATION or not stands:
+                ended = cost + (t.COST_PUNCTUATION if stands else t.COST_BOUNDARY)
+                go(i + 1, [*said, " "] if said and said[-1] != " " else said, "", ended)
+
+    go(0, [], "", 0.0)
+    return out
+
+
+def test_viterbi_finds_the_cheapest_reading():
+    rng = random.Random(4)
+    model = toxicity.letter_model(np.array([rng.random() ** 6 * 100 for _ in range(28**3)]))
+    for _ in range(150):
+        span = "".join(rng.choice("abcoo1!$0.- ") for _ in range(rng.randrange(1, 8)))
+
+        def cost(said):
+            c = [0, 0, *(ord(x) - 96 if "a" <= x <= "z" else 0 for x in said)]
+            c += [0] if c[-1] or True else []
+            return sum(model[c[k] * 28 + c[k + 1]][c[k + 2]] for k in range(len(c) - 2))
+
+        best = min(channel + cost(said) for said, channel in every_reading(span))
+        got = toxicity.restore(span, model)
+        assert any(abs(channel + cost(said) - best) < 1e-6 for said, channel in every_reading(span) if said == got), span
+
+
 def test_toxicity_restores_disguised_words(spark):
     rng = random.Random(1)
     plain = ["river", "stone", "window", "garden", "letter", "orange", "silver", "simple", "mother", "winter", "summer", "market"]
@@ -310,7 +381,8 @@ def test_toxicity_restores_disguised_words(spark):
     got = {r["doc_id"]: r["predicted"] for r in toxicity.score_toxicity(d, y).collect()}
     assert [got[i] for i in range(400)] == toxic
     assert [got[400 + i] for i in range(6)] == [1, 1, 1, 1, 0, 0]
-    assert toxicity.reject_toxic(d, y).count() == 302
+    kept = toxicity.reject_toxic(d.withColumn("_toxicity", F.lit("mine")), y)
+    assert kept.count() == 302 and kept.columns == [*d.columns, "_toxicity"] and {r["_toxicity"] for r in kept.collect()} == {"mine"}
 
 
 def test_every_mix_of_disguises_is_restored():
@@ -325,6 +397,8 @@ def test_every_mix_of_disguises_is_restored():
     for raw, word in hidden.items():
         for text in (f"river {raw} stone", raw, f"river, {raw}."):
             assert word.split()[-1] in toxicity.restored(text, model, {}).lower().split(), text
+    for raw in ("id\u200biot", "i\u200bd\u200biot", "\u00adid\u00adiot", "stu\ufeffpid"):
+        assert toxicity.restored(f"river {raw} stone", model, {}).lower().split()[-1] in ("idiot", "stupid"), raw
     far = toxicity.restored("1diot" + "." * 3 + "x" * 60, model, {}).lower().split()
     assert any(w.startswith("idiot") for w in far)
     for plain in ("river stone", "1995-02-03", "the river. Stone", "letter - 12.5"):
@@ -391,6 +465,21 @@ def brute_removed(texts, length):
     return out
 
 
+def brute_passages(texts, length, words):
+    texts = [(t or "").encode() for t in texts]
+    count = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
+    out = []
+    for t in texts:
+        mark = np.zeros(len(t) + 2, int)
+        for i in range(len(t) - length + 1):
+            if count[t[i : i + length]] > 1:
+                mark[i + 1] += 1
+                mark[i + 1 + length] -= 1
+        edge = np.flatnonzero(np.diff((np.cumsum(mark) > 0).astype(int)))
+        out.append(sum(e - b for b, e in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True) if len(t[b:e].split()) >= words))
+    return out
+
+
 @pytest.mark.parametrize("most", [256, 3])
 def test_repeats_against_all_windows(spark, monkeypatch, most):
     monkeypatch.setattr(suffix_dedup, "MOST_CONTEXTS", most)
@@ -399,8 +488,9 @@ def test_repeats_against_all_windows(spark, monkeypatch, most):
     shared = [say(rng.randrange(30, 200)) for _ in range(6)]
     texts = [say(rng.randrange(200)) + "".join(rng.choice(shared) + say(rng.randrange(60)) for _ in range(rng.randrange(3))) for _ in range(60)]
     texts += [None, "", "short", "abc" * 80, "zabc" * 3, texts[0], texts[0], say(300) * 2, *(say(50) + shared[0] + say(50) for _ in range(20))]
-    got = by_id(suffix_dedup.repeat_digests(documents(spark, texts), length=40))
+    got = by_id(suffix_dedup.repeat_digests(documents(spark, texts), length=40, passage=25, words=3))
     assert [tuple(got[i][0][c] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")) for i in range(len(texts))] == brute_removed(texts, 40)
+    assert [got[i][0]["n_passage"] for i in range(len(texts))] == brute_passages(texts, 25, 3)
 
 
 def test_repeats_keep_rows_and_columns(spark, odd):
@@ -408,6 +498,14 @@ def test_repeats_keep_rows_and_columns(spark, odd):
     assert out.columns == [*odd.columns, "spans"] and out.count() == odd.count()
     got = by_id(out)
     assert got[0][0]["text"] is None and got[3][0]["text"] == "one two" and got[7][0]["text"] == "" and got[7][0]["spans"][0]["end"] == 5000
+    twice = documents(spark, ["x" * 500, "other text " * 50]).where("doc_id = 0")
+    got = suffix_dedup.repeat_digests(twice.unionByName(twice)).collect()
+    assert [(r["n_removed"], r["n_spans"]) for r in got] == [(500, 1), (500, 1)]
+    passage = " ".join(f"p{k % 7}q{k}" for k in range(60))
+    got = by_id(suffix_dedup.remove_repeats(documents(spark, [f"alpha {passage} two", f"third {passage} four"]), length=220, words=50))
+    assert [got[i][0]["text"] for i in (0, 1)] == ["alphatwo", "thirdfour"]
+    got = by_id(suffix_dedup.remove_repeats(documents(spark, [f"alpha {passage} two", f"third {passage} four"]), length=220, words=80))
+    assert got[0][0]["text"] == f"alpha {passage} two" and got[0][0]["spans"] is None
     assert suffix_dedup.remove_repeats(odd.where("false")).count() == 0
     assert suffix_dedup.repeat_digests(odd.where("false")).count() == 0
 
@@ -499,6 +597,48 @@ def test_pfair_deviates_by_less_than_one_block():
             assert all(abs(had[x] - (t + 1) * c / 1024) < 1 for x, c in count.items())
 
 
+def plain_mix(rows, weights, other, block):
+    """Each row's (block, release, deadline, slot) and place, by a schedule that goes slot by slot."""
+    by_source = defaultdict(list)
+    for r in sorted(rows, key=lambda r: r["doc_id"]):
+        by_source[r["source"]].append(r["doc_id"])
+    count = mixing.shares({s: weights.get(s, other) for s in by_source}, 1024)
+    slots, done, out = defaultdict(int), Counter(), {}
+    t = place = 0
+    while any(done[s] * block < len(ids) for s, ids in by_source.items()):
+        # Of the blocks released by now, that with the earliest deadline; ties as documented.
+        frame, u = divmod(t, 1024)
+        own = Counter()
+        for s, c in count.items():
+            own[s] = slots[s] - frame * c
+        ready = [(-(-(own[s] + 1) * 1024 // c), (own[s] + 1) * 1024 % c == 0, -c, s is None, s or "") for s, c in count.items() if own[s] < c and own[s] * 1024 // c <= u]
+        due, _, _, none, s = min(ready)
+        s = None if none else s
+        b = slots[s]
+        slots[s] += 1
+        for i in by_source[s][b * block : (b + 1) * block]:
+            out[i] = (b, frame * 1024 + own[s] * 1024 // count[s], frame * 1024 + due, t, place)
+            place += 1
+        done[s] = slots[s]
+        t += 1
+    return out
+
+
+def test_mixing_against_a_plain_schedule(spark):
+    rng = random.Random(8)
+    rows = [(i, rng.choice(["s1", "s1", "s1", "s2", "s3", None]), "x", 1, 2, 3, 4) for i in range(3000)]
+    d = spark.createDataFrame(rows, "doc_id long, source string, _tie string, _n int, _c int, _slot int, _row int")
+    weights = {"s1": 5.0, "s2": 1.5}
+    got = {r["doc_id"]: tuple(r[c] for c in ("block", "release", "deadline", "slot", "position")) for r in mixing.mix(d, weights, block=2, other=0.7).collect()}
+    want = plain_mix([{"doc_id": r[0], "source": r[1]} for r in rows], weights, 0.7, 2)
+    source = {r[0]: r[1] for r in rows}
+    # A source's rows come in an order of their own; which of them has a place is free, the places are not.
+    assert Counter((source[i], *x) for i, x in got.items()) == Counter((source[i], *x) for i, x in want.items())
+    ordered = mixing.mixed_order(d, weights, block=2, other=0.7)
+    assert ordered.columns == d.columns and [r["doc_id"] for r in ordered.collect()] == sorted(got, key=lambda i: got[i][4])
+    assert {r["_tie"] for r in ordered.collect()} == {"x"}
+
+
 def test_mixing_places_every_row_once(spark, odd):
     d = documents(spark, [f"t{k}" for k in range(700)])
     rows = mixing.mix(d, {"s1": 3.0, "s2": 1.0}, block=4).collect()
