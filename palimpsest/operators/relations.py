@@ -56,19 +56,40 @@ def override(rows: DataFrame, specific: DataFrame, general: DataFrame, on_specif
 
 
 def closure(nodes: DataFrame, node: str = "id", parent: str = "parent_id") -> DataFrame:
-    """(ancestor, descendant, depth) of a forest, each node at depth 0 of itself; one join for each level."""
+    """(ancestor, descendant, depth) of a forest, each node at depth 0 of itself; one join for each level.
+
+    For all pairs; `descendants` walks from one root. Below DEEPEST levels, pairs found before are left
+    out, so that a loop in the parent links ends.
+    """
     step = nodes.select(F.col(node).alias("descendant"), F.col(parent).alias("_up"))
     level = step.select(F.col("descendant").alias("ancestor"), "descendant", F.lit(0).alias("depth"))
     out, depth = level, 0
     while True:
         depth += 1
         level = level.join(step.select(F.col("descendant").alias("ancestor"), "_up"), "ancestor").where("_up is not null")
-        level = cut(level.select(F.col("_up").alias("ancestor"), "descendant", F.lit(depth).alias("depth")))
+        level = level.select(F.col("_up").alias("ancestor"), "descendant", F.lit(depth).alias("depth"))
+        level = cut(level.join(out.select("ancestor", "descendant"), ["ancestor", "descendant"], "left_anti") if depth > DEEPEST else level)
         if not level.head(1):
             return out
         out = out.unionByName(level)
 
 
+def descendants(nodes: DataFrame, root: str, order: str | None = None, node: str = "id", parent: str = "parent_id") -> DataFrame:
+    """(id, depth) of a root and all below it, a join for each level; with `order`, also place, the values of that column from below the root down.
+
+    A node has one parent, so that only a loop through the root could come back; it is cut there.
+    """
+    rows = nodes.select(F.col(node).alias("id"), F.col(parent).alias("_up"), (F.col(order) if order else F.lit(0)).cast("long").alias("_at"))
+    level = rows.where(F.col("id") == root).select("id", F.lit(0).alias("depth"), F.array().cast("array<bigint>").alias("place"))
+    out, depth = level, 0
+    while level.head(1):
+        depth += 1
+        below = rows.where(F.col("id") != root).join(level.select(F.col("id").alias("_up"), "place"), "_up")
+        level = cut(below.select("id", F.lit(depth).alias("depth"), F.concat("place", F.array("_at")).alias("place")))
+        out = out.unionByName(level)
+    return out if order else out.drop("place")
+
+
 def timeline(laws: DataFrame, release_points: DataFrame) -> DataFrame:
     """Laws and release points in order: by date (missing first), laws before release points, Congress, number.
 
@@ -79,6 +100,8 @@ def timeline(laws: DataFrame, release_points: DataFrame) -> DataFrame:
     return events.withColumns({"sort_date": first, "type_order": F.when(F.col("event_type") == "public_law", 0).otherwise(1), "number": F.coalesce("law_number", F.lit(0))})
 
 
+#: Levels of a forest below which pairs are looked up before they count.
+DEEPEST = 64
 TIMELINE_ORDER = ["sort_date", "type_order", "congress", "number", "identifier"]
 
 

@@ -157,7 +157,7 @@ def as_of_join(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {standins.NODES_SQL}, t AS (SELECT id AS ancestor, id AS descendant, 0 AS depth FROM nodes UNION ALL SELECT n.parent_id, t.descendant, t.depth + 1 FROM t JOIN nodes n ON n.id = t.ancestor WHERE n.parent_id IS NOT NULL) SELECT descendant, depth FROM t WHERE ancestor = 'r1'")
 def tree_descendants(spark: SparkSession, d: str) -> DataFrame:
-    return relations.closure(standins.nodes(spark, d)).where("ancestor = 'r1'").select("descendant", "depth")
+    return relations.descendants(standins.nodes(spark, d), "r1").select(F.col("id").alias("descendant"), "depth")
 
 
 @query(f"WITH RECURSIVE {standins.NODES_SQL}, t AS (SELECT id AS ancestor, id AS descendant, 0 AS depth FROM nodes UNION ALL SELECT n.parent_id, t.descendant, t.depth + 1 FROM t JOIN nodes n ON n.id = t.ancestor WHERE n.parent_id IS NOT NULL) SELECT descendant, ancestor, depth FROM t WHERE depth > 0")
@@ -720,3 +720,6 @@ def citation_roles(spark: SparkSession, d: str) -> DataFrame:
     rows = rows.withColumn("c", provisions.ordered_citations(plain))
     said = F.array_join(F.transform("c", lambda c: F.concat(F.substring(c["role"], 1, 1), c["law"])), ",")
     return rows.select("o_custkey", said.alias("citations"), provisions.last_modified(F.col("c")).cast("long").alias("last_modified"))
+
+
+from . import law_queries  # noqa: E402, F401  registers its queries

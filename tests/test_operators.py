@@ -276,3 +276,52 @@ def test_marks_and_reviews_of_edits():
     assert one('Section 219 of title 26 is amended by striking "219" and inserting "220".')[5:7] == ("219", "220")
     assert one('Section 5 of title 26 is amended by striking all that follows "A" and inserting "B".')[10]
     assert [r[3] for r in extract._matches("Section 5 of the Act stays and section 6 is repealed.")] == ["6"]
+
+
+def test_closures_end_in_loops(spark):
+    from palimpsest.operators import relations
+
+    nodes = spark.createDataFrame([("a", "c"), ("b", "a"), ("c", "b"), ("d", "c")], "id string, parent_id string")
+    assert {(r["ancestor"], r["descendant"]) for r in relations.closure(nodes).collect()} >= {("a", "d"), ("c", "a"), ("b", "c")}
+    assert {r["id"]: r["depth"] for r in relations.descendants(nodes, "a").collect()} == {"a": 0, "b": 1, "c": 2, "d": 3}
+
+
+def test_citations_and_notes_without_what_they_look_for(spark):
+    from palimpsest.functions import citations
+
+    rows = [("nothing",), ("Pub. L. 94-553; Pub. L. 100–1, title I.",), ("(Pub. L. 94–553, § 3(d)",), ("",), (None,), ("—Act June 23, 1947, restated it.",), ("1990—no law.",), ("1951—See Act of then.",)]
+    t = F.col("t")
+    got = spark.createDataFrame(rows, "t string").select("t", F.size(citations.law_citations(t)).alias("n"), citations.amendments(t).alias("a"), citations.first_amendment(t).alias("f")).collect()
+    assert [r["n"] for r in got][:4] == [0, 2, 1, 0]
+    assert [[(a["year"], a["congress"]) for a in r["a"] or []] for r in got] == [[], [], [], [], [], [(1947, None)], [], [(1951, None)]]
+    assert all(r["f"] is None for r in got)
+
+
+def test_headings(spark):
+    from palimpsest.functions import headings
+
+    cases = {"THE ACT OF A CROSS-BORDER STATE": "The Act of a Cross-Border State", "Mixed Case OF it": "Mixed Case OF it", "12": "12"}
+    got = spark.createDataFrame([(k,) for k in cases], "t string").select("t", headings.title_cased(F.col("t")).alias("x")).collect()
+    assert {r["t"]: r["x"] for r in got} == cases
+    got = spark.createDataFrame([("no dash",), ("One two three four five six seven—x",), ("It ends.—x",), ("Definitions—The term",)], "t string").select(headings.split_header(F.col("t")).alias("x")).collect()
+    assert [r["x"]["header"] for r in got] == [None, None, None, "Definitions"]
+
+
+def test_playing_to_a_release_point_that_is_not_ahead(spark):
+    from palimpsest.operators import chrono, relations
+
+    rows = [("public_law", "L1", 1, 1, "2000-01-01"), ("release_point", "R1", 1, None, "2000-01-01"), ("public_law", "L2", 1, 2, None), ("release_point", "R2", 1, None, "2001-01-01")]
+    e = spark.createDataFrame(rows, "event_type string, identifier string, congress int, law_number int, day string").withColumn("event_date", F.col("day").cast("date")).drop("day")
+    events = relations.timeline(e.where("event_type = 'public_law'"), e.where("event_type = 'release_point'"))
+    assert [r["identifier"] for r in chrono.next_events(events, "L2", 5).collect()] == ["L1", "R1", "R2"]
+    assert chrono.pending_events(events, "unknown").count() == 4
+    assert {r["identifier"] for r in chrono.events_until(events, "L1", "R2").collect()} == {"R1", "R2"}
+    with pytest.raises(KeyError):
+        chrono.events_until(events, "R2", "R1")
+
+
+def test_rules_without_rule_x(spark):
+    from palimpsest.operators import committees
+
+    assert committees.rule_x("<p>RULE IX</p><p>(a) Committee on X.</p>") == []
+    assert committees.rule_x("<p>Rule X.</p><p>(a) Committee on the Budget.</p><p>(b) Permanent Select Committee on Intelligence.</p><p>(1) Spies.</p>") == [("a", "Committee on the Budget", 0, ""), ("b", "Permanent Select Committee on Intelligence", 1, "Spies.")]
