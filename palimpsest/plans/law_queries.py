@@ -13,7 +13,7 @@ from ..functions.text import en_dashed, indent_level, is_roman, plain_dashed, pu
 from ..functions.text import chamber as chamber_of
 from ..functions.text import citation, edit_words, first_replaced, full_name, party, shortened
 from ..functions.dates import display_date, first_year, prose_date
-from ..operators import catalog, chrono, committees, history, relations, viewer
+from ..operators import catalog, chrono, committees, history, maintenance, notes, relations, viewer
 from ..sources.tables import table
 from . import standins
 from .queries import _ALL_EVENTS, _all_events, query
@@ -499,3 +499,109 @@ def section_views(spark: SparkSession, d: str) -> DataFrame:
     states = snapshots.states_at(rows, chain).withColumn("group_id", (F.col("title_number") % 25).cast("int"))
     groups = table(spark, d, "nation").select(F.col("n_nationkey").cast("int").alias("group_id"), F.col("n_name").alias("heading"))
     return viewer.section_view(states, rows, chain, groups).select("title_number", "section_number", "group_heading", "changes", "changed_at", "first_revision", "has_notes")
+
+
+# Notes and upkeep
+
+
+def _raw_notes() -> Column:
+    k = F.col("o_orderkey")
+    return said(
+        F.when(k % 10 == 0, "Transferred: reclassified as section 12a of Title 34. ").when(k % 10 == 1, "Omitted by the reviser. ").otherwise(""),
+        "[NH]Derivation[/NH]From an act of ", k, ", of which little else is known.[H1]Editorial Notes[/H1][NH]Amendments[/NH]", F.col("year"), "—Pub. L. ", F.col("congress"), "–", F.col("law"), " struck out some of the words.",
+        "[NH]Codification[/NH]short[H1]Statutory Notes and Related Subsidiaries[/H1][NH]Short Title[/NH]Pub. L. 9–", k, ' is the "Order Act of 1999" as it was then enacted.[NH]Savings[/NH]One word headings are no notes here, however long they are.',
+        "[NH]Effective Date[/NH][PARA]It takes effect on [H2]the day[/H2] [QC:2]quoted words[/QC] that follows all others.",
+    )
+
+
+def _note_rows(spark: SparkSession, d: str) -> DataFrame:
+    return _orders(spark, d).select("o_orderkey", _raw_notes().alias("raw_notes"))
+
+
+@query(f"""WITH o AS (SELECT o_orderkey, {_ORDER} FROM orders)
+SELECT o_orderkey, 0 AS position, 'historical' AS category, 'Derivation' AS header, 'From an act of ' || o_orderkey || ', of which little else is known.' AS content FROM o
+UNION ALL SELECT o_orderkey, 1, 'editorial', 'Amendments', year || '—Pub. L. ' || congress || '–' || law || ' struck out some of the words.' FROM o
+UNION ALL SELECT o_orderkey, 2, 'statutory', 'Short Title', 'Pub. L. 9–' || o_orderkey || ' is the "Order Act of 1999" as it was then enacted.' FROM o
+UNION ALL SELECT o_orderkey, 3, 'statutory', 'Effective Date', 'It takes effect on the day quoted words that follows all others.' FROM o""")
+def notes_by_category(spark: SparkSession, d: str) -> DataFrame:
+    """Notes under a section, by category, without noise."""
+    return notes.by_category(notes.notes_document(_note_rows(spark, d), ["o_orderkey"]), ["o_orderkey"])
+
+
+@query(f"""WITH o AS (SELECT o_orderkey, {_ORDER} FROM orders)
+SELECT o_orderkey, 'editorial,historical,statutory' AS categories, CAST(year AS INTEGER) AS first_year, 'PL ' || congress || '-' || law AS first_law, 1 AS amended, 'Order Act of 1999' AS short_title, CASE WHEN o_orderkey % 10 = 0 THEN '34 U.S.C. § 12a' END AS transferred_to, o_orderkey % 10 = 1 AS omitted, true AS has_amendments FROM o""")
+def notes_documents(spark: SparkSession, d: str) -> DataFrame:
+    """What a section's notes say as a whole."""
+    doc = notes.notes_document(_note_rows(spark, d), ["o_orderkey"])
+    return doc.select("o_orderkey", F.array_join("categories", ",").alias("categories"), F.col("first_amendment.year").alias("first_year"), F.col("first_amendment.law").alias("first_law"), F.size("amendments").alias("amended"), F.get("short_titles", F.lit(0))["title"].alias("short_title"), "transferred_to", "omitted", "has_amendments")
+
+
+@query("""SELECT o_orderkey, 0 AS position, 'text' AS kind, 0 AS indent, 'It takes effect on' AS text FROM orders UNION ALL SELECT o_orderkey, 1, 'header', 0, 'the day ' || o_orderkey FROM orders
+UNION ALL SELECT o_orderkey, 2, 'quoted', 2, 'quoted words' FROM orders UNION ALL SELECT o_orderkey, 3, 'signature', 0, 'A. B.' FROM orders UNION ALL SELECT o_orderkey, 4, 'text', 0, 'and after.' FROM orders""")
+def note_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Typed lines of notes."""
+    raw = said("[PARA]It takes   effect on [H2]the day ", F.col("o_orderkey"), "[/H2] [QC:2]quoted words[/QC]\n[SIG]A. B.[/SIG][PARA]and after.")
+    return table(spark, d, "orders").select("o_orderkey", F.posexplode(notes.typed_lines(raw)).alias("position", "x")).select("o_orderkey", "position", "x.kind", "x.indent", "x.text")
+
+
+@query("""SELECT o_orderkey, '(a) The text of ' || o_orderkey || '.' AS law, CASE CAST(o_orderkey % 3 AS INTEGER) WHEN 0 THEN 'Amendments' || chr(10) || '1990—x' WHEN 1 THEN '(Pub. L. 94–553, § 3.)' || chr(10) || 'Codification' END AS notes FROM orders""")
+def text_and_notes(spark: SparkSession, d: str) -> DataFrame:
+    """Section texts apart from their notes."""
+    k = F.col("o_orderkey")
+    text = said("(a) The text of ", k, ".", F.when(k % 3 == 0, "\n Amendments\n1990—x").when(k % 3 == 1, " (Pub. L. 94–553, § 3.)\nCodification").otherwise(""))
+    out = notes.separated(text)
+    return table(spark, d, "orders").select("o_orderkey", out["law"].alias("law"), out["notes"].alias("notes"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'changed' ELSE c_name END AS c_name, ['x' || c_custkey % 5] AS tags FROM customer WHERE c_custkey % 3 = 0 OR c_custkey % 5 = 4")
+def changed_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Rows that a recomputation changes, nested columns compared too."""
+    k = F.col("c_custkey")
+    c = table(spark, d, "customer")
+    old = c.select("c_custkey", "c_name", F.array(F.when(k % 5 == 4, "old").otherwise(said("x", k % 5))).alias("tags"))
+    new = c.select("c_custkey", F.when(k % 3 == 0, "changed").otherwise(F.col("c_name")).alias("c_name"), F.array(said("x", k % 5)).alias("tags"))
+    return maintenance.changed_rows(old, new, ["c_custkey"])
+
+
+@query("SELECT o_custkey, CAST(coalesce(max(o_orderdate) FILTER (o_orderkey % 4 > 0), max(o_orderdate)) AS DATE) AS last_modified FROM orders GROUP BY 1")
+def last_modified_dates(spark: SparkSession, d: str) -> DataFrame:
+    """The newest date of each section that isn't the original act's."""
+    rows = table(spark, d, "orders").select("o_custkey", F.to_date("o_orderdate").alias("date"), (F.col("o_orderkey") % 4 == 0).alias("is_original"))
+    return maintenance.last_modified(rows, ["o_custkey"])
+
+
+@query("SELECT l_orderkey, count(*) FILTER (l_linenumber < 5 AND l_returnflag <> 'A') AS generated, count(*) FILTER (l_linenumber < 5 AND l_returnflag = 'A') AS skipped, count(*) FILTER (l_linenumber >= 5) AS unresolved, nullif(concat_ws(',', CASE WHEN count(*) FILTER (l_linenumber < 5 AND l_returnflag = 'N') > 0 THEN 'N:' || count(*) FILTER (l_linenumber < 5 AND l_returnflag = 'N') END, CASE WHEN count(*) FILTER (l_linenumber < 5 AND l_returnflag = 'R') > 0 THEN 'R:' || count(*) FILTER (l_linenumber < 5 AND l_returnflag = 'R') END), '') AS by_type FROM lineitem GROUP BY 1")
+def diff_reports(spark: SparkSession, d: str) -> DataFrame:
+    """What came of each law's edits."""
+    rows = table(spark, d, "lineitem").select("l_orderkey", F.col("l_partkey").alias("title_number"), F.when(F.col("l_linenumber") < 5, F.col("l_suppkey").cast("string")).alias("section_number"), (F.col("l_returnflag") == "A").alias("needs_review"), F.col("l_returnflag").alias("change_type"))
+    out = maintenance.diff_report(rows, ["l_orderkey"])
+    listed = F.array_join(F.transform(F.map_entries("by_type"), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ",")
+    return out.select("l_orderkey", "generated", "skipped", "unresolved", listed.alias("by_type"))
+
+
+@query("SELECT c_custkey, string_agg(o_orderkey || '=' || coalesce(n_name, '?'), ',' ORDER BY o_orderkey) AS cited FROM customer JOIN orders ON o_custkey = c_custkey LEFT JOIN nation ON n_nationkey = o_orderkey % 40 GROUP BY 1")
+def enriched_citations(spark: SparkSession, d: str) -> DataFrame:
+    """Lists of citations with the laws' titles."""
+    k = F.col("o_orderkey")
+    listed = F.sort_array(F.collect_list(F.struct(k.alias("law_number"), (k % 40).cast("int").alias("congress"))))
+    rows = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(listed.alias("citations"))
+    named = table(spark, d, "orders").select((k % 40).cast("int").alias("congress"), k.alias("law_number")).join(table(spark, d, "nation").select(F.col("n_nationkey").cast("int").alias("congress"), F.col("n_name").alias("title")), "congress")
+    out = maintenance.enriched_citations(rows, ["c_custkey"], named)
+    return out.select("c_custkey", F.array_join(F.transform("citations", lambda x: said(x["law_number"], "=", F.coalesce(x["title"], F.lit("?")))), ",").alias("cited"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, 'Modify ' || l_partkey || ' U.S.C. § ' || l_suppkey || CASE CAST(l_linenumber % 3 AS INTEGER) WHEN 0 THEN ': "a" → "' || substr(repeat('b', 60), 1, 47) || '..."' WHEN 1 THEN ': - "a"' ELSE '' END AS description, CAST(CASE WHEN l_linenumber % 2 = 0 THEN DATE '2000-01-01' ELSE o_orderdate END AS DATE) AS effective_date FROM lineitem JOIN orders ON o_orderkey = l_orderkey""")
+def stored_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Changes with their descriptions and the days from which they hold."""
+    n = F.col("l_linenumber")
+    text = maintenance.change_description(F.lit("Modify"), F.col("l_partkey"), F.col("l_suppkey").cast("string"), F.when(n % 3 < 2, "a"), F.when(n % 3 == 0, "b" * 60))
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", text.alias("description"), F.when(n % 2 == 0, F.lit("2000-01-01").cast("date")).alias("effective_date"))
+    laws = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.to_date("o_orderdate").alias("enacted_date"))
+    return maintenance.stored_changes(rows, laws, ["l_orderkey"])
+
+
+@query("SELECT doc_id, CASE WHEN text LIKE '%a b%' THEN replace(text, 'a b', 'a—b') ELSE text END AS content FROM documents")
+def replaced_notes(spark: SparkSession, d: str) -> DataFrame:
+    """A pattern replaced inside notes."""
+    rows = table(spark, d, "documents").select("doc_id", F.array(F.struct(F.lit("h").alias("header"), F.col("text").alias("content"))).alias("notes"))
+    return rows.select("doc_id", F.get(maintenance.replaced_in(F.col("notes"), "a b", "a—b"), F.lit(0))["content"].alias("content"))
