@@ -5,15 +5,18 @@ from __future__ import annotations
 import heapq
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, numbered, pieces
+from .common import cut, numbered, pieces, running
 
 #: Slots of a frame, at least, and for each source; the frame's schedule repeats.
 SLOTS, SLOTS_EACH = 1024, 8
 #: Rows of a block.
 BLOCK = 64
+#: So many sources' slots are broadcast, at most.
+MOST_SOURCES = 10_000
 
 
 def shares(weights: Mapping[str | None, float], slots: int) -> dict[str | None, int]:
@@ -54,53 +57,67 @@ def pfair(counts: Mapping[str | None, int]) -> list[tuple[str | None, int, int,
     return out
 
 
-def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, key: str = "doc_id", source: str = "source", block: int = BLOCK) -> DataFrame:
+def frame_plan(sources: DataFrame, weights: Mapping[str | None, float] | None, other: float) -> DataFrame:
+    """(_source, _c, _all, _slots) for each source: its slots in a frame, how many a frame has, and which are its own.
+
+    One task makes the frame's schedule from a row for each source: at most SLOTS_EACH slots a source, or SLOTS.
+    """
+    kind = sources.schema[0].dataType.simpleString()
+
+    def plan(p: pd.DataFrame) -> pd.DataFrame:
+        names = [None if pd.isna(x) else x for x in p["_source"]]
+        given = {s: float(weights.get(s, other)) if weights else 1.0 for s in names}
+        if not any(given.values()):
+            given = dict.fromkeys(names, 1.0)
+        count = shares(given, max(SLOTS, SLOTS_EACH * len(names)))
+        own: dict[str | None, list[int]] = {s: [] for s in names}
+        for s, _, _, _, slot in pfair(count):
+            own[s].append(slot)
+        return pd.DataFrame({"_source": names, "_c": [count[s] for s in names], "_all": sum(count.values()), "_slots": [own[s] for s in names]})
+
+    return sources.distinct().withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(plan, f"_source {kind}, _c long, _all long, _slots array<long>")
+
+
+def _placed(docs: DataFrame, weights: Mapping[str | None, float] | None, other: float, key: str, source: str, block: int) -> DataFrame:
+    """_record (all columns), _n (number in the source), _block, _release, _deadline and _slot of each row."""
+    plan = cut(frame_plan(docs.select(F.col(source).alias("_source")), weights, other))
+    if plan.count() <= MOST_SOURCES:
+        plan = F.broadcast(plan)
+    rest = [F.col(c) for c in docs.columns if c != key]
+    rows = docs.select(F.struct("*").alias("_record"), F.col(source).alias("_from"), F.col(key).alias("_key"), (F.xxhash64(*rest) if rest else F.lit(0)).alias("_tie"))
+    rows = numbered(rows, ["_from"], ["_key", "_tie"], "_n", pieces(docs, 16 << 20, 64)).withColumn("_block", F.floor(F.col("_n") / block).cast("long"))
+    rows = rows.join(plan, F.col("_from").eqNullSafe(F.col("_source")))
+    frame, i = F.floor(F.col("_block") / F.col("_c")).cast("long") * F.col("_all"), F.col("_block") % F.col("_c")
+    release = F.floor(i * F.col("_all") / F.col("_c")).cast("long")
+    deadline = F.ceil((i + 1) * F.col("_all") / F.col("_c")).cast("long")
+    return rows.select("_record", "_n", "_block", (frame + release).alias("_release"), (frame + deadline).alias("_deadline"), (frame + F.element_at("_slots", i.cast("int") + 1)).alias("_slot"))
+
+
+def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, key: str = "doc_id", source: str = "source", block: int = BLOCK, other: float = 0.0) -> DataFrame:
     """Orders all rows so that, block by block, each source gets its target share.
 
-    Adds to the table block (a source's rows in the order of their keys, `block` at a time),
+    Adds to the table block (a source's rows, `block` at a time, in an order that the keys' hashes fix),
     release, deadline and slot of the block, and position (gapless from 0, in slot order). weights
-    are by source, all equal if not given; sources without one have weight 0 in the shares but get
-    one slot a frame, so that no row is lost. While a source has blocks left, it has had less than
-    one block more or less than its share of the slots; slots of sources that have run out stay
-    empty and don't count for position.
+    are by source, all equal if not given; sources without one have the weight `other`, and every
+    source gets one slot a frame at least, so that no row is lost. While a source has blocks left, it
+    has had less than one block more or less than its share of the slots; slots of sources that have
+    run out stay empty and don't count for position.
 
     Null sources are a source of their own. Repeated rows and null keys get positions of their own.
-    An empty table gives no rows. Other columns stay; those of the names added are replaced.
+    An empty table gives no rows. Other columns stay, whatever their names; those of the names added
+    are replaced.
     """
     added = ["block", "release", "deadline", "slot", "position"]
     docs = docs.drop(*added)
-    sources = [r[0] for r in docs.select(source).distinct().collect()]
-    given = {s: float((weights or {}).get(s, 0.0) if weights else 1.0) for s in sources}
-    if sources and not any(given.values()):
-        given = dict.fromkeys(sources, 1.0)
-    slots = max(SLOTS, SLOTS_EACH * len(sources))
-    frame = pfair(shares(given, slots)) if sources else []
-    spark = docs.sparkSession
-    kind = docs.schema[source].dataType.simpleString()
-    plan = spark.createDataFrame([(s, i, r, d, t) for s, i, r, d, t in frame], f"_source {kind}, _i long, _release long, _deadline long, _slot long")
-    each = plan.groupBy("_source").agg(F.count(F.lit(1)).alias("_c"))
-
-    # Rows are numbered by key and hash alone; the table joins on afterwards only if it repeats keys.
-    rest = [c for c in docs.columns if c != key]
-    rows = docs.withColumn("_tie", F.xxhash64(*rest) if rest else F.lit(0))
-    rows = numbered(rows, [source], [key, "_tie"], "_n", pieces(docs, 16 << 20, 64))
-    rows = rows.withColumn("block", F.floor(F.col("_n") / block).cast("long"))
-    rows = rows.join(F.broadcast(each), F.col(source).eqNullSafe(F.col("_source")), "left").drop("_source")
-    rows = rows.withColumns({"_frame": F.floor(F.col("block") / F.col("_c")).cast("long"), "_i": F.col("block") % F.col("_c")})
-    rows = rows.join(F.broadcast(plan.withColumnRenamed("_i", "_j")), F.col(source).eqNullSafe(F.col("_source")) & (F.col("_i") == F.col("_j")), "left")
-    base = F.col("_frame") * slots
-    rows = rows.withColumns({"release": base + F.col("_release"), "deadline": base + F.col("_deadline"), "slot": base + F.col("_slot"), "_at": F.col("_n") % block})
-    # Positions: rows of earlier frames, then of earlier slots of the frame, then of the block.
-    filled = cut(rows.groupBy("_frame", "slot").agg(F.count(F.lit(1)).alias("_rows")))
-    frames = filled.groupBy("_frame").agg(F.sum("_rows").alias("_rows"))
-    begin = frames.select(F.col("_frame"), (F.sum("_rows").over(Window.orderBy("_frame")) - F.col("_rows")).alias("_begin"))
-    inner = F.sum("_rows").over(Window.partitionBy("_frame").orderBy("slot")) - F.col("_rows")
-    starts = filled.withColumn("_inner", inner).join(begin, "_frame").select(F.col("slot").alias("_s"), (F.col("_begin") + F.col("_inner")).alias("_start"))
-    out = rows.join(starts, F.col("slot") == F.col("_s")).withColumn("position", F.col("_start") + F.col("_at"))
-    return out.select(*docs.columns, *added)
-
-
-def mixed_order(docs: DataFrame, weights: Mapping[str | None, float] | None = None, key: str = "doc_id", source: str = "source", block: int = BLOCK) -> DataFrame:
-    """The table's rows in the order of `mix`: partitions follow one another and are sorted."""
-    out = mix(docs, weights, key, source, block)
-    return out.repartitionByRange(pieces(docs, 16 << 20), "position").sortWithinPartitions("position").select(*docs.columns)
+    rows = _placed(docs, weights, other, key, source, block)
+    filled = cut(rows.groupBy("_slot").agg(F.count(F.lit(1)).alias("_rows")))
+    starts = running(filled, "_slot", "_rows", "_start").withColumnRenamed("_slot", "_s")
+    out = rows.join(starts, F.col("_slot") == F.col("_s"))
+    own = [F.col(f"_record.`{c}`").alias(c) for c in docs.columns]
+    return out.select(*own, *(F.col(f"_{c}").alias(c) for c in added[:-1]), (F.col("_start") + F.col("_n") % block).alias("position"))
+
+
+def mixed_order(docs: DataFrame, weights: Mapping[str | None, float] | None = None, key: str = "doc_id", source: str = "source", block: int = BLOCK, other: float = 0.0) -> DataFrame:
+    """The table's rows in the order of `mix`: partitions follow one another and are sorted by slot."""
+    out = _placed(docs, weights, other, key, source, block).repartitionByRange(pieces(docs, 16 << 20), "_slot", "_n").sortWithinPartitions("_slot", "_n")
+    return out.select(*(F.col(f"_record.`{c}`").alias(c) for c in docs.columns))

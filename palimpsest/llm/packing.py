@@ -12,12 +12,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, tidied
 
 #: Windows held open by a task; beyond that, the open ones are filled up from one another.
 MOST_OPEN = 2048
-#: Pre-tokens whose ids a worker remembers.
-MOST_KNOWN = 400_000
+#: Pre-tokens whose ids a task remembers, at most (some 200 bytes each); then it begins anew.
+MOST_KNOWN = 200_000
 SLICE = 2 << 20
 #: Texts of these characters alone split into pre-tokens in the same way here as in the tokenizer.
 PLAIN = re.compile(r"[a-zß-öø-ÿ0-9!-/:-@\[-`{-~ \t-\r]*")
@@ -214,8 +214,9 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4
                 yield batch()
         if rows:
             yield batch()
+        encode.known.clear()
 
     from pyspark.sql.pandas.types import to_arrow_type
 
     key_type = [to_arrow_type(docs.schema[key].dataType)]
-    return docs.select(F.col(key), F.col(text).cast("binary").alias("_text")).mapInArrow(run, schema)
+    return docs.select(F.col(key), F.col(text).cast("binary").alias("_text")).mapInArrow(tidied(run), schema)

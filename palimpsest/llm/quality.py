@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, text_bytes, with_column
+from .common import mixed, text_bytes, tidied, with_column
 from .ngram_join import words
 from .toxicity import held_out, labelled_sample
 
@@ -151,7 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, mos
             yield pd.DataFrame({"features": [r.astype(np.int32).tobytes() for r in own], "good": p["_label"] > 0, "order": pd.util.hash_array(p["_text"].to_numpy(object), categorize=False).astype(np.int64)})
 
     sample = labelled_sample(docs, labels, label, key, text, most_labelled)
-    got = sample.mapInPandas(features, "features binary, good boolean, order long").toPandas().sort_values(["order", "good"])
+    got = sample.mapInPandas(tidied(features), "features binary, good boolean, order long").toPandas().sort_values(["order", "good"])
     return Model([np.frombuffer(x, np.int32).astype(np.int64) for x in got["features"]], got["good"].to_numpy(bool))
 
 

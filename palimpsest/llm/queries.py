@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from .common import table
 
 
+#: Target weights of sources that count more than the others, whose weight is 1.
+TARGETS = {"src0": 8.0, "src1": 3.0, "src2": 2.0}
+
+
 def op1_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -68,7 +72,8 @@ def op9_minimum_cut_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
-    return mix(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars")
+    return mix(docs, TARGETS, other=1.0)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -1,7 +1,10 @@
 """Each operator against a brute-force version on small tables, with the odd cases of its docstring."""
 
 import hashlib
+import html
+import math
 import random
+import re
 import time
 import zlib
 from collections import Counter, defaultdict
@@ -285,9 +288,43 @@ def test_sharding_counts_slots_and_moves(spark, odd):
     assert sharding.shard(odd.where("false"), [1.0]).count() == 0
 
 
+def plain_rendezvous(key, weights):
+    def score(k):
+        u = (int(hashlib.md5(f"{key}:{k}".encode()).hexdigest()[:13], 16) + 0.5) / 16**13
+        return -math.log(u) / weights[k]
+
+    return min((k for k in range(len(weights)) if weights[k] > 0), key=lambda k: (score(k), k))
+
+
+def test_shards_against_a_plain_rendezvous(spark):
+    weights = [1.0] * 10 + [2.5, 0.0] + [0.5] * 12
+    for r in sharding.shard(documents(spark, [f"t{k}" for k in range(400)]), weights).collect():
+        assert (r["shard"], r["grown_shard"]) == (plain_rendezvous(r["doc_id"], weights), plain_rendezvous(r["doc_id"], [*weights, 1.0]))
+
+
 # 5 and 7. Classifiers
 
 
+def test_indicators_and_ratios_against_plain_ones():
+    texts = [b"Good words, here and there.", b"bad bad bad bad!! bad", b"", b"x", b"One two one two THREE\n"]
+    bounds = np.cumsum([0, *map(len, texts)])
+    rows = quality.indicators(np.frombuffer(b"".join(texts), np.uint8), bounds)
+    for text, row in zip(texts, rows, strict=True):
+        shape = [int(quality._SHAPE[b]) for b in text]
+        want = {sum(shape[i + j] << 5 * j for j in range(3)) for i in range(len(shape) - 2)}
+        assert {int(x) for x in row if x < quality.WIDTH} == want
+        words = text.lower().split()
+        again = [a == b for a, b in zip(words, words[1:], strict=False)]
+        share = [int(x) - 2 * quality.WIDTH - len(quality.REPEATS) for x in row if x >= 2 * quality.WIDTH + len(quality.REPEATS)]
+        assert share == ([int(10 * np.mean(again))] if again else [])
+    good = np.array([True, False, True, False, True])
+    ratio = quality.log_count_ratios(rows, good)
+    count = lambda f, side: sum(f in set(r.tolist()) for r, g in zip(rows, good, strict=True) if g == side) + 1.0
+    total = [sum(len(r) for r, g in zip(rows, good, strict=True) if g == side) + quality.SIZE for side in (True, False)]
+    for f in {int(x) for r in rows for x in r}:
+        assert abs(ratio[f] - math.log(count(f, True) / total[0] / (count(f, False) / total[1]))) < 1e-9
+
+
 def test_quality_on_held_out_rows(spark):
     d, y = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = quality.score_quality(d, y).join(y, "doc_id").where("held_out").collect()
@@ -540,6 +577,22 @@ def test_pages(spark):
     assert html_extract.extract_main_text(d.where("false")).count() == 0
 
 
+def plain_article(page):
+    """The blocks of the page's <article>, by plain splitting at block tags; adverts, forms and the like inside it go."""
+    m = re.search(r"(?is)<article\b[^>]*>(.*?)</article>", page)
+    body = re.sub(r"(?is)<!--.*?-->|<(script|style|form|aside|nav)\b.*?</\1>|<(\w+)[^>]*class=\"(?:ad|advert|share|newsletter|related|comments?)\b[^\"]*\"[^>]*>.*?</\2>", " ", m[1])
+    parts = re.split(r"(?i)</?(?:p|h[1-6]|div|ul|ol|li|blockquote|section|table|tr|td|th|pre|figure|figcaption)\b[^>]*>", body)
+    texts = [" ".join(html.unescape(re.sub(r"(?i)<br\b[^>]*>", " ", x) if "<" not in x else re.sub(r"<[^>]*>", "", re.sub(r"(?i)<br\b[^>]*>", " ", x))).split()) for x in parts]
+    return "\n".join(t for t in texts if t)
+
+
+def test_pages_are_their_articles(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_main_text(pages).collect()}
+    want = {r["page_id"]: plain_article(r["html"]) for r in pages.collect() if r["html"] and re.search("(?i)<article", r["html"])}
+    assert len(want) > 100 and sum(got[i] == t for i, t in want.items()) / len(want) > 0.97
+
+
 def test_open_heads_and_controls_end_with_the_first_block():
     said = "The article has sentences. They are long enough to be kept, and they end with stops."
     for page in (
