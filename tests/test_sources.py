@@ -48,3 +48,26 @@ def test_windowed_counts_are_final_after_the_watermark(spark, tmp_path):
 def test_revision_status_changes_only_where_allowed(spark):
     d = spark.createDataFrame([(1, "Ingesting"), (2, "Failed")], "revision_id long, status string")
     assert sorted(map(tuple, sinks.status_after(sinks.status_after(d, 1, "Ingested"), 2, "Ingested").collect())) == [(1, "Ingested"), (2, "Failed")]
+
+NOTES = """<uslm xmlns="http://schemas.gpo.gov/xml/uslm"><main><title identifier="/us/usc/t5"><num value="5"/><chapter identifier="/us/usc/t5/ch1">
+<section><num value="7">§ 7.</num><heading>Rules<ref class="footnoteRef">1</ref><note type="footnote"><num>1</num> So in original.</note></heading><content>Text of <ref href="/us/usc/t17/s106">section 106</ref>(a)(1) of it.</content>
+<sourceCredit>(<ref href="/us/pl/94/553">Pub. L. 94–553</ref>, § 3 .)</sourceCredit>
+<notes><note><heading>Editorial Notes</heading></note><note><heading>Amendments</heading><p>1990—<ref href="/us/pl/101/5">Pub. L. 101–5</ref> struck out some of it.</p></note>
+<note><heading>Effective Date</heading><p>It says: <quotedContent>Words</quotedContent></p><signature>A. B.</signature></note></notes></section></chapter></title></main></uslm>"""
+
+
+def test_notes_of_sections(spark):
+    from palimpsest.operators import notes
+    from palimpsest.sources import uslm_notes
+
+    files = spark.createDataFrame([("t5.xml", NOTES), ("bad.xml", "<a>"), ("null.xml", None)], "path string, text string")
+    got = uslm_notes.complete_notes(uslm_notes.section_notes(files)).collect()
+    assert len(got) == 1
+    r = got[0]
+    assert (r["title_number"], r["section_number"], r["heading"], r["source_credit"]) == (5, "7", "Rules", "(Pub. L. 94–553, § 3.)")
+    assert r["footnotes"] == ["1 So in original."] and [x["level"] for x in r["levels"]] == ["title", "chapter"]
+    assert [(x["kind"], x["suffix"], x["note"]) for x in r["refs"]] == [("usc_section", "(a)(1)", None), ("public_law", "", None), ("public_law", "", "Amendments")]
+    assert "[NH]Amendments[/NH] 1990—Pub. L. 101–5 struck out some of it.[PARA]" in r["raw_notes"] and "[QC:1]Words[/QC]" in r["raw_notes"] and "[SIG]A. B.[/SIG]" in r["raw_notes"]
+    assert {x["path"] for x in uslm_notes.rejected_files(files).collect()} == {"bad.xml", "null.xml"}
+    doc = notes.notes_document(uslm_notes.complete_notes(uslm_notes.section_notes(files)), ["section_number"], "notes_text").collect()[0]
+    assert [(c["congress"], c["law_number"]) for c in doc["citations"]] == [(94, 553)] and [(a["year"], a["congress"]) for a in doc["amendments"]] == [(1990, 101)]
