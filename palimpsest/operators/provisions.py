@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -65,17 +66,21 @@ def patch(lines: list[str], changes: list[tuple[str, str | None, str | None]]) -
 
 
 def patch_sections(sections: DataFrame, changes: DataFrame, key: list[str], text: str = "text_content") -> DataFrame:
-    """Patches the lines of all sections that have changes; one section's changes are a group."""
-    before = changes.select(*key).distinct().join(sections.select(*key, F.col(text).alias("_before")), key)
+    """Patches the lines of all sections that have changes, many sections to a batch; a section's changes are what is enacted for it."""
+    steps = F.sort_array(F.collect_list(F.struct("change_id", "change_type", "old_text", "new_text")))
+    rows = changes.groupBy(*key).agg(steps.alias("_s")).join(sections.select(*key, F.col(text).alias("_before")), key)
+    rows = rows.select(*key, "_before", *(F.col(f"_s.{c}").alias(c) for c in ("change_type", "old_text", "new_text")))
     kinds = ", ".join(f"{k} {changes.schema[k].dataType.simpleString()}" for k in key)
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("change_id")
-        none = lambda x: x if isinstance(x, str) else None
-        lines = patch((none(p["_before"].iat[0]) or "").split("\n"), [(k, none(o), none(n)) for k, o, n in zip(p["change_type"], p["old_text"], p["new_text"], strict=True)])
-        return pd.DataFrame([{**{k: p[k].iat[0] for k in key}, "text_content": "\n".join(lines), "lines": len(lines)}])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            done = []
+            for own, before, *lists in zip(p[key].itertuples(index=False), p["_before"], p["change_type"], p["old_text"], p["new_text"], strict=True):
+                lines = patch((before if isinstance(before, str) else "").split("\n"), list(zip(*lists, strict=True)))
+                done.append((*own, "\n".join(lines), len(lines)))
+            yield pd.DataFrame(done, columns=[*key, "text_content", "lines"])
 
-    return changes.join(before, key).groupBy(*key).applyInPandas(run, f"{kinds}, text_content string, lines long")
+    return rows.mapInPandas(run, f"{kinds}, text_content string, lines long")
 
 
 def ordered_citations(citations: Column) -> Column:

@@ -13,7 +13,7 @@ from ..functions.text import en_dashed, indent_level, is_roman, plain_dashed, pu
 from ..functions.text import chamber as chamber_of
 from ..functions.text import citation, edit_words, first_replaced, full_name, party, shortened
 from ..functions.dates import display_date, first_year, prose_date
-from ..operators import catalog, chrono, committees, history, maintenance, notes, relations, viewer
+from ..operators import catalog, chrono, committees, history, maintenance, notes, prose, relations, viewer
 from ..sources.tables import table
 from . import standins
 from .queries import _ALL_EVENTS, _all_events, query
@@ -605,3 +605,53 @@ def replaced_notes(spark: SparkSession, d: str) -> DataFrame:
     """A pattern replaced inside notes."""
     rows = table(spark, d, "documents").select("doc_id", F.array(F.struct(F.lit("h").alias("header"), F.col("text").alias("content"))).alias("notes"))
     return rows.select("doc_id", F.get(maintenance.replaced_in(F.col("notes"), "a b", "a—b"), F.lit(0))["content"].alias("content"))
+
+
+# Prose
+
+
+@query("""SELECT o_orderkey, CASE CAST(o_orderkey % 4 AS INTEGER) WHEN 0 THEN 'New text ' || o_orderkey || ' “inner” end.' WHEN 1 THEN 'all of it ' || o_orderkey WHEN 2 THEN 'later ' || o_orderkey ELSE 'a paragraph of ' || o_orderkey END AS text,
+  CASE CAST(o_orderkey % 4 AS INTEGER) WHEN 0 THEN 0.9 WHEN 1 THEN 0.6 WHEN 2 THEN 0.9 ELSE 0.5 END::DOUBLE AS confidence, CASE CAST(o_orderkey % 4 AS INTEGER) WHEN 0 THEN 'quoted' WHEN 1 THEN 'colon_to_section' WHEN 2 THEN 'quoted' ELSE 'paragraph' END AS method FROM orders""")
+def following_texts(spark: SparkSession, d: str) -> DataFrame:
+    """What instructions introduce, in each of the ways."""
+    k = F.col("o_orderkey")
+    text = F.when(k % 4 == 0, said("x: “New text ", k, " “inner” end.” tail")).when(k % 4 == 1, said("x: all of it ", k, "\n(b) more")).when(k % 4 == 2, said("x and then \"later ", k, "\" y")).otherwise(said("x a paragraph of ", k, "\n\nmore"))
+    got = table(spark, d, "orders").select("o_orderkey", prose.following_text(text, F.lit(1)).alias("f"))
+    return got.select("o_orderkey", "f.text", "f.confidence", "f.method")
+
+
+@query("""SELECT o_orderkey, 0 AS position, 0 AS paragraph, 'See Pub. L. 94–553, sec. 3(a) of No. ' || o_orderkey || '.' AS sentence, 0 AS start_char, length('See Pub. L. 94–553, sec. 3(a) of No. ' || o_orderkey || '.') AS end_char FROM orders
+UNION ALL SELECT o_orderkey, 1, 0, 'It holds. (1) Not here.', length('See Pub. L. 94–553, sec. 3(a) of No. ' || o_orderkey || '.  '), length('See Pub. L. 94–553, sec. 3(a) of No. ' || o_orderkey || '.  It holds. (1) Not here.') FROM orders
+UNION ALL SELECT o_orderkey, 2, 1, 'last one', length('See Pub. L. 94–553, sec. 3(a) of No. ' || o_orderkey || '.  It holds. (1) Not here.__'), length('See Pub. L. 94–553, sec. 3(a) of No. ' || o_orderkey || '.  It holds. (1) Not here.__last one') FROM orders""")
+def law_sentences(spark: SparkSession, d: str) -> DataFrame:
+    """Sentences of laws with their offsets."""
+    text = said("See Pub. L. 94–553, sec. 3(a) of No. ", F.col("o_orderkey"), ".  It holds. (1) Not here.\n\nlast one")
+    out = prose.sentences(table(spark, d, "orders").select("o_orderkey", text.alias("text")), ["o_orderkey"], "text")
+    return out.withColumn("start_char", F.col("start_char").cast("long")).withColumn("end_char", F.col("end_char").cast("long"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN '0(a),1(c),2(' || o_orderkey || ')' END AS designated, CASE WHEN o_orderkey % 3 = 0 THEN 'a,b,' || o_orderkey END AS struck, o_orderkey % 7 < 3 OR o_orderkey % 5 > 2 AS escalate, CASE WHEN o_orderkey % 7 < 3 OR o_orderkey % 5 > 2 THEN 'LLM' END AS next_mode,
+  nullif(concat_ws('; ', CASE WHEN o_orderkey % 7 < 3 THEN 'Coverage ' || (80 + o_orderkey % 7) || '.0% below threshold (85%)' END, CASE WHEN o_orderkey % 5 > 2 THEN (o_orderkey % 5 * 10) || '.0' || '' END), '') IS NOT NULL AS has_reason, CASE WHEN o_orderkey % 4 = 0 THEN 'no section' WHEN o_orderkey % 6 = 1 THEN 'no title' END AS error FROM orders""")
+def instruction_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Designated sentences, struck subsections, escalations and resolved references."""
+    k = F.col("o_orderkey")
+    marks = prose.ordinal_markers(F.when(k % 2 == 0, said("by designating the first, second, and third sentences as subsections (a), (c), and (", k, ")")).otherwise(said("designating the first and second sentences as subsection (", k, ")")))
+    rows = table(spark, d, "orders").select(
+        "o_orderkey", F.array_join(F.transform(marks, lambda x: F.concat(x["sentence"].cast("string"), x["marker"])), ",").alias("designated"),
+        F.array_join(prose.struck_subsections(F.when(k % 3 == 0, said("by striking subsections (a), (b) and (", k, ")")).otherwise("by striking (a)")), ",").alias("struck"),
+        F.when(k % 7 < 3, k % 7 + 80).otherwise(90).cast("double").alias("coverage"), (k % 5).alias("needs_review"), F.lit(10).alias("edits"), F.lit(0).alias("flagged"), F.lit("RegEx").alias("mode"),
+        F.when(k % 4 > 0, k.cast("string")).alias("section_number"), F.lit(None).cast("int").alias("title_number"),
+    )
+    out = prose.resolved(prose.escalation(rows), F.when(k % 6 != 1, 17))
+    return out.select("o_orderkey", "designated", "struck", "escalate", "next_mode", F.col("reason").isNotNull().alias("has_reason"), "error")
+
+
+@query("SELECT o_orderkey, CASE CAST(o_orderkey % 4 AS INTEGER) WHEN 0 THEN 2 WHEN 1 THEN 3 WHEN 2 THEN 2 END AS start_line FROM orders")
+def start_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The lines at which edits begin, inside one line and across lines."""
+    k = F.col("o_orderkey")
+    o = table(spark, d, "orders")
+    content = F.array(said("Heading of ", k), said("The  OLD words of ", k, " stand"), said("and go on, ", k), F.lit("to the end"))
+    lines = o.select("o_orderkey", F.posexplode(content).alias("p", "content")).select("o_orderkey", (F.col("p") + 1).alias("line_number"), "content")
+    old = F.when(k % 4 == 0, "the old words").when(k % 4 == 1, said("GO  on, ", k)).when(k % 4 == 2, said("of ", k, " stand and go")).otherwise("nowhere at all")
+    return prose.start_lines(o.select("o_orderkey", old.alias("old_text")), lines, ["o_orderkey"], "o_orderkey").select("o_orderkey", "start_line")
