@@ -39,9 +39,11 @@ def streak(rows: DataFrame, key: list[str], order: list, good: str, skip: str) -
     return rows.select(*key).distinct().join(found, key, "left").withColumn("streak", F.coalesce("streak", F.lit(0)))
 
 
-def points_in(points: DataFrame, spans: DataFrame, key: list[str], at: str, start: str, end: str) -> DataFrame:
-    """Points with the half-open span of their key that holds them; the key's equi-join comes before the range."""
-    return points.join(spans, key).where((F.col(start) <= F.col(at)) & (F.col(at) < F.col(end)))
+def points_in(points: DataFrame, spans: DataFrame, key: list[str], at: str, start: str, end: str, width: int = 256) -> DataFrame:
+    """Points with the half-open spans of their key that hold them; both are dealt to cells of `width`, so that a long key is spread over many."""
+    dealt = spans.where(F.col(end) > F.col(start)).withColumn("_cell", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor((F.col(end) - 1) / width))))
+    rows = points.withColumn("_cell", F.floor(F.col(at) / width)).join(dealt, [*key, "_cell"])
+    return rows.where((F.col(start) <= F.col(at)) & (F.col(at) < F.col(end))).drop("_cell")
 
 
 def overlapping(a: DataFrame, b: DataFrame, key: list[str], start: str = "start_pos", end: str = "end_pos", width: int = 256) -> DataFrame:

@@ -457,7 +457,7 @@ def daily_events(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT n_name, r_name, count(*) AS customers, round(sum(c_acctbal), 2) AS balance FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY 1, 2")
 def owners_per_region(spark: SparkSession, d: str) -> DataFrame:
     c, n, r = (table(spark, d, t) for t in ("customer", "nation", "region"))
-    rows = c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey).join(F.broadcast(r), F.col("n_regionkey") == r.r_regionkey)
+    rows = c.join(n, c.c_nationkey == n.n_nationkey).join(r, F.col("n_regionkey") == r.r_regionkey)
     return rows.groupBy("n_name", "r_name").agg(F.count(F.lit(1)).alias("customers"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
 
 
@@ -652,7 +652,7 @@ def line_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT n_name, c_custkey, c_acctbal FROM (SELECT n_name, c_custkey, c_acctbal, row_number() OVER (PARTITION BY n_name ORDER BY c_acctbal DESC, c_custkey) AS rn FROM customer JOIN nation ON n_nationkey = c_nationkey) WHERE rn <= 3")
 def top_contributors(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     w = Window.partitionBy("n_name").orderBy(F.desc("c_acctbal"), "c_custkey")
     return rows.withColumn("rn", F.row_number().over(w)).where("rn <= 3").select("n_name", "c_custkey", "c_acctbal")
 

@@ -26,6 +26,37 @@ def once_each(events: DataFrame, key: list[str], ts: str = "ts", late: str = "1
     return events.withWatermark(ts, late).dropDuplicatesWithinWatermark(key)
 
 
+class NewestRows:
+    """A table of appended batches, of which the newest row of each key counts.
+
+    A micro-batch writes its own rows alone, to a folder of its number that a repeated batch
+    overwrites; nothing that is there already is read or written again. `compact` puts the batches
+    together from time to time.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, key: list[str]):
+        self.spark, self.root, self.key = spark, root.rstrip("/"), key
+
+    def put(self, rows: DataFrame, batch: int) -> None:
+        rows.dropDuplicates(self.key).write.mode("overwrite").parquet(f"{self.root}/batch={batch}")
+
+    def read(self) -> DataFrame:
+        rows = self.spark.read.option("basePath", self.root).parquet(self.root)
+        rest = [c for c in rows.columns if c not in (*self.key, "batch")]
+        newest = rows.groupBy(*self.key).agg(F.max_by(F.struct(*rest), "batch").alias("_s"))
+        return newest.select(*self.key, *(F.col(f"_s.{c}").alias(c) for c in rest))
+
+    def compact(self, root: str) -> "NewestRows":
+        """The table, written as one batch to a new place."""
+        self.read().write.mode("overwrite").parquet(f"{root.rstrip('/')}/batch=-1")
+        return NewestRows(self.spark, root, self.key)
+
+
+def append(stream: DataFrame, target: NewestRows, checkpoint: str) -> StreamingQuery:
+    """Adds every micro-batch to a table of newest rows."""
+    return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda rows, n: target.put(rows, n) and None).start()
+
+
 def ingest(stream: DataFrame, target: VersionedTable, key: list[str], checkpoint: str) -> StreamingQuery:
-    """Upserts every micro-batch into a versioned table; a batch that is run again gives the same table."""
+    """Upserts every micro-batch into a versioned table, which is written anew each time: for small tables; `append` is for large ones."""
     return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda rows, _: target.upsert(rows, key) and None).start()

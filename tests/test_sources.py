@@ -36,6 +36,17 @@ def test_versioned_table_and_stream(spark, tmp_path):
     assert sorted(map(tuple, t.read().collect())) == [(1, "a"), (2, "c"), (3, "e"), (4, "f")]
 
 
+def test_appended_batches_keep_the_newest_row(spark, tmp_path):
+    t = incremental.NewestRows(spark, str(tmp_path / "t"), ["k"])
+    spark.createDataFrame([(1, "a"), (2, "b"), (2, "b")], "k int, v string").write.parquet(str(tmp_path / "in"))
+    for n in range(2):
+        stream = incremental.files(spark, str(tmp_path / "in"), spark.createDataFrame([], "k int, v string").schema)
+        incremental.append(stream, t, str(tmp_path / "cp")).awaitTermination()
+        spark.createDataFrame([(2, "c"), (3, None)], "k int, v string").write.mode("append").parquet(str(tmp_path / "in"))
+    assert sorted(map(tuple, t.read().collect()), key=str) == [(1, "a"), (2, "c"), (3, None)]
+    assert sorted(map(tuple, t.compact(str(tmp_path / "c")).read().collect()), key=str) == [(1, "a"), (2, "c"), (3, None)]
+
+
 def test_windowed_counts_are_final_after_the_watermark(spark, tmp_path):
     rows = spark.sql("SELECT timestamp'2024-01-01 01:00:00' AS ts, 'a' AS event_type UNION ALL SELECT timestamp'2024-01-03 01:00:00', 'a'")
     rows.write.parquet(str(tmp_path / "in"))
