@@ -13,7 +13,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, cut, slices, text_bytes, with_column
+from .common import Rolling, cut, free_name, slices, text_bytes, tidied, with_column
 
 SLICE = 1 << 20
 #: Labelled rows to learn from, at most; the rows with the smallest key hashes are taken.
@@ -29,6 +29,8 @@ COST_STAND_IN, COST_SEPARATOR, COST_BOUNDARY, COST_REPEAT, COST_KEPT = 1.0, 0.3,
 PUNCTUATION, COST_PUNCTUATION = frozenset("!|+("), 2.0
 #: Letters of a word that make its features: its first 4, 5 and 6, and all.
 PREFIXES = (4, 5, 6, None)
+#: Features count from so many nats of log-odds on, some twelve times likelier in toxic texts.
+LEAST_ODDS = 2.5
 
 _LETTER, _UNIT, _MIXED = r"[^\W\d_]", r"[^\W_*.\-]|[@$!|+(€£]", r"[\w@$!|+(€£*.\-]"
 #: Spans that may be disguised: single letters or stand-ins, three or more, with any separators between; runs without a space
@@ -38,6 +40,8 @@ SUSPECT = re.compile(
     rf"|(?<!{_MIXED})(?=[._*\-]*+{_LETTER}*+(?:[\d@$!|+(€£]|(?<={_LETTER})[._*\-]++[\w@$!|+(€£]))(?![\d._*\-]++(?!{_MIXED})){_MIXED}++"
     rf"|(?<!{_LETTER})(?={_LETTER}*?({_LETTER})(?i:\1\1)){_LETTER}+"
 )
+#: Characters without width, which may stand inside a word.
+UNSEEN = re.compile("[\u00ad\u200b-\u200d\u2060\ufeff]+")
 LETTERS = 28
 #: Characters of a suspect span that are restored together.
 WINDOW = 48
@@ -67,7 +71,7 @@ def letter_counts(docs: DataFrame, text: str) -> np.ndarray:
         cells = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], names=["cell", "n"])
 
-    rows = docs.select(F.col(text).cast("binary").alias("_text")).mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select(F.col(text).cast("binary").alias("_text")).mapInArrow(tidied(count), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(LETTERS**3)
     for r in rows:
         out[r["cell"]] = r["n"]
@@ -130,9 +134,12 @@ def restore(span: str, model: list[list[float]]) -> str:
 def restored(text: str, model: list[list[float]], seen: dict[str, str]) -> str:
     """The words that the text's suspect spans may hide, apart from the text itself.
 
-    A span longer than WINDOW is read in windows that overlap by half.
+    A span longer than WINDOW is read in windows that overlap by half. Characters without width
+    count as separators.
     """
     out = []
+    if UNSEEN.search(text):
+        text = UNSEEN.sub("_", text)
     for m in SUSPECT.finditer(text):
         whole = m.group()
         for i in range(0, max(1, len(whole) - WINDOW // 2), WINDOW // 2):
@@ -176,7 +183,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, key: str, te
     one = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key))).groupBy(key).agg(F.max(label).alias("_label"))
     one = one.orderBy(F.xxhash64(key), key).limit(most).select(F.col(key).alias("_k"), "_label")
     own = docs.select(F.col(key).alias("_k"), F.col(text).alias("_text")).where("_text is not null")
-    return own.join(F.broadcast(one), "_k").select("_text", "_label")
+    # Of rows that repeat a key one counts, so that the bound on labels bounds the texts too.
+    return own.join(F.broadcast(one), "_k").groupBy("_k").agg(F.min("_text").alias("_text"), F.max("_label").alias("_label")).select("_text", "_label")
 
 
 class Scorer:
@@ -185,45 +193,63 @@ class Scorer:
     def __init__(self, names: np.ndarray, odds: np.ndarray, model: list[list[float]], empty: float):
         by = np.argsort(names)
         self.names, self.odds, self.model, self.empty = names[by], odds[by], model, empty
-        self.cut, self.slope = math.log(12.0), 1.5
+        self.cut, self.slope, self.rate = LEAST_ODDS, 1.5, 0.0
         self.maybe = np.zeros(1 << 16, bool)
         self.maybe[(names & np.uint64(0xFFFF)).astype(np.int64)] = True
         self.seen: dict[str, str] = {}
 
-    def strongest(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """The largest log-odds of any feature of each text; -inf without features."""
-        out = np.full(len(bounds) - 1, -np.inf)
+    def hits(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(document, word, log-odds) of the words that have a feature, each by its strongest one, and the words of each text."""
         f, _, doc = word_features(data, bounds)
+        words = np.bincount(doc, minlength=len(bounds) - 1)
         row, col = np.nonzero(self.maybe[(f & np.uint64(0xFFFF)).astype(np.int64)])
-        if len(row) and len(self.names):
-            h = f[row, col]
-            at = np.minimum(np.searchsorted(self.names, h), len(self.names) - 1)
-            hit = self.names[at] == h
-            np.maximum.at(out, doc[row[hit]], self.odds[at[hit]])
-        return out
-
-    def odds_of(self, column: pa.Array) -> np.ndarray:
-        """The strongest feature of each text or of its restored spans."""
-        best = self.strongest(*text_bytes(column))
+        if not len(row) or not len(self.names):
+            return doc[:0], f[:0, 0], np.zeros(0), words
+        h = f[row, col]
+        at = np.minimum(np.searchsorted(self.names, h), len(self.names) - 1)
+        hit = self.names[at] == h
+        best = np.full(len(f), -np.inf)
+        np.maximum.at(best, row[hit], self.odds[at[hit]])
+        own = np.flatnonzero(best > 0)
+        return doc[own], f[own, -1], best[own], words
+
+    def evidence(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(sum, hits, words) of each text and its restored spans: the log-odds of its different words that have any, by the root of how often each stands."""
         hidden = [restored(t.decode(errors="replace"), self.model, self.seen).encode() if t else b"" for t in column.to_pylist()]
-        return np.maximum(best, self.strongest(*text_bytes(pa.array(hidden, pa.binary())))) if any(hidden) else best
+        doc, word, odds, words = self.hits(*text_bytes(column))
+        if any(hidden):
+            more = self.hits(*text_bytes(pa.array(hidden, pa.binary())))
+            doc, word, odds = (np.concatenate(x) for x in zip((doc, word, odds), more[:3], strict=True))
+        by = np.lexsort((word, doc))
+        doc, word, odds = doc[by], word[by], odds[by]
+        new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (word[1:] != word[:-1])])) if len(doc) else by
+        count = np.diff(np.append(new, len(doc)))
+        return np.bincount(doc[new], odds[new] * np.sqrt(count), len(words)), np.bincount(doc, minlength=len(words)), words
+
+    def balance(self, total: np.ndarray, hits: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """The evidence less what a toxic text of this length would be likely to show; -inf without any."""
+        return np.where(hits > 0, total - self.rate * words, -np.inf)
 
     def __call__(self, column: pa.Array) -> np.ndarray:
         """Scores on a logistic curve that is 0.3 at the cut."""
-        best = self.odds_of(column)
+        best = self.balance(*self.evidence(column))
         x = np.clip(self.slope * (best - self.cut) + math.log(3 / 7), -30, 30)
         return np.where(np.isinf(best), self.empty, 1 / (1 + np.exp(-x)))
 
-    def calibrate(self, best: np.ndarray, toxic: np.ndarray) -> None:
-        """Puts the cut in the widest gap among those that tell these texts apart best."""
-        best = np.where(np.isinf(best), -5.0, best)
+    def calibrate(self, total: np.ndarray, hits: np.ndarray, words: np.ndarray, toxic: np.ndarray) -> None:
+        """Learns the rate of words with features in toxic texts, half of which is held against long texts, and puts
+        the cut in the widest gap among those with the best balance (F1) of caught and rightly caught texts."""
         if toxic.all() or not toxic.any():
             return
+        self.rate = 0.5 * hits[toxic].sum() / max(1, words[toxic].sum())
+        best = self.balance(total, hits, words)
+        best = np.where(np.isinf(best), -5.0, best)
         at = np.unique(best)
         cuts = np.concatenate([(at[:-1] + at[1:]) / 2, at[:1]])
-        right = np.array([(best[toxic] >= c).mean() - (best[~toxic] >= c).mean() for c in cuts])
+        caught = np.array([(best[toxic] >= c).sum() for c in cuts])
+        right = 2 * caught / (toxic.sum() + caught + [(best[~toxic] >= c).sum() for c in cuts])
         gap = np.concatenate([np.diff(at), [0.0]])
-        self.cut = float(cuts[np.lexsort((gap, right))[-1]])
+        self.cut = float(cuts[np.lexsort((gap, np.round(right, 2)))[-1]])
 
 
 def contexts(texts: list[str], model: list[list[float]], keep: np.ndarray | None = None) -> np.ndarray:
@@ -258,7 +284,7 @@ def learn(sample: DataFrame, model: list[list[float]], least: int = 3) -> Scorer
                 yield pd.DataFrame(contexts(list(p["_text"]), model, keep).astype(np.int64), columns=["name", "before"])
 
         own = sample.where(F.lit(toxic) == (F.col("_label") > 0)).where("not _fold").select("_text")
-        return own.mapInPandas(run, "name long, before long").distinct().groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+        return own.mapInPandas(tidied(run), "name long, before long").distinct().groupBy("name").agg(F.count(F.lit(1)).alias("n"))
 
     toxic = {r["name"]: r["n"] for r in counted(True, None).where(F.col("n") >= least).collect()}
     names = np.array(list(toxic), np.int64).astype(np.uint64)
@@ -266,17 +292,18 @@ def learn(sample: DataFrame, model: list[list[float]], least: int = 3) -> Scorer
     t, c = np.array(list(toxic.values()), float), np.array([clean.get(k, 0) for k in toxic], float)
     # The lower end of what the counts allow.
     odds = np.log(np.maximum(t - np.sqrt(t), 0.1) * ratio / (c + 1.0))
-    own = odds > 0
+    own = odds > LEAST_ODDS
     total = clean_n + toxic_n
     scorer = Scorer(names[own], odds[own], model, 0.1 * toxic_n / total if total else 0.0)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            yield pd.DataFrame({"best": scorer.odds_of(pa.array([x.encode() for x in p["_text"]], pa.binary())), "toxic": p["_label"] > 0})
+            total, hits, words = scorer.evidence(pa.array([x.encode() for x in p["_text"]], pa.binary()))
+            yield pd.DataFrame({"total": total, "hits": hits, "words": words, "toxic": p["_label"] > 0})
 
-    kept = sample.where("_fold").select("_text", "_label").mapInPandas(score, "best double, toxic boolean").toPandas()
+    kept = sample.where("_fold").select("_text", "_label").mapInPandas(tidied(score), "total double, hits long, words long, toxic boolean").toPandas()
     if len(kept):
-        scorer.calibrate(kept["best"].to_numpy(), kept["toxic"].to_numpy(bool))
+        scorer.calibrate(*(kept[c].to_numpy() for c in ("total", "hits", "words")), kept["toxic"].to_numpy(bool))
     return scorer
 
 
@@ -301,5 +328,6 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
 def reject_toxic(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", most_labelled: int = MOST_LABELLED, threshold: float = 0.3) -> DataFrame:
     """The rows that `score_toxicity` does not predict to be toxic, with all their columns."""
     scorer = scorer_of(docs, labels, key, text, label, most_labelled)
-    scored = with_column(docs, text, "_toxicity", "double", lambda x: scorer.value(x), SLICE)
-    return scored.where(F.col("_toxicity") < threshold).drop("_toxicity")
+    name = free_name(docs, "_toxicity")
+    scored = with_column(docs, text, name, "double", lambda x: scorer.value(x), SLICE)
+    return scored.where(F.col(name) < threshold).drop(name)

@@ -96,6 +96,13 @@ def test_packing_round_trip(spark):
     assert sum(sum(n for _, n in s) < 256 for s in sequences.values()) <= 1
 
 
+def test_open_windows_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(packing, "MOST_OPEN", 3)
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(["one", "two", "three"]) for _ in range(rng.randrange(1, 60))) for _ in range(200)]
+    check_packing(packing.pack(documents(spark, texts).coalesce(1), size=64).collect(), texts, 64)
+
+
 def test_sum_of_squares_takes_the_level_with_the_least_sum():
     rng = random.Random(1)
     pack = packing.SumOfSquares(50)
