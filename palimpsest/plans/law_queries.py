@@ -13,7 +13,7 @@ from ..functions.text import en_dashed, indent_level, is_roman, plain_dashed, pu
 from ..functions.text import chamber as chamber_of
 from ..functions.text import citation, edit_words, first_replaced, full_name, party, shortened
 from ..functions.dates import display_date, first_year, prose_date
-from ..operators import catalog, chrono, committees, history, maintenance, notes, prose, relations, viewer
+from ..operators import catalog, chrono, committees, history, intake, maintenance, notes, prose, relations, viewer
 from ..sources.tables import table
 from . import standins
 from .queries import _ALL_EVENTS, _all_events, query
@@ -655,3 +655,83 @@ def start_lines(spark: SparkSession, d: str) -> DataFrame:
     lines = o.select("o_orderkey", F.posexplode(content).alias("p", "content")).select("o_orderkey", (F.col("p") + 1).alias("line_number"), "content")
     old = F.when(k % 4 == 0, "the old words").when(k % 4 == 1, said("GO  on, ", k)).when(k % 4 == 2, said("of ", k, " stand and go")).otherwise("nowhere at all")
     return prose.start_lines(o.select("o_orderkey", old.alias("old_text")), lines, ["o_orderkey"], "o_orderkey").select("o_orderkey", "start_line")
+
+
+# Intake
+
+
+@query("""WITH t AS (SELECT o_custkey, CAST(year(o_orderdate) AS INTEGER) AS y, o_orderkey FROM orders)
+SELECT c_custkey, 'Ann ' || upper(substr(c_name, 1, 1)) || lower(substr(c_name, 2)) AS full_name, CASE c_nationkey % 3 WHEN 0 THEN 'Republican' WHEN 1 THEN 'Democrat' ELSE 'Other' END AS party, CASE (max(o_orderkey) FILTER (y = top)) % 2 WHEN 0 THEN 'Senate' WHEN 1 THEN 'House' END AS current_chamber, min(y) AS first_year, max(y) AS last_year
+FROM customer LEFT JOIN t ON o_custkey = c_custkey LEFT JOIN (SELECT o_custkey AS k, max(y) AS top FROM t GROUP BY 1) ON k = c_custkey GROUP BY c_custkey, c_name, c_nationkey""")
+def member_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Members as stored, by their latest term."""
+    terms = table(spark, d, "orders").select(F.col("o_custkey").alias("bioguide_id"), F.year("o_orderdate").alias("start_year"), F.year("o_orderdate").alias("end_year"), F.when(F.col("o_orderkey") % 2 == 0, "Senate").otherwise("House of Representatives").alias("chamber"), F.lit("OH").alias("state"), F.col("o_orderkey").alias("district"))
+    # Of terms of one year the one with the larger order key is the latest.
+    newest = terms.groupBy("bioguide_id", "start_year").agg(F.max_by(F.struct("end_year", "chamber", "state", "district"), "district").alias("s")).select("bioguide_id", "start_year", "s.*")
+    details = table(spark, d, "customer").select(F.col("c_custkey").alias("bioguide_id"), F.lit("ANN").alias("first_name"), F.lit(None).cast("string").alias("middle_name"), F.upper("c_name").alias("last_name"), F.when(F.col("c_nationkey") % 3 == 0, "Republican Party").when(F.col("c_nationkey") % 3 == 1, "Democratic").otherwise("Green").alias("party"))
+    return intake.member_rows(details, newest).select(F.col("bioguide_id").alias("c_custkey"), "full_name", "party", "current_chamber", "first_year", "last_year")
+
+
+def _taken_in(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    c = table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey")
+    new = c.select((F.col("c_custkey") + 50).alias("c_custkey"), F.when(F.col("c_custkey") % 2 == 0, "changed").otherwise(F.lit("other")).alias("c_name"), "c_nationkey")
+    same = c.where("c_custkey < 20").select("c_custkey", "c_name", "c_nationkey")
+    return intake.taken_in(c, new.where("c_custkey >= 70").unionByName(same), ["c_custkey"])
+
+
+@query("""SELECT count(*) AS processed, count(*) FILTER (k > (SELECT max(c_custkey) FROM customer)) AS created, count(*) FILTER (k <= (SELECT max(c_custkey) FROM customer) AND NOT same) AS updated, count(*) FILTER (same) AS skipped
+FROM (SELECT c_custkey + 50 AS k, false AS same FROM customer WHERE c_custkey + 50 >= 70 UNION ALL SELECT c_custkey, true FROM customer WHERE c_custkey < 20)""")
+def intake_log(spark: SparkSession, d: str) -> DataFrame:
+    """How many rows an intake created, updated and skipped."""
+    return _taken_in(spark, d)[1]
+
+
+@query("SELECT o_orderkey AS revision_id, CASE WHEN o_orderkey = (SELECT max(o_orderkey) FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 2 = 0) THEN 'Ingested' WHEN o_orderkey % 2 = 0 THEN 'Ingesting' ELSE 'Pending' END AS status FROM orders")
+def finalized_revisions(spark: SparkSession, d: str) -> DataFrame:
+    """Revisions after the newest ground truth is finished."""
+    k = F.col("o_orderkey")
+    rows = table(spark, d, "orders").select(k.alias("revision_id"), k.alias("sequence_number"), (F.col("o_orderstatus") == "F").alias("is_ground_truth"), F.when(k % 2 == 0, "Ingesting").otherwise("Pending").alias("status"))
+    return intake.finalized(rows).select("revision_id", "status")
+
+
+_POINT = "a AS (SELECT doc_id, text FROM documents WHERE doc_id % 7 > 0), b AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN coalesce(text, '') || '!' ELSE text END AS text FROM documents WHERE doc_id % 5 > 0)"
+
+
+def _versions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    k = F.col("doc_id")
+    docs = table(spark, d, "documents")
+    row = lambda text: [(k % 10).alias("title_number"), k.cast("string").alias("section_number"), text.alias("text_content"), F.sha2(text, 256).alias("text_hash"), F.lit(None).cast("string").alias("notes_hash"), F.lit(False).alias("is_deleted")]
+    return docs.where(k % 7 > 0).select(*row(F.col("text"))), docs.where(k % 5 > 0).select(*row(F.when(k % 3 == 0, said(F.coalesce("text", F.lit("")), "!")).otherwise(F.col("text"))))
+
+
+@query(f"WITH {_POINT} SELECT CAST(coalesce(a.doc_id, b.doc_id) AS VARCHAR) AS section_number, CASE WHEN a.doc_id IS NULL THEN 'added' WHEN b.doc_id IS NULL THEN 'deleted' ELSE 'modified' END AS change_type, b.doc_id IS NULL AS is_deleted, sha256(b.text) AS text_hash FROM a FULL OUTER JOIN b ON a.doc_id = b.doc_id WHERE a.doc_id IS NULL OR b.doc_id IS NULL OR a.text IS DISTINCT FROM b.text")
+def ingested_point(spark: SparkSession, d: str) -> DataFrame:
+    """The snapshots that a release point adds to its parent's state."""
+    parent, states = _versions(spark, d)
+    return intake.ingested_point(parent, states, ["title_number", "section_number"])[0].select("section_number", "change_type", "is_deleted", "text_hash")
+
+
+_SPACED = "trim(regexp_replace(coalesce({t}, ''), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))"
+
+
+@query(f"WITH {_POINT}, x AS (SELECT coalesce(a.doc_id, b.doc_id) % 10 AS title_number, a.doc_id AS i, b.doc_id AS j, {_SPACED.format(t='a.text')} AS s, {_SPACED.format(t='b.text')} AS t FROM a FULL OUTER JOIN b ON a.doc_id = b.doc_id) SELECT title_number, count(*) FILTER (i IS NOT NULL AND j IS NOT NULL AND s = t) AS matched, count(*) FILTER (i IS NOT NULL AND j IS NOT NULL AND s <> t) AS differing, count(*) FILTER (i IS NULL) AS missing, count(*) FILTER (j IS NULL) AS extra FROM x GROUP BY 1")
+def validated_titles(spark: SparkSession, d: str) -> DataFrame:
+    """Stored titles against those of a release point."""
+    return intake.validated_titles(*_versions(spark, d)).drop("first_difference")
+
+
+@query("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS position FROM events WHERE event_type <> 'view' OR user_id % 3 > 0")
+def session_verifications(spark: SparkSession, d: str) -> DataFrame:
+    """Verifications of known sessions in their order."""
+    e = table(spark, d, "events").select(F.col("user_id").alias("session_id"), F.col("ts").alias("verified_at"), F.col("event_id").alias("verifier"), "event_type")
+    sessions = e.where("session_id % 3 > 0").select("session_id").distinct()
+    out, _ = intake.verifications(e.where("event_type <> 'view'").drop("event_type"), e.where("event_type = 'view'").drop("event_type"), sessions)
+    return out.select(F.col("session_id").alias("user_id"), F.col("verifier").alias("event_id"), F.col("position").cast("long").alias("position"))
+
+
+@query("SELECT o_orderkey, 'section 10' || o_orderkey || ',section 10' AS links, 'See [[section 10' || o_orderkey || ']] and [[section 10]].' AS text FROM orders")
+def linked_references(spark: SparkSession, d: str) -> DataFrame:
+    """References in a content as links, the longer first."""
+    k = F.col("o_orderkey")
+    links, text = intake.linked(said("See section 10", k, " and section 10."), F.array(F.lit("section 10"), said("section 10", k), F.lit("")))
+    return table(spark, d, "orders").select("o_orderkey", F.array_join(links, ",").alias("links"), text.alias("text"))

@@ -469,7 +469,11 @@ def line_hunks(spark: SparkSession, d: str) -> DataFrame:
     return apply.line_hunks(rows, ["conv_id", "turn"], "old", "new")
 
 
-@query()
+@query("""WITH w AS (SELECT doc_id, text, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') AS ws FROM documents),
+l AS (SELECT doc_id, ws[1] AS old, ws[2] AS new, 32 + length(CAST(doc_id AS VARCHAR)) AS b, 'by striking "' || ws[1] || '" and inserting "' || ws[2] || '"' AS said, text FROM w WHERE len(ws) > 1),
+t AS (SELECT *, 'Section ' || doc_id || ' of title 17 is amended ' || said || '. ' || text AS law, b + length(said) AS e FROM l)
+SELECT doc_id AS law_id, 'strike_insert' AS pattern_name, 'Modify' AS change_type, 17 AS title_number, CAST(doc_id AS VARCHAR) AS section_number, CAST(NULL AS VARCHAR) AS subsection_path, old AS old_text, new AS new_text, CAST(0.9975 AS DOUBLE) AS confidence,
+  CAST(b AS INTEGER) AS start_pos, CAST(e AS INTEGER) AS end_pos, false AS needs_review, substr(law, greatest(b - 100, 0) + 1, e + 100 - greatest(b - 100, 0)) AS context FROM t""")
 def extracted_edits(spark: SparkSession, d: str) -> DataFrame:
     """Edits in documents, each turned into an instruction by its own first words."""
     docs = table(spark, d, "documents")
@@ -478,7 +482,9 @@ def extracted_edits(spark: SparkSession, d: str) -> DataFrame:
     return extract.extract_edits(docs.select(F.col("doc_id").alias("law_id"), F.coalesce(law, F.col("text")).alias("text")))
 
 
-@query()
+@query("""WITH w AS (SELECT doc_id, text, string_split_regex(trim(text), '\\s+')[1] AS old FROM documents),
+m AS (SELECT doc_id, text, text IS NOT NULL AND trim(old) <> '' AS ok, CASE WHEN text IS NOT NULL AND trim(old) <> '' THEN substr(text, 1, strpos(text, old) - 1) || 'Amended' || substr(text, strpos(text, old) + length(old)) ELSE text END AS t FROM w)
+SELECT doc_id AS title_number, '1' AS section_number, CASE WHEN doc_id % 5 > 0 THEN t END AS text_content, doc_id % 5 = 0 AS is_deleted, CAST(ok AS BIGINT) + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS applied, CAST(0 AS BIGINT) AS skipped, 1 - CAST(ok AS BIGINT) AS failed, CASE WHEN doc_id % 5 > 0 THEN sha256(t) END AS text_hash FROM m""")
 def applied_changes(spark: SparkSession, d: str) -> DataFrame:
     """Documents as sections; each one's first word is replaced, and every fifth is repealed."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("title_number"), F.lit("1").alias("section_number"), F.col("text").alias("text_content"))
