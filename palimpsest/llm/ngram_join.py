@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, cut, mixed, pieces, slices, text_bytes
+from .common import Rolling, cut, dealt, mixed, pieces, slices, text_bytes, tidied
 from .components import connected_components
 
 SLICE = 2 << 20
@@ -20,6 +20,10 @@ SLICE = 2 << 20
 BUCKET = 10 << 20
 #: Rows of a group that are searched by one task; larger groups are dealt into chunks that share one member.
 CHUNK = 64
+#: Bytes of a shingle's hash that are kept inside its bucket; the bucket says up to fifteen bits more.
+ID_BYTES = 6
+#: Rows of a token that meet in one task; those of a token with more go in pairs of blocks.
+TOKEN_BLOCK = 512
 #: At most so many groups count as large, which bounds what is broadcast.
 MOST_LARGE = 500_000
 #: Min-hash keys of the first, coarse round.
@@ -163,6 +167,21 @@ def _binary(x: np.ndarray, kind: str) -> bytes:
     return x.astype(kind).tobytes()
 
 
+def _packed(ids: np.ndarray) -> bytes:
+    """The lower ID_BYTES bytes of each id."""
+    return ids.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :ID_BYTES].tobytes()
+
+
+def _ids(table: pa.Table) -> list[np.ndarray]:
+    out = []
+    for x in table.column("ids"):
+        raw = np.frombuffer(x.as_py() or b"", np.uint8).reshape(-1, ID_BYTES)
+        wide = np.zeros((len(raw), 8), np.uint8)
+        wide[:, :ID_BYTES] = raw
+        out.append(wide.view("<u8").ravel())
+    return out
+
+
 def _all(table: pa.Table, name: str, kind: str) -> list[np.ndarray]:
     return [np.frombuffer(x.as_py() or b"", kind) for x in table.column(name)]
 
@@ -192,13 +211,10 @@ def shared_sets(docs: DataFrame, key: str, text: str, n: int, percent: int) -> t
             own[once] = True
             h = h[np.repeat(own, size)]
             doc = np.repeat(np.arange(len(once)), size[once])
-            place = ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-            by = np.argsort(place, kind="stable")
-            cuts = np.searchsorted(place[by], np.arange(buckets + 1))
-            for b in np.flatnonzero(np.diff(cuts)):
-                here = by[cuts[b] : cuts[b + 1]]
+            place = ((h >> np.uint64(8 * ID_BYTES)) % np.uint64(buckets)).astype(np.int64) if buckets <= 1 << 15 else (mixed(h) % np.uint64(buckets)).astype(np.int64)
+            for b, here in dealt(place):
                 d, count = np.unique(doc[here], return_counts=True)
-                rows.append((int(b), _binary(sig[once[d]], "<i8"), _binary(size[once[d]], "<i4"), _binary(count, "<i4"), _binary(h[here] & np.uint64(0xFFFFFFFF), "<u4"), None, None, None))
+                rows.append((b, _binary(sig[once[d]], "<i8"), _binary(size[once[d]], "<i4"), _binary(count, "<i4"), _packed(h[here]), None, None, None))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), a_arrow, strict=True)], schema=a_arrow)
 
     b_schema = "part int, bucket int, sigs binary, ns binary, counts binary, ids binary, dfs binary, _key long, sig long, n long"
@@ -212,7 +228,7 @@ def shared_sets(docs: DataFrame, key: str, text: str, n: int, percent: int) -> t
         count = np.concatenate(_all(group, "counts", "<i4"))
         sig = np.concatenate(_all(group, "sigs", "<i8"))
         size = np.concatenate(_all(group, "ns", "<i4"))
-        ids = np.concatenate(_all(group, "ids", "<u4"))
+        ids = np.concatenate(_ids(group))
         doc = np.repeat(np.arange(len(sig), dtype=np.int32), count)
         by = np.argsort(ids, kind="stable")
         same = ids[by][1:] == ids[by][:-1]
@@ -230,11 +246,9 @@ def shared_sets(docs: DataFrame, key: str, text: str, n: int, percent: int) -> t
         by = np.lexsort((owner, part))
         ids, owner, doc, df, part = ids[by], owner[by], doc[by], df[by], part[by]
         rows = []
-        cuts = np.searchsorted(part, np.arange(buckets + 1))
-        for p in np.flatnonzero(np.diff(cuts)):
-            s = slice(cuts[p], cuts[p + 1])
+        for p, s in dealt(part):
             own, first, n_each = np.unique(owner[s], return_index=True, return_counts=True)
-            rows.append((int(p), bucket, _binary(own, "<i8"), _binary(size[doc[s][first]], "<i4"), _binary(n_each, "<i4"), _binary(ids[s], "<u4"), _binary(df[s], "<u4"), None, None, None))
+            rows.append((int(p), bucket, _binary(own, "<i8"), _binary(size[doc[s][first]], "<i4"), _binary(n_each, "<i4"), _packed(ids[s]), _binary(df[s], "<u4"), None, None, None))
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(b_arrow), b_arrow, strict=True)], schema=b_arrow)
 
     c_arrow = pa.schema([("sig", pa.int64()), ("n", pa.int64()), ("ids", pa.binary()), ("keys", pa.list_(pa.int64()))])
@@ -244,7 +258,7 @@ def shared_sets(docs: DataFrame, key: str, text: str, n: int, percent: int) -> t
         sig = np.concatenate([np.repeat(s, c) for s, c in zip(_all(group, "sigs", "<i8"), count, strict=True)])
         size = np.concatenate([np.repeat(s, c) for s, c in zip(_all(group, "ns", "<i4"), count, strict=True)])
         base = group.column("bucket").to_numpy()
-        ids = np.concatenate([x.astype(np.int64) | (int(b) << 32) for x, b in zip(_all(group, "ids", "<u4"), base, strict=True)])
+        ids = np.concatenate([x.astype(np.int64) | (int(b) % (1 << 15) << 8 * ID_BYTES) for x, b in zip(_ids(group), base, strict=True)])
         df = np.concatenate(_all(group, "dfs", "<u4"))
         by = np.lexsort((ids, df, sig))
         sig, size, ids = sig[by], size[by], ids[by]
@@ -259,9 +273,9 @@ def shared_sets(docs: DataFrame, key: str, text: str, n: int, percent: int) -> t
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 4, c_arrow, strict=True)], schema=c_arrow)
 
     source = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).cast("binary").alias("_text"))
-    found = cut(source.mapInArrow(scattered, a_schema).groupBy("bucket").applyInArrow(common, b_schema))
+    found = cut(source.mapInArrow(tidied(scattered), a_schema).groupBy("bucket").applyInArrow(tidied(common), b_schema))
     members = found.where("part is null").select("_key", "sig", "n")
-    sets = cut(found.where("part is not null").groupBy("part").applyInArrow(whole, "sig long, n long, ids binary, keys array<bigint>"))
+    sets = cut(found.where("part is not null").groupBy("part").applyInArrow(tidied(whole), "sig long, n long, ids binary, keys array<bigint>"))
     return members, sets
 
 
@@ -309,15 +323,19 @@ def candidate_pairs(sets: DataFrame, component: DataFrame, percent: int) -> Data
             if token:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (token, sig, size, left)], names=["token", "sig", "n", "left"])
 
-    part = sets.select("sig", "n", "ids").mapInArrow(prefixes, "token long, sig long, n long, left long")
+    part = sets.select("sig", "n", "ids").mapInArrow(tidied(prefixes), "token long, sig long, n long, left long")
     part = cut(part.join(component, "sig", "left").withColumn("component", F.coalesce("component", "sig")))
     split = cut(part.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token"))
     part = part.join(split, "token", "left_semi")
-    a, b = (part.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("sig", "n", "left", "component"))) for x in "ab")
+    # Rows of a hot token are dealt to blocks, and each pair of blocks meets once.
+    large = cut(part.groupBy("token").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > TOKEN_BLOCK).select("token", F.ceil(F.col("rows") / TOKEN_BLOCK).cast("int").alias("blocks")))
+    part = part.join(large, "token", "left").withColumn("own", F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")))
+    part = part.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("blocks") - 1, F.lit(0))))).withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
+    a, b = (part.select("token", "lo", "hi", *(F.col(c).alias(f"{c}_{x}") for c in ("sig", "n", "left", "component", "own"))) for x in "ab")
     least = lambda total: F.expr(f"({percent} * ({total}) + {99 + percent}) div {100 + percent}")
     b = b.where(F.col("left_b") >= least("2 * n_b"))
     larger = "(n_a > n_b or (n_a = n_b and sig_a < sig_b)) and component_a <> component_b"
-    pairs = a.join(b, "token").where(larger).where(F.least("left_a", "left_b") >= least("n_a + n_b"))
+    pairs = a.join(b, ["token", "lo", "hi"]).where("lo = hi or own_a <> own_b").where(larger).where(F.least("left_a", "left_b") >= least("n_a + n_b"))
     return pairs.select("sig_a", "sig_b").distinct()
 
 
@@ -331,7 +349,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(_links(rows).combine_chunks().columns and [pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], schema=LINKS)
 
     both = pairs.join(a, "sig_a").join(b, "sig_b")
-    return both.select("sig_a", "sig_b", "n_a", "n_b", "ids_a", "ids_b").mapInArrow(check, "a long, b long")
+    return both.select("sig_a", "sig_b", "n_a", "n_b", "ids_a", "ids_b").mapInArrow(tidied(check), "a long, b long")
 
 
 def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 75) -> DataFrame:
@@ -370,6 +388,7 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     """
     found = similar_texts(docs, key, text, n, percent)
     kept = found.where(F.col(key) == F.col("component_id")).select(F.col(key).alias("_kept")).distinct()
-    rows = docs.join(kept, F.col(key) == F.col("_kept"), "left_semi")
-    once = rows.withColumn("_same", F.xxhash64(text)).dropDuplicates([key, "_same"]).drop("_same")
-    return once.unionByName(docs.where(F.col(key).isNull()))
+    rows = docs.select(F.struct("*").alias("_record"), F.col(key).alias("_key"), F.xxhash64(text).alias("_same"))
+    once = rows.join(kept, F.col("_key") == F.col("_kept"), "left_semi").dropDuplicates(["_key", "_same"])
+    out = once.select("_record").unionByName(rows.where("_key is null").select("_record"))
+    return out.select(*(F.col(f"_record.`{c}`").alias(c) for c in docs.columns))
