@@ -13,7 +13,7 @@ from ..functions.text import en_dashed, indent_level, is_roman, plain_dashed, pu
 from ..functions.text import chamber as chamber_of
 from ..functions.text import citation, edit_words, first_replaced, full_name, party, shortened
 from ..functions.dates import display_date, first_year, prose_date
-from ..operators import catalog, chrono, committees, history, intake, maintenance, notes, prose, relations, viewer
+from ..operators import catalog, chrono, committees, history, intake, maintenance, notes, process, prose, relations, viewer
 from ..sources.tables import table
 from . import standins
 from .queries import _ALL_EVENTS, _all_events, query
@@ -735,3 +735,46 @@ def linked_references(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey")
     links, text = intake.linked(said("See section 10", k, " and section 10."), F.array(F.lit("section 10"), said("section 10", k), F.lit("")))
     return table(spark, d, "orders").select("o_orderkey", F.array_join(links, ",").alias("links"), text.alias("text"))
+
+
+# From laws to changes
+
+
+def _laws(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    edit = F.when(k % 3 == 0, said("Section ", k, " of title 17 is amended by striking \"", F.col("p_brand"), "\" and inserting \"", F.col("p_type"), "\".")).when(k % 3 == 1, said("Section ", k, "-a is hereby repealed.")).otherwise(said("Nothing is done by act no. ", k, " but words are struck and amended."))
+    return table(spark, d, "part").select(k.alias("law_id"), edit.alias("text"))
+
+
+def _processed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    seen = table(spark, d, "part").where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("law_id"))
+    return process.process_laws(_laws(spark, d), seen, F.lit(26))
+
+
+@query("""SELECT p_partkey AS law_id, CASE WHEN p_partkey % 3 = 0 THEN 17 ELSE 26 END AS title_number, p_partkey || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE '–a' END AS section_number, CASE WHEN p_partkey % 3 = 0 THEN 'Modify' ELSE 'Repeal' END AS change_type, 'made' AS status,
+  CASE WHEN p_partkey % 3 = 0 THEN 'Modify 17 U.S.C. § ' || p_partkey || ': "' || p_brand || '" → "' || p_type || '"' ELSE 'Repeal 26 U.S.C. § ' || p_partkey || '–a' END AS description FROM part WHERE p_partkey % 3 < 2 AND p_partkey % 10 > 0""")
+def processed_laws(spark: SparkSession, d: str) -> DataFrame:
+    """Changes that laws not processed yet make."""
+    return _processed(spark, d)[0].select("law_id", "title_number", "section_number", "change_type", "status", "description")
+
+
+@query("""SELECT p_partkey AS law_id, CAST(CASE WHEN p_partkey % 3 < 2 THEN 1 ELSE 0 END AS BIGINT) AS edits, CAST(CASE WHEN p_partkey % 3 = 1 THEN 0 ELSE 1 END AS BIGINT) AS flagged, CASE WHEN p_partkey % 3 = 2 THEN 'LLM' WHEN p_partkey % 3 = 0 AND 100.0 * length('by striking "' || p_brand || '" and inserting "' || p_type || '"') / length('Section ' || p_partkey || ' of title 17 is amended by striking "' || p_brand || '" and inserting "' || p_type || '".') < 85 THEN 'LLM' END AS next_mode FROM part WHERE p_partkey % 10 > 0""")
+def parse_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """What each law's parse covered, and where it goes next."""
+    return _processed(spark, d)[1].select("law_id", "edits", "flagged", "next_mode")
+
+
+@query("SELECT l_orderkey, l_linenumber, p_name AS heading FROM lineitem LEFT JOIN part ON p_partkey = l_partkey AND p_size = l_suppkey % 50 + 1")
+def impact_details(spark: SparkSession, d: str) -> DataFrame:
+    """Changes of laws with the headings of their sections."""
+    changes = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_suppkey") % 50 + 1).cast("int").alias("title_number"), F.col("l_partkey").alias("section_number"))
+    sections = table(spark, d, "part").select(F.col("p_size").alias("title_number"), F.col("p_partkey").alias("section_number"), F.col("p_name").alias("heading"))
+    return process.impact_detail(changes, sections).select("l_orderkey", "l_linenumber", "heading")
+
+
+@query("SELECT o_orderkey, n_name AS to_heading FROM orders JOIN nation ON n_regionkey = o_orderkey % 9 AND n_nationkey = o_custkey % 40")
+def section_dependencies(spark: SparkSession, d: str) -> DataFrame:
+    """References of sections to others."""
+    refs = table(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 9).cast("int").alias("to_title"), (F.col("o_custkey") % 40).cast("int").alias("to_section"))
+    sections = table(spark, d, "nation").select(F.col("n_regionkey").cast("int").alias("title_number"), F.col("n_nationkey").cast("int").alias("section_number"), F.col("n_name").alias("heading"))
+    return process.dependencies(refs, sections).select("o_orderkey", "to_heading")
