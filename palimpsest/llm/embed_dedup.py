@@ -12,7 +12,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, tidied
 from .components import connected_components
 
 #: Bits of a table's key, at least; more where there are more vectors than keys.
@@ -120,10 +120,12 @@ def near_duplicates(table: DataFrame, key: str = "vec_id", vector: str = "embedd
     null key have a null component and are not kept. An empty table gives no rows; other columns
     are left out.
     """
-    v = F.transform(F.col(vector), lambda x: x.cast("double"))
+    # Floats stay floats until they are compared, in double precision.
+    kind = "float" if table.schema[vector].dataType.simpleString() == "array<float>" else "double"
+    v = F.transform(F.col(vector), lambda x: x.cast(kind))
     rows = table.select(F.col(key).cast("long").alias("_id"), F.col(label).alias("_label"), v.alias("_v"))
     # A key for equal vectors of one label (negative zero counts as zero).
-    plain = F.transform("_v", lambda x: x + F.lit(0.0))
+    plain = F.transform("_v", lambda x: (x + F.lit(0.0)).cast("double"))
     linked = usable(F.col("_v")) & F.col("_label").isNotNull() & F.col("_id").isNotNull()
     rows = rows.withColumns({"_k1": F.when(linked, F.xxhash64("_label", plain)), "_k2": F.when(linked, F.xxhash64(plain, "_label", F.lit(1)))})
     same = cut(rows.where("_k1 is not null").groupBy("_k1", "_k2").agg(F.min("_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("_label").alias("label"), F.first("_v").alias("v")))
@@ -134,17 +136,19 @@ def near_duplicates(table: DataFrame, key: str = "vec_id", vector: str = "embedd
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
             for d, part in p.groupby(p["v"].map(len)):
-                x = np.stack(part["v"].to_numpy())
+                x = np.stack(part["v"].to_numpy()).astype(float)
                 yield pd.DataFrame({"id": part["id"], "copies": part["copies"], "label": part["label"].astype(str) + f":{d}", "v": part["v"], "sign": list(signatures(x, bits, tables, seed))})
 
-    signed = cut(same.select("id", "copies", F.col("label").cast("string").alias("label"), "v").mapInPandas(hashed, "id long, copies long, label string, v array<double>, sign array<int>"))
-    spread = signed.select("*", F.posexplode("sign").alias("t", "s")).withColumn("bucket", F.xxhash64("label", "t", "s"))
+    signed = cut(same.select("id", "copies", F.col("label").cast("string").alias("label"), "v").mapInPandas(tidied(hashed), f"id long, copies long, label string, v array<{kind}>, sign array<int>"))
+    # Rows are dealt to buckets by id alone; vectors follow to those that hold more than one.
+    spread = signed.select("id", "label", F.posexplode("sign").alias("t", "s")).select("id", "t", F.xxhash64("label", "t", "s").alias("bucket"))
     met = cut(spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     total = met.agg(F.sum("n")).first()[0] or 0
     large = max(BLOCK, -(-total // MOST_LARGE))
     # Rows alone in their bucket go no further. Small buckets go to tasks many at a time; one above `large` rows goes in pairs of blocks.
     split = met.where(F.col("n") > large).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).drop("n")
-    held = spread.join(met.select("bucket"), "bucket", "left_semi").join(F.broadcast(split), "bucket", "left")
+    held = cut(spread.join(met.select("bucket"), "bucket", "left_semi").join(F.broadcast(split), "bucket", "left"))
+    held = held.join(signed.select("id", "copies", "v", "sign"), "id")
     own = F.when(F.col("blocks").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     tasks = held.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("blocks") - 1, F.lit(0)))))
     tasks = tasks.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
@@ -164,7 +168,7 @@ def near_duplicates(table: DataFrame, key: str = "vec_id", vector: str = "embedd
         rows: list[tuple[int, int, int]] = []
         for d in np.unique(width):
             k = np.flatnonzero(width == d)
-            x = flat[at[by[k]][:, None] + np.arange(d)]
+            x = flat[at[by[k]][:, None] + np.arange(d)].astype(float)
             if group.column("blocks")[0].as_py():
                 found = compared(ids[k], copies[k], x, sign[k], int(t[0]), side[k] if get("lo")[0] != get("hi")[0] else None, least)
                 rows += [(int(i), int(r), int(n)) for i, r, n in zip(ids[k], found[1], found[0], strict=True) if n]
@@ -180,7 +184,7 @@ def near_duplicates(table: DataFrame, key: str = "vec_id", vector: str = "embedd
                     rows += [(int(i), int(r), int(n)) for i, r, n in zip(ids[k][i:j], found[1], found[0], strict=True) if n]
         return pa.table([pa.array([r[c] for r in rows], pa.int64()) for c in range(3)], schema=links)
 
-    found = cut(tasks.groupBy("cell").applyInArrow(compare, "a long, b long, links long"))
+    found = cut(tasks.groupBy("cell").applyInArrow(tidied(compare), "a long, b long, links long"))
     parts = connected_components(found.select("a", "b")).select(F.col("node").alias("id"), "component")
     degree = found.groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
     by_vector = cut(same.select("_k1", "_k2", "id", "copies").join(degree, "id", "left").join(parts, "id", "left").select("_k1", "_k2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("_component")))
