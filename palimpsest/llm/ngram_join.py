@@ -292,9 +292,13 @@ def coarse_links(sets: DataFrame, percent: int) -> DataFrame:
     sizes = cut(sets.select("sig", F.col("n") - F.length("ids") / 8, F.explode("keys").alias("key")).toDF("sig", "own", "key").groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min_by("sig", F.struct("own", "sig")).alias("lead")).where("rows > 1"))
     most = max(CHUNK, -(-(sizes.agg(F.sum("rows")).first()[0] or 0) // MOST_LARGE))
     large = sizes.where(F.col("rows") > most).withColumn("chunks", F.ceil(F.col("rows") / most).cast("int")).drop("rows")
-    keyed = keyed.join(sizes.select("key"), "key", "left_semi").join(F.broadcast(large), "key", "left")
-    own = F.array(F.coalesce(F.pmod(F.xxhash64("sig"), F.col("chunks")).cast("int"), F.lit(0)))
-    keyed = keyed.withColumn("chunk", F.explode(F.when(F.col("sig") == F.col("lead"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(own)))
+    # Large groups are dealt to their chunks where they are read; only keys of small ones are looked up by a shuffle.
+    large = F.broadcast(cut(large))
+    own = F.array(F.pmod(F.xxhash64("sig"), F.col("chunks")).cast("int"))
+    chunk = F.explode(F.when(F.col("sig") == F.col("lead"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(own))
+    dealt_out = keyed.join(large, "key").withColumn("chunk", chunk).drop("chunks", "lead")
+    small = keyed.join(large.select("key"), "key", "left_anti").join(sizes.select("key"), "key", "left_semi").withColumn("chunk", F.lit(0))
+    keyed = dealt_out.unionByName(small)
 
     def search(group: pa.Table) -> pa.Table:
         return _links(forest(group.column("sig").to_pylist(), group.column("n").to_pylist(), _all(group, "ids", "<i8"), percent))

@@ -177,8 +177,9 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4
     Returns a row per piece: key, start, length, ids (binary, unsigned little-endian 32 bits),
     doc_tokens, sequence_id, offset. Every task packs the documents of its own input split, so that
     nothing is shuffled; documents longer than a window fill whole windows first; at its end a task
-    fills its open windows from one another and leaves one at most short. sequence_id holds the
-    split's number above 2**33, so that a repeated task gives the same ids.
+    fills its open windows from one another and leaves one at most short, as it does whenever
+    MOST_OPEN windows are open, which bounds its memory. sequence_id holds the split's number above
+    2**33, so that a repeated task gives the same ids.
 
     Null and empty texts are one piece that holds the end id. Repeated rows are packed one by one.
     An empty table gives no rows; other columns are left out.

@@ -156,14 +156,19 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
 
-def word_features(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(features, before, document): by word, hashes of its prefixes (a column for each), of the word before it, and its text."""
-    data = _LOWER[data]
+def word_spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word begins and ends."""
     ink = _CLASS[data] > 0
     edge = np.zeros(len(data) + 1, bool)
     edge[bounds] = True
     begin = np.flatnonzero(ink & (edge[:-1] | ~np.concatenate([[False], ink[:-1]])))
-    end = np.flatnonzero(ink & (edge[1:] | ~np.concatenate([ink[1:], [False]]))) + 1
+    return begin, np.flatnonzero(ink & (edge[1:] | ~np.concatenate([ink[1:], [False]]))) + 1
+
+
+def word_features(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features, before, document): by word, hashes of its prefixes (a column for each), of the word before it, and its text."""
+    data = _LOWER[data]
+    begin, end = word_spans(data, bounds)
     r = Rolling(data)
     whole = r.of(begin, end)
     columns = [whole ^ np.uint64(1) if k is None else np.where(end - begin >= k, r.of(begin, np.minimum(begin + k, end)), whole ^ np.uint64(1)) for k in PREFIXES]
@@ -213,10 +218,34 @@ class Scorer:
         own = np.flatnonzero(best > 0)
         return doc[own], f[own, -1], best[own], words
 
+    def doubled(self, data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, str]]:
+        """(document, word) of the words with doubled letters that have a feature only with each of them once: those go through the lattice."""
+        low = _LOWER[data]
+        twice = np.concatenate([[False], (low[1:] == low[:-1]) & (_CLASS[low[1:]] > 0)]) if len(low) else np.zeros(0, bool)
+        twice[bounds[:-1][bounds[:-1] < len(low)]] = False
+        begin, end = word_spans(low, bounds)
+        gone = np.concatenate([[0], np.cumsum(twice)])
+        some = np.flatnonzero(gone[end] > gone[begin])
+        if not len(some) or not len(self.names):
+            return
+        # The words with doubled letters alone, each a text of its own, as they are and with every letter once.
+        inside = np.zeros(len(low) + 1, np.int64)
+        np.add.at(inside, begin[some], 1)
+        np.add.at(inside, end[some], -1)
+        stay = np.cumsum(inside)[:-1] > 0
+        size = (end - begin)[some]
+        raw = np.unique(self.hits(low[stay], np.concatenate([[0], np.cumsum(size)]))[0])
+        once = np.unique(self.hits(low[stay & ~twice], np.concatenate([[0], np.cumsum(size - (gone[end] - gone[begin])[some])]))[0])
+        for k in some[np.setdiff1d(once, raw)]:
+            yield int(np.searchsorted(bounds, begin[k], side="right")) - 1, data[begin[k] : end[k]].tobytes().decode(errors="replace")
+
     def evidence(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(sum, hits, words) of each text and its restored spans: the log-odds of its different words that have any, by the root of how often each stands."""
         hidden = [restored(t.decode(errors="replace"), self.model, self.seen).encode() if t else b"" for t in column.to_pylist()]
-        doc, word, odds, words = self.hits(*text_bytes(column))
+        data, bounds = text_bytes(column)
+        doc, word, odds, words = self.hits(data, bounds)
+        for d, raw in self.doubled(data, bounds):
+            hidden[d] += b" " + restore(raw, self.model).encode()
         if any(hidden):
             more = self.hits(*text_bytes(pa.array(hidden, pa.binary())))
             doc, word, odds = (np.concatenate(x) for x in zip((doc, word, odds), more[:3], strict=True))

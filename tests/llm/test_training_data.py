@@ -419,12 +419,12 @@ def test_toxicity_restores_disguised_words(spark):
             w[rng.randrange(30)] = rng.choice(["idiot", "moron", "worthless"])
         texts.append(" ".join(w))
         toxic.append(int(k % 4 == 0))
-    hidden = ["river 1d10t stone", "garden i d i o t river", "silver w0rthle$$ orange", "letter moooron simple"]
+    hidden = ["river 1d10t stone", "garden i d i o t river", "silver w0rthle$$ orange", "letter moooron simple", "river idiiot stone", "garden Moroon letter"]
     d = documents(spark, [*texts, *hidden, "river stone garden", None])
     y = spark.createDataFrame([(i, t) for i, t in enumerate(toxic)], "doc_id long, toxic int")
     got = {r["doc_id"]: r["predicted"] for r in toxicity.score_toxicity(d, y).collect()}
     assert [got[i] for i in range(400)] == toxic
-    assert [got[400 + i] for i in range(6)] == [1, 1, 1, 1, 0, 0]
+    assert [got[400 + i] for i in range(8)] == [1, 1, 1, 1, 1, 1, 0, 0]
     kept = toxicity.reject_toxic(d.withColumn("_toxicity", F.lit("mine")), y)
     assert kept.count() == 302 and kept.columns == [*d.columns, "_toxicity"] and {r["_toxicity"] for r in kept.collect()} == {"mine"}
 
