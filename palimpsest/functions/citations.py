@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -18,6 +19,11 @@ _CITED = (
 _BLOCK = r"(?i)\(\s*Pub\.\s*L\.(?:[^()]|\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\))*\)"
 
 
+def let(value: Column, of: Callable[[Column], Column]) -> Column:
+    """`of` of a value that is computed once, however often `of` refers to it."""
+    return F.element_at(F.transform(F.array(value), of), 1)
+
+
 def _part(text: Column, pattern: str, group: int) -> Column:
     """A group of the first match, null where it is missing or empty."""
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
@@ -156,24 +162,34 @@ def amendments(text: Column) -> Column:
 
     def of_year(block: Column) -> Column:
         year = F.regexp_extract(block, r"^([0-9]{4})", 1).cast("int")
-        body = F.trim(F.regexp_replace(block, r"(?s)^[0-9]{4}\s*[—–-]\s*|\s+$", ""))
-        paragraphs = F.filter(F.transform(F.split(body, r"\n\n+"), lambda p: F.trim(F.regexp_replace(p, r"^\s+|\s+$", ""))), lambda p: p != "")
-        own = F.filter(paragraphs, lambda p: F.regexp_like(p, F.lit(law_first)))
-        own = F.transform(own, lambda p: entry(year, p, F.regexp_extract(p, rf"(?s){LAW}.*", 0), _said(p)))
-        once = F.when(F.regexp_like(body, F.lit(LAW)), F.array(entry(year, body, body, _said(body)))).when(F.regexp_like(body, F.lit(r"\bAct\b")), F.array(of_act(year, body))).otherwise(F.array_remove(F.array(of_act(year, body)), of_act(year, body)))
-        return F.when(F.size(own) > 0, own).otherwise(once)
+        return let(F.trim(F.regexp_replace(block, r"(?s)^[0-9]{4}\s*[—–-]\s*|\s+$", "")), lambda body: of_body(year, body))
+
+    def of_body(year: Column, body: Column) -> Column:
+        paragraphs = F.transform(F.split(body, r"\n\n+"), lambda p: F.trim(F.regexp_replace(p, r"^\s+|\s+$", "")))
+        own = F.transform(F.filter(paragraphs, lambda p: F.regexp_like(p, F.lit(law_first))), lambda p: entry(year, p, F.regexp_extract(p, rf"(?s){LAW}.*", 0), _said(p)))
+        act = F.array(of_act(year, body))
+        once = F.when(F.regexp_like(body, F.lit(LAW)), F.array(entry(year, body, body, _said(body)))).when(F.regexp_like(body, F.lit(r"\bAct\b")), act).otherwise(F.slice(act, 1, 0))
+        return let(own, lambda found: F.when(F.size(found) > 0, found).otherwise(once))
+
+    def listed(text: Column) -> Column:
+        blocks = F.filter(F.split(text, r"(?=[0-9]{4}\s*[—–-]\s*)"), lambda b: F.regexp_like(b, F.lit(r"^[0-9]{4}\s*[—–-]")))
+        old = F.trim(F.regexp_replace(text, r"^\s*[—–-]\s*", ""))
+        act_year = _part(old, r"\bAct\s+\w+\.?\s+[0-9]{1,2},?\s+([0-9]{4})", 1).cast("int")
+        return let(F.flatten(F.transform(blocks, of_year)), lambda found: F.when((F.size(found) == 0) & act_year.isNotNull(), F.array(of_act(act_year, old))).otherwise(found))
+
+    return let(text, listed)
+
 
-    blocks = F.filter(F.split(text, r"(?=[0-9]{4}\s*[—–-]\s*)"), lambda b: F.regexp_like(b, F.lit(r"^[0-9]{4}\s*[—–-]")))
-    listed = F.flatten(F.transform(blocks, of_year))
-    old = F.trim(F.regexp_replace(text, r"^\s*[—–-]\s*", ""))
-    act_year = _part(old, r"\bAct\s+\w+\.?\s+[0-9]{1,2},?\s+([0-9]{4})", 1).cast("int")
-    return F.when(F.size(listed) > 0, listed).when(act_year.isNotNull(), F.array(of_act(act_year, old))).otherwise(listed)
+def first_of(amended: Column) -> Column:
+    """(year, 'PL c-n') of the first of the amendments that names a law; null without one."""
+    named = F.filter(amended, lambda a: a["congress"].isNotNull())
+    said = F.transform(named, lambda a: F.struct(a["year"].alias("year"), F.concat(F.lit("PL "), a["congress"].cast("string"), F.lit("-"), a["law_number"].cast("string")).alias("law")))
+    return F.get(said, F.lit(0))
 
 
 def first_amendment(text: Column) -> Column:
-    """(year, 'PL c-n') of the first amendment that names a law; null without one."""
-    found = F.get(F.filter(amendments(text), lambda a: a["congress"].isNotNull()), F.lit(0))
-    return F.when(found.isNotNull(), F.struct(found["year"].alias("year"), F.concat(F.lit("PL "), found["congress"].cast("string"), F.lit("-"), found["law_number"].cast("string")).alias("law")))
+    """(year, 'PL c-n') of the first amendment in a note that names a law; null without one."""
+    return first_of(amendments(text))
 
 
 def short_titles(text: Column) -> Column:

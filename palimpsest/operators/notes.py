@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.citations import amendments, first_amendment, law_citations, short_titles, without_marks
+from ..functions.citations import amendments, first_of, law_citations, short_titles, without_marks
 
 #: Headings that open a category, headings that belong to one where no category is opened, and headings at which notes begin.
 WRAPPERS = {"historical and revision notes": "historical", "editorial notes": "editorial", "statutory notes and related subsidiaries": "statutory", "executive documents": "statutory"}
@@ -91,19 +91,17 @@ def notes_document(rows: DataFrame, key: list[str], raw: str = "raw_notes") -> D
     # Exploded arrays of one element are read once, however often what follows refers to them.
     once = lambda df, name, value: df.withColumn(name, F.explode(F.array(value)))
     out = once(rows.select(*key, raw), "notes", notes)
-    out = once(out, "citations", law_citations(text)).withColumns({"amendments": F.coalesce(amendments(of("Amendments")), F.array().cast(_array(amendments(F.lit("")), rows))), "first_amendment": first_amendment(of("Amendments"))})
+    out = once(out, "citations", law_citations(text))
+    none = F.array().cast(rows.sparkSession.range(1).select(amendments(F.lit("")).alias("x")).schema["x"].dataType)
+    out = once(out, "amendments", F.coalesce(amendments(of("Amendments")), none))
     statutory = F.array_join(F.transform(F.filter("notes", lambda n: n["category"] == "statutory"), lambda n: F.concat(n["header"], F.lit(" "), n["content"])), "\n")
     return out.select(
-        *key, "notes", "citations", "amendments", "first_amendment", short_titles(statutory).alias("short_titles"), F.array_sort(F.array_distinct(F.transform("notes", lambda n: n["category"]))).alias("categories"),
+        *key, "notes", "citations", "amendments", first_of(F.col("amendments")).alias("first_amendment"), short_titles(statutory).alias("short_titles"), F.array_sort(F.array_distinct(F.transform("notes", lambda n: n["category"]))).alias("categories"),
         F.when(begin.rlike(r"(?i)\bTransferred\b"), target).alias("transferred_to"), F.coalesce(begin.rlike(r"(?i)\bOmitted\b"), F.lit(False)).alias("omitted"),
         ((F.size("amendments") > 0) | (F.size("citations") > 1) | F.coalesce(text.rlike(r"\[NH\]Amendments\[/NH\]"), F.lit(False))).alias("has_amendments"),
     )
 
 
-def _array(of: Column, rows: DataFrame) -> str:
-    return rows.sparkSession.range(1).select(of.alias("x")).schema["x"].dataType.simpleString()
-
-
 def by_category(document: DataFrame, key: list[str]) -> DataFrame:
     """A row for each note: its place, category, heading and text."""
     return document.select(*key, F.posexplode("notes").alias("position", "n")).select(*key, "position", "n.category", "n.header", "n.content")
