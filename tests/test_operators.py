@@ -325,3 +325,55 @@ def test_rules_without_rule_x(spark):
 
     assert committees.rule_x("<p>RULE IX</p><p>(a) Committee on X.</p>") == []
     assert committees.rule_x("<p>Rule X.</p><p>(a) Committee on the Budget.</p><p>(b) Permanent Select Committee on Intelligence.</p><p>(1) Spies.</p>") == [("a", "Committee on the Budget", 0, ""), ("b", "Permanent Select Committee on Intelligence", 1, "Spies.")]
+
+
+def test_following_text_of_odd_instructions(spark):
+    from palimpsest.operators import prose
+
+    rows = [("x: “never closed. ” and more",), ("x:",), ("",), (None,), ("x nothing quoted and no paragraph",), ('x "short"',)]
+    got = spark.createDataFrame(rows, "t string").select(prose.following_text(F.col("t"), F.lit(1)).alias("f")).collect()
+    assert [r["f"] and (r["f"]["text"], r["f"]["confidence"]) for r in got] == [("never closed.", 0.9), None, None, None, None, ("short", 0.9)]
+
+
+def test_sentences_of_empty_texts(spark):
+    from palimpsest.operators import prose
+
+    d = spark.createDataFrame([(1, ""), (2, None), (3, "One."), (4, "A v. B is cited. “So it is.” Then\n\n\nmore")], "k int, t string")
+    got = prose.sentences(d, ["k"], "t").orderBy("k", "position").collect()
+    assert [(r["k"], r["sentence"], r["paragraph"]) for r in got] == [(3, "One.", 0), (4, "A v. B is cited.", 0), (4, "“So it is.” Then", 0), (4, "more", 1)]
+    texts = {3: "One.", 4: "A v. B is cited. “So it is.” Then\n\n\nmore"}
+    assert all(texts[r["k"]][r["start_char"] : r["end_char"]] == r["sentence"] for r in got)
+
+
+def test_laws_are_processed_once(spark):
+    from palimpsest.operators import process
+
+    laws = spark.createDataFrame([(1, "Section 5 of title 3 is hereby repealed."), (2, None), (3, "Section 9 is amended by striking \"a\" and inserting \"b\".")], "law_id int, text string")
+    none = spark.createDataFrame([], "law_id int")
+    changes, sessions = process.process_laws(laws, none, F.lit(None).cast("int"))
+    assert {(r["law_id"], r["status"], r["error"]) for r in changes.collect()} == {(1, "made", None), (3, "unresolved", "no title")}
+    assert {r["law_id"] for r in sessions.collect()} == {1, 2, 3}
+    again, _ = process.process_laws(laws, laws.select("law_id"), F.lit(26))
+    assert again.count() == 0
+
+
+def test_intake_of_the_same_rows_changes_nothing(spark):
+    from palimpsest.operators import intake
+
+    d = spark.createDataFrame([(1, "a"), (2, None)], "k int, v string")
+    out, log = intake.taken_in(d, d, ["k"])
+    assert tuple(log.first()) == (2, 0, 0, 2) and sorted(map(tuple, out.collect())) == [(1, "a"), (2, None)]
+    assert tuple(intake.taken_in(d, d, ["k"], force=True)[1].first()) == (2, 0, 2, 0)
+    r = spark.createDataFrame([(1, 1, False, "Ingesting")], "revision_id long, sequence_number long, is_ground_truth boolean, status string")
+    assert intake.finalized(r).first()["status"] == "Ingesting"
+
+
+def test_notes_of_empty_and_flat_notes(spark):
+    from palimpsest.operators import notes
+
+    raw = "[NH]Amendments[/NH]1990—Pub. L. 101–5 struck out all of it.[NH]Derivation[/NH][NH]Amendments[/NH]again, and long enough to be kept[NH]House Report No. 94–1476[/NH]It says what it says about all of it."
+    d = spark.createDataFrame([(1, raw), (2, ""), (3, None)], "k int, raw_notes string")
+    got = {r["k"]: r for r in notes.notes_document(d, ["k"]).collect()}
+    assert [(n["category"], n["header"]) for n in got[1]["notes"]] == [("editorial", "Amendments"), ("historical", "Derivation"), ("historical", "House Report No. 94–1476")]
+    assert got[1]["first_amendment"]["law"] == "PL 101-5" and got[1]["has_amendments"]
+    assert not got[2]["notes"] and not got[2]["has_amendments"] and got[2]["amendments"] == []
