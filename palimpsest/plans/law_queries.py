@@ -13,8 +13,8 @@ from ..functions.text import en_dashed, indent_level, is_roman, plain_dashed, pu
 from ..functions.text import chamber as chamber_of
 from ..functions.text import citation, edit_words, first_replaced, full_name, party, shortened
 from ..functions.dates import display_date, first_year, prose_date
-from ..operators import catalog, chrono, committees, history, intake, maintenance, notes, process, prose, relations, viewer
-from ..sources.tables import table
+from ..operators import apply, catalog, chrono, committees, history, intake, intervals, maintenance, notes, process, prose, relations, viewer
+from ..sources.tables import release_point_links, table
 from . import standins
 from .queries import _ALL_EVENTS, _all_events, query
 
@@ -778,3 +778,42 @@ def section_dependencies(spark: SparkSession, d: str) -> DataFrame:
     refs = table(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 9).cast("int").alias("to_title"), (F.col("o_custkey") % 40).cast("int").alias("to_section"))
     sections = table(spark, d, "nation").select(F.col("n_regionkey").cast("int").alias("title_number"), F.col("n_nationkey").cast("int").alias("section_number"), F.col("n_name").alias("heading"))
     return process.dependencies(refs, sections).select("o_orderkey", "to_heading")
+
+
+# Sources, blame and positions
+
+
+@query("""SELECT '119-' || c_custkey || 'not' || (c_custkey % 7) || 'u2' AS full_identifier, 119 AS congress, CAST(c_custkey AS INTEGER) AS law_number, CAST(c_custkey % 7 AS VARCHAR) AS not_laws, 2 AS update_number, DATE '2020-01-01' + CAST(c_custkey % 300 AS INTEGER) AS publication_date, CASE WHEN c_nationkey = 9 THEN '9' ELSE array_to_string(list_sort([9, c_nationkey]), ',') END AS titles FROM customer""")
+def release_point_index(spark: SparkSession, d: str) -> DataFrame:
+    """Release points out of the links of index pages, one of each nation; each is linked twice."""
+    k = F.col("c_custkey")
+    day = F.date_format(F.date_add(F.lit("2020-01-01").cast("date"), (k % 300).cast("int")), "MM/dd/yyyy")
+    link = said('<li><a href="prior/usc-rp@119-', k, "not", k % 7, 'u2.htm" title="x">Public Law 119-', k, " (", day, "), affecting titles 9, ", F.col("c_nationkey"), ".</a></li>")
+    pages = table(spark, d, "customer").groupBy("c_nationkey").agg(F.array_join(F.flatten(F.collect_list(F.array(link, link))), "\n").alias("html"))
+    out = release_point_links(pages)
+    listed = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    return out.select("full_identifier", "congress", "law_number", listed("not_laws").alias("not_laws"), "update_number", "publication_date", listed("titles").alias("titles"))
+
+
+@query(f"""WITH {standins.SNAPSHOTS_SQL}, {standins.REVISIONS_SQL.replace('{head}', '30')}, s AS (SELECT s.*, chain_pos, row_number() OVER (PARTITION BY title_number, section_number ORDER BY chain_pos DESC, snapshot_id DESC) AS n, count(*) OVER (PARTITION BY title_number, section_number) AS newest FROM snapshots s JOIN chain USING (revision_id)),
+l AS (SELECT title_number, section_number, revision_id, n, newest, 0 AS line_number, 'Title ' || title_number AS line FROM s UNION ALL SELECT title_number, section_number, revision_id, n, newest, 2, 'Parity ' || snapshot_id % 2 FROM s),
+r AS (SELECT *, n - row_number() OVER (PARTITION BY title_number, section_number, line ORDER BY n) AS run FROM l), g AS (SELECT title_number, section_number, line, run, max(n) AS last, max(newest) AS newest, min_by(revision_id, n) AS since_revision FROM r GROUP BY 1, 2, 3, 4)
+SELECT l.title_number, l.section_number, l.line_number, l.line, g.since_revision FROM l JOIN g ON g.title_number = l.title_number AND g.section_number = l.section_number AND g.line = l.line AND g.last = g.newest WHERE l.n = l.newest""")
+def section_blame(spark: SparkSession, d: str) -> DataFrame:
+    """Since which revision each line of each section has stayed."""
+    from ..operators import snapshots
+
+    rows = standins.snapshots(spark, d).withColumn("text_content", said("Title ", F.col("title_number"), "\n\nParity ", F.col("snapshot_id") % 2))
+    chain = snapshots.revision_chain(standins.revisions(spark, d), 30)
+    return snapshots.blame(rows, chain).select("title_number", "section_number", "line_number", "line", "since_revision")
+
+
+@query("""WITH t AS (SELECT conv_id, turn, string_split(text, chr(10)) AS ls FROM conversations), l AS (SELECT conv_id, turn, unnest(range(1, len(ls) + 1)) AS i, ls FROM t),
+s AS (SELECT conv_id, turn, i, CAST(coalesce(list_sum(list_transform(ls[1:i-1], lambda x: length(x) + 1)), 0) AS BIGINT) AS b, length(ls[i]) AS n, ls[i] AS line FROM l)
+SELECT conv_id, turn, p.at, line_number FROM (SELECT conv_id, turn, b, n, row_number() OVER (PARTITION BY conv_id, turn ORDER BY i) AS line_number FROM s WHERE trim(line) <> '') s JOIN (SELECT unnest([0, 300, 5000]) AS at) p ON p.at >= b AND p.at < b + n""")
+def lines_of_positions(spark: SparkSession, d: str) -> DataFrame:
+    """The lines in which some positions of each turn stand."""
+    rows = table(spark, d, "conversations")
+    spans = apply.lines_of(rows, ["conv_id", "turn"], "text").select("conv_id", "turn", "line_number", F.col("start_char").alias("start"), F.col("end_char").alias("end"))
+    points = rows.select("conv_id", "turn", F.explode(F.array(*map(F.lit, (0, 300, 5000)))).alias("at"))
+    return intervals.points_in(points, spans, ["conv_id", "turn"], "at", "start", "end").select("conv_id", "turn", "at", F.col("line_number").cast("long").alias("line_number"))
