@@ -40,22 +40,32 @@ def law_path(division: Column | None = None, chapter: Column | None = None, titl
     return F.filter(F.array(*parts), lambda x: x["value"].isNotNull() & (x["value"] != ""))
 
 
-def _cited(text: Column) -> dict[str, Column]:
+def _groups(text: Column) -> Column:
+    """The groups of the first law cited, empty where they are missing, by one match and one replacement; null without one."""
+    hit = F.regexp_substr(text, F.lit(_CITED))
+    return F.split(F.regexp_replace(hit, _CITED, "\x1f".join(f"${k}" for k in range(1, 11))), "\x1f")
+
+
+def _cited(groups: Column) -> dict[str, Column]:
     """The parts of the first law cited that are single values."""
-    get = lambda k: _part(text, _CITED, k)
+    get = lambda k: F.nullif(F.get(groups, F.lit(k - 1)), F.lit(""))
     return {"congress": get(1).cast("int"), "law_number": get(2).cast("int"), "date_text": get(7), "stat_volume": get(8), "stat_page": get(9).cast("int")}
 
 
 def law_citation(text: Column) -> Column:
     """The first law cited: Congress, number, path, further subsections, date, volume, page and further pages of the Statutes; null without one."""
-    get = lambda k: _part(text, _CITED, k)
-    own = _cited(text)
-    cited = F.struct(
-        own["congress"].alias("congress"), own["law_number"].alias("law_number"), law_path(division=get(3), title=get(4), section=get(5)).alias("path"),
-        _listed(get(6)).alias("extra_sections"), own["date_text"].alias("date_text"), own["stat_volume"].alias("stat_volume"), own["stat_page"].alias("stat_page"),
-        F.transform(_listed(get(10)), lambda x: x.cast("int")).alias("extra_pages"), F.trim(text).alias("raw_text"),
-    )
-    return F.when(F.regexp_like(text, F.lit(_CITED)), cited)
+
+    def parts(g: Column) -> Column:
+        get = lambda k: F.nullif(F.get(g, F.lit(k - 1)), F.lit(""))
+        own = _cited(g)
+        cited = F.struct(
+            own["congress"].alias("congress"), own["law_number"].alias("law_number"), law_path(division=get(3), title=get(4), section=get(5)).alias("path"),
+            _listed(get(6)).alias("extra_sections"), own["date_text"].alias("date_text"), own["stat_volume"].alias("stat_volume"), own["stat_page"].alias("stat_page"),
+            F.transform(_listed(get(10)), lambda x: x.cast("int")).alias("extra_pages"), F.trim(text).alias("raw_text"),
+        )
+        return F.when(g.isNotNull(), cited)
+
+    return let(_groups(text), parts)
 
 
 def law_citations(text: Column) -> Column:
@@ -154,7 +164,7 @@ def amendments(text: Column) -> Column:
     empty = F.lit(None)
 
     def entry(year: Column, body: Column, cited: Column, said: Column) -> Column:
-        return F.struct(year.alias("year"), *(v.alias(k) for k, v in _cited(cited).items()), said.alias("description"))
+        return let(_groups(cited), lambda g: F.struct(year.alias("year"), *(v.alias(k) for k, v in _cited(g).items()), said.alias("description")))
 
     def of_act(year: Column, body: Column) -> Column:
         kinds = {"congress": "int", "law_number": "int", "date_text": "string", "stat_volume": "string", "stat_page": "int"}
