@@ -17,7 +17,7 @@ from .common import slices, tidied
 #: Windows held open by a task; beyond that, the open ones are filled up from one another.
 MOST_OPEN = 2048
 #: Pre-tokens whose ids a task remembers, at most (some 200 bytes each); then it begins anew.
-MOST_KNOWN = 200_000
+MOST_KNOWN = 300_000
 SLICE = 2 << 20
 #: Texts of these characters alone split into pre-tokens in the same way here as in the tokenizer.
 PLAIN = re.compile(r"[a-zß-öø-ÿ0-9!-/:-@\[-`{-~ \t-\r]*")
