@@ -76,6 +76,12 @@ def op10_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs, TARGETS, other=1.0)
 
 
+def op13_bit_plane_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bit_planes import cluster
+
+    return cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -89,14 +95,48 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_suffix_repeats,
         op9_minimum_cut_text,
         op10_pfair_mixing,
+        op13_bit_plane_clusters,
     )
 }
+
 _REACH = """reach AS (
   SELECT id AS a, id AS b FROM ids
   UNION
   SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b
 )"""
 
+
+def _clusters_sql(clusters: int = 40, rounds: int = 5) -> str:
+    """Lloyd's rounds, one after another, each a pair of steps: assigned vectors, then moved centroids."""
+    steps = [
+        """v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+)""",
+        f"c0 AS (SELECT row_number() OVER (ORDER BY h) - 1 AS k, x FROM (SELECT sha256('2:' || vec_id) AS h, x FROM v ORDER BY h LIMIT {clusters}))",
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS (
+  SELECT vec_id, x, n.k AS k, n.d AS d FROM (
+    SELECT vec_id, any_value(v.x) AS x, min(struct_pack(d := CAST(list_dot_product(v.x, v.x) - 2 * list_dot_product(v.x, c.x) + list_dot_product(c.x, c.x) AS BIGINT), k := k)) AS n
+    FROM v CROSS JOIN c{r} c GROUP BY vec_id
+  )
+)""")
+        if r < rounds:
+            steps.append(f"""c{r + 1} AS (
+  SELECT c.k, coalesce(m.x, c.x) AS x FROM c{r} c LEFT JOIN (
+    SELECT k, list(m ORDER BY j) AS x FROM (
+      SELECT k, j, floor(sum(y) / count(*)) AS m FROM (SELECT k, unnest(x) AS y, generate_subscripts(x, 1) AS j FROM a{r}) GROUP BY k, j
+    ) GROUP BY k
+  ) m ON m.k = c.k
+)""")
+    return f"""
+WITH {", ".join(steps)}
+SELECT vec_id, CAST(a.k AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY a.k) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(list_transform(c.x, lambda y: CAST(y AS BIGINT)), ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON c.k = a.k"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op2_sign_hash_dedup": f"""
 WITH RECURSIVE ids AS (SELECT vec_id AS id FROM embeddings),
@@ -127,4 +167,5 @@ links AS (SELECT p.a, p.b FROM pairs p JOIN n x ON x.doc_id = p.a JOIN n y ON y.
 {_REACH}
 SELECT id AS doc_id, coalesce(n.n, 0) AS n_shingles, component_id
 FROM (SELECT a AS id, min(b) AS component_id FROM reach GROUP BY 1) LEFT JOIN n ON n.doc_id = id""",
+    "op13_bit_plane_clusters": _clusters_sql(),
 }
