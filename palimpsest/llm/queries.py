@@ -76,6 +76,19 @@ def op10_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs, TARGETS, other=1.0)
 
 
+def op11_covariance_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whiten
+
+    # A deviation that doesn't fit a long, as with many millions of rows, is null.
+    return whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op12_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op13_bit_plane_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bit_planes import cluster
 
@@ -95,6 +108,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_suffix_repeats,
         op9_minimum_cut_text,
         op10_pfair_mixing,
+        op11_covariance_whitening,
+        op12_simhash_fingerprints,
         op13_bit_plane_clusters,
     )
 }
