@@ -38,7 +38,7 @@ def voted(rows: DataFrame, by: list[str], text: str) -> DataFrame:
     apart: weights of a text sum up to less than its bytes, so no lane runs into the next.
     """
     words = rows.select(*by, F.split(F.lower(F.col(text)), WHITE).alias("_words"))
-    each = words.select(*by, "_words", F.posexplode("_words").alias("_at", "_word")).select(
+    each = words.select(*by, "_words", F.posexplode_outer("_words").alias("_at", "_word")).select(
         *by, F.least(F.octet_length("_word"), F.lit(HEAVIEST)).cast("long").alias("_weight"), "_word", F.get("_words", F.col("_at") + 1).alias("_next")
     )
     hashes = [F.xxhash64("_word", "_next"), F.xxhash64("_next", F.lit(1), "_word")]
