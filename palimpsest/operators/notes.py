@@ -94,7 +94,7 @@ def notes_document(rows: DataFrame, key: list[str], raw: str = "raw_notes") -> D
     out = once(out, "citations", law_citations(text))
     none = F.array().cast(rows.sparkSession.range(1).select(amendments(F.lit("")).alias("x")).schema["x"].dataType)
     out = once(out, "amendments", F.coalesce(amendments(of("Amendments")), none))
-    statutory = F.array_join(F.transform(F.filter("notes", lambda n: n["category"] == "statutory"), lambda n: F.concat(n["header"], F.lit(" "), n["content"])), "\n")
+    statutory = F.filter("notes", lambda n: n["category"] == "statutory")
     return out.select(
         *key, "notes", "citations", "amendments", first_of(F.col("amendments")).alias("first_amendment"), short_titles(statutory).alias("short_titles"), F.array_sort(F.array_distinct(F.transform("notes", lambda n: n["category"]))).alias("categories"),
         F.when(begin.rlike(r"(?i)\bTransferred\b"), target).alias("transferred_to"), F.coalesce(begin.rlike(r"(?i)\bOmitted\b"), F.lit(False)).alias("omitted"),

@@ -2,48 +2,119 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Abbreviations of legal prose whose stop ends no sentence.
 ABBREVIATIONS = (
     "Pub", "L", "Stat", "Sec", "Sess", "Cong", "Art", "Ch", "Cl", "Div", "No", "Nos", "Par", "Pars", "Pt", "Subch", "Subpar", "Subpars", "Subsec", "Subsecs", "Tit", "Vol", "U", "S", "C", "F", "R", "D", "Fed", "Reg", "Rep", "Res", "Ex", "Ord", "Proc",
+    "Rev", "Gen", "Col", "Gov", "Sen", "Dept", "Amdt", "Para", "Eff", "sec", "no", "pub", "stat", "rev", "reg", "fed", "corp", "inc", "ltd", "co", "et", "dept", "div", "ch", "art", "amdt", "cl", "para", "par", "pars", "subsec", "subsecs", "subch", "pt", "proc", "eff",
     "Jan", "Feb", "Mar", "Apr", "Aug", "Sept", "Oct", "Nov", "Dec", "Mr", "Mrs", "Ms", "Dr", "Jr", "Sr", "St", "Inc", "Corp", "Co", "Ltd", "etc", "seq", "al", "v", "vs", "e", "g", "i",
 )
 #: Ordinals of sentences, from the first on.
 ORDINALS = ("first", "second", "third", "fourth", "fifth", "sixth", "seventh", "eighth", "ninth", "tenth")
 MODES = {"RegEx": "LLM", "LLM": "Human_Plus_LLM", "Human_Plus_LLM": "Human_Plus_LLM"}
-_QUOTED = r"(?s)^[\"“]([^\"“”]*(?:“[^\"“”]*”[^\"“”]*)*)[\"”]"
 
 
 def _stripped(x: Column) -> Column:
     return F.regexp_replace(x, r"^\s+|\s+$", "")
 
 
+#: How sure each way of reading what follows an instruction is.
+FOLLOWING = {"quoted": 0.9, "quoted_heuristic": 0.7, "colon_to_section": 0.6, "paragraph": 0.5}
+#: How far after an instruction its colon and its quotation mark may stand.
+COLON_WITHIN, QUOTE_WITHIN = 200, 500
+_MARK = re.compile("[\"“”]|``|''")
+_STOP_AND_MARK = re.compile("[.]\\s*[\"”]")
+
+
+def closing(text: str, at: int) -> int | None:
+    """Where the quotation that opens at `at` closes, quotations in it counted; None where it doesn't.
+
+    “ and `` open, ” and \'\' close; a straight mark closes what a straight mark opened, and opens
+    where another kind is open. The text is read once, with a stack of what is open.
+    """
+    stack: list[str] = []
+    for m in _MARK.finditer(text, at):
+        mark = m[0]
+        if mark in ("“", "``"):
+            stack.append(mark)
+        elif mark == '"':
+            if stack and stack[-1] == mark:
+                stack.pop()
+            else:
+                stack.append(mark)
+        elif stack and stack[-1] == {"”": "“", "\'\'": "``"}[mark]:
+            stack.pop()
+        elif mark == "”" and stack and stack[-1] == '"':  # a straight mark that a curly one closes
+            stack.pop()
+        if not stack:
+            return m.start()
+    return None
+
+
+def quotation(text: str, at: int) -> tuple[str, str] | None:
+    """(words, method) of the quotation that opens at `at`; where none closes it, up to the first stop before a mark."""
+    begin = at + (2 if text.startswith("``", at) else 1)
+    end = closing(text, at)
+    if end is not None:
+        return text[begin:end].strip(), "quoted"
+    stop = _STOP_AND_MARK.search(text, begin)
+    return (text[begin : stop.start() + 1].strip(), "quoted_heuristic") if stop else None
+
+
+def _opens_section(line: str) -> bool:
+    """Whether a line begins with a section's number, as in SEC. 3, or with a subsection's letter."""
+    head = line.split(maxsplit=1)
+    if len(head) < 2:
+        return False
+    return bool(head[0] == "SEC." and head[1][0].isdigit() or len(head[0]) == 3 and head[0][0] + head[0][2] == "()" and head[0][1].islower())
+
+
+def _before(lines: list[str], ends: Callable[[str], bool]) -> str | None:
+    """The lines before the first one (but the first) at which it ends; None if there is none."""
+    k = next((k for k, line in enumerate(lines) if k and ends(line)), None)
+    return None if k is None else "\n".join(lines[:k]).strip()
+
+
+def introduced(text: str, end: int) -> tuple[str, float, str] | None:
+    """(text, confidence, method) of what an instruction that ends at `end` introduces."""
+    found = None
+    colon = text.find(":", end, end + COLON_WITHIN)
+    if colon >= 0:
+        rest = colon + 1 + len(text[colon + 1 :]) - len(text[colon + 1 :].lstrip())
+        if _MARK.match(text, rest) and text[rest] not in "”\'":
+            found = quotation(text, rest)
+        else:
+            said = _before(text[rest:].split("\n"), _opens_section)
+            found = (said, "colon_to_section") if said else None
+    if found is None and (m := re.compile("[\"“]|``").search(text, end, end + QUOTE_WITHIN)):
+        found = quotation(text, m.start())
+    if found is None:
+        said = _before(text[end:].lstrip(": \t\n\r").split("\n"), lambda line: not line.strip() or line.startswith("SEC.") and _opens_section(line))
+        found = (said, "paragraph") if said and len(said) > 10 else None
+    return found and (found[0], FOLLOWING[found[1]], found[1])
+
+
 def following_text(text: Column, end: Column) -> Column:
     """(text, confidence, method) of what an instruction that ends at `end` introduces; null without any.
 
-    After a colon within 200 characters: the text in quotes (0.9), or up to the next section or
-    subsection (0.6). Else the next quoted text within 500 characters (0.9; 0.7 up to a stop and a
-    quote where none closes it), else the paragraph, if it has more than 10 characters (0.5).
+    After a colon within COLON_WITHIN characters: the quotation there, else what stands up to the
+    next section or subsection. Else the next quotation that begins within QUOTE_WITHIN characters,
+    else the paragraph, if it has more than 10 characters.
     """
-    rest = F.substring(text, end + 1, F.length(text))
-    colon = F.regexp_instr(F.substring(rest, 1, 200), F.lit(":"))
-    after = F.regexp_replace(F.substring(rest, colon + 1, F.length(rest)), r"^\s+", "")
-    quote = F.regexp_instr(F.substring(rest, 1, 500), F.lit("[\"“]"))
-    from_quote = F.substring(rest, quote, F.length(rest))
-    made = lambda x, c, m: F.struct(_stripped(x).alias("text"), F.lit(c).alias("confidence"), F.lit(m).alias("method"))
 
-    def between(x: Column) -> Column:
-        loose = r"(?s)^[\"“](.{0,5000}?\.)\s*[\"”]"
-        return F.when(F.regexp_like(x, F.lit(_QUOTED)), made(F.regexp_extract(x, _QUOTED, 1), 0.9, "quoted")).when(F.regexp_like(x, F.lit(loose)), made(F.regexp_extract(x, loose, 1), 0.7, "quoted_heuristic"))
+    @F.pandas_udf("text string, confidence double, method string")
+    def run(texts: pd.Series, ends: pd.Series) -> pd.DataFrame:
+        got = [None if t is None or pd.isna(e) else introduced(t, int(e)) for t, e in zip(texts, ends, strict=True)]
+        return pd.DataFrame([g or (None, None, None) for g in got], columns=["text", "confidence", "method"])
 
-    to_section = _stripped(F.regexp_extract(after, r"(?s)^(.*?)\n\s*(?:SEC\.\s+[0-9]+|\([a-z]\)\s+)", 1))
-    paragraph = _stripped(F.regexp_extract(F.regexp_replace(rest, r"^[:\s]+", ""), r"(?s)^(.*?)(?:\n\s*\n|\nSEC\.\s+[0-9]+)", 1))
-    return F.coalesce(
-        F.when((colon > 0) & after.rlike("^[\"“]"), between(after)), F.when((colon > 0) & ~after.rlike("^[\"“]") & (to_section != ""), made(to_section, 0.6, "colon_to_section")),
-        F.when(quote > 0, between(from_quote)), F.when(F.length(paragraph) > 10, made(paragraph, 0.5, "paragraph")),
-    )
+    got = run(text, end)
+    return F.when(got["method"].isNotNull(), got)
 
 
 def sentences(rows: DataFrame, key: list[str], text: str) -> DataFrame:
@@ -60,20 +131,61 @@ def sentences(rows: DataFrame, key: list[str], text: str) -> DataFrame:
     return parts.select(*key, number.alias("position"), "paragraph", "sentence", "start_char", (F.col("start_char") + F.length("sentence")).alias("end_char"))
 
 
+def _instruction(text: str) -> list[str]:
+    """The words and markers of an instruction, lower-cased but for markers."""
+    return [w if w[0] == "(" else w.lower() for w in re.findall(r"\([0-9A-Za-z]+\)|[A-Za-z]+", text)]
+
+
+def _run(words: list[str], at: int, of: Callable[[str], bool]) -> tuple[list[str], int]:
+    """The words from `at` on that are of a kind, with `and` between them, and where they end."""
+    out = []
+    while at < len(words) and (of(words[at]) or out and words[at] == "and"):
+        out += [words[at]] * (words[at] != "and")
+        at += 1
+    return out, at
+
+
+def _is_marker(word: str) -> bool:
+    return word[0] == "("
+
+
+def designated(text: str) -> list[tuple[int, str]] | None:
+    """(sentence, marker) that an instruction pairs: so many ordinals of sentences, so many subsections."""
+    words = _instruction(text)
+    for k in (k for k, w in enumerate(words[:-1]) if w == "designating" and words[k + 1] == "the"):
+        ordinals, at = _run(words, k + 2, ORDINALS.__contains__)
+        link = words[at : at + 3]
+        if ordinals and len(link) == 3 and link[0] in ("sentence", "sentences") and link[1] == "as" and link[2] in ("subsection", "subsections"):
+            marks, _ = _run(words, at + 3, _is_marker)
+            return list(zip(map(ORDINALS.index, ordinals), marks, strict=True)) if len(marks) == len(ordinals) else None
+    return None
+
+
+def struck(text: str) -> list[str] | None:
+    """The subsections that an instruction strikes, without parentheses."""
+    words = _instruction(text)
+    for k, w in enumerate(words[:-1]):
+        if w == "striking" and words[k + 1] in ("subsection", "subsections"):
+            marks, _ = _run(words, k + 2, _is_marker)
+            if marks:
+                return [m[1:-1] for m in marks]
+    return None
+
+
 def ordinal_markers(text: Column) -> Column:
     """(sentence, marker) of 'designating the first and second sentences as subsections (a) and (b)'; null where they don't pair up."""
-    ordinal, between = "|".join(ORDINALS), r"(?:\s*,\s+and\s+|\s*,\s*|\s+and\s+|\s*)"
-    pattern = rf"(?i)designating\s+the\s+((?:(?:{ordinal}){between})+)sentences?\s+as\s+subsections?\s+((?:\([a-zA-Z0-9]+\){between})+)"
-    words = F.regexp_extract_all(F.lower(F.regexp_extract(text, pattern, 1)), F.lit(f"({ordinal})"), F.lit(1))
-    marks = F.regexp_extract_all(F.regexp_extract(text, pattern, 2), F.lit(r"(\([a-zA-Z0-9]+\))"), F.lit(1))
-    place = lambda w: (F.array_position(F.array(*map(F.lit, ORDINALS)), w) - 1).cast("int")
-    return F.when((F.size(words) > 0) & (F.size(words) == F.size(marks)), F.zip_with(words, marks, lambda w, m: F.struct(place(w).alias("sentence"), m.alias("marker"))))
+
+    @F.pandas_udf("array<struct<sentence: int, marker: string>>")
+    def run(texts: pd.Series) -> pd.Series:
+        got = texts.map(lambda t: None if t is None else designated(t))
+        return got.map(lambda x: None if x is None else [{"sentence": s, "marker": m} for s, m in x])
+
+    return run(text)
 
 
 def struck_subsections(text: Column) -> Column:
     """The markers of 'striking subsections (a), (b) and (c)', without parentheses; null without any."""
-    listed = F.regexp_extract(text, r"(?i)striking\s+subsections?\s+((?:\([a-zA-Z0-9]+\)(?:\s*(?:,\s*(?:and\s+)?|\s+and\s+))?)+)", 1)
-    return F.when(listed != "", F.regexp_extract_all(listed, F.lit(r"\(([a-zA-Z0-9]+)\)"), F.lit(1)))
+    return F.pandas_udf(lambda texts: texts.map(lambda t: None if t is None else struck(t)), "array<string>")(text)
 
 
 def _plain(text: Column) -> Column:

@@ -62,8 +62,9 @@ SELECT o_orderkey, CAST(year AS INTEGER) AS first_year, 'PL ' || congress || '-'
 def note_forms(spark: SparkSession, d: str) -> DataFrame:
     """First amendments, short titles, references and marks of raw notes."""
     law = said("Pub. L. ", F.col("congress"), "–", F.col("law"))
-    short = F.get(citations.short_titles(said("Short Title of 1990 Amendment ", law, ' provided that it may be cited as the "Order Act of ', F.col("year"), '". Effective Date one.')), F.lit(0))
-    refs = citations.references_in_text(said("References in Text The Order Act, referred to in subsec. (a), is act no. ", F.col("law"), ". Too short. Amendments none"))
+    raw = said("[NH]Short Title of 1990 Amendment[/NH]", law, ' provided that it may be cited as the "Order Act of ', F.col("year"), '".[NH]References in Text[/NH]The Order Act, referred to in subsec. (a), is act no. ', F.col("law"), ". Too short.[NH]Amendments[/NH]none")
+    found = notes.note_blocks(raw)
+    short, refs = F.get(citations.short_titles(found), F.lit(0)), citations.references_in_text(found)
     first = citations.first_amendment(said(F.col("year"), "—", law, " did it."))
     marked = said("[NH]Editorial Notes[/NH]", F.col("sec"), "(a) text [H2]Inner[/H2] words. [SIG]Sig[/SIG][/H1]\n")
     wrapped = said(F.when(F.col("sec") % 2 == 0, "[NH]Historical[/NH] [H1]Notes[/H1]").otherwise("See the"), " Editorial Notes and so on")

@@ -729,3 +729,4 @@ def citation_roles(spark: SparkSession, d: str) -> DataFrame:
 
 
 from . import law_queries  # noqa: E402, F401  registers its queries
+from . import text_queries  # noqa: E402, F401  registers its queries
