@@ -197,7 +197,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", radiu
     of = lambda kind, name: found.where(f"_kind = {kind}").select(*at, *(F.col(w).alias(f"{name}{w}") for w in words))
     cols = lambda name: [F.col(f"{name}{w}") for w in words]
     plain = cut(of(0, "").join(found.where("_kind = 0").select(*at, "_copies"), at))
-    near = within(plain, radius, "_copies")
+    near = cut(within(plain, radius, "_copies"))
     nexts = plain.select(*(F.col(c).alias(f"_n{c}") for c in at), *(F.col(w).alias(f"n{w}") for w in words))
     line = ring.select(*at, "_chars", *(F.col(f"_after.{c}").alias(f"_n{c}") for c in at)).join(plain, at).join(nexts, [f"_n{c}" for c in at]).join(near, words)
     changed = found.where("_kind > 0").select(*at, "_kind", "_sha", *(F.col(w).alias(f"e{w}") for w in words))

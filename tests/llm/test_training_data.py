@@ -8,6 +8,7 @@ import re
 import time
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -644,42 +645,70 @@ def test_minimum_cut_is_the_best_labelling():
 # 10. Mixing
 
 
-def test_pfair_deviates_by_less_than_one_block():
+def test_pfair_deviates_by_less_than_one_block_from_the_weights():
     rng = random.Random(3)
-    for _ in range(20):
-        w = {f"s{k}" if k else None: rng.choice([1, 5, 30]) * rng.random() + 0.001 for k in range(rng.randrange(1, 25))}
-        count = mixing.shares(w, 1024)
-        assert sum(count.values()) == 1024 and min(count.values()) >= 1
-        had = Counter()
-        for s, _, release, deadline, t in mixing.pfair(count):
+    named = {f"src{k}": x for k, x in enumerate([8.0, 3.0, 2.0, *[1.0] * 17])}
+    cases = [named, {"a": 0.1, "b": 0.25, None: 1 / 3}, {"a": 7}, *({f"s{k}": rng.choice([1, 5, 30]) * rng.randrange(1, 50) / 100 for k in range(rng.randrange(1, 25))} for _ in range(10))]
+    for w in cases:
+        exact = {s: Fraction(round(Fraction(x) * 10**6)) for s, x in w.items()}
+        share = {s: x / sum(exact.values()) for s, x in exact.items()}
+        count = mixing.whole_weights(w)
+        assert {s: Fraction(c, sum(count.values())) for s, c in count.items()} == share
+        if sum(count.values()) > 20_000:
+            continue
+        period, had = mixing.pfair(count), Counter()
+        assert [x[4] for x in period] == list(range(sum(count.values())))
+        for s, _, release, deadline, t in period:
             assert release <= t < deadline
             had[s] += 1
-            assert all(abs(had[x] - (t + 1) * c / 1024) < 1 for x, c in count.items())
+            assert all(abs(had[x] - (t + 1) * c) < 1 for x, c in share.items())
+        assert had == count  # so the next period begins as this one did
+
+
+def test_a_million_slots_keep_to_the_targets():
+    w = {f"src{k}": {0: 8.0, 1: 3.0, 2: 2.0}.get(k, 1.0) for k in range(20)}
+    total, had, worst = sum(w.values()), Counter(), 0
+    order = [x[0] for x in mixing.pfair(mixing.whole_weights(w))]
+    for t in range(1_000_000):
+        s = order[t % len(order)]
+        had[s] += 1
+        worst = max(worst, abs(had[s] - (t + 1) * w[s] / total))
+    assert worst < 1 and all(abs(had[s] - 10**6 * x / total) < 1 for s, x in w.items())
+
+
+def test_odd_weights(spark):
+    assert mixing.whole_weights({"a": 0.0, "b": 2.5, "c": 5.0}) == {"b": 1, "c": 2}
+    assert mixing.whole_weights({}) == {}
+    for bad in ({"a": -1.0}, {"a": float("nan")}, {"a": float("inf")}, {"a": 0.123457, "b": 987.654321}):
+        with pytest.raises(ValueError):
+            mixing.whole_weights(bad)
+    rows = [(i, f"s{i % 3}") for i in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, source string")
+    got = sorted(mixing.mix(d, {"s1": 2.0}, block=3).collect(), key=lambda r: r["position"])
+    assert [r["position"] for r in got] == list(range(60)) and {r["source"] for r in got[:20]} == {"s1"}
+    assert Counter(r["source"] for r in got[20:26]) == {"s0": 3, "s2": 3}
 
 
 def plain_mix(rows, weights, other, block):
-    """Each row's (block, release, deadline, slot) and place, by a schedule that goes slot by slot."""
+    """Each row's (block, release, deadline, slot) and place, by a schedule that goes slot by slot and never ends a period."""
     by_source = defaultdict(list)
     for r in sorted(rows, key=lambda r: r["doc_id"]):
         by_source[r["source"]].append(r["doc_id"])
-    count = mixing.shares({s: weights.get(s, other) for s in by_source}, 1024)
-    slots, done, out = defaultdict(int), Counter(), {}
+    weight = {s: Fraction(round(Fraction(weights.get(s, other)) * 10**6)) for s in by_source}
+    total = sum(weight.values())
+    done, out = Counter(), {}
     t = place = 0
     while any(done[s] * block < len(ids) for s, ids in by_source.items()):
         # Of the blocks released by now, that with the earliest deadline; ties as documented.
-        frame, u = divmod(t, 1024)
-        own = Counter()
-        for s, c in count.items():
-            own[s] = slots[s] - frame * c
-        ready = [(-(-(own[s] + 1) * 1024 // c), (own[s] + 1) * 1024 % c == 0, -c, s is None, s or "") for s, c in count.items() if own[s] < c and own[s] * 1024 // c <= u]
-        due, _, _, none, s = min(ready)
+        due = {s: (done[s] + 1) * total / w for s, w in weight.items()}
+        ready = [(math.ceil(due[s]), due[s].denominator == 1, -w, s is None, s or "") for s, w in weight.items() if math.floor(done[s] * total / w) <= t]
+        last, _, _, none, s = min(ready)
         s = None if none else s
-        b = slots[s]
-        slots[s] += 1
+        b = done[s]
         for i in by_source[s][b * block : (b + 1) * block]:
-            out[i] = (b, frame * 1024 + own[s] * 1024 // count[s], frame * 1024 + due, t, place)
+            out[i] = (b, math.floor(b * total / weight[s]), last, t, place)
             place += 1
-        done[s] = slots[s]
+        done[s] += 1
         t += 1
     return out
 
