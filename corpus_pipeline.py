@@ -64,8 +64,12 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @bounded
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token ids in sequences."""
-    pieces = pack(docs)
+    """Pieces of token ids in sequences, filled in the order of mixing.
+
+    Parquet doesn't keep the order of rows from file to file, so the documents are put in that order
+    again; it follows from the documents alone.
+    """
+    pieces = pack(mixed_order(docs, TARGETS, other=1.0))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
