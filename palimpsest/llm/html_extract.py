@@ -28,11 +28,15 @@ CONTROLS = {tag: re.compile(rf"<(/?){tag}\b", re.I) for tag in ("button", "optio
 #: Words of class, id and role, and elements, that speak for content or against it, with their weights in nats.
 FOR_TAGS = {"article": 4.0, "main": 3.0, "p": 1.0, "h1": 1.0, "h2": 0.5, "h3": 0.5, "blockquote": 0.8, "pre": 0.8, "figcaption": 0.3, "td": 0.2}
 AGAINST_TAGS = {"nav": 9.0, "footer": 9.0, "header": 5.0, "aside": 8.0, "form": 9.0, "menu": 7.0, "dialog": 7.0, "fieldset": 6.0, "address": 2.0, "li": 0.3}
-FOR_NAMES = re.compile(r"article|content|story|post(?!-?(?:nav|meta|comment))|entry|main|text|body")
-AGAINST_NAMES = re.compile(
-    r"\bads?\b|\bads?[-_]|[-_]ads?\b|advert|banner|sponsor|promo|\bnav|menu|breadcrumb|side-?bar|footer|header|masthead|comment|disqus|respons|repl(?:y|ies)|reader|"
-    r"cookie|consent|notice|gdpr|newsletter|subscri|signup|sign-up|login|share|social|related|recommend|widget|popup|modal|pagination|pager|toolbar|search|meta|tags|legal|copyright|skip"
+FOR_NAMES = frozenset("article articles content story post entry main text body articlebody articletext bodytext maincontent".split())
+AGAINST_NAMES = frozenset(
+    "ad ads adv advert adverts advertisement advertising banner banners sponsor sponsors sponsored promo promos promotion nav navs navbar navigation menu menus submenu breadcrumb breadcrumbs sidebar sidebars footer header masthead "
+    "comment comments commentlist disqus respond response responses reply replies reader readers cookie cookies consent notice notices gdpr newsletter newsletters subscribe subscription signup login share shares sharing sharebar social "
+    "related recommend recommended recommendations widget widgets popup modal pagination pager toolbar search searchbox meta tags legal copyright skip skiplink".split()
 )
+#: Parts of a name, at hyphens, underscores and capitals; and words written apart that make one.
+PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
+TOGETHER = frozenset(("side bar", "sign up", "log in", "pop up", "mast head", "bread crumb", "bread crumbs"))
 NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
 PLAIN = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
 MARKS = re.compile(r"[>\"']")
@@ -43,12 +47,12 @@ NEXT, NEAR = 0.6, 1.2
 
 
 class Block:
-    """A run of text: what the elements around it say, how many block elements are around it, the last two, and how many of them it shares with the block before."""
+    """A run of text: what the elements around it say, whether it is inside an article, how many block elements are around it, the last two, and how many of them it shares with the block before."""
 
-    __slots__ = ("around", "depth", "linked", "own", "parent", "parts", "shared")
+    __slots__ = ("around", "depth", "inside", "linked", "own", "parent", "parts", "shared")
 
-    def __init__(self, around: float, depth: int, own: int, parent: int, shared: int):
-        self.around, self.depth, self.own, self.parent, self.shared = around, depth, own, parent, shared
+    def __init__(self, around: float, inside: bool, depth: int, own: int, parent: int, shared: int):
+        self.around, self.inside, self.depth, self.own, self.parent, self.shared = around, inside, depth, own, parent, shared
         self.parts: list[str] = []
         self.linked = 0
 
@@ -65,9 +69,15 @@ class Around:
         self.at: dict[str, list[int]] = {}
         self.blocks: list[tuple[int, int]] = []
         self.said: dict[str, int] = {}
+        self.worth: dict[str, float] = {}
         self.score = 0.0
         self.silent = 0
 
+    def name(self, tag: str, names: str) -> float:
+        """What the names say, of an article or main element no more against it than a header inside one would."""
+        self.worth[names] = max(named(names), -1.0) if tag in ("article", "main") else named(names)
+        return self.worth[names]
+
     def top(self, tag: str) -> int:
         """Where the innermost element of this kind stands, -1 without one."""
         return self.at[tag][-1] if self.at.get(tag) else -1
@@ -83,7 +93,7 @@ class Around:
         if names:
             self.said[names] = self.said.get(names, 0) + 1
             if self.said[names] == 1:
-                self.score += named(names)
+                self.score += self.name(tag, names)
         if tag in BLOCKS:
             self.blocks.append((len(self.tags), number))
         self.silent += tag in SILENT
@@ -99,20 +109,36 @@ class Around:
             self.said[names] -= 1
             if not self.said[names]:
                 del self.said[names]
-                self.score -= named(names)
+                self.score -= self.worth.pop(names)
         if tag in BLOCKS:
             self.blocks.pop()
         self.silent -= tag in SILENT
         return tag
 
+    def inside(self) -> bool:
+        return bool(self.at.get("article") or self.at.get("main"))
+
     def leaning(self) -> float:
         """What the elements around say; each tag and each list of names counts once, a header less inside an article."""
-        header = AGAINST_TAGS["header"] * (0.2 if self.at.get("article") or self.at.get("main") else 1.0) if self.at.get("header") else 0.0
+        header = AGAINST_TAGS["header"] * (0.2 if self.inside() else 1.0) if self.at.get("header") else 0.0
         return self.score - header
 
 
 def named(names: str) -> float:
-    return -7.0 if AGAINST_NAMES.search(names) else 2.0 if FOR_NAMES.search(names) else 0.0
+    """What the names of class, id and role say, each by the last of its parts that says something: a social-content is content, a content-sidebar none.
+
+    Only whole parts count: neither research is a search, nor metadata meta. One name against weighs more than all for.
+    """
+    score = 0.0
+    for name in names.split():
+        parts = [x.lower() for x in PARTS.findall(name)]
+        for k in range(len(parts) - 1, -1, -1):
+            if parts[k] in AGAINST_NAMES or " ".join(parts[max(0, k - 1) : k + 1]) in TOGETHER:
+                return -7.0
+            if parts[k] in FOR_NAMES:
+                score = 2.0
+                break
+    return score
 
 
 class TagEnds:
@@ -199,7 +225,7 @@ def blocks(page: str) -> list[Block]:
             if raw.isspace():
                 return
             own, depth = around.blocks, len(around.blocks)
-            now = Block(around.leaning(), depth, own[-1][1] if own else 0, own[-2][1] if depth > 1 else 0, shared)
+            now = Block(around.leaning(), around.inside(), depth, own[-1][1] if own else 0, own[-2][1] if depth > 1 else 0, shared)
             shared = depth
             out.append(now)
         text = html.unescape(raw)
@@ -252,7 +278,7 @@ def blocks(page: str) -> list[Block]:
                     at = skip = m.end() if m else len(page)
                 elif not attributes.endswith("/") or tag in BLOCKS:
                     number += 1
-                    names = " ".join(next(g for g in x if g) for x in NAMES.findall(attributes) if any(x)).lower() if "=" in attributes else ""
+                    names = " ".join(next(g for g in x if g) for x in NAMES.findall(attributes) if any(x)) if "=" in attributes else ""
                     around.push(tag, number, names)
                     links += tag == "a"
         try:
@@ -274,7 +300,8 @@ def leaning(b: Block, text: str) -> float:
     """The classifier's log-odds for content, from the elements and names around a block, its length, links and sentences."""
     chars = len(text)
     score = 0.4 * min(4.0, math.log1p(chars / 20)) - 0.8
-    score -= 4.0 * min(1.0, b.linked / max(1, chars))
+    # Links inside an article are part of it, as long as no name says otherwise.
+    score -= (1.0 if b.inside else 4.0) * min(1.0, b.linked / max(1, chars))
     score += 0.5 * min(3, sum(text.count(c) for c in ".!?;")) - (0.7 if chars < 20 else 0.0)
     return score + b.around
 

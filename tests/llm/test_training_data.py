@@ -631,6 +631,28 @@ def test_unclosed_quotes_leave_the_text():
     assert html_extract.main_text(f"<article><p title='a > b'>{said}</p>") == said
 
 
+@pytest.mark.parametrize("opens", ['<article class="research">', '<article class="post metadata-rich">', '<div class="social-content">', '<main id="searchlight-story">', '<section class="headers-of-state content">', '<div class="navy entry">', '<div id="pageContent">', '<article class="Header-free">'])
+def test_names_count_by_whole_parts(opens):
+    said = [f"The {k}th sentence of it says something that a reader wants to know. It goes on, and it ends here." for k in range(6)]
+    end = f"</{opens[1:].split()[0]}>"
+    want = "\n".join(said)
+    body = "".join(f"<p>{x}</p>" for x in said)
+    assert html_extract.main_text(f"<body><nav><a href=/>Home</a></nav>{opens}{body}{end}<footer>All rights reserved.</footer></body>") == want
+
+
+@pytest.mark.parametrize("name", ["sidebar", "side-bar", "site_footer", "topNav", "comment-list", "post-meta", "related-posts", "ad", "ad-slot", "share buttons", "cookieNotice", "content-sidebar", "sign-up box"])
+def test_names_against_content(name):
+    said = "This sentence stands in a box beside the article. It is long enough, and it has some stops."
+    assert html_extract.main_text(f'<body><article><p>{said} It is the article.</p></article><div class="{name}"><p>{said}</p></div></body>') == f"{said} It is the article."
+
+
+def test_lists_of_links_inside_an_article_stay():
+    said = "The sentence before the list says what is in it. It has a second one, too."
+    links = "".join(f"<li><a href=/{k}>The {k}th work that is listed</a></li>" for k in range(5))
+    got = html_extract.main_text(f"<body><nav><ul>{links}</ul></nav><article><p>{said}</p><ul>{links}</ul><p>{said}</p></article></body>")
+    assert got == "\n".join([said, *(f"The {k}th work that is listed" for k in range(5)), said])
+
+
 def test_minimum_cut_is_the_best_labelling():
     rng = random.Random(6)
     for _ in range(200):
