@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import difflib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -92,17 +92,85 @@ def play_forward(states: DataFrame, changes: DataFrame, laws: DataFrame, key: li
 HUNKS = "hunk int, old_start int, old_lines int, new_start int, new_lines int, kind string, line string"
 
 
+#: Cells of a table of bits that is kept to trace a common subsequence back; larger ones are halved.
+CELLS = 1 << 24
+
+
+def _rows(a: Sequence[str], b: Sequence[str]) -> Iterator[int]:
+    """For each beginning of b, a number whose bit i is 0 where one more line of a is common up to line i than before it.
+
+    All lines of a are dealt with at once, as the bits of one number.
+    """
+    where: dict[str, int] = {}
+    for i, x in enumerate(a):
+        where[x] = where.get(x, 0) | 1 << i
+    row = whole = (1 << len(a)) - 1
+    for y in b:
+        hit = row & where.get(y, 0)
+        row = (row + hit | row - hit) & whole
+        yield row
+
+
+def _lengths(a: Sequence[str], b: Sequence[str]) -> np.ndarray:
+    """The longest common subsequences of all beginnings of a with the whole of b."""
+    row = (1 << len(a)) - 1
+    for row in _rows(a, b):
+        pass
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(a) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(a)]
+    return np.concatenate([[0], np.cumsum(bits == 0)])
+
+
+def common_lines(a: Sequence[str], b: Sequence[str]) -> list[tuple[int, int]]:
+    """(i, j) of the lines of a longest common subsequence, in order; where a table of bits would be large, b is halved and a cut where the halves have most in common."""
+    begin, end = 0, 0
+    while begin < min(len(a), len(b)) and a[begin] == b[begin]:
+        begin += 1
+    while end < min(len(a), len(b)) - begin and a[-1 - end] == b[-1 - end]:
+        end += 1
+    out = [(k, k) for k in range(begin)]
+    x, y = a[begin : len(a) - end], b[begin : len(b) - end]
+    if x and y:
+        if len(y) == 1 or len(x) * len(y) <= CELLS:
+            rows = [(1 << len(x)) - 1, *_rows(x, y)]
+            i, j, back = len(x) - 1, len(y), []
+            while i >= 0 and j > 0:
+                if rows[j] >> i & 1:  # one line less of a has as much in common
+                    i -= 1
+                elif not rows[j - 1] >> i & 1:  # and so has one line less of b
+                    j -= 1
+                else:
+                    back.append((begin + i, begin + j - 1))
+                    i, j = i - 1, j - 1
+            out += reversed(back)
+        else:
+            middle = len(y) // 2
+            at = int(np.argmax(_lengths(x, y[:middle]) + _lengths(x[::-1], y[middle:][::-1])[::-1]))
+            out += [(begin + i, begin + j) for i, j in common_lines(x[:at], y[:middle])]
+            out += [(begin + at + i, begin + middle + j) for i, j in common_lines(x[at:], y[middle:])]
+    return out + [(len(a) - k, len(b) - k) for k in range(end, 0, -1)]
+
+
 def hunks_of(old: str | None, new: str | None, context: int = 3) -> list[tuple]:
-    """The lines of a unified diff, by hunk: kind is ' ', '-' or '+'."""
+    """The lines of a unified diff with as few changed lines as may be, by hunk: kind is ' ', '-' or '+'."""
     a, b = (old or "").splitlines(), (new or "").splitlines()
+    lines: list[tuple[str, str, int, int]] = []  # kind, line, and how many lines of either text come before it
+    i = j = 0
+    for p, q in [*common_lines(a, b), (len(a), len(b))]:
+        lines += [("-", a[k], k, j) for k in range(i, p)] + [("+", b[k], p, k) for k in range(j, q)]
+        lines += [(" ", a[p], p, q)] if p < len(a) else []
+        i, j = p + 1, q + 1
+    changed = [k for k, x in enumerate(lines) if x[0] != " "]
+    spans: list[list[int]] = []
+    for k in changed:
+        if spans and k - spans[-1][1] <= 2 * context:
+            spans[-1][1] = k
+        else:
+            spans.append([k, k])
     out = []
-    for n, group in enumerate(difflib.SequenceMatcher(None, a, b, autojunk=False).get_grouped_opcodes(context)):
-        head = (n, group[0][1] + 1, group[-1][2] - group[0][1], group[0][3] + 1, group[-1][4] - group[0][3])
-        for tag, i1, i2, j1, j2 in group:
-            if tag == "equal":
-                out += [(*head, " ", x) for x in a[i1:i2]]
-            else:
-                out += [(*head, "-", x) for x in a[i1:i2]] + [(*head, "+", x) for x in b[j1:j2]]
+    for n, (first, last) in enumerate(spans):
+        own = lines[max(0, first - context) : last + context + 1]
+        head = (n, own[0][2] + 1, sum(x[0] != "+" for x in own), own[0][3] + 1, sum(x[0] != "-" for x in own))
+        out += [(*head, kind, line) for kind, line, _, _ in own]
     return out
 
 

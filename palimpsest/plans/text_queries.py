@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import anchored, line_tree, links
+from ..operators import anchored, apply, blame, extract, line_tree, links, xml_edits
 from ..sources.tables import table
 from .law_queries import said
 from .queries import query
@@ -211,3 +211,130 @@ def line_provenance(spark: SparkSession, d: str) -> DataFrame:
     """The laws that made and last changed each line."""
     laws = spark.range(1, 3).select(F.col("id").alias("law_id"), said("Pub. L. 115–", F.col("id")).alias("law"))
     return anchored.provenance(_anchored(spark, d)[0], laws, ["p_partkey"]).select("p_partkey", "line_number", "created_law", "changed_law")
+
+
+# Instructions in prose: each order is a law with one of these, its numbers in them
+
+#: An instruction and the edits that it makes: (pattern, change, title, section, path, old text, new text). {k} is the order's key, {s} a section.
+_S = "Section {s} of title 26, United States Code, is amended "
+INSTRUCTIONS = (
+    (_S + 'by striking "old {k}" and inserting "new {k}".', [("strike_insert", "Modify", "26", "{s}", None, "old {k}", "new {k}")]),
+    (_S + 'by striking “the “inner” {k}” each place it appears and inserting “x{k}”.', [("strike_insert_each_place", "Modify", "26", "{s}", None, "the “inner” {k}", "x{k}")]),
+    (_S + "by striking out ``{k} days'' and inserting in lieu thereof ``the lender's {k}''.", [("strike_insert", "Modify", "26", "{s}", None, "{k} days", "the lender's {k}")]),
+    (_S + 'by striking the words "tax {k}" and inserting "plan {k}".', [("strike_insert_phrase", "Modify", "26", "{s}", None, "tax {k}", "plan {k}")]),
+    (_S + 'by striking everything before "term {k}" and inserting "In part {k},".', [("strike_insert_everything_before", "Modify", "26", "{s}", None, "term {k}", "In part {k},")]),
+    (_S + 'by striking all that follows "Secretary {k}" and inserting a period.', [("strike_insert_everything_after", "Modify", "26", "{s}", None, "Secretary {k}", None)]),
+    (_S + 'by striking "a {k}", "b", and "c".', [("strike", "Delete", "26", "{s}", None, x, None) for x in ("a {k}", "b", "c")]),
+    (_S + 'by striking "unless {k}" and all that follows through the semicolon.', [("strike_through_period", "Delete", "26", "{s}", None, "unless {k}", None)]),
+    (_S + 'by striking "but {k}" and everything that follows.', [("strike_and_following", "Delete", "26", "{s}", None, "but {k}", None)]),
+    ("Section {s}(c) of title 26 is amended by striking paragraphs (4), (5), and (6).", [("strike_paragraph", "Delete", "26", "{s}", f"(c)({n})", None, None) for n in (4, 5, 6)]),
+    (_S + "by adding at the end thereof the following new subsection: ``(h) New {k}.''", [("add_at_end", "Add", "26", "{s}", None, None, "(h) New {k}.")]),
+    (_S + "by inserting after paragraph (8) the following: \"(9) {k}\".", [("add_after_paragraph", "Add", "26", "{s}", "(8)", None, "(9) {k}")]),
+    (_S + "by inserting before clause (ii) the following new clause.", [("insert_before_paragraph", "Add", "26", "{s}", "(ii)", None, None)]),
+    (_S + 'by inserting before "date {k}" the following: "earlier {k}".', [("insert_before", "Add", "26", "{s}", None, None, "earlier {k}")]),
+    (_S + 'by inserting after "date {k}" "later {k}".', [("insert_after", "Add", "26", "{s}", None, None, "later {k}")]),
+    (_S + "by adding new paragraph (9) as follows: “{k} it is”.", [("add_new_subsection", "Add", "26", "{s}", "(9)", None, "{k} it is")]),
+    ("Section {s}(b)(2) of title 5 is hereby repealed, by order {k}.", [("repeal", "Repeal", "5", "{s}", "(b)(2)", None, None)]),
+    ("Sections 7, 9, and {k}a of title 5 are repealed.", [("repeal", "Repeal", "5", x, None, None, None) for x in ("7", "9", "{k}a")]),
+    ("Sections 106 through 108 of title 17 are repealed ({k}).", [("repeal", "Repeal", "17", x, None, None, None) for x in ("106", "107", "108")]),
+    ("Paragraph (3) of section {s}(a) of title 9 is hereby stricken, {k}.", [("paragraph_repealed", "Repeal", "9", "{s}", "(a)(3)", None, None)]),
+    (_S + "by redesignating section 45R as section 45S{k}.", [("redesignate_section", "Redesignate", "26", "45R", None, "45R", "45S{k}")]),
+    (_S + "by redesignating clauses (i), (ii), and (iii) as clauses (ii), (iii), and (iv) of {k}.", [("redesignate_paragraph", "Redesignate", "26", "{s}", None, "(i), (ii), and (iii)", "(ii), (iii), and (iv)")]),
+    ('Section {s} of title 11 is amended and reenacted to read as follows: "It reads {k}."', [("substitute_section", "Modify", "11", "{s}", None, None, "It reads {k}.")]),
+    ('Subsection (d) of section {s} of title 11 is amended to read as follows: "{k} it reads"', [("substitute_subsection", "Modify", "11", "{s}", "(d)", None, "{k} it reads")]),
+    ("Section {s} of title 18 is transferred to section 234 of title 42 by {k}.", [("transfer", "Transfer", "18", "{s}", None, None, None)]),
+    ("Section {s} of title 17, as amended by section 3 of the Act of {k}, is amended in the heading.", [("section_amended_general", "Modify", "17", "{s}", None, None, None)]),
+    ("Title 42, United States Code, is hereby amended as {k} says.", [("title_amended", "Modify", "42", None, None, None, None)]),
+    ("Title 18, United States Code, is amended by adding a new section {k}.", [("add_new_section", "Add", "18", "{k}", None, None, None)]),
+    ("Chapter 12 of title 17, United States Code, is amended by adding at the end the following new section: “{k}. It is.”", [("chapter_amended_add_section", "Add", "17", None, None, None, "{k}. It is.")]),
+    ("Title 26, United States Code, is amended— (1) in section {s}(b), by striking \"q{k}\"; and (2) in section 102, by inserting \"r{k}\".", [("title_amended", "Modify", "26", None, None, None, None), ("strike", "Delete", "26", "{s}", "(b)", "q{k}", None), ("insert", "Add", "26", "102", None, None, "r{k}")]),
+    ("It is said that {k} was amended, and that sections are repealed.", []),
+)
+
+
+def _value(x: str | None) -> str:
+    return "NULL" if x is None else "'" + x.replace("'", "''") + "'"
+
+
+_ROWS = ", ".join(f"({i}, {', '.join(map(_value, row))})" for i, (_, rows) in enumerate(INSTRUCTIONS) for row in rows)
+_PUT = "replace(replace({}, '{{k}}', CAST(o_orderkey AS VARCHAR)), '{{s}}', CAST(o_custkey % 500 + 1 AS VARCHAR))"
+
+
+@query(f"""SELECT o_orderkey AS law_id, name AS pattern_name, change AS change_type, CAST(title AS INTEGER) AS title_number, {_PUT.format("section")} AS section_number, path AS subsection_path, {_PUT.format("old")} AS old_text, {_PUT.format("new")} AS new_text
+FROM orders JOIN (VALUES {_ROWS}) f(i, name, change, title, section, path, old, new) ON o_orderkey % {len(INSTRUCTIONS)} = i""")
+def embedded_edits(spark: SparkSession, d: str) -> DataFrame:
+    """Each kind of instruction, with lists, ranges, quotations in quotations and sections that only amended the one that is meant."""
+    k = F.col("o_orderkey")
+    form = F.element_at(F.array(*(F.lit(x) for x, _ in INSTRUCTIONS)), (k % len(INSTRUCTIONS)).cast("int") + 1)
+    text = F.replace(F.replace(form, F.lit("{k}"), k.cast("string")), F.lit("{s}"), (F.col("o_custkey") % 500 + 1).cast("string"))
+    out = extract.extract_edits(table(spark, d, "orders").select(k.alias("law_id"), text.alias("text")))
+    return out.select("law_id", "pattern_name", "change_type", "title_number", "section_number", "subsection_path", "old_text", "new_text")
+
+
+# Instructions in XML: parts as laws of several shapes
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, p_partkey % 5 AS v, p_name AS n, p_type AS t, p_size AS s FROM part)
+SELECT k AS law_id, 0 AS seq, 'Modify' AS change_type, 'strike_insert' AS pattern_name, 17 AS title_number, CAST(s AS VARCHAR) AS section_number, '(b)(1)' AS subsection_path, t AS old_text, n AS new_text, 'after' AS qualifier, 'C ' || k AS anchor_text, CAST(NULL AS VARCHAR) AS target_text, CAST(0.98 AS DOUBLE) AS confidence, false AS needs_review FROM p WHERE v = 0
+UNION ALL SELECT k, 0, 'Delete', 'strike', 17, CAST(s AS VARCHAR), '(3)(B)', t, NULL, NULL, NULL, NULL, 0.95, false FROM p WHERE v = 1
+UNION ALL SELECT k, 1, 'Add', 'add_section', 17, CAST(s AS VARCHAR), '(3)', NULL, '(C) ' || n, 'at_end', NULL, NULL, 0.95, true FROM p WHERE v = 1
+UNION ALL SELECT k, 0, 'Delete', 'strike', 17, CAST(s AS VARCHAR), '(c)(2)(A)', NULL, NULL, 'unquoted_target', NULL, 'the period at the end', 0.90, false FROM p WHERE v = 2
+UNION ALL SELECT k, 0, 'Add', 'insert_new_text', NULL, CAST(s AS VARCHAR), '(d)', NULL, n, 'before', t, NULL, 0.95, true FROM p WHERE v = 3
+UNION ALL SELECT k, 0, 'Repeal', 'repeal', 5, CAST(s AS VARCHAR), NULL, NULL, NULL, NULL, NULL, NULL, 0.90, false FROM p WHERE v = 4
+UNION ALL SELECT k, 1, 'Modify', 'substitute', NULL, NULL, NULL, t, n, 'each_place', NULL, NULL, 0.49, true FROM p WHERE v = 4""")
+def xml_leaves(spark: SparkSession, d: str) -> DataFrame:
+    """Anchors, enclosing places, unquoted targets and quotation marks in amending instructions."""
+    k, v, n, t, s = F.col("p_partkey"), F.col("p_partkey") % 5, F.col("p_name"), F.col("p_type"), F.col("p_size").cast("string")
+    act = lambda kind, word: f'<amendingAction type="{kind}">{word}</amendingAction>'
+    q = lambda x: F.concat(F.lit("<quotedText>“"), x, F.lit("”</quotedText>"))
+    strike, insert, amend = act("delete", "striking"), act("insert", "inserting"), act("amend", "amended")
+    ref = F.concat(F.lit('<ref href="/us/usc/t17/s'), s, F.lit('">section '), s, F.lit("</ref>"))
+    body = (
+        F.when(v == 0, said("In ", ref, f"(b)(1), by {strike} ", q(t), f" and {insert} ", q(n), " after ", q(said("C ", k)), "."))
+        .when(v == 1, said("<chapeau>", ref, f" is {amend}—</chapeau><paragraph><num>(1)</num> in paragraph (3)—<subparagraph>in subparagraph (B), by {strike} ", q(t), f"; and</subparagraph><subparagraph>by {act('add', 'adding')} at the end <quotedContent>“<p>“(C) ", n, "</p>”</quotedContent>.</subparagraph></paragraph>"))
+        .when(v == 2, said('Section <ref href="/us/usc/t17/s', s, f'/c"/> is {amend} in paragraph (2)(A), by {strike} the period at the end.'))
+        .when(v == 3, said("Section ", s, f"(d) is {amend} by {insert} ", q(n), " before ", q(t), "."))
+        .otherwise(said('<ref href="/us/usc/t5/s', s, f'"/> is {act("repeal", "repealed")}.</section><section role="instruction">The Act is {amend} each place by {act("substitute", "substituting")} ', q(t), ", ", q(n), "."))
+    )
+    xml = said('<law xmlns="http://schemas.gpo.gov/xml/uslm"><section role="instruction">', body, "</section></law>")
+    out = xml_edits.extract_xml_edits(table(spark, d, "part").select(k.alias("law_id"), xml.alias("xml")))
+    return out.select("law_id", "seq", "change_type", "pattern_name", "title_number", "section_number", "subsection_path", "old_text", "new_text", "qualifier", "anchor_text", "target_text", F.round("confidence", 6).alias("confidence"), "needs_review")
+
+
+# Differences of lines, and what lines go back to
+
+
+@query("""SELECT o_custkey, count(*) FILTER (o_orderkey % 4 <> 1 AND o_orderkey % 3 = 0) AS added, count(*) FILTER (o_orderkey % 3 <> 0 AND o_orderkey % 4 = 1) AS removed FROM orders
+WHERE (o_orderkey % 3 <> 0) <> (o_orderkey % 4 <> 1) GROUP BY 1""")
+def diff_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Lines added and removed between two texts of each customer's orders."""
+    k = F.col("o_orderkey")
+    text = lambda keep: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(keep, k))), lambda x: F.concat(F.lit("order "), x.cast("string"))), "\n")
+    pairs = table(spark, d, "orders").groupBy("o_custkey").agg(text(k % 3 != 0).alias("old"), text(k % 4 != 1).alias("new"))
+    return apply.line_counts(apply.line_hunks(pairs, ["o_custkey"], "old", "new"), ["o_custkey"])
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, p_partkey % 4 AS v FROM part),
+l AS (
+  SELECT k, 1 AS pos, 'c ' || k AS content, 1 AS made, 1 AS changed, 3 AS moved FROM p WHERE v = 0 UNION ALL SELECT k, 2, 'a ' || k, 1, 1, NULL FROM p WHERE v = 0
+  UNION ALL SELECT k, 3, 'b of new words ' || k, 1, 2, NULL FROM p WHERE v = 0 UNION ALL SELECT k, 4, 'd ' || k, 3, 3, NULL FROM p WHERE v = 0
+  UNION ALL SELECT k, 1, 'a ' || k, 1, 1, NULL FROM p WHERE v = 1 UNION ALL SELECT k, 2, 'b ' || k, 1, 1, NULL FROM p WHERE v = 1 UNION ALL SELECT k, 3, 'c ' || k, 1, 1, NULL FROM p WHERE v = 1
+  UNION ALL SELECT k, 1, 'all is new ' || k, 3, 3, NULL FROM p WHERE v = 2
+  UNION ALL SELECT k, 1, 'first ' || k, 2, 2, NULL FROM p WHERE v = 3 UNION ALL SELECT k, 2, 'a ' || k, 1, 1, NULL FROM p WHERE v = 3 UNION ALL SELECT k, 3, 'b ' || k || ' again', 1, 3, NULL FROM p WHERE v = 3
+)
+SELECT k AS p_partkey, CAST(pos AS INTEGER) AS line_number, content, CAST(made AS BIGINT) AS created_in, CASE WHEN made > 1 THEN 'Pub. L. 115–' || made END AS created_law, CAST(changed AS BIGINT) AS changed_in, CASE WHEN changed > 1 THEN 'Pub. L. 115–' || changed END AS changed_law, CAST(moved AS BIGINT) AS moved_in FROM l""")
+def line_blame(spark: SparkSession, d: str) -> DataFrame:
+    """Lines that stay, are edited, move, go and come in three revisions, with the laws behind them; the first revision is no law's."""
+    k, v = F.col("p_partkey"), F.col("p_partkey") % 4
+    text = lambda *lines: said(*(x for i, line in enumerate(lines) for x in (("\n",) if i else ()) + (line, " ", k)))
+    first = text("a", "b", "c")
+    second = F.when(v == 0, text("a", "b of new words", "c")).when(v == 3, text("first", "a", "b"))
+    third = F.when(v == 0, text("c", "a", "b of new words", "d")).when(v == 1, first).when(v == 2, text("all is new")).otherwise(said(text("first", "a", "b"), " again"))
+    rows = F.array(*(F.struct(F.lit(n).cast("long").alias("revision_id"), F.lit(n).alias("sequence_number"), t.alias("text_content")) for n, t in ((1, first), (2, second), (3, third))))
+    states = table(spark, d, "part").select("p_partkey", v.alias("v"), F.explode(rows).alias("r")).select("p_partkey", "v", "r.*")
+    # A section has a row only where it changed; the third kind is deleted in between.
+    states = states.where("text_content IS NOT NULL OR v = 2").drop("v")
+    revisions = spark.range(1, 4).select(F.col("id").alias("revision_id"), F.when(F.col("id") > 1, F.col("id")).alias("law_id"), F.lit("2020-01-01").cast("date").alias("effective_date"))
+    laws = spark.range(2, 4).select(F.col("id").alias("law_id"), said("Pub. L. 115–", F.col("id")).alias("label"))
+    lines = blame.with_laws(blame.blame(states, ["p_partkey"]), revisions, laws, ["p_partkey"])
+    return lines.select("p_partkey", "line_number", "content", "created_in", "created_law", "changed_in", "changed_law", "moved_in")

@@ -6,7 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.operators import anchored, line_tree, links, prose
+from palimpsest.operators import anchored, apply, blame, extract, line_tree, links, prose, xml_edits
 
 # Linked references
 
@@ -255,3 +255,139 @@ def test_instructions_are_read_by_their_words():
     assert prose.designated("by designating the first, second and third sentences as subsections (a), (b), and (c), respectively") == [(0, "(a)"), (1, "(b)"), (2, "(c)")]
     assert prose.designated("designating the first and second sentences as subsection (a)") is None and prose.designated("by designating the place") is None
     assert prose.struck("in striking out; by striking subsections (a), (b), and (c) and inserting") == ["a", "b", "c"] and prose.struck("striking subsections of it") is None
+
+
+# Instructions in XML
+
+A, Q = '<amendingAction type="{}">{}</amendingAction>', "<quotedText>“{}”</quotedText>"
+STRIKE, INSERT, ADD, AMEND, REPEAL = A.format("delete", "striking"), A.format("insert", "inserting"), A.format("add", "adding"), A.format("amend", "amended"), A.format("repeal", "repealed")
+REF = '<ref href="/us/usc/t17/s220">section 220</ref>'
+
+
+@pytest.mark.parametrize(("body", "want"), [
+    (f"Section <ref href='/us/usc/t17/s220'>220</ref>(b)(1) is {AMEND} by {STRIKE} {Q.format('A')} and {INSERT} {Q.format('B')} after {Q.format('C')}.", [("Modify", 17, "220", "(b)(1)", "A", "B", "after", "C", None, 0.98, False)]),
+    (f"{REF} is {AMEND} by {INSERT} after {Q.format('C')} the following: {Q.format('B')}.", [("Add", 17, "220", None, None, "B", "after", "C", None, 0.95, True)]),
+    (f"{REF} is {AMEND} by {INSERT} {Q.format('B')} before {Q.format('C')} each place it appears.", [("Add", 17, "220", None, None, "B", "each_place", None, None, 0.95, True)]),
+    (f"<chapeau>{REF} is {AMEND}—</chapeau><paragraph><num>(1)</num> in paragraph (3)—<subparagraph>in subparagraph (B), by {STRIKE} {Q.format('x')};</subparagraph><subparagraph>by {ADD} at the end <quotedContent>“<p>“(C) new</p>”</quotedContent>.</subparagraph></paragraph>",
+     [("Delete", 17, "220", "(3)(B)", "x", None, None, None, None, 0.95, False), ("Add", 17, "220", "(3)", None, "(C) new", "at_end", None, None, 0.95, True)]),
+    (f'Section <ref href="/us/usc/t17/s220/b"/> is {AMEND} in paragraph (2)(A), by {STRIKE} the period at the end.', [("Delete", 17, "220", "(b)(2)(A)", None, None, "unquoted_target", None, "the period at the end", 0.90, False)]),
+    (f"{REF} is {AMEND} by {ADD} after subsection (c) the following new subsection (d): {Q.format('(d) It is.')}", [("Add", 17, "220", None, None, "(d) It is.", "after", "(c)", None, 0.95, True)]),
+    (f"Section 9(a) of title 5 is {REPEAL}.", [("Repeal", 5, "9", "(a)", None, None, None, None, None, 0.90, False)]),
+    (f"The Act is {AMEND} by {A.format('substitute', 'substituting')} {Q.format('a')} {Q.format('b')}.", [("Modify", None, None, None, "a", "b", None, None, None, 0.49, True)]),
+    (f"{REF} is {AMEND} as follows: {Q.format('a')} {Q.format('b')}.", [("Modify", 17, "220", None, "a", "b", None, None, None, 0.98, True)]),
+    (f"{REF} is {AMEND} by {A.format('redesignate', 'redesignating')} subsection (c) as subsection (d).", [("Redesignate", 17, "220", "(c)", None, None, None, None, None, 0.90, False)]),
+    ("Nothing is said here.", []),
+])
+def test_leaves_of_instructions(body, want):
+    got = xml_edits.edits_of(f'<law xmlns="http://schemas.gpo.gov/xml/uslm"><section role="instruction">{body}</section></law>')
+    assert [(*r[:7], r[10], r[11], r[7], r[12]) for r in got] == want and [r[13] for r in got] == list(range(len(got)))
+
+
+def test_long_instructions_take_linear_time():
+    body = "".join(f"<paragraph>in paragraph ({k}), by {STRIKE} {Q.format(k)};</paragraph>" for k in range(20_000))
+    began = time.process_time()
+    assert len(xml_edits.edits_of(f'<law xmlns="http://schemas.gpo.gov/xml/uslm"><section role="instruction">{REF} is {AMEND}—{body}</section></law>')) == 20_000
+    assert time.process_time() - began < 20
+
+
+# Places and lists of edits in prose
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    ('Section 5 of title 17, United States Code, as amended by section 3 of the Good Act (Pub. L. 101–5), is amended by striking "x" and inserting "y".', [("strike_insert", 17, "5", None, "x", "y")]),
+    ("Section 5(c) of title 17 is amended by striking paragraphs (2) and (3).", [("strike_paragraph", 17, "5", "(c)(2)", None, None), ("strike_paragraph", 17, "5", "(c)(3)", None, None)]),
+    ('Section 5 of title 17 is amended by striking "a", "b", and "c".', [("strike", 17, "5", None, x, None) for x in "abc"]),
+    ("Sections 106 through 108 of title 17 are repealed.", [("repeal", 17, x, None, None, None) for x in ("106", "107", "108")]),
+    ("Sections 5, 7, and 9a of title 3 are hereby repealed.", [("repeal", 3, x, None, None, None) for x in ("5", "7", "9a")]),
+    ('Section 5 of title 17 is amended. Section 6 of such title is amended by striking "q".', [("section_amended_general", 17, "5", None, None, None), ("strike", 17, "6", None, "q", None)]),
+    ('Title 26, United States Code, is amended— (1) in section 101(b), by striking "q"; and (2) in section 102, by inserting "r".', [("title_amended", 26, None, None, None, None), ("strike", 26, "101", "(b)", "q", None), ("insert", 26, "102", None, None, "r")]),
+    ('Section 5, relating to section 9, is amended by striking “the “inner” words”.', [("strike", None, "5", None, "the “inner” words", None)]),
+    ("Paragraph (2)(B) of section 5(a) of title 9 is repealed.", [("paragraph_repealed", 9, "5", "(a)(2)(B)", None, None)]),
+    ("The board is amended in its views; nothing is repealed.", []), ("striking", []), ("", []), ('Section 5 of title 17 is amended by striking "never closed', [("section_amended_by", 17, "5", None, None, None)]),
+    ("Section 5 of title 17 is amended by redesignating paragraphs (2) through (4) as paragraphs (3) through (5).", [("redesignate_paragraph", 17, "5", None, "(2) through (4)", "(3) through (5)")]),
+])
+def test_places_and_lists_of_edits(text, want):
+    assert [(r[0], r[2], r[3], r[4], r[5], r[6]) for r in extract._matches(text)] == want
+
+
+@pytest.mark.parametrize("part", ['Section 5 of title 17 is amended by striking "x" and inserting "y". ', "striking “ ", 'striking "x", ', "section 5 ", "paragraph (1) of ", "is amended ", "by striking paragraphs (1), "])
+def test_long_laws_take_linear_time(part):
+    began = time.process_time()
+    extract._matches(part * 10_000)
+    once = time.process_time() - began
+    assert once < 20
+
+
+# Differences of lines
+
+
+def longest_common(a, b):
+    t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
+    return t[-1][-1]
+
+
+@pytest.mark.parametrize("cells", [6, 1 << 24])
+def test_common_lines_are_as_many_as_may_be(monkeypatch, cells):
+    monkeypatch.setattr(apply, "CELLS", cells)
+    rng = random.Random(cells)
+    for _ in range(800):
+        k = rng.choice([1, 2, 3, 9])
+        a, b = ([str(rng.randrange(k)) for _ in range(rng.randrange(25))] for _ in range(2))
+        pairs = apply.common_lines(a, b)
+        assert len(pairs) == longest_common(a, b) and all(a[i] == b[j] for i, j in pairs)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:], strict=False))
+
+
+def test_hunks_are_patches():
+    rng = random.Random(9)
+    for _ in range(500):
+        a, b = ([rng.choice("abcdef") for _ in range(rng.randrange(40))] for _ in range(2))
+        if rng.random() < 0.7:
+            b = [x for x in a if rng.random() > 0.1] + [rng.choice("xyz")] * rng.randrange(3)
+        out, at, last = [], 0, -1
+        for n, old_start, old_lines, new_start, new_lines, kind, line in apply.hunks_of("\n".join(a), "\n".join(b)):
+            if n != last:
+                out += a[at : old_start - 1]
+                assert new_start == len(out) + 1
+                at, last, ends = old_start - 1, n, (old_start - 1 + old_lines, new_start - 1 + new_lines)
+            if kind != "+":
+                assert a[at] == line
+                at += 1
+            if kind != "-":
+                out.append(line)
+            assert at <= ends[0] and len(out) <= ends[1]
+        assert out + a[at:] == b
+    assert apply.hunks_of(None, None) == [] and [x[5:] for x in apply.hunks_of(None, "a\nb")] == [("+", "a"), ("+", "b")]
+
+
+def test_repetitive_lines_take_little_time():
+    rng = random.Random(10)
+    a, b = ("\n".join(rng.choice("ab") for _ in range(8000)) for _ in range(2))
+    began = time.process_time()
+    assert len(apply.hunks_of(a, b)) > 8000
+    assert time.process_time() - began < 1
+
+
+def test_lines_keep_their_origin():
+    got = blame.blamed([(1, "a\nb\nc"), (2, "a\nB\nc"), (3, "c\na\nB\nd"), (4, "c\nx\na\nB2\nd")])
+    assert got == [("c", 1, 1, 3), ("x", 4, 4, None), ("a", 1, 1, None), ("B2", 1, 4, None), ("d", 3, 3, None)]
+    assert blame.blamed([]) == [] and blame.blamed([(1, None), (2, "a"), (3, None), (4, "a")]) == [("a", 4, 4, None)]
+    assert blame.blamed([(1, "a\na\n\n"), (2, "\na")]) == [("", 2, 2, None), ("a", 1, 1, None)]
+
+
+def test_random_histories_keep_lines_that_stay():
+    rng = random.Random(11)
+    for _ in range(200):
+        number, now, history, made = 0, [], [], {}
+        for revision in range(1, 6):
+            now = [x for x in now if rng.random() > 0.2]
+            for _ in range(rng.randrange(3)):
+                number += 1
+                now.insert(rng.randrange(len(now) + 1), f"line {number}")
+            made |= {x: revision for x in now if x not in made}
+            history.append((revision, "\n".join(now)))
+        # All lines differ, so that each one's words were given by the revision in which it first stood.
+        assert [(x[0], x[2]) for x in blame.blamed(history)] == [(x, made[x]) for x in now]
