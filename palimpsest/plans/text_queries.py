@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import anchored, apply, blame, extract, line_tree, links, xml_edits
+from ..sources import uslm
 from ..sources.tables import table
 from .law_queries import said
 from .queries import query
@@ -338,3 +339,30 @@ def line_blame(spark: SparkSession, d: str) -> DataFrame:
     laws = spark.range(2, 4).select(F.col("id").alias("law_id"), said("Pub. L. 115–", F.col("id")).alias("label"))
     lines = blame.with_laws(blame.blame(states, ["p_partkey"]), revisions, laws, ["p_partkey"])
     return lines.select("p_partkey", "line_number", "content", "created_in", "created_law", "changed_in", "changed_law", "moved_in")
+
+
+# Title files: nations as titles, their suppliers as sections
+
+
+@query("""WITH s AS (SELECT s_suppkey AS k, s_nationkey AS n, s_name AS name, s_nationkey % 3 AS v FROM supplier)
+SELECT n + 1 AS title_number, CAST(k AS VARCHAR) AS section_number, 'Head of ' || name AS heading, 'Text' || CASE WHEN v = 0 THEN '[1]' ELSE '' END || ' of ' || k || ':' || chr(10) || '(a) First, ' || k || '.' || chr(10) || chr(9) || '(1) Deep.' AS text_content,
+  CASE WHEN v = 2 THEN 'title:' || (n + 1) ELSE 'title:' || (n + 1) || '/chapter:' || (n + 1) || 'A' END AS group_key FROM s""")
+def title_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Sections out of title files of three forms, footnotes taken out of them."""
+    n, k = F.col("s_nationkey"), F.col("s_suppkey")
+    foot = '<ref class="footnoteRef">1</ref><note type="footnote"><num>1</num> So in original.</note>'
+    section = said(
+        '<section><num value="', k, '">§ ', k, ".</num><heading>Head of ", F.col("s_name"), F.when(n % 3 == 0, foot).otherwise(""), "</heading><chapeau>Text", F.when(n % 3 == 0, foot).otherwise(""), " of ", k,
+        ' :</chapeau><subsection><num value="a">(a)</num><content>First , ', k, '.</content><paragraph><num value="1">(1)</num><content>Deep.</content></paragraph></subsection></section>',
+    )
+    # A nation's suppliers make up one file, as a title's sections do.
+    files = table(spark, d, "supplier").groupBy("s_nationkey").agg(F.array_join(F.collect_list(section), "").alias("body"))
+    number, body = n + 1, F.col("body")
+    chapter = said('<chapter><num value="', number, 'A"/><heading>C</heading>', body, "</chapter>")
+    text = (
+        F.when(n % 3 == 0, said('<uslm xmlns="http://schemas.gpo.gov/xml/uslm"><main><title><num value="', number, '"/><heading>T</heading>', chapter, "</title></main></uslm>"))
+        .when(n % 3 == 1, said("<uscDoc><meta><docNumber>", number, '</docNumber></meta><body><level role="chapter"><num value="', number, 'A"/>', body, "</level></body></uscDoc>"))
+        .otherwise(said('<x identifier="/us/usc/t', number, '"><wrap>', body, "</wrap></x>"))
+    )
+    out = uslm.parse_sections(files.select(n.cast("string").alias("path"), text.alias("text")))
+    return out.select("title_number", "section_number", "heading", "text_content", "group_key")

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .uslm import _child, _name, _number
+from .uslm import _child, _name, _number, said
 
 SCHEMA = (
     "path string, title_number int, section_number string, heading string, footnotes array<string>, source_credit string, raw_notes string, "
@@ -27,25 +27,6 @@ def level_type(identifier: str | None, role: str | None) -> str | None:
     return LEVEL_OF.get(last[0]) if last and last[0] in LEVEL_OF else role
 
 
-def said(e: ElementTree.Element | None, notes: bool = False, numbers: bool = False) -> str:
-    """An element's text with white space as one space and none before stops; footnotes' bodies go, their numbers too unless kept as [n]; small capitals in title case."""
-    def parts(x: ElementTree.Element) -> Iterator[str]:
-        kind = _name(x)
-        if kind == "note" and x.get("type") == "footnote":
-            return
-        if kind == "ref" and "footnoteRef" in (x.get("class") or ""):
-            if numbers:
-                yield f"[{''.join(x.itertext()).strip()}]"
-            return
-        small = "small-caps" in (x.get("style") or "") or x.get("class") == "small-caps"
-        yield (x.text or "").title() if small else x.text or ""
-        for c in x:
-            yield from parts(c)
-            yield c.tail or ""
-
-    return re.sub(r"\s+([,.;:)])", r"\1", " ".join("".join(parts(e)).split())) if e is not None else ""
-
-
 def marked(e: ElementTree.Element, depth: int = 0) -> str:
     """The text of notes with marks: [NH] headings, [H1] cross-headings, [H2] italics, [QC:n] quoted content, [SIG] signatures, [PARA] between paragraphs."""
     out = []

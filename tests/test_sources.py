@@ -82,3 +82,66 @@ def test_notes_of_sections(spark):
     assert {x["path"] for x in uslm_notes.rejected_files(files).collect()} == {"bad.xml", "null.xml"}
     doc = notes.notes_document(uslm_notes.complete_notes(uslm_notes.section_notes(files)), ["section_number"], "notes_text").collect()[0]
     assert [(c["congress"], c["law_number"]) for c in doc["citations"]] == [(94, 553)] and [(a["year"], a["congress"]) for a in doc["amendments"]] == [(1990, 101)]
+
+
+def title_file(n):
+    """A title of n sections in chapters, some of which quote whole sections."""
+    out = ['<?xml version="1.0"?><!DOCTYPE uscDoc><uscDoc xmlns="http://xml.house.gov/schemas/uslm/1.0" xmlns:dc="http://purl.org/dc/elements/1.1/" identifier="/us/usc/t17"><meta><dc:title>x</dc:title><docNumber>17</docNumber></meta><main><title identifier="/us/usc/t17"><num value="17">Title 17—</num><heading>COPYRIGHTS</heading>']
+    for k in range(1, n + 1):
+        if k % 10 == 1:
+            out.append(("</chapter>" if k > 1 else "") + f'<chapter identifier="/us/usc/t17/ch{k}"><num value="{k}">CHAPTER {k}—</num><heading>Part {k} &amp; more<ref class="footnoteRef">1</ref><note type="footnote">no</note></heading>')
+        inner = f'<notes><note><quotedContent><section><num>1</num><content>“quoted {k}”</content></section></quotedContent></note></notes>' if k % 7 == 0 else ""
+        out.append(
+            f'<section style="x" identifier="/us/usc/t17/s{k}"><num value="{k}">§ {k}.</num><heading>Head {k}</heading><chapeau>Of {k}<ref class="footnoteRef">1</ref><note type="footnote"><num>1</num> So in original.</note> :</chapeau>'
+            f'<subsection><num value="a">(a)</num><heading>In general</heading><content>First {k} , “é”. {"words " * (k % 50)}</content></subsection><subsection><num value="b">(b)</num><chapeau>If</chapeau><paragraph><num value="1">(1)</num><content>deep<continuation>flush</continuation></content></paragraph><continuation>closes.</continuation></subsection>{inner}</section>'
+        )
+    return "".join(out) + "</chapter></title></main></uscDoc>"
+
+
+def test_large_titles_are_read_by_many_tasks(spark, tmp_path):
+    from palimpsest.operators import line_tree
+    from palimpsest.sources import uslm_stream
+
+    n = 400
+    (tmp_path / "t17.xml").write_text(title_file(n))
+    (tmp_path / "none.xml").write_text("<uscDoc><main/></uscDoc>")
+    (tmp_path / "empty.xml").write_text("")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        got = uslm_stream.sections(spark, str(tmp_path))
+        rows = got.orderBy("path", "block", "n").collect()
+        assert len({r["block"] for r in rows}) > 5
+        assert [r["section_number"] for r in rows] == [str(k) for k in range(1, n + 1)]
+        files = spark.createDataFrame([("t17.xml", (tmp_path / "t17.xml").read_text())], "path string, text string")
+        whole = {r["section_number"]: r for r in uslm.parse_sections(files).collect()}
+        assert set(whole) == {r["section_number"] for r in rows} and all(whole[r["section_number"]]["heading"] == r["heading"] and r["title_number"] == 17 for r in rows)
+        r = rows[6]
+        assert r["text_content"] == f"Of 7[1]:\n(a) In general First 7, “é”. {'words ' * 7}".rstrip() + "\n(b) If\n\t(1) deep\nflush\ncloses." and r["footnotes"] == ["1 So in original."]
+        lines = line_tree.section_lines(got.where("section_number = '7'"), ["section_number"], levels="levels").orderBy("line_number").collect()
+        assert [(x["content"], x["indent_level"]) for x in lines if x["content"]] == [("Of 7[1]:", 0), ("(a) In general", 0), ("First 7, “é”. words words words words words words words", 1), ("(b) If", 0), ("(1) deep", 1), ("flush", 0), ("closes.", 0)]
+        one = uslm_stream.sections(spark, str(tmp_path), title=17, section="14").collect()
+        assert [(x["section_number"], x["text_hash"]) for x in one] == [("14", rows[13]["text_hash"])] and uslm_stream.sections(spark, str(tmp_path), title=18).count() == 0
+        outline = uslm_stream.groups(spark, str(tmp_path)).where("group_type IS NOT NULL").orderBy("sort_order").collect()
+        want = uslm.parse_groups(files).orderBy("sort_order").collect()
+        assert [(x["group_key"], x["parent_key"], x["name"]) for x in outline] == [(x["group_key"], x["parent_key"], x["name"]) for x in want]
+        inside = {x["n"]: x["group_key"] for x in uslm_stream.groups(spark, str(tmp_path)).where("group_type IS NULL").join(got.where("section_number = '25'"), ["path", "block", "n"]).collect()}
+        assert set(inside.values()) == {"title:17/chapter:21"}
+        assert uslm_stream.broken(spark, str(tmp_path)).count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_titles_of_other_forms(spark):
+    foot = '<uslm><meta><docNumber> 5 </docNumber><property role="is-positive-law">yes</property></meta><body><level role="chapter"><num value="1"/><heading>ONE</heading><section><num value="7">§ 7.</num><heading>Def<ref class="footnoteRef">1</ref><note type="footnote"><num>1</num>So in original.</note> [</heading><content>Text<ref class="footnoteRef">1</ref><note type="footnote">foot body</note> of section .</content></section></level></body></uslm>'
+    files = spark.createDataFrame([("a", foot), ("b", '<x number="9"><section><num>1</num></section></x>'), ("c", '<x identifier="/us/usc/t18"><chapter><num>2</num></chapter></x>'), ("d", "<x><section><num>3</num></section></x>")], "path string, text string")
+    got = {r["path"]: r for r in uslm.parse_sections(files).collect()}
+    assert (got["a"]["heading"], got["a"]["text_content"], got["a"]["title_number"], got["a"]["group_key"]) == ("Def", "Text[1] of section.", 5, "title:5/chapter:1")
+    assert (got["b"]["title_number"], got["d"]["title_number"], got["d"]["group_key"]) == (9, None, None)
+    named = {(r["path"], r["group_key"]): r["name"] for r in uslm.parse_groups(files).collect()}
+    assert named[("b", "title:9")] == "Title 9" and ("c", "title:18/chapter:2") in named
+    from xml.etree import ElementTree
+
+    assert uslm.title_of(ElementTree.fromstring(foot))[::2] == (5, True) and uslm.title_of(ElementTree.fromstring("<x/>")) == (None, "Title 0", False)
