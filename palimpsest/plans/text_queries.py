@@ -8,9 +8,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import anchored, apply, blame, extract, line_tree, links, xml_edits
+from ..operators import anchored, apply, blame, extract, line_tree, links, records, spans, xml_edits
 from ..sources import uslm
 from ..sources.tables import table
+from ..streaming import live
 from .law_queries import said
 from .queries import query
 
@@ -366,3 +367,75 @@ def title_sections(spark: SparkSession, d: str) -> DataFrame:
     )
     out = uslm.parse_sections(files.select(n.cast("string").alias("path"), text.alias("text")))
     return out.select("title_number", "section_number", "heading", "text_content", "group_key")
+
+
+# Where words stand, forms of rows, and edits parsed when asked for
+
+
+@query("""WITH w AS (SELECT doc_id, text, substr(text, 21, 60) AS said FROM documents WHERE length(text) >= 200),
+q AS (SELECT *, regexp_escape(substr(said, 1, 30)) || '(?s:.)' || regexp_escape(substr(said, 32)) AS pattern FROM w WHERE regexp_matches(substr(said, 1, 1), '[^ \\t\\n\\r]') AND regexp_matches(substr(said, 60, 1), '[^ \\t\\n\\r]')),
+f AS (SELECT doc_id, text, strpos(text, regexp_extract(text, pattern)) - 1 AS p FROM q)
+SELECT doc_id, CAST(p AS INTEGER) AS start_pos, CAST(p + 60 AS INTEGER) AS end_pos, 1 AS distance FROM f""")
+def approximate_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Stretches of documents found again by sixty characters, one of them changed."""
+    docs = table(spark, d, "documents").where("length(text) >= 200")
+    words = F.substring("text", 21, 60)
+    docs = docs.where(F.substring(words, 1, 1).rlike(r"[^ \t\n\r]") & F.substring(words, 60, 1).rlike(r"[^ \t\n\r]"))
+    changed = F.concat(F.substring(words, 1, 30), F.lit("☃"), F.substring(words, 32, 29))
+    return docs.select("doc_id", spans.spans_of(F.col("text"), changed).alias("s")).select("doc_id", "s.*")
+
+
+@query("""SELECT p_partkey AS law_id, CASE WHEN p_partkey % 3 = 0 THEN 'xml' ELSE 'text' END AS source, 'Modify' AS change_type, 17 AS title_number, CAST(p_size AS VARCHAR) AS section_number, 'old ' || p_partkey % 4 AS old_text, 'new ' || p_partkey AS new_text, CASE WHEN p_partkey % 4 < 3 THEN CAST(p_partkey % 4 + 1 AS INTEGER) END AS start_line FROM part
+UNION ALL SELECT p_partkey, 'xml', 'Modify', 17, CAST(p_size AS VARCHAR), 'x', 'y', NULL FROM part WHERE p_partkey % 3 = 0""")
+def edits_when_asked(spark: SparkSession, d: str) -> DataFrame:
+    """Edits of laws by their XML, by their text where XML is missing, broken or says nothing, and the lines where they begin."""
+    k, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    part = table(spark, d, "part")
+    quoted = lambda x: F.concat(F.lit("<quotedText>"), x, F.lit("</quotedText>"))
+    edit = lambda old, new: said('<amendingAction type="delete">striking</amendingAction> ', quoted(old), ' and <amendingAction type="insert">inserting</amendingAction> ', quoted(new))
+    old, new = said("old ", k % 4), said("new ", k)
+    head = said('<section role="instruction"><chapeau>Section <ref href="/us/usc/t17/s', size, '"/> is <amendingAction type="amend">amended</amendingAction></chapeau>')
+    xml = F.when(k % 3 == 0, said("<law>", head, "<paragraph>by ", edit(old, new), "</paragraph><paragraph>by ", edit(F.lit("x"), F.lit("y")), "</paragraph></section></law>")).when(k % 3 == 1, F.when(k % 2 == 0, "<broken").otherwise("<law><section>No instruction.</section></law>"))
+    laws = part.select(k.alias("law_id"), xml.alias("xml"), said("Section ", size, ' of title 17 is amended by striking "', old, '" and inserting "', new, '".').alias("text"))
+    lines = part.select(F.lit(17).alias("title_number"), size.alias("section_number")).distinct()
+    lines = lines.select("*", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("line_number")).withColumn("content", said("line with old ", F.col("line_number") - 1, " in it"))
+    return records.parsed_when_asked(laws, lines).select("law_id", "source", "change_type", "title_number", "section_number", "old_text", "new_text", "start_line")
+
+
+@query("""SELECT l.o_custkey % 20 + 95 AS congress, l.o_orderkey AS law_number, CASE WHEN l.o_orderkey % 3 > 0 THEN 'htm ' || l.o_orderkey END AS htm_content, CASE WHEN l.o_orderkey % 3 <> 1 THEN 'xml ' || l.o_orderkey END AS xml_content,
+  CASE WHEN l.o_orderkey % 5 > 0 THEN CASE WHEN l.o_orderkey % 2 = 0 THEN 'Popular ' || l.o_orderkey ELSE 'Official ' || l.o_orderkey END END AS title FROM orders l""")
+def law_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Laws' texts in two formats, with titles where the law is known."""
+    k, congress = F.col("o_orderkey"), (F.col("o_custkey") % 20 + 95).alias("congress")
+    orders = table(spark, d, "orders")
+    laws = orders.where(k % 5 > 0).select(congress, k.alias("law_number"), F.when(k % 2 == 0, said("Popular ", k)).alias("popular_name"), F.lit(None).cast("string").alias("short_title"), said("Official ", k).alias("official_title"), F.lit("2020-01-01").cast("date").alias("enacted_date"))
+    formats = F.array_compact(F.array(F.when(k % 3 > 0, F.lit("htm")), F.when(k % 3 != 1, F.lit("xml"))))
+    texts = orders.select(congress, k.alias("law_number"), F.explode(formats).alias("format")).withColumn("content", said(F.col("format"), " ", F.col("law_number")))
+    return records.law_texts(laws, texts).select("congress", "law_number", "htm_content", "xml_content", "title")
+
+
+@query("""WITH s AS (SELECT CAST(l_suppkey % 50 + 1 AS INTEGER) AS t, CAST(l_partkey AS VARCHAR) AS s, l_orderkey AS n, max(struct_pack(h := sha256(l_returnflag), d := l_linestatus = 'F' AND l_returnflag = 'R')) AS x FROM lineitem GROUP BY ALL),
+c AS (SELECT *, CASE WHEN lag(x) OVER w IS NULL OR lag(x) OVER w <> x THEN n END AS changed FROM s WINDOW w AS (PARTITION BY t, s ORDER BY n)),
+g AS (SELECT t, s, count(*) AS versions, NOT arg_max(x.d, n) AS live, max(changed) AS last_changed FROM c GROUP BY t, s)
+SELECT t AS title_number, count(*) FILTER (live) AS live_sections, CAST(sum(versions) AS BIGINT) AS versions, max(last_changed) AS last_changed FROM g GROUP BY t""")
+def live_section_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Live sections, versions and last changes of titles; line items are revisions of their parts."""
+    items = table(spark, d, "lineitem").select((F.col("l_suppkey") % 50 + 1).cast("int").alias("title_number"), F.col("l_partkey").cast("string").alias("section_number"), F.col("l_orderkey").alias("sequence_number"), F.sha2("l_returnflag", 256).alias("text_hash"), ((F.col("l_linestatus") == "F") & (F.col("l_returnflag") == "R")).alias("is_deleted"))
+    return live.title_counts(live.live_sections_of(items))
+
+
+@query("""SELECT o_orderkey, CASE CAST(o_orderkey % 5 AS INTEGER) WHEN 0 THEN 'hr' WHEN 1 THEN 's' WHEN 2 THEN 'hjres' WHEN 3 THEN 'sconres' END AS bill_type, CASE WHEN o_orderkey % 5 < 4 THEN CAST(o_custkey AS INTEGER) END AS bill_number FROM orders""")
+def bills_of_laws(spark: SparkSession, d: str) -> DataFrame:
+    """Bills of laws, by their own columns or read out of where they come from."""
+    k, n = F.col("o_orderkey"), F.col("o_custkey")
+    kind = F.when(k % 5 == 0, F.when(k % 2 == 0, "H.R."))
+    origin = F.when(k % 5 == 0, said("H.R. ", n)).when(k % 5 == 1, said("s", n)).when(k % 5 == 2, said("H. J. Res. ", n)).when(k % 5 == 3, said("S.Con.Res.", n)).otherwise(said("Public ", n, "x"))
+    bill = records.bill_of(kind, F.when(kind.isNotNull(), n), origin)
+    return table(spark, d, "orders").select("o_orderkey", bill["bill_type"].alias("bill_type"), bill["bill_number"].alias("bill_number"))
+
+
+@query("SELECT CAST(p_size AS VARCHAR) AS number, CAST(row_number() OVER (ORDER BY CAST(p_size AS VARCHAR)) AS INTEGER) AS place FROM (SELECT DISTINCT p_size FROM part)")
+def titles_in_text_order(spark: SparkSession, d: str) -> DataFrame:
+    """Titles in the order of their numbers as text."""
+    groups = table(spark, d, "part").select(F.col("p_size").cast("string").alias("number"), F.lit("title").alias("group_type")).distinct()
+    return records.placed_titles(groups).select("number", "place")
