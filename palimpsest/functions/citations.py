@@ -1,22 +1,27 @@
-"""Column functions on citations of laws and on the notes under a section: all of them JVM expressions."""
+"""Column functions on citations of laws and on the notes under a section.
+
+Citations and amendments are read in Arrow batches by compiled patterns, which nested array expressions would interpret anew for each row; the rest are JVM expressions.
+"""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: A public law in prose, as (Congress, number).
 LAW = r"Pub\.\s*L\.\s*([0-9]+)[—–-]([0-9]+)"
-_CITED = (
-    rf"(?i){LAW}(?:\s*,\s*div\.\s*([A-Z]+))?(?:\s*,\s*title\s+([IVXLCDM]+|[0-9]+))?(?:\s*,\s*§+\s*([0-9]+[0-9A-Za-z–-]*(?:\([0-9A-Za-z]+\))*))?"
+_CITED = re.compile(
+    rf"{LAW}(?:\s*,\s*div\.\s*([A-Z]+))?(?:\s*,\s*title\s+([IVXLCDM]+|[0-9]+))?(?:\s*,\s*§+\s*([0-9]+[0-9A-Za-z–-]*(?:\([0-9A-Za-z]+\))*))?"
     r"(?:\s*,\s*((?:\(\w+\))+(?:\s*,\s*(?:\(\w+\))+)*))?(?:\s*,\s*([A-Z][a-z]{2,3}\.?\s+[0-9]{1,2}\s*,\s+[0-9]{4}))?"
-    r"(?:\s*,\s*([0-9]+[A-Z]?)\s+Stat\.\s+([0-9]+))?(?:\s*,\s*([0-9]+(?:\s*,\s*[0-9]+)*)(?!\s*Stat))?"
+    r"(?:\s*,\s*([0-9]+[A-Z]?)\s+Stat\.\s+([0-9]+))?(?:\s*,\s*([0-9]+(?:\s*,\s*[0-9]+)*)(?!\s*Stat))?",
+    re.I | re.A,
 )
-#: A parenthesis that begins with a public law, with others inside it, three deep.
-_BLOCK = r"(?i)\(\s*Pub\.\s*L\.(?:[^()]|\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\))*\)"
+_OPENS, _PARENTHESIS = re.compile(r"\(\s*Pub\.\s*L\.", re.I | re.A), re.compile("[()]")
 
 
 def let(value: Column, of: Callable[[Column], Column]) -> Column:
@@ -29,43 +34,58 @@ def _part(text: Column, pattern: str, group: int) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
-def _listed(text: Column) -> Column:
-    """The parts of a list between commas; an empty one for null."""
-    return F.coalesce(F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != ""), F.array().cast("array<string>"))
-
-
 def law_path(division: Column | None = None, chapter: Column | None = None, title: Column | None = None, section: Column | None = None) -> Column:
     """(level, value) of the given parts of a law, from the outermost in."""
     parts = [F.struct(F.lit(n).alias("level"), v.alias("value")) for n, v in (("division", division), ("chapter", chapter), ("title", title), ("section", section)) if v is not None]
     return F.filter(F.array(*parts), lambda x: x["value"].isNotNull() & (x["value"] != ""))
 
 
-def _groups(text: Column) -> Column:
-    """The groups of the first law cited, empty where they are missing, by one match and one replacement; null without one."""
-    hit = F.regexp_substr(text, F.lit(_CITED))
-    return F.split(F.regexp_replace(hit, _CITED, "\x1f".join(f"${k}" for k in range(1, 11))), "\x1f")
+CITATION = "struct<congress: int, law_number: int, path: array<struct<level: string, value: string>>, extra_sections: array<string>, date_text: string, stat_volume: string, stat_page: int, extra_pages: array<int>, raw_text: string>"
+AMENDMENT = "struct<year: int, congress: int, law_number: int, date_text: string, stat_volume: string, stat_page: int, description: string>"
+
+
+def _whole(x: str | None) -> int | None:
+    return int(x) if x and len(x) < 10 else None
+
 
+def _parts_of(x: str | None) -> list[str]:
+    """The parts of a list between commas."""
+    return [y for y in (y.strip(" ") for y in (x or "").split(",")) if y]
 
-def _cited(groups: Column) -> dict[str, Column]:
-    """The parts of the first law cited that are single values."""
-    get = lambda k: F.nullif(F.get(groups, F.lit(k - 1)), F.lit(""))
-    return {"congress": get(1).cast("int"), "law_number": get(2).cast("int"), "date_text": get(7), "stat_volume": get(8), "stat_page": get(9).cast("int")}
+
+def cited(text: str) -> dict | None:
+    """The first law that a text cites (CITATION); None without one."""
+    m = _CITED.search(text)
+    if m is None:
+        return None
+    path = [{"level": n, "value": m[k]} for n, k in (("division", 3), ("title", 4), ("section", 5)) if m[k]]
+    return {
+        "congress": _whole(m[1]), "law_number": _whole(m[2]), "path": path, "extra_sections": _parts_of(m[6]), "date_text": m[7], "stat_volume": m[8], "stat_page": _whole(m[9]),
+        "extra_pages": [_whole(x) for x in _parts_of(m[10])], "raw_text": text.strip(" "),
+    }
+
+
+def credit_of(text: str) -> str:
+    """The first parenthesis of a text that begins with a law, others in it counted; the whole text without one."""
+    closes, stack = {}, []
+    for p in _PARENTHESIS.finditer(text):
+        if p[0] == "(":
+            stack.append(p.start())
+        elif stack:
+            closes[stack.pop()] = p.end()
+    return next((text[m.start() : closes[m.start()]] for m in _OPENS.finditer(text) if m.start() in closes), text)
 
 
 def law_citation(text: Column) -> Column:
     """The first law cited: Congress, number, path, further subsections, date, volume, page and further pages of the Statutes; null without one."""
 
-    def parts(g: Column) -> Column:
-        get = lambda k: F.nullif(F.get(g, F.lit(k - 1)), F.lit(""))
-        own = _cited(g)
-        cited = F.struct(
-            own["congress"].alias("congress"), own["law_number"].alias("law_number"), law_path(division=get(3), title=get(4), section=get(5)).alias("path"),
-            _listed(get(6)).alias("extra_sections"), own["date_text"].alias("date_text"), own["stat_volume"].alias("stat_volume"), own["stat_page"].alias("stat_page"),
-            F.transform(_listed(get(10)), lambda x: x.cast("int")).alias("extra_pages"), F.trim(text).alias("raw_text"),
-        )
-        return F.when(g.isNotNull(), cited)
+    @F.pandas_udf(CITATION.removeprefix("struct<").removesuffix(">"))
+    def run(texts: pd.Series) -> pd.DataFrame:
+        names = ["congress", "law_number", "path", "extra_sections", "date_text", "stat_volume", "stat_page", "extra_pages", "raw_text"]
+        return pd.DataFrame([(None if t is None else cited(t)) or {} for t in texts], columns=names).astype({"congress": "Int32", "law_number": "Int32", "stat_page": "Int32"})
 
-    return let(_groups(text), parts)
+    got = run(text)
+    return F.when(got["congress"].isNotNull(), got)
 
 
 def law_citations(text: Column) -> Column:
@@ -73,8 +93,12 @@ def law_citations(text: Column) -> Column:
 
     The credit is the first parenthesis that begins with a law, or the whole text without one; semicolons part its laws.
     """
-    block = F.coalesce(_part(text, f"({_BLOCK})", 1), text)
-    return F.filter(F.transform(F.split(block, r";\s*"), law_citation), lambda c: c.isNotNull())
+
+    @F.pandas_udf(f"array<{CITATION}>")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else [c for x in re.split(r";\s*", credit_of(t)) if (c := cited(x))] for t in texts], dtype=object)
+
+    return run(text)
 
 
 def level_display(path: Column) -> Column:
@@ -144,13 +168,44 @@ def wrapper_position(text: Column, heading: str) -> Column:
     return F.when(F.regexp_like(text, F.lit(rf"(?is)^(?:\s|\[NH\].*?\[/NH\]|\[H1\].*?\[/H1\]|\[/?(?:NH|H1)\])*+{heading}")), F.length(found) + 1).otherwise(0)
 
 
-_SPACES = (r'"\s*([^"]*?)\s*"', r"“\s*([^”]*?)\s*”")
+_SPACES = (re.compile(r'"\s*([^"]*?)\s*"', re.A), re.compile(r"“\s*([^”]*?)\s*”", re.A))
+_YEARS, _YEAR = re.compile(r"(?=[0-9]{4}\s*[—–-]\s*)", re.A), re.compile(r"([0-9]{4})\s*[—–-]\s*", re.A)
+_LAW, _LAW_FIRST = re.compile(LAW, re.A), re.compile(rf"(?:Subsecs?\.\s+.*?)?{LAW}", re.A | re.S)
+_ACT, _ACT_YEAR = re.compile(r"\bAct\b", re.A), re.compile(r"\bAct\s+\w+\.?\s+[0-9]{1,2},?\s+([0-9]{4})", re.A)
+_WHITE = " \t\n\x0b\f\r"
 
 
-def _said(text: Column) -> Column:
+def _said(text: str) -> str:
     """White space as one space, none inside quotation marks."""
-    plain = F.trim(F.regexp_replace(text, r"\s+", " "))
-    return F.regexp_replace(F.regexp_replace(plain, _SPACES[0], '"$1"'), _SPACES[1], "“$1”")
+    plain = " ".join(re.split(f"[{_WHITE}]+", text)).strip(" ")
+    return _SPACES[1].sub(r"“\1”", _SPACES[0].sub(r'"\1"', plain))
+
+
+def amended(text: str) -> list[dict]:
+    """The amendments (AMENDMENT) that a note lists by year."""
+
+    def entry(year: int, law: dict | None, body: str) -> dict:
+        own = {k: law[k] if law else None for k in ("congress", "law_number", "date_text", "stat_volume", "stat_page")}
+        return {"year": year, **own, "description": _said(body)}
+
+    out = []
+    for block in _YEARS.split(text):
+        head = _YEAR.match(block)
+        if head is None:
+            continue
+        year, body = int(head[1]), block[head.end() :].rstrip(_WHITE).strip(" ")
+        paragraphs = [p for p in (p.strip(_WHITE) for p in re.split(r"\n\n+", body)) if _LAW_FIRST.match(p)]
+        if paragraphs:
+            out += [entry(year, cited(p[_LAW.search(p).start() :]), p) for p in paragraphs]
+        elif _LAW.search(body):
+            out.append(entry(year, cited(body), body))
+        elif _ACT.search(body):
+            out.append(entry(year, None, body))
+    if not out:
+        old = re.sub(rf"\A[{_WHITE}]*[—–-][{_WHITE}]*", "", text).strip(" ")
+        if m := _ACT_YEAR.search(old):
+            out.append(entry(int(m[1]), None, old))
+    return out
 
 
 def amendments(text: Column) -> Column:
@@ -160,34 +215,7 @@ def amendments(text: Column) -> Column:
     A year without one counts once, for its first law or for an act. A text without years is an act of
     the year in its date.
     """
-    law_first = rf"(?s)^(?:Subsecs?\.\s+.*?)?{LAW}"
-    empty = F.lit(None)
-
-    def entry(year: Column, body: Column, cited: Column, said: Column) -> Column:
-        return let(_groups(cited), lambda g: F.struct(year.alias("year"), *(v.alias(k) for k, v in _cited(g).items()), said.alias("description")))
-
-    def of_act(year: Column, body: Column) -> Column:
-        kinds = {"congress": "int", "law_number": "int", "date_text": "string", "stat_volume": "string", "stat_page": "int"}
-        return F.struct(year.alias("year"), *(empty.cast(t).alias(k) for k, t in kinds.items()), _said(body).alias("description"))
-
-    def of_year(block: Column) -> Column:
-        year = F.regexp_extract(block, r"^([0-9]{4})", 1).cast("int")
-        return let(F.trim(F.regexp_replace(block, r"(?s)^[0-9]{4}\s*[—–-]\s*|\s+$", "")), lambda body: of_body(year, body))
-
-    def of_body(year: Column, body: Column) -> Column:
-        paragraphs = F.transform(F.split(body, r"\n\n+"), lambda p: F.trim(F.regexp_replace(p, r"^\s+|\s+$", "")))
-        own = F.transform(F.filter(paragraphs, lambda p: F.regexp_like(p, F.lit(law_first))), lambda p: entry(year, p, F.regexp_extract(p, rf"(?s){LAW}.*", 0), _said(p)))
-        act = F.array(of_act(year, body))
-        once = F.when(F.regexp_like(body, F.lit(LAW)), F.array(entry(year, body, body, _said(body)))).when(F.regexp_like(body, F.lit(r"\bAct\b")), act).otherwise(F.slice(act, 1, 0))
-        return let(own, lambda found: F.when(F.size(found) > 0, found).otherwise(once))
-
-    def listed(text: Column) -> Column:
-        blocks = F.filter(F.split(text, r"(?=[0-9]{4}\s*[—–-]\s*)"), lambda b: F.regexp_like(b, F.lit(r"^[0-9]{4}\s*[—–-]")))
-        old = F.trim(F.regexp_replace(text, r"^\s*[—–-]\s*", ""))
-        act_year = _part(old, r"\bAct\s+\w+\.?\s+[0-9]{1,2},?\s+([0-9]{4})", 1).cast("int")
-        return let(F.flatten(F.transform(blocks, of_year)), lambda found: F.when((F.size(found) == 0) & act_year.isNotNull(), F.array(of_act(act_year, old))).otherwise(found))
-
-    return let(text, listed)
+    return F.pandas_udf(lambda texts: pd.Series([None if t is None else amended(t) for t in texts], dtype=object), f"array<{AMENDMENT}>")(text)
 
 
 def first_of(amended: Column) -> Column:
