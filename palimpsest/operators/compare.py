@@ -18,7 +18,11 @@ def diff_states(before: DataFrame, after: DataFrame, key: list[str], text: str =
 
     Missing values equal each other. An added or deleted section has changed notes if it has any.
     """
-    rows = _both(before, after, key)
+    return diff_of(_both(before, after, key), key, text, notes)
+
+
+def diff_of(rows: DataFrame, key: list[str], text: str = "text_hash", notes: str | None = "notes_hash") -> DataFrame:
+    """`diff_states` of rows that hold both states of a key already (see snapshots.two_states)."""
     text_changed = ~F.col(f"{text}_a").eqNullSafe(F.col(f"{text}_b"))
     if notes:
         a, b = F.col(f"{notes}_a"), F.col(f"{notes}_b")
@@ -36,7 +40,11 @@ def diff_counts(diff: DataFrame) -> DataFrame:
 
 def checkpoint(derived: DataFrame, truth: DataFrame, key: list[str], text: str = "text_hash", notes: str = "notes_hash", deleted: str = "is_deleted") -> DataFrame:
     """Each key's outcome: match, text_mismatch, notes_mismatch, deleted_mismatch, only_derived or only_truth."""
-    rows = _both(derived, truth, key)
+    return checkpoint_of(_both(derived, truth, key), key, text, notes, deleted)
+
+
+def checkpoint_of(rows: DataFrame, key: list[str], text: str = "text_hash", notes: str = "notes_hash", deleted: str = "is_deleted") -> DataFrame:
+    """`checkpoint` of rows that hold both states of a key already."""
     same = lambda c: F.col(f"{c}_a").eqNullSafe(F.col(f"{c}_b"))
     outcome = (
         F.when(F.col("in_b").isNull(), "only_derived").when(F.col("in_a").isNull(), "only_truth").when(~same(deleted), "deleted_mismatch")

@@ -8,11 +8,11 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .intervals import covered, gaps, union
-from .line_tree import sentence_spans
+from .prose import sentence_spans
 
 #: Kind of change and confidence of each pattern. `insert_after`, `insert`, `add_end`, `read_as_follows` and `redesignate` stand for forms that no other name covers.
 PATTERNS = {
@@ -559,6 +559,24 @@ def extract_edits(laws: DataFrame, key: str = "law_id", text: str = "text") -> D
     return laws.select(key, F.col(text).alias("_text")).mapInPandas(run, f"{key} {kind}, {SCHEMA}")
 
 
+def section_references(text: Column, default_title: Column) -> Column:
+    """All sections that a text names, in order: title (the default one where it names none), section, subsection_path, start_pos and end_pos; a unit of a section, such as paragraph (2) of section 5(a), counts with it."""
+
+    @F.pandas_udf("array<struct<title_number: int, section_number: string, subsection_path: string, start_pos: int, end_pos: int>>")
+    def run(texts: pd.Series, titles: pd.Series) -> pd.Series:
+        out = []
+        for t, default in zip(texts, titles, strict=True):
+            rows = []
+            for n in Law(t or "").nouns:
+                title, _, path = n.place()
+                known = title if title is not None else None if pd.isna(default) else int(default)
+                rows += [{"title_number": known, "section_number": s, "subsection_path": path or None, "start_pos": n.start, "end_pos": n.end} for s in n.sections]
+            out.append(None if t is None else rows)
+        return pd.Series(out, dtype=object)
+
+    return run(text, default_title)
+
+
 def coverage(laws: DataFrame, edits: DataFrame, key: str = "law_id", text: str = "text") -> DataFrame:
     """The share of each text that edits claim, in per cent."""
     sizes = laws.select(key, F.length(text).alias("total"))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .prose import ABBREVIATIONS
+from .prose import sentence_spans
 
 LINE = "struct<line_number: int, content: string, indent_level: int, marker: string, is_header: boolean, start_char: int, end_char: int, parent: int, last: int, depth: int, path: string>"
 FIELDS = tuple(re.findall(r"(\w+):", LINE))
@@ -20,8 +20,6 @@ REFERRING = frozenset(f"{w}{s}" for w in ("subsection", "paragraph", "subparagra
 _ITEM = re.compile(r"(?:^|(?<=[\s.;:—]))\((?:[0-9]{1,3}|[A-Za-z]{1,5})\)(?:\s*\((?:[0-9]{1,3}|[A-Za-z]{1,5})\))*")
 _WORD_BEFORE = re.compile(r"([A-Za-z]+)[\s.;:,—–-]*\Z")
 _NAMES = re.compile(r"\(([0-9A-Za-z]+)\)")
-_STOP = re.compile(r"\.(?=\s+[A-Z\"“(])|\n\s*\n")
-_SHORT = re.compile(rf"\b(?:{'|'.join(ABBREVIATIONS)})\Z")
 _NUMERAL = re.compile(r"(?=.)M{0,3}(?:CM|CD|D?C{0,3})(?:XC|XL|L?X{0,3})(?:IX|IV|V?I{0,3})\Z")
 _ROMAN = re.compile(r"(?=.)(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})\Z")
 
@@ -35,30 +33,6 @@ def rank(name: str) -> int:
     return 3 if name.isupper() else 1
 
 
-def sentence_spans(text: str, begin: int = 0) -> list[tuple[str, int, int]]:
-    """(words, start, end) of each sentence. A stop before white space and a capital, a quotation or a parenthesis ends one, and so does an empty line; not the stop of an abbreviation, one before a numbered parenthesis, or one after a parenthesis that an abbreviation follows."""
-    out, start = [], 0
-
-    def add(end: int) -> None:
-        words = text[start:end].strip()
-        if words:
-            lead = start + len(text[start:end]) - len(text[start:end].lstrip())
-            out.append((words, begin + lead, begin + lead + len(words)))
-
-    for m in _STOP.finditer(text):
-        if m[0] == ".":
-            after = text[m.end() : m.end() + 40].lstrip()
-            word = re.match(r"[A-Za-z]+(?=\.)", after)
-            if _SHORT.search(text, max(start, m.start() - 12), m.start()) or re.match(r"\([0-9]", after) or text[m.start() - 1 : m.start()] == ")" and word and _SHORT.search(word[0]):
-                continue
-            add(m.end())
-        else:
-            add(m.start())
-        start = m.end()
-    add(len(text))
-    return out
-
-
 def nested(indents: Sequence[int], markers: Sequence[str | None]) -> list[tuple[int, int, int, str]]:
     """(parent, last, depth, path) of each line, by a stack of the lines that are open.
 
@@ -248,3 +222,13 @@ def paths(tree: DataFrame, of: DataFrame, key: list[str], number: str = "line_nu
     """The lines on the way from each line (key, `number`) to its root, itself included: those whose ranges hold it; below names it."""
     at = of.select(*key, F.col(number).alias("below"))
     return tree.join(at, key).where(F.col("below").between(F.col(number), F.col("last")))
+
+
+def tree_stats(tree: DataFrame, key: list[str], kind: Column) -> DataFrame:
+    """For each section: lines, max_depth, and how many lines there are of each kind and at each depth, as maps; no line's children are counted twice."""
+    by = lambda c: F.map_from_entries(F.sort_array(F.collect_list(c)))
+    own = tree.select(*key, kind.alias("_kind"), "depth")
+    counts = own.groupBy(*key, "_kind", "depth").agg(F.count(F.lit(1)).alias("_n"))
+    kinds = counts.groupBy(*key, "_kind").agg(F.sum("_n").alias("_n")).groupBy(*key).agg(by(F.struct("_kind", "_n")).alias("by_kind"))
+    depths = counts.groupBy(*key, "depth").agg(F.sum("_n").alias("_n")).groupBy(*key).agg(F.sum("_n").alias("lines"), F.max("depth").alias("max_depth"), by(F.struct("depth", "_n")).alias("by_depth"))
+    return depths.join(kinds, key)

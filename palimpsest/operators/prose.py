@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Callable
 
 import pandas as pd
@@ -117,18 +118,47 @@ def following_text(text: Column, end: Column) -> Column:
     return F.when(got["method"].isNotNull(), got)
 
 
+_STOP, _EMPTY = re.compile(r"\.(?=\s+[A-Z\"“(])|\n\s*\n"), re.compile(r"\n\s*\n")
+_SHORT = re.compile(rf"\b(?:{'|'.join(ABBREVIATIONS)})\Z")
+
+
+def sentence_spans(text: str, begin: int = 0) -> list[tuple[str, int, int]]:
+    """(words, start, end) of each sentence. A stop before white space and a capital, a quotation or a parenthesis ends one, and so does an empty line; not the stop of an abbreviation, one before a numbered parenthesis, or one after a parenthesis that an abbreviation follows."""
+    out, start = [], 0
+
+    def add(end: int) -> None:
+        words = text[start:end].strip()
+        if words:
+            lead = start + len(text[start:end]) - len(text[start:end].lstrip())
+            out.append((words, begin + lead, begin + lead + len(words)))
+
+    for m in _STOP.finditer(text):
+        if m[0] == ".":
+            after = text[m.end() : m.end() + 40].lstrip()
+            word = re.match(r"[A-Za-z]+(?=\.)", after)
+            if _SHORT.search(text, max(start, m.start() - 12), m.start()) or re.match(r"\([0-9]", after) or text[m.start() - 1 : m.start()] == ")" and word and _SHORT.search(word[0]):
+                continue
+            add(m.end())
+        else:
+            add(m.start())
+        start = m.end()
+    add(len(text))
+    return out
+
+
 def sentences(rows: DataFrame, key: list[str], text: str) -> DataFrame:
-    """The sentences of texts with their place, paragraph and offsets (end excluded): a stop before white space and a capital, quote or parenthesis ends one, but not that of an abbreviation, nor one before a numbered marker; an empty line always does."""
-    short = "|".join(ABBREVIATIONS)
-    bound = rf"(?<=[.])(?<!\b(?:{short})\.)(?=\s+[A-Z\"“(])(?!\s+\([0-9])|(?=\n\s*\n)(?<!\n)"
-    parts = rows.select(*key, F.posexplode(F.split(F.regexp_replace(F.col(text), bound, "\x1e"), "\x1e")).alias("_at", "_part"))
-    w = Window.partitionBy(*key).orderBy("_at")
-    lead = F.length("_part") - F.length(F.regexp_replace("_part", r"^\s+", ""))
-    begin = F.sum(F.length("_part")).over(w) - F.length("_part")
-    parts = parts.select(*key, "_at", "_part", (begin + lead).cast("int").alias("start_char"), F.sum(F.when(F.col("_part").rlike(r"^\n\s*\n"), 1).otherwise(0)).over(w).cast("int").alias("paragraph"))
-    parts = parts.withColumn("sentence", _stripped(F.col("_part"))).where("sentence <> ''")
-    number = F.row_number().over(Window.partitionBy(*key).orderBy("_at")) - 1
-    return parts.select(*key, number.alias("position"), "paragraph", "sentence", "start_char", (F.col("start_char") + F.length("sentence")).alias("end_char"))
+    """The sentences of texts (see `sentence_spans`) with their place, paragraph (how many empty lines stand before it, none counted at the start) and offsets, end excluded."""
+
+    @F.pandas_udf("array<struct<position: int, paragraph: int, sentence: string, start_char: int, end_char: int>>")
+    def run(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            breaks = [] if t is None else [m.start() for m in _EMPTY.finditer(t)]
+            spans = [] if t is None else sentence_spans(t)
+            out.append([{"position": k, "paragraph": bisect_right(breaks, s), "sentence": words, "start_char": s, "end_char": e} for k, (words, s, e) in enumerate(spans)])
+        return pd.Series(out, dtype=object)
+
+    return rows.select(*key, F.explode(run(F.col(text))).alias("_s")).select(*key, "_s.*")
 
 
 def _instruction(text: str) -> list[str]:

@@ -55,6 +55,21 @@ def states_at(snapshots: DataFrame, chain: DataFrame, key: list[str] | None = No
     return newest.select(*key, *(F.col(f"_s.{c}").alias(c) for c in rest)).where(~F.coalesce("is_deleted", F.lit(False)))
 
 
+def two_states(snapshots: DataFrame, before: DataFrame, after: DataFrame, columns: list[str], key: list[str] | None = None, tie: str = "snapshot_id") -> DataFrame:
+    """The states of each key along two chains side by side, by one aggregate over the snapshots: `columns` with the suffixes _a and _b, and in_a and in_b, true where the key has a state there and null where it has none."""
+    key = key or KEY
+    rows = snapshots.join(before.select("revision_id", F.col("chain_pos").alias("_pos_a")), "revision_id", "left").join(after.select("revision_id", F.col("chain_pos").alias("_pos_b")), "revision_id", "left")
+    rows = rows.where("_pos_a IS NOT NULL OR _pos_b IS NOT NULL")
+    row = F.struct(*columns, F.coalesce("is_deleted", F.lit(False)).alias("_gone"))
+    newest = lambda pos: F.min_by(row, F.when(F.col(pos).isNotNull(), F.struct(pos, tie)))
+    both = rows.groupBy(*key).agg(newest("_pos_a").alias("_a"), newest("_pos_b").alias("_b"))
+    out = []
+    for side in ("a", "b"):
+        live = F.when(~F.col(f"_{side}._gone"), True)
+        out += [F.when(live, F.col(f"_{side}.{c}")).alias(f"{c}_{side}") for c in columns] + [live.alias(f"in_{side}")]
+    return both.select(*key, *out).where("in_a OR in_b")
+
+
 def history(snapshots: DataFrame, revisions: DataFrame, title: int, section: str) -> DataFrame:
     """All snapshots of one section with their revisions, in sequence."""
     own = snapshots.where((F.col("title_number") == title) & (F.col("section_number") == section))

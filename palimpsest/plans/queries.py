@@ -108,8 +108,14 @@ _DIFF = f"""{_two_states_sql()}, diff AS (
   FROM a FULL OUTER JOIN b ON a.title_number = b.title_number AND a.section_number = b.section_number)"""
 
 
+def _two_states(spark: SparkSession, d: str) -> DataFrame:
+    revisions = standins.revisions(spark, d)
+    chains = [snapshots.revision_chain(revisions, head) for head in (BEFORE, AFTER)]
+    return snapshots.two_states(standins.snapshots(spark, d), *chains, ["text_hash", "notes_hash", "is_deleted"])
+
+
 def _diff(spark: SparkSession, d: str) -> DataFrame:
-    return compare.diff_states(_state(spark, d, BEFORE), _state(spark, d, AFTER), KEY)
+    return compare.diff_of(_two_states(spark, d), KEY)
 
 
 @query(f"{_DIFF} SELECT * FROM diff")
@@ -130,7 +136,7 @@ _CHECK = f"""{_two_states_sql()}, o AS (SELECT coalesce(a.title_number, b.title_
 
 @query(f"{_CHECK} SELECT * FROM o")
 def checkpoint_validate(spark: SparkSession, d: str) -> DataFrame:
-    return compare.checkpoint(_state(spark, d, BEFORE), _state(spark, d, AFTER), KEY)
+    return compare.checkpoint_of(_two_states(spark, d), KEY)
 
 
 _KINDS = ("match", "text_mismatch", "notes_mismatch", "deleted_mismatch", "only_derived", "only_truth")

@@ -104,6 +104,19 @@ def line_paths(spark: SparkSession, d: str) -> DataFrame:
     return line_tree.paths(tree, tree.where("line_number % 4 = 0"), ["section"]).select("section", "below", "line_number")
 
 
+@query(f"""WITH RECURSIVE {_TREE},
+way AS (SELECT section, line_number, marker, 0 AS depth FROM up WHERE parent IS NULL UNION ALL SELECT u.section, u.line_number, u.marker, w.depth + 1 FROM way w JOIN up u ON u.section = w.section AND u.parent = w.line_number),
+k AS (SELECT section, string_agg(kind || ':' || n, ',' ORDER BY kind) AS kinds FROM (SELECT section, CASE WHEN marker IN ('(0)', '(1)') THEN 'header' ELSE 'item' END AS kind, count(*) AS n FROM way GROUP BY 1, 2) GROUP BY 1),
+p AS (SELECT section, CAST(sum(n) AS BIGINT) AS lines, max(depth) AS max_depth, string_agg(depth || ':' || n, ',' ORDER BY depth) AS depths FROM (SELECT section, depth, count(*) AS n FROM way GROUP BY 1, 2) GROUP BY 1)
+SELECT section, lines, max_depth, depths, kinds FROM p JOIN k USING (section)""")
+def line_tree_stats(spark: SparkSession, d: str) -> DataFrame:
+    """How many lines sections have, how deep they go, and of what kind they are."""
+    tree = line_tree.with_tree(_lines(spark, d), ["section"])
+    kind = F.when(F.col("marker").isin("(0)", "(1)"), "header").otherwise("item")
+    shown = lambda m: F.array_join(F.transform(F.map_entries(m), lambda e: F.concat(e["key"].cast("string"), F.lit(":"), e["value"].cast("string"))), ",")
+    return line_tree.tree_stats(tree, ["section"], kind).select("section", "lines", "max_depth", shown("by_depth").alias("depths"), shown("by_kind").alias("kinds"))
+
+
 _K = "k AS (SELECT o_orderkey AS k, o_orderkey % 3 AS h, o_orderkey % 2 AS c, o_orderkey % 5 AS e FROM orders)"
 
 
@@ -273,6 +286,21 @@ def embedded_edits(spark: SparkSession, d: str) -> DataFrame:
     return out.select("law_id", "pattern_name", "change_type", "title_number", "section_number", "subsection_path", "old_text", "new_text")
 
 
+@query("""WITH o AS (SELECT o_orderkey AS k, o_custkey % 50 + 1 AS t, o_orderkey % 4 AS v FROM orders)
+SELECT k AS o_orderkey, 0 AS position, CAST(CASE WHEN v IN (0, 3) THEN t ELSE 26 END AS INTEGER) AS title_number, CASE v WHEN 2 THEN '7' ELSE CAST(k AS VARCHAR) END AS section_number, CASE v WHEN 0 THEN '(b)(1)' WHEN 1 THEN '(a)(2)(B)' WHEN 3 THEN '(c)(9)' END AS subsection_path FROM o
+UNION ALL SELECT k, 1, 26, CAST(k + 1 AS VARCHAR), NULL FROM o WHERE v = 2
+UNION ALL SELECT k, 1, 26, '3', NULL FROM o WHERE v = 0""")
+def section_references(spark: SparkSession, d: str) -> DataFrame:
+    """Sections that prose names, with paths, units, lists and titles."""
+    k, t = F.col("o_orderkey"), F.col("o_custkey") % 50 + 1
+    text = (
+        F.when(k % 4 == 0, said("as in section ", k, "(b)(1) of title ", t, ", and under section 3 of this Act")).when(k % 4 == 1, said("Paragraph (2)(B) of section ", k, "(a) holds."))
+        .when(k % 4 == 2, said("See sections 7 and ", k + 1, ".")).otherwise(said("subsection (c)(9) of section ", k, " of title ", t, ", United States Code"))
+    )
+    rows = table(spark, d, "orders").select("o_orderkey", F.posexplode(extract.section_references(text, F.lit(26))).alias("position", "r"))
+    return rows.select("o_orderkey", "position", "r.title_number", "r.section_number", "r.subsection_path")
+
+
 # Instructions in XML: parts as laws of several shapes
 
 

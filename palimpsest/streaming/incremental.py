@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -37,8 +37,12 @@ class NewestRows:
     def __init__(self, spark: SparkSession, root: str, key: list[str]):
         self.spark, self.root, self.key = spark, root.rstrip("/"), key
 
-    def put(self, rows: DataFrame, batch: int) -> None:
-        rows.dropDuplicates(self.key).write.mode("overwrite").parquet(f"{self.root}/batch={batch}")
+    def put(self, rows: DataFrame, batch: int, order: str | None = None) -> None:
+        """Adds a batch; of rows with equal keys in it the one that comes last by `order`, or else the greatest, so that a repeated batch is the same."""
+        rest = [c for c in rows.columns if c not in self.key]
+        row = F.struct(*rest)
+        last = F.max_by(row, F.struct(order, F.to_json(row))) if order else F.max_by(row, F.to_json(row))
+        rows.groupBy(*self.key).agg(last.alias("_s")).select(*self.key, *(F.col(f"_s.{c}").alias(c) for c in rest)).write.mode("overwrite").parquet(f"{self.root}/batch={batch}")
 
     def read(self) -> DataFrame:
         rows = self.spark.read.option("basePath", self.root).parquet(self.root)
@@ -60,3 +64,8 @@ def append(stream: DataFrame, target: NewestRows, checkpoint: str) -> StreamingQ
 def ingest(stream: DataFrame, target: VersionedTable, key: list[str], checkpoint: str) -> StreamingQuery:
     """Upserts every micro-batch into a versioned table, which is written anew each time: for small tables; `append` is for large ones."""
     return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda rows, _: target.upsert(rows, key) and None).start()
+
+
+def recent(laws: DataFrame, now: Column, days: int, modified: str = "last_modified") -> DataFrame:
+    """The laws that were modified in the last days before `now`; a filter that reaches the scan, and as well for a stream."""
+    return laws.where((F.col(modified) >= now - F.expr(f"make_dt_interval({int(days)})")) & (F.col(modified) <= now))

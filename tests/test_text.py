@@ -95,7 +95,7 @@ def test_prose_lines(text, want):
 
 
 def test_sentences_go_on_after_abbreviations_and_references():
-    said = lambda t: [x[0] for x in line_tree.sentence_spans(t)]
+    said = lambda t: [x[0] for x in prose.sentence_spans(t)]
     assert said("as in par. (a)(2). Pub. L. 9 did it. See (1) of it. (2) of it, too.") == ["as in par. (a)(2). Pub. L. 9 did it.", "See (1) of it. (2) of it, too."]
     assert said("It is so (a). So it is.") == ["It is so (a).", "So it is."] and said("A v. B. “C.” (See D.)") == ["A v. B.", "“C.” (See D.)"]
 
@@ -104,7 +104,7 @@ def test_offsets_of_sentences_are_theirs():
     rng = random.Random(3)
     for _ in range(500):
         text = "".join(rng.choice(["A b.", " ", "\n\n", "Pub. L.", "Sec.", " (1)", "“Q.”", " c", "(a)(2).", " X"]) for _ in range(rng.randrange(14)))
-        spans = line_tree.sentence_spans(text, 5)
+        spans = prose.sentence_spans(text, 5)
         assert all(text[s - 5 : e - 5] == words for words, s, e in spans)
         assert "".join("".join(w for w, _, _ in spans).split()) == "".join(text.split())
 
