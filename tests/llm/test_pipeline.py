@@ -49,6 +49,28 @@ def test_stages(spark, tmp_path):
             docs, before = out, after
 
 
+def test_the_order_of_mixing_outlives_its_files(spark, tmp_path):
+    from palimpsest.llm.mixing import mixed_order
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    out = corpus_pipeline.mixing(spark, docs, DATA)
+    want = [r["doc_id"] for r in out.collect()]
+    out.repartition(7, "lang").write.parquet(str(tmp_path / "mixed"))  # another order, in files of other sizes
+    again = spark.read.parquet(str(tmp_path / "mixed"))
+    assert [r["doc_id"] for r in again.collect()] != want
+    assert [r["doc_id"] for r in mixed_order(again, corpus_pipeline.TARGETS, other=1.0).collect()] == want
+
+
+@pytest.mark.parametrize("rows", [[], [(None, None, None, None, None)] * 2 + [(1, None, None, "s", 0), (2, "", "en", None, 0), (3, "  ", "en", "s", 2), (4, "one two", "en", "s", 7), (4, "one two", "en", "s", 7)]])
+def test_odd_tables_pass_through_all_stages(spark, tmp_path, rows):
+    kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(rows, kinds).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality long, toxic long").write.parquet(str(tmp_path / "labels.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in got} == {r[0] for r in rows} and all(r["length"] > 0 for r in got)
+    assert {r["doc_id"]: r["doc_tokens"] for r in got if r["doc_id"] in (1, 2)} == ({1: 1, 2: 1} if rows else {})
+
+
 def test_run_equals_the_stages(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES:
