@@ -1,4 +1,10 @@
-"""A corpus from raw documents to packed sequences, stage by stage."""
+"""A corpus from raw documents to packed sequences, stage by stage.
+
+Null and empty texts are documents without words: no score rejects them, they are near no other text
+and hold no repeats, and they are packed as one end id. Null sources are a source of their own; null
+keys and repeated rows are documents like others. An empty table gives no rows, and without labels
+all texts score alike. Columns beside those of documents stay until packing, whatever their names.
+"""
 
 from __future__ import annotations
 

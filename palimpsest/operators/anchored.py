@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .apply import find_and_replace
+from .lineage import spread
 from .prose import designated, struck
 from .provisions import before_in_sequence
 
@@ -226,7 +227,7 @@ def apply_anchored(lines: DataFrame, changes: DataFrame, key: list[str]) -> tupl
             yield pd.DataFrame(out, columns=[*key, "_after", "_done"])
 
     line = "struct<" + ", ".join(f"{x.split()[0]}: {x.split()[1]}" for x in LINES.split(", ")) + ">"
-    got = rows.mapInPandas(run, f"{kinds}, _after array<{line}>, _done array<struct<change_id: long, placed: boolean>>")
+    got = spread(rows).mapInPandas(run, f"{kinds}, _after array<{line}>, _done array<struct<change_id: long, placed: boolean>>")
     after = got.select(*key, F.explode("_after").alias("_l")).select(*key, "_l.*")
     rest = lines.join(steps.select(*key), key, "left_anti").select(*key, *fields)
     return rest.unionByName(after), got.select(*key, F.explode("_done").alias("_d")).select(*key, "_d.*")

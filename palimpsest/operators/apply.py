@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import spread
 from .snapshots import KEY
 
 
@@ -76,7 +77,7 @@ def apply_changes(states: DataFrame, changes: DataFrame, key: list[str] | None =
                 done.append((*own, now, gone, *count.values()))
             yield pd.DataFrame(done, columns=names)
 
-    done = rows.mapInPandas(fold, f"{out}, text_content string, is_deleted boolean, applied long, skipped long, failed long")
+    done = spread(rows).mapInPandas(fold, f"{out}, text_content string, is_deleted boolean, applied long, skipped long, failed long")
     return done.withColumn("text_hash", F.sha2("text_content", 256))
 
 
@@ -184,7 +185,7 @@ def line_hunks(pairs: DataFrame, key: list[str], old: str, new: str) -> DataFram
             yield pd.DataFrame(rows, columns=[*key, *(x.split()[0] for x in HUNKS.split(", "))])
 
     differing = pairs.where(~F.col(old).eqNullSafe(F.col(new)))
-    return differing.select(*key, F.col(old).alias("_a"), F.col(new).alias("_b")).mapInPandas(run, f"{kinds}, {HUNKS}")
+    return spread(differing.select(*key, F.col(old).alias("_a"), F.col(new).alias("_b"))).mapInPandas(run, f"{kinds}, {HUNKS}")
 
 
 def line_counts(hunks: DataFrame, key: list[str]) -> DataFrame:

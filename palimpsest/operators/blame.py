@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .apply import common_lines
+from .lineage import spread
 
 BLAME = "line_number int, content string, created_in long, changed_in long, moved_in long"
 
@@ -67,11 +68,13 @@ def blame(states: DataFrame, key: list[str], revision: str = "revision_id", orde
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
+            done = []
             for own, revisions, texts in zip(p[key].itertuples(index=False), p["_revisions"], p["_texts"], strict=True):
                 lines = blamed([(int(r), t) for r, t in zip(revisions, texts, strict=True)])
-                yield pd.DataFrame([(*own, n, *x) for n, x in enumerate(lines, 1)], columns=names).astype({"moved_in": "Int64"})
+                done += [(*own, n, *x) for n, x in enumerate(lines, 1)]
+            yield pd.DataFrame(done, columns=names).astype({"moved_in": "Int64"})
 
-    return rows.mapInPandas(run, f"{kinds}, {BLAME}")
+    return spread(rows).mapInPandas(run, f"{kinds}, {BLAME}")
 
 
 def with_laws(lines: DataFrame, revisions: DataFrame, laws: DataFrame, key: list[str]) -> DataFrame:

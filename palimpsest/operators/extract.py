@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .intervals import covered, gaps, union
+from .lineage import spread
 from .prose import sentence_spans
 
 #: Kind of change and confidence of each pattern. `insert_after`, `insert`, `add_end`, `read_as_follows` and `redesignate` stand for forms that no other name covers.
@@ -556,7 +557,7 @@ def extract_edits(laws: DataFrame, key: str = "law_id", text: str = "text") -> D
             yield out
 
     kind = laws.schema[key].dataType.simpleString()
-    return laws.select(key, F.col(text).alias("_text")).mapInPandas(run, f"{key} {kind}, {SCHEMA}")
+    return spread(laws.select(key, F.col(text).alias("_text"))).mapInPandas(run, f"{key} {kind}, {SCHEMA}")
 
 
 def section_references(text: Column, default_title: Column) -> Column:

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import spread
 from .prose import sentence_spans
 
 LINE = "struct<line_number: int, content: string, indent_level: int, marker: string, is_header: boolean, start_char: int, end_char: int, parent: int, last: int, depth: int, path: string>"
@@ -191,7 +192,7 @@ def section_lines(sections: DataFrame, key: list[str], text: str = "text_content
     else:
         given = F.coalesce(F.col(levels), F.array().cast(f"array<{LEVEL}>"))
         lines = _array(lambda x, t: structured_lines(x) or prose_lines(t), given, body)
-    return sections.select(*key, F.explode(lines).alias("_l")).select(*key, "_l.*")
+    return spread(sections.select(*key, *{text, *([levels] if levels else [])})).select(*key, F.explode(lines).alias("_l")).select(*key, "_l.*")
 
 
 def with_tree(lines: DataFrame, key: list[str], number: str = "line_number", indent: str = "indent_level", marker: str | None = None) -> DataFrame:
@@ -208,7 +209,7 @@ def with_tree(lines: DataFrame, key: list[str], number: str = "line_number", ind
             out.append([{"n": n, "parent": numbers[p] if p >= 0 else None, "last": numbers[last], "depth": d, "path": path or None} for n, (p, last, d, path) in zip(numbers, tree, strict=True)])
         return pd.Series(out, dtype=object)
 
-    tree = own.select(*key, F.explode(run("_l")).alias("_t")).select(*key, F.col("_t.n").alias(number), "_t.parent", "_t.last", "_t.depth", "_t.path")
+    tree = spread(own).select(*key, F.explode(run("_l")).alias("_t")).select(*key, F.col("_t.n").alias(number), "_t.parent", "_t.last", "_t.depth", "_t.path")
     return lines.join(tree, [*key, number])
 
 

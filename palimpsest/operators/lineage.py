@@ -1,4 +1,4 @@
-"""Cutting of lineage in loops."""
+"""Cutting of lineage in loops, and spreading of small tables."""
 
 from __future__ import annotations
 
@@ -15,3 +15,14 @@ def cut(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-checkpoints")
     return df.checkpoint(eager=True)
+
+
+#: Bytes of a task's rows at least, and of a table at most, for `spread` to deal it out.
+EACH, LITTLE = 16 << 20, 256 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows, dealt to as many tasks as run at once if they are few by the optimizer's estimate, so that what Python does with each of them isn't left to one task; a larger table stays as it lies."""
+    parallel = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(parallel) if size < min(LITTLE, parallel * EACH) else df

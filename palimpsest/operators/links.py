@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import spread
+
 PIECES = "array<struct<start_char: int, end_char: int, reference: int, said: string>>"
 
 
@@ -126,7 +128,7 @@ def linked_pieces(texts: DataFrame, references: DataFrame, key: list[str], text:
     row = F.struct(order, *fields)
     first = references.where(F.col("display_text") != "").groupBy(*key, "display_text").agg(F.min_by(row, F.struct(order, F.xxhash64(*fields))).alias("_r"))
     own = first.groupBy(*key).agg(F.sort_array(F.collect_list("_r")).alias("_refs"))
-    rows = texts.select(*key, F.col(text).alias("_text")).join(own, key, "left")
+    rows = spread(texts.select(*key, F.col(text).alias("_text"))).join(own, key, "left")
     cut = rows.select(*key, "_refs", F.posexplode(pieces(F.col("_text"), F.transform("_refs", lambda r: r["display_text"]))).alias("piece", "_p"))
     cut = cut.select(*key, "piece", "_p.*", F.get("_refs", F.col("_p.reference")).alias("_r"))
     href = F.when(F.coalesce(F.col("_r.resolvable"), F.lit(True)), route(F.col("_r")))

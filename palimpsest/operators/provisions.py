@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import spread
+
 _MARKER = re.compile(r"^\s*\(([0-9]{1,3}|[A-Za-z]{1,5})\)")
 
 
@@ -80,7 +82,7 @@ def patch_sections(sections: DataFrame, changes: DataFrame, key: list[str], text
                 done.append((*own, "\n".join(lines), len(lines)))
             yield pd.DataFrame(done, columns=[*key, "text_content", "lines"])
 
-    return rows.mapInPandas(run, f"{kinds}, text_content string, lines long")
+    return spread(rows).mapInPandas(run, f"{kinds}, text_content string, lines long")
 
 
 def ordered_citations(citations: Column) -> Column:

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import spread
+
 _LEVELS = frozenset("section subsection paragraph subparagraph clause subclause item subitem".split())
 _HREF = re.compile(r"/us/usc/t([0-9]+)/s([^/]+)(.*)$")
 _TEXT_REF = re.compile(r"(?i)\bsection\s+([0-9]+[0-9A-Za-z–-]*)((?:\s*\([0-9A-Za-z]+\))*)(?:\s+of\s+title\s+([0-9]{1,2})\b)?")
@@ -246,4 +248,4 @@ def extract_xml_edits(laws: DataFrame, key: str = "law_id", xml: str = "xml") ->
             out["title_number"] = out["title_number"].astype("Int32")
             yield out
 
-    return laws.select(key, F.col(xml).alias("_xml")).mapInPandas(run, f"{key} {laws.schema[key].dataType.simpleString()}, {SCHEMA}")
+    return spread(laws.select(key, F.col(xml).alias("_xml"))).mapInPandas(run, f"{key} {laws.schema[key].dataType.simpleString()}, {SCHEMA}")

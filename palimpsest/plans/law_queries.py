@@ -13,6 +13,7 @@ from ..functions.text import en_dashed, indent_level, is_roman, plain_dashed, pu
 from ..functions.text import chamber as chamber_of
 from ..functions.text import citation, edit_words, first_replaced, full_name, party, shortened
 from ..functions.dates import display_date, first_year, prose_date
+from ..operators.lineage import spread
 from ..operators import apply, catalog, chrono, committees, history, intake, intervals, maintenance, notes, process, prose, relations, viewer
 from ..sources.tables import release_point_links, table
 from . import standins
@@ -27,7 +28,7 @@ _ORDER = "o_custkey % 20 + 95 AS congress, o_orderkey % 900 + 1 AS law, o_orderk
 
 
 def _orders(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").selectExpr("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", *_ORDER.split(", "))
+    return spread(table(spark, d, "orders")).selectExpr("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", *_ORDER.split(", "))
 
 
 @query(f"""WITH o AS (SELECT o_orderkey, {_ORDER} FROM orders)

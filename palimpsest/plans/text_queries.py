@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import anchored, apply, blame, extract, line_tree, links, records, spans, xml_edits
+from ..operators.lineage import spread
 from ..sources import uslm
 from ..sources.tables import table
 from ..streaming import live
@@ -45,7 +46,7 @@ def linked_references(spark: SparkSession, d: str) -> DataFrame:
     """Names out of each document's own first words, which overlap, linked wherever they stand in it."""
     docs = table(spark, d, "documents").where("text IS NOT NULL AND text <> ''").select("doc_id", "text")
     w = F.split(F.regexp_replace("text", r"^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$", ""), r"[ \t\n\x0B\f\r]+")
-    word = lambda k: F.get(w, F.lit(k - 1))
+    word = lambda k: F.get("_w", F.lit(k - 1))
     null = lambda t: F.lit(None).cast(t)
     ref = lambda at, name, kind, title=null("int"), section=null("string"), congress=null("int"), law=null("long"), ok=F.lit(True): F.struct(
         F.lit(at).alias("position"), name.alias("display_text"), F.lit(kind).alias("ref_type"), F.lit(f"/us/{at}").alias("target_id"), title.alias("usc_title"), section.alias("usc_section"),
@@ -56,7 +57,7 @@ def linked_references(spark: SparkSession, d: str) -> DataFrame:
         ref(0, word(1), "usc_section", title=F.lit(17), section=k.cast("string")), ref(1, said(word(1), " ", word(2)), "public_law", congress=(k % 20 + 95).cast("int"), law=k + 1),
         ref(2, said(word(2), " ", word(3), " ", word(4)), "act"), ref(3, word(3), "usc_section", title=F.lit(5), section=word(3), ok=k % 3 > 0),
     )
-    references = docs.select("doc_id", F.explode(listed).alias("r")).select("doc_id", "r.*")
+    references = spread(docs).select("doc_id", w.alias("_w")).select("doc_id", F.explode(listed).alias("r")).select("doc_id", "r.*")
     cut = links.linked_pieces(docs, references, ["doc_id"], revision=None)
     # The revision goes into every link.
     cut = cut.withColumn("href", F.concat("href", F.lit("?rev="), (k % 7).cast("string")))
@@ -297,7 +298,7 @@ def section_references(spark: SparkSession, d: str) -> DataFrame:
         F.when(k % 4 == 0, said("as in section ", k, "(b)(1) of title ", t, ", and under section 3 of this Act")).when(k % 4 == 1, said("Paragraph (2)(B) of section ", k, "(a) holds."))
         .when(k % 4 == 2, said("See sections 7 and ", k + 1, ".")).otherwise(said("subsection (c)(9) of section ", k, " of title ", t, ", United States Code"))
     )
-    rows = table(spark, d, "orders").select("o_orderkey", F.posexplode(extract.section_references(text, F.lit(26))).alias("position", "r"))
+    rows = spread(table(spark, d, "orders")).select("o_orderkey", F.posexplode(extract.section_references(text, F.lit(26))).alias("position", "r"))
     return rows.select("o_orderkey", "position", "r.title_number", "r.section_number", "r.subsection_path")
 
 
@@ -410,7 +411,7 @@ def approximate_spans(spark: SparkSession, d: str) -> DataFrame:
     words = F.substring("text", 21, 60)
     docs = docs.where(F.substring(words, 1, 1).rlike(r"[^ \t\n\r]") & F.substring(words, 60, 1).rlike(r"[^ \t\n\r]"))
     changed = F.concat(F.substring(words, 1, 30), F.lit("☃"), F.substring(words, 32, 29))
-    return docs.select("doc_id", spans.spans_of(F.col("text"), changed).alias("s")).select("doc_id", "s.*")
+    return spread(docs).select("doc_id", spans.spans_of(F.col("text"), changed).alias("s")).select("doc_id", "s.*")
 
 
 @query("""SELECT p_partkey AS law_id, CASE WHEN p_partkey % 3 = 0 THEN 'xml' ELSE 'text' END AS source, 'Modify' AS change_type, 17 AS title_number, CAST(p_size AS VARCHAR) AS section_number, 'old ' || p_partkey % 4 AS old_text, 'new ' || p_partkey AS new_text, CASE WHEN p_partkey % 4 < 3 THEN CAST(p_partkey % 4 + 1 AS INTEGER) END AS start_line FROM part
