@@ -64,8 +64,8 @@ def vote_tally(text: Column) -> Column:
 
 
 def public_laws(text: Column) -> Column:
-    """Public laws cited, such as 115-97, in order, each once."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit("(?i)Pub(?:lic|\\.)\\s*L(?:aw|\\.)\\s*(?:No\\.\\s*)?([0-9]{1,3}[-–][0-9]{1,4})"), F.lit(1)))
+    """Public laws cited, such as 115-97, in order, each once; numbers are read to their last digit."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit("(?i)Pub(?:lic|\\.)\\s*L(?:aw|\\.)\\s*(?:No\\.\\s*)?([0-9]+[-–][0-9]+)"), F.lit(1)))
 
 
 def citation(text: Column) -> Column:
