@@ -129,24 +129,38 @@ def reference_target(kind: Column, ref: dict[str, Column], href: Column) -> Colu
 
 def section_list(text: Column) -> Column:
     """The sections that 'sections 106, 107, and 108' or 'sections 106 through 110' name, each written out; empty without any."""
-    low = _part(text, r"[Ss]ections?\s+([0-9]+)\s+through\s+([0-9]+)", 1).cast("int")
-    high = _part(text, r"[Ss]ections?\s+([0-9]+)\s+through\s+([0-9]+)", 2).cast("int")
-    span = F.when(low <= high, F.transform(F.sequence(low, high), lambda x: x.cast("string"))).when(low > high, F.array().cast("array<string>"))
+    ends = F.split(F.regexp_replace(F.regexp_substr(text, F.lit(r"[Ss]ections?\s+[0-9]+\s+through\s+[0-9]+")), r"^[Ss]ections?\s+", ""), r"\s+through\s+")
+    span = let(
+        F.struct(ends[0].cast("int").alias("low"), ends[1].cast("int").alias("high")),
+        lambda x: F.when(x["low"] <= x["high"], F.transform(F.sequence(x["low"], x["high"]), lambda n: n.cast("string"))).when(x["low"] > x["high"], F.array().cast("array<string>")),
+    )
     listed = F.regexp_extract(text, r"[Ss]ections?\s+([0-9]+[A-Za-z]?(?:\s*,\s*(?:(?:and|&)\s+)?[0-9]+[A-Za-z]?|\s+(?:and|&)\s+[0-9]+[A-Za-z]?)*)", 1)
     return F.coalesce(span, F.regexp_extract_all(listed, F.lit(r"[0-9]+[A-Za-z]?"), F.lit(0)))
 
 
 def described_difference(old: Column, new: Column) -> Column:
     """How two texts differ but for white space: their lengths, else the first differing character with 20 on either side; null where they are equal."""
-    a, b = (F.trim(F.regexp_replace(x, r"\s+", " ")) for x in (old, new))
-    delta = F.concat(F.lit("Length differs: DB="), F.length(a), F.lit(", RP="), F.length(b), F.lit(" (delta="), F.length(b) - F.length(a), F.lit(")"))
-    # The first position where they part, by halving: the shared prefix is as long as the largest k whose prefixes are equal.
-    steps = F.array(*(F.lit(1 << k) for k in range(30, -1, -1)))
-    same = lambda n: F.substring(a, F.lit(1), n) == F.substring(b, F.lit(1), n)
-    at = F.aggregate(steps, F.lit(0), lambda have, step: F.when((step <= F.length(a) - have) & same(have + step), have + step).otherwise(have))
-    around = lambda x: F.concat(F.lit("'..."), F.substring(x, F.greatest(at - 20, F.lit(0)) + 1, F.least(at + 20, F.length(a)) - F.greatest(at - 20, F.lit(0))), F.lit("...'"))
-    first = F.concat(F.lit("First diff at char "), at, F.lit(": DB="), around(a), F.lit(" vs RP="), around(b))
-    return F.when(F.length(a) != F.length(b), delta).when(a != b, first)
+    plain = lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))
+
+    def first(a: Column, b: Column) -> Column:
+        # The first position where they part, by halving: the shared prefix is as long as the largest k whose prefixes are equal.
+        size = F.length(a)
+        steps = F.transform(F.sequence(F.length(F.bin(size)) - 1, F.lit(0)), lambda k: F.call_function("shiftleft", F.lit(1), k))
+        same = lambda have, step: F.substring(a, have + 1, step) == F.substring(b, have + 1, step)
+        found = F.aggregate(steps, F.lit(0), lambda have, step: F.when((step <= size - have) & same(have, step), have + step).otherwise(have))
+
+        def said(at: Column) -> Column:
+            around = lambda x: F.concat(F.lit("'..."), F.substring(x, F.greatest(at - 20, F.lit(0)) + 1, F.least(at + 20, size) - F.greatest(at - 20, F.lit(0))), F.lit("...'"))
+            return F.concat(F.lit("First diff at char "), at, F.lit(": DB="), around(a), F.lit(" vs RP="), around(b))
+
+        return let(found, said)
+
+    def described(x: Column) -> Column:
+        a, b = x["a"], x["b"]
+        delta = F.concat(F.lit("Length differs: DB="), F.length(a), F.lit(", RP="), F.length(b), F.lit(" (delta="), F.length(b) - F.length(a), F.lit(")"))
+        return F.when(F.length(a) != F.length(b), delta).when(a != b, first(a, b))
+
+    return let(F.struct(plain(old).alias("a"), plain(new).alias("b")), described)
 
 
 # Notes under a section

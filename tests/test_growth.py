@@ -2,9 +2,24 @@
 
 from pyspark.sql import functions as F
 
-from palimpsest.functions import text
+from palimpsest.functions import citations, text
 
 
 def test_laws_are_cited_with_all_their_digits(spark):
     said = F.lit("see Pub. L. 115-10000, Public Law 115-10001 and Pub. L. 1151-7; Public Law 115-10000")
     assert spark.range(1).select(text.public_laws(said)).first()[0] == ["115-10000", "115-10001", "1151-7"]
+
+
+def test_texts_are_collapsed_once_for_their_difference(spark):
+    """Each text is collapsed once, not once for each step of the search."""
+    pairs = [("a  b", "a b"), ("", "x"), ("abc", "abd"), ("é" * 50 + "x" + "y" * 30, "é" * 50 + "z" + "y" * 30), ("q" * 64 + "1", "q" * 64 + "2"), ("1rest", "2rest"), (None, "x")]
+    df = spark.createDataFrame(pairs, "old string, new string").select(citations.described_difference(F.col("old"), F.col("new")).alias("d"))
+    around = lambda a: "'..." + a + "...'"
+    assert [r["d"] for r in df.collect()] == [
+        None, "Length differs: DB=0, RP=1 (delta=1)", f"First diff at char 2: DB={around('abc')} vs RP={around('abd')}",
+        f"First diff at char 50: DB={around('é' * 20 + 'x' + 'y' * 19)} vs RP={around('é' * 20 + 'z' + 'y' * 19)}",
+        f"First diff at char 64: DB={around('q' * 20 + '1')} vs RP={around('q' * 20 + '2')}", f"First diff at char 0: DB={around('1rest')} vs RP={around('2rest')}", None,
+    ]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 2
+    spans = spark.createDataFrame([("Sections 9 through 11",), ("sections 3 through 1",), ("sections 4, 5a, and 6",), ("none",), (None,)], "t string")
+    assert [r[0] for r in spans.select(citations.section_list(F.col("t"))).collect()] == [["9", "10", "11"], [], ["4", "5a", "6"], [], None]
