@@ -1,4 +1,4 @@
-"""Cutting of lineage in loops, and spreading of small tables."""
+"""Cutting of lineage in loops, spreading of small tables, and parts of a bounded size."""
 
 from __future__ import annotations
 
@@ -26,3 +26,11 @@ def spread(df: DataFrame) -> DataFrame:
     parallel = df.sparkSession.sparkContext.defaultParallelism
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return df.repartition(parallel) if size < min(LITTLE, parallel * EACH) else df
+
+
+def parts(df: DataFrame, rows_each: int) -> int:
+    """So many parts that each has about `rows_each` of the rows, and one at least for each task that runs at once.
+
+    The rows are counted: what the optimizer estimates for texts made from keys, or for joins, is far off.
+    """
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows_each))

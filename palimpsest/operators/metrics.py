@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import parts
+
+#: Rows of a part of groups, whose pairs one task counts.
+EACH = 250_000
+
 
 def zero_filled(rows: DataFrame, by: list[str], status: str, allowed: DataFrame) -> DataFrame:
     """Counts for every group and every allowed status, 0 where there is none."""
@@ -62,3 +67,15 @@ def specialization(rows: DataFrame, who: str, what: str) -> DataFrame:
     counts = rows.groupBy(who, what).agg(F.count(F.lit(1)).alias("n"))
     total = F.sum("n").over(Window.partitionBy(who))
     return counts.withColumn("p", F.col("n") / total).groupBy(who).agg(F.round(F.sum(F.col("p") * F.col("p")), 6).alias("specialization"), F.sum("n").alias("n"))
+
+
+def shared_pairs(rows: DataFrame, group: str, member: str) -> DataFrame:
+    """(a, b, shared): how many groups two members share, a being the smaller; groups have few members.
+
+    Pairs are mostly different ones, so that to count them before they are dealt out would hold
+    nearly all of a task's pairs; groups and pairs are dealt to parts that grow in number, not in size.
+    """
+    n = parts(rows, EACH)
+    one = rows.select(F.col(group).alias("_g"), F.col(member).alias("a")).repartition(n, "_g").distinct()
+    pairs = one.join(one.withColumnRenamed("a", "b").hint("merge"), "_g").where("a < b").select("a", "b")
+    return pairs.repartition(n, "a", "b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))

@@ -641,8 +641,8 @@ def overlapping_spans(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT a.l_suppkey AS a, b.l_suppkey AS b, count(*) AS shared FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) a JOIN (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey < b.l_suppkey GROUP BY 1, 2")
 def collaboration_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Suppliers of one order as co-sponsors of one law; an order has few lines, which bounds its pairs."""
-    one = table(spark, d, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("a")).distinct()
-    return one.join(one.withColumnRenamed("a", "b"), "l_orderkey").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    lines = table(spark, d, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("a"))
+    return metrics.shared_pairs(lines, "l_orderkey", "a")
 
 
 @query("SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, count(DISTINCT o_orderkey) AS laws, round(avg(date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE))), 4) AS days FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
