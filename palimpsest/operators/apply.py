@@ -6,10 +6,10 @@ import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .batches import flat_mapped
 from .lineage import spread
 from .snapshots import KEY
 
@@ -59,25 +59,20 @@ def apply_changes(states: DataFrame, changes: DataFrame, key: list[str] | None =
     parts = [F.col(f"_steps.{c}").alias(f"_{c}") for c in ("change_type", "old_text", "new_text")]
     rows = rows.join(states.select(*key, F.col(text).alias("_before")), key, "left").select(*key, "_before", *parts)
     out = ", ".join(f"{k} {changes.schema[k].dataType.simpleString()}" for k in key)
-    names = [*key, "text_content", "is_deleted", "applied", "skipped", "failed"]
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            done = []
-            for own, now, kinds, olds, news in zip(p[key].itertuples(index=False), p["_before"], p["_change_type"], p["_old_text"], p["_new_text"], strict=True):
-                now = now if isinstance(now, str) else None
-                count = {"APPLIED": 0, "SKIPPED": 0, "FAILED": 0}
-                gone = False
-                for kind, old, new in zip(kinds, olds, news, strict=True):
-                    status, now = apply_one(now, kind, old, new)
-                    count[status] += 1
-                    if kind == "Repeal":
-                        gone = True
-                        break
-                done.append((*own, now, gone, *count.values()))
-            yield pd.DataFrame(done, columns=names)
-
-    done = spread(rows).mapInPandas(fold, f"{out}, text_content string, is_deleted boolean, applied long, skipped long, failed long")
+
+    def fold(*row: object) -> Iterator[tuple]:
+        *own, now, kinds, olds, news = row
+        count = {"APPLIED": 0, "SKIPPED": 0, "FAILED": 0}
+        gone = False
+        for kind, old, new in zip(kinds, olds, news, strict=True):
+            status, now = apply_one(now, kind, old, new)
+            count[status] += 1
+            if kind == "Repeal":
+                gone = True
+                break
+        yield (*own, now, gone, *count.values())
+
+    done = flat_mapped(spread(rows), fold, f"{out}, text_content string, is_deleted boolean, applied long, skipped long, failed long")
     return done.withColumn("text_hash", F.sha2("text_content", 256))
 
 
@@ -179,13 +174,12 @@ def line_hunks(pairs: DataFrame, key: list[str], old: str, new: str) -> DataFram
     """Unified-diff lines of each row's two texts; rows with equal texts give none and are left out before Python."""
     kinds = ", ".join(f"{k} {pairs.schema[k].dataType.simpleString()}" for k in key)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            rows = [(*k, *h) for k, a, b in zip(p[key].itertuples(index=False), p["_a"], p["_b"], strict=True) for h in hunks_of(a, b)]
-            yield pd.DataFrame(rows, columns=[*key, *(x.split()[0] for x in HUNKS.split(", "))])
+    def run(*row: object) -> Iterator[tuple]:
+        *own, a, b = row
+        return ((*own, *h) for h in hunks_of(a, b))
 
     differing = pairs.where(~F.col(old).eqNullSafe(F.col(new)))
-    return spread(differing.select(*key, F.col(old).alias("_a"), F.col(new).alias("_b"))).mapInPandas(run, f"{kinds}, {HUNKS}")
+    return flat_mapped(spread(differing.select(*key, F.col(old).alias("_a"), F.col(new).alias("_b"))), run, f"{kinds}, {HUNKS}")
 
 
 def line_counts(hunks: DataFrame, key: list[str]) -> DataFrame:

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections import defaultdict, deque
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .apply import common_lines
+from .batches import flat_mapped
 from .lineage import spread
 
 BLAME = "line_number int, content string, created_in long, changed_in long, moved_in long"
@@ -64,17 +64,12 @@ def blame(states: DataFrame, key: list[str], revision: str = "revision_id", orde
     past = F.sort_array(F.collect_list(F.struct(F.col(order).cast("long").alias("o"), F.col(revision).cast("long").alias("r"), F.col(text).alias("t"))))
     rows = states.groupBy(*key).agg(past.alias("_past")).select(*key, F.col("_past.r").alias("_revisions"), F.col("_past.t").alias("_texts"))
     kinds = ", ".join(f"{k} {states.schema[k].dataType.simpleString()}" for k in key)
-    names = [*key, *(x.split()[0] for x in BLAME.split(", "))]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            done = []
-            for own, revisions, texts in zip(p[key].itertuples(index=False), p["_revisions"], p["_texts"], strict=True):
-                lines = blamed([(int(r), t) for r, t in zip(revisions, texts, strict=True)])
-                done += [(*own, n, *x) for n, x in enumerate(lines, 1)]
-            yield pd.DataFrame(done, columns=names).astype({"moved_in": "Int64"})
+    def run(*row: object) -> Iterator[tuple]:
+        *own, revisions, texts = row
+        return ((*own, n, *x) for n, x in enumerate(blamed(list(zip(revisions, texts, strict=True))), 1))
 
-    return spread(rows).mapInPandas(run, f"{kinds}, {BLAME}")
+    return flat_mapped(spread(rows), run, f"{kinds}, {BLAME}")
 
 
 def with_laws(lines: DataFrame, revisions: DataFrame, laws: DataFrame, key: list[str]) -> DataFrame:

@@ -5,10 +5,10 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .batches import flat_mapped
 from .lineage import spread
 
 _MARKER = re.compile(r"^\s*\(([0-9]{1,3}|[A-Za-z]{1,5})\)")
@@ -74,15 +74,12 @@ def patch_sections(sections: DataFrame, changes: DataFrame, key: list[str], text
     rows = rows.select(*key, "_before", *(F.col(f"_s.{c}").alias(c) for c in ("change_type", "old_text", "new_text")))
     kinds = ", ".join(f"{k} {changes.schema[k].dataType.simpleString()}" for k in key)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            done = []
-            for own, before, *lists in zip(p[key].itertuples(index=False), p["_before"], p["change_type"], p["old_text"], p["new_text"], strict=True):
-                lines = patch((before if isinstance(before, str) else "").split("\n"), list(zip(*lists, strict=True)))
-                done.append((*own, "\n".join(lines), len(lines)))
-            yield pd.DataFrame(done, columns=[*key, "text_content", "lines"])
+    def run(*row: object) -> Iterator[tuple]:
+        *own, before, kind, old, new = row
+        lines = patch((before or "").split("\n"), list(zip(kind, old, new, strict=True)))
+        yield (*own, "\n".join(lines), len(lines))
 
-    return spread(rows).mapInPandas(run, f"{kinds}, text_content string, lines long")
+    return flat_mapped(spread(rows), run, f"{kinds}, text_content string, lines long")
 
 
 def ordered_citations(citations: Column) -> Column:
