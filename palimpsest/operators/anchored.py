@@ -5,16 +5,20 @@ from __future__ import annotations
 import re
 from bisect import insort
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .apply import find_and_replace
-from .lineage import spread
+from .batches import flat_mapped
+from .lineage import parts
 from .prose import designated, struck
 from .provisions import before_in_sequence
 
+#: Lines, or changes of sections, of a part that one task sorts and groups.
+EACH = 100_000
 #: Digits of line keys, in their order as text.
 DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 _BASE = len(DIGITS)
@@ -72,6 +76,11 @@ def first_keys(n: int) -> list[str]:
     return [digits(step * k).rstrip("0") for k in range(1, n + 1)]
 
 
+@lru_cache(1024)
+def _first_keys(n: int) -> list[str]:
+    return first_keys(n)
+
+
 def plain_marker(marker: str | None) -> str:
     return (marker or "").strip("()")
 
@@ -195,11 +204,13 @@ def applied(lines: Sequence[dict], changes: Sequence[dict]) -> tuple[list[dict],
 def keyed(lines: DataFrame, key: list[str], created_by: str | None = None) -> DataFrame:
     """Lines (key, line_number, marker, content, indent_level) with the keys that they keep from now on."""
     by = (F.col(created_by) if created_by else F.lit(None)).cast("long")
-    numbers = F.sort_array(F.collect_list(F.col("line_number").cast("int")))
-    own = lines.groupBy(*key).agg(numbers.alias("_n"))
-    keys = F.pandas_udf(lambda n: n.map(lambda x: first_keys(len(x))), "array<string>")
-    own = own.select(*key, F.explode(F.arrays_zip(F.col("_n").alias("n"), keys("_n").alias("k"))).alias("_z")).select(*key, F.col("_z.n").alias("line_number"), F.col("_z.k").alias("line_key"))
-    return lines.join(own, [*key, "line_number"]).select(*key, "line_key", F.col("line_number").cast("int").alias("line_number"), "marker", "content", F.col("indent_level").cast("int").alias("indent_level"), by.alias("created_by"), by.alias("changed_by"))
+    own = Window.partitionBy(*key).orderBy("line_number")
+    whole = own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    columns = [F.col("line_number").cast("int").alias("line_number"), "marker", "content", F.col("indent_level").cast("int").alias("indent_level"), by.alias("created_by"), by.alias("changed_by")]
+    rows = lines.select(*key, *columns).where("line_number IS NOT NULL").repartition(parts(lines, EACH), *key)
+    rows = rows.withColumns({"_i": F.row_number().over(own), "_n": F.count(F.lit(1)).over(whole)})
+    keys = F.pandas_udf(lambda n, i: pd.Series([_first_keys(x)[y - 1] for x, y in zip(n, i, strict=True)], dtype=object), "string")
+    return rows.select(*key, keys("_n", "_i").alias("line_key"), "line_number", "marker", "content", "indent_level", "created_by", "changed_by")
 
 
 def apply_anchored(lines: DataFrame, changes: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -212,22 +223,21 @@ def apply_anchored(lines: DataFrame, changes: DataFrame, key: list[str]) -> tupl
     of changes are at least 0 and unique in a section.
     """
     fields = [x.split()[0] for x in LINES.split(", ")]
-    steps = changes.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(*CHANGE))).alias("_changes"))
-    touched = lines.join(steps.select(*key), key, "left_semi").groupBy(*key).agg(F.collect_list(F.struct(*fields)).alias("_lines"))
-    rows = steps.join(touched, key, "left")
+    # Sections are dealt out by the number of changes, since tasks hold what they sort and group.
+    n = parts(changes, EACH // 10)
+    steps = changes.repartition(n, *key).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(*CHANGE))).alias("_changes"))
+    own = lines.repartition(n, *key).join(steps.select(*key).hint("merge"), key, "left_semi")
+    touched = own.groupBy(*key).agg(F.collect_list(F.struct(*fields)).alias("_lines"))
+    rows = steps.join(touched.hint("merge"), key, "left").select(*key, "_lines", "_changes")
     kinds = ", ".join(f"{k} {changes.schema[k].dataType.simpleString()}" for k in key)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            out = []
-            for own, given, listed in zip(p[key].itertuples(index=False), p["_lines"], p["_changes"], strict=True):
-                given = [] if given is None or isinstance(given, float) else [{f: x[f] for f in fields} for x in given]
-                after, done = applied(given, [{c: x[c] for c in CHANGE} for x in listed])
-                out.append((*own, [tuple(x[f] for f in fields) for x in after], done))
-            yield pd.DataFrame(out, columns=[*key, "_after", "_done"])
+    def run(*row: object) -> Iterator[tuple]:
+        *own, given, listed = row
+        after, done = applied(given or [], listed)
+        yield (*own, [{f: x[f] for f in fields} for x in after], [{"change_id": c, "placed": placed} for c, placed in done])
 
     line = "struct<" + ", ".join(f"{x.split()[0]}: {x.split()[1]}" for x in LINES.split(", ")) + ">"
-    got = spread(rows).mapInPandas(run, f"{kinds}, _after array<{line}>, _done array<struct<change_id: long, placed: boolean>>")
+    got = flat_mapped(rows, run, f"{kinds}, _after array<{line}>, _done array<struct<change_id: long, placed: boolean>>")
     after = got.select(*key, F.explode("_after").alias("_l")).select(*key, "_l.*")
     rest = lines.join(steps.select(*key), key, "left_anti").select(*key, *fields)
     return rest.unionByName(after), got.select(*key, F.explode("_done").alias("_d")).select(*key, "_d.*")
