@@ -116,14 +116,15 @@ STEP = 256
 
 def running(sizes: DataFrame, at: str, n: str, name: str) -> DataFrame:
     """(at, name): the sum of n over all smaller numbers at, each of which stands once; windows hold STEP numbers at most, level by level."""
-    before = lambda w: F.sum(n).over(w) - F.col(n)
-    if (sizes.agg(F.max(at)).first()[0] or 0) < STEP:
-        return sizes.select(at, before(Window.orderBy(at)).alias(name))
-    chunk = F.floor(F.col(at) / STEP).cast("long")
-    sizes = sizes.select(at, n, chunk.alias("_chunk"))
-    outer = running(cut(sizes.groupBy("_chunk").agg(F.sum(n).alias(n))), "_chunk", n, "_outer")
-    inner = sizes.select("_chunk", at, before(Window.partitionBy("_chunk").orderBy(at)).alias("_inner"))
-    return inner.join(outer, "_chunk").select(at, (F.col("_inner") + F.col("_outer")).alias(name))
+    # Names of its own, since the next level's numbers are this one's chunks.
+    sizes = sizes.select(F.col(at).alias("_at"), F.col(n).alias("_n"))
+    before = lambda w: F.sum("_n").over(w) - F.col("_n")
+    if (sizes.agg(F.max("_at")).first()[0] or 0) < STEP:
+        return sizes.select(F.col("_at").alias(at), before(Window.orderBy("_at")).alias(name))
+    sizes = sizes.withColumn("_chunk", F.floor(F.col("_at") / STEP).cast("long"))
+    outer = running(cut(sizes.groupBy("_chunk").agg(F.sum("_n").alias("_n"))), "_chunk", "_n", "_outer")
+    inner = sizes.select("_chunk", "_at", before(Window.partitionBy("_chunk").orderBy("_at")).alias("_inner"))
+    return inner.join(outer, "_chunk").select(F.col("_at").alias(at), (F.col("_inner") + F.col("_outer")).alias(name))
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

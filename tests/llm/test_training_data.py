@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.llm import ann, html_extract, mixing, ngram_join, packing, quality, sharding, suffix_dedup, toxicity
+from palimpsest.llm import ann, common, html_extract, mixing, ngram_join, packing, quality, sharding, suffix_dedup, toxicity
 from palimpsest.llm.components import connected_components
 from palimpsest.llm.embed_dedup import near_duplicates
 from palimpsest.llm.suffix import common_prefixes, suffix_order
@@ -750,6 +750,24 @@ def test_mixing_against_a_plain_schedule(spark):
     assert {r["_tie"] for r in ordered.collect()} == {"x"}
 
 
+def test_positions_of_more_slots_than_two_levels_hold(spark, monkeypatch):
+    """Running sums add a level at every STEP-fold of the slots; the third came at 65,536."""
+    sparse = spark.range(70_000).select((F.col("id") * 2 + 1).alias("slot"), (F.col("id") % 3).alias("rows"))
+    got = common.running(sparse, "slot", "rows", "start")
+    assert got.columns == ["slot", "start"] and got.count() == 70_000
+    k = F.floor(F.col("slot") / 2)
+    assert not got.where(F.col("start") != F.floor(k / 3) * 3 + F.when(k % 3 == 2, 1).otherwise(0)).take(1)
+
+    monkeypatch.setattr(common, "STEP", 3)
+    rows = [(i, f"s{i % 7 % 3}") for i in range(400)]
+    weights = {"s0": 3.0, "s1": 2.0}
+    got = {r["doc_id"]: tuple(r[c] for c in ("block", "release", "deadline", "slot", "position")) for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), weights, block=2, other=1.0).collect()}
+    want = plain_mix([{"doc_id": r[0], "source": r[1]} for r in rows], weights, 1.0, 2)
+    source = dict(rows)
+    assert max(x[3] for x in got.values()) > 3**4
+    assert Counter((source[i], *x) for i, x in got.items()) == Counter((source[i], *x) for i, x in want.items())
+
+
 def test_mixing_places_every_row_once(spark, odd):
     d = documents(spark, [f"t{k}" for k in range(700)])
     rows = mixing.mix(d, {"s1": 3.0, "s2": 1.0}, block=4).collect()
